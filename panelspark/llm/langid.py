@@ -76,28 +76,52 @@ class Model:
                 return sum(known) / len(known)
         return None
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray | None], evidence: int = 20) -> tuple[str, float]:
+
+
+class Judge:
+    """Predicts with a model; the vectors of words seen are kept in a bounded table, so a text is one gather over it."""
+
+    def __init__(self, model: Model, evidence: int = 20) -> None:
+        self.model, self.evidence, self.langs = model, evidence, model.langs
+        self.rows = _Rows(model)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the likelihood, the mean of all words counting as ``evidence`` words at most."""
-        words = Counter(_WORD.findall(text.lower())) if text else None
-        if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
+        words = _WORD.findall(text.lower()) if text else None
+        if not words or not self.langs or not (words[0].isalpha() or any(c.isalpha() for w in words for c in w)):
             return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for w, c in words.items():
-            if w in cache:
-                v = cache[w]
-            else:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                v = cache[w] = self.word(w)
-            if v is not None:
-                total += v * c
-                n += c
-        e = total * (min(n, evidence) / max(n, 1))
+        if len(self.rows) > _CACHE:
+            self.rows.reset()
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
+        total = self.rows.vectors[at].sum(0)
+        n = total[-1]
+        e = total[:-1] * (min(n, self.evidence) / max(n, 1))
         p = np.exp(e - e.max())
         best = int(e.argmax())
         return self.langs[best], float(min(1.0, p[best] / p.sum()))
 
 
+class _Rows(dict):
+    """Words to rows of ``vectors``: a log frequency for each language, and 1 if the word says anything."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.vectors = np.zeros((1 << 12, len(self.model.langs) + 1))
+
+    def __missing__(self, w: str) -> int:
+        self[w] = i = len(self)
+        if i >= len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        if (v := self.model.word(w)) is not None:
+            self.vectors[i, :-1], self.vectors[i, -1] = v, 1
+        return i
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 20_000, words: int = 40_000, ngrams: int = 20_000) -> Model:
     """A model from at most about ``sample`` labelled rows that aren't held out, drawn by a hash of the id.
 
@@ -124,9 +148,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     at = len(give)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
+        judge = Judge(shared.value)
         for b in batches:
-            told = [m.predict(t.as_py(), cache) for t in b.column(at)]
+            told = [judge.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], names=schema.names)
 
     out = docs.select(*[F.col(f"`{c}`") for c in give], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
