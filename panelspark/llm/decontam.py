@@ -81,6 +81,60 @@ def template(text: str | None, cache: dict) -> tuple[np.ndarray, list[Token]]:
     return np.fromiter((t[0] for t in out), np.uint64, len(out)), out
 
 
+class Templates:
+    """Hashes of whole texts by gathers over a bounded table of the words seen; equal to template(), which it leaves the rest to."""
+
+    def __init__(self) -> None:
+        self.cache: dict = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows = _Rows(self)
+        self.mid, self.first = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.flags = np.zeros(1 << 12, np.uint8)  # 1: has a token, 2: ends a sentence, 4: a number, 8: a unit's word, 16: several tokens
+
+    def learn(self, w: str, i: int) -> None:
+        if i >= len(self.mid):
+            self.mid, self.first, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.first, self.flags))
+        mid, first, ends, number = canonical(w)
+        unit = len(mid) == 1 and len(first) == 1 and not mid[0][1] and mid[0][2] in UNITS
+        # a capitalised unit within a sentence is a name; at its start it could be a unit, and is left to template()
+        several = len(mid) > 1 or (not unit and len(first) == 1 and not first[0][1] and first[0][2] in UNITS)
+        self.flags[i] = bool(mid) | 2 * ends | 4 * number | 8 * unit | 16 * several
+        if len(mid) == 1:
+            self.mid[i], self.first[i] = mid[0][0], first[0][0]
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        if len(self.rows) > _CACHE:
+            self.reset()
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
+        f = self.flags[at]
+        if (f & 16).any():
+            return template(text, self.cache)[0]
+        has, ends = (f & 1).astype(bool), (f & 2).astype(bool)
+        told = np.where(has | ends, np.arange(1, len(f) + 1), 0)  # the last word that says whether a sentence ended
+        state = np.concatenate([[True], ends])[np.maximum.accumulate(told)] if len(f) else ends
+        start = np.concatenate([[True], state[:-1]]) if len(f) else ends
+        h = np.where(start, self.first[at], self.mid[at])[has]
+        f = f[has]
+        if len(f) and (f & 4).any():
+            after = np.concatenate([[False], (f[:-1] & 4) > 0])
+            h[after & ((f & 8) > 0)] = UNIT
+        return h
+
+
+class _Rows(dict):
+    def __init__(self, owner: Templates) -> None:
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, w: str) -> int:
+        self[w] = i = len(self)
+        self.owner.learn(w, i)
+        return i
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
@@ -119,14 +173,16 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wante
     schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), *T.StructType.fromDDL("size int, at int, h long, slots array<string>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        fast = Templates()
         for b in batches:
             out: list[tuple] = []
             for i, t in zip(b.column(0), b.column(1), strict=True):
-                h, tokens = template(t.as_py(), cache)
-                for size in [min(own, len(tokens))] if own else sizes:
+                text, tokens = t.as_py(), None
+                h = fast.hashes(text)
+                for size in [min(own, len(h))] if own else sizes:
                     w = window_hashes(h, size)
                     for at in (range(len(w)) if wanted is None else wanted.value.places(w).tolist()):
+                        tokens = template(text, fast.cache)[1] if tokens is None else tokens
                         part = tokens[at : at + size]
                         if not own or sum(not k for _, k, _ in part) >= literal:
                             out.append((i.as_py(), size, at, int(w[at : at + 1].view(np.int64)[0]), _slots(part)))
