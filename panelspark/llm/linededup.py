@@ -1,12 +1,17 @@
-"""Substring dedup by line: each distinct line of the whole table stays where it stands first.
+"""Substring dedup by lines and their sentences: each stays where it stands first in the whole table.
 
-Units are lines, normalised (lower case, white space folded) and hashed to 128 bits. Digests are counted with their
-earliest place before anything is shuffled for it; only units of digests that repeat are joined back, and only
-their places, never texts, meet by digest.
+Units are lines, and sentences of lines that have several, so that a passage set into a line is met as well.
+They are normalised (lower case, white space folded) and hashed to 128 bits. Digests are counted with their earliest
+place before anything is shuffled for it; only units of digests that repeat are joined back, and only their
+places, never texts, meet by digest.
+
+Lines and sentences are ranked by the same places, so nothing is lost: where a line goes, an equal one stands
+earlier, and with it all its sentences.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,60 +23,93 @@ from pyspark.sql import types as T
 
 from panelspark.plans.shared import cut
 
+_SENTENCE = re.compile(r"[^.!?…]*[.!?…]+[\"')\]»”]*\s*|[^.!?…]+")
+
+
+def units(text: str, least: int, sentence: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, stop, digest) of each line of ``least`` words or more, and of sentences of ``sentence`` or more in lines of several.
 
-def lines(text: str, least: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(index, start, stop, digest) of each line of ``least`` words or more; stop is after its line feed."""
+    A line's stop is after its line feed, a sentence's after the white space that follows it in the line.
+    """
     at = 0
-    for i, line in enumerate(text.split("\n")):
+    for line in text.split("\n"):
         words = line.lower().split()
-        stop = min(at + len(line) + 1, len(text))
         if len(words) >= least:
-            yield i, at, stop, xxhash.xxh128_digest(" ".join(words).encode("utf-8", "replace"))
-        at = stop
+            yield at, min(at + len(line) + 1, len(text)), xxhash.xxh128_digest(b"l" + " ".join(words).encode("utf-8", "replace"))
+        if len(words) > sentence:
+            found = list(_SENTENCE.finditer(line))
+            for m in found if len(found) > 1 else ():
+                words = m[0].lower().split()
+                if len(words) >= sentence:
+                    yield at + m.start(), at + m.end(), xxhash.xxh128_digest(b"s" + " ".join(words).encode("utf-8", "replace"))
+        at += len(line) + 1
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, idx, start, stop, d1, d2) for each unit of a row with an id."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("idx int, start int, stop int, d1 long, d2 long")])
+def unit_table(docs: DataFrame, id_col: str, text_col: str, least: int, sentence: int) -> DataFrame:
+    """(id, start, stop, d1, d2) for each unit of a row with an id."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("start int, stop int, d1 long, d2 long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rest, d = [], [], []
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                for k, a, z, h in lines(t.as_py() or "", least):
-                    ids.append(i.as_py())
-                    rest.append((k, a, z))
+            ids, at, d = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for a, z, h in units(t.as_py() or "", least, sentence):
+                    ids.append(i)
+                    at += (a, z)
                     d.append(h)
-            at = np.array(rest, np.int32).reshape(-1, 3)
+            place = np.array(at, np.int32).reshape(-1, 2)
             both = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *(pa.array(np.ascontiguousarray(at[:, j])) for j in range(3)), *(pa.array(np.ascontiguousarray(both[:, j])) for j in range(2))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *(pa.array(np.ascontiguousarray(x[:, j])) for x in (place, both) for j in range(2))], names=schema.names)
 
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4) -> DataFrame:
-    """(id, n_units, removed): for each id with a unit, how many it has and the places [(start, stop)] to remove, in order."""
-    u = cut(units(docs, id_col, text_col, least))
-    first = u.groupBy("d1", "d2").agg(F.min(F.struct("id", "idx")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = u.join(first, ["d1", "d2"]).where("id <> first.id OR idx <> first.idx").select("id", F.struct("start", "stop").alias("at"))
-    gone = later.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("removed"))
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4, sentence: int = 8) -> DataFrame:
+    """(id, n_units, removed): for each id with a unit, how many it has and the places [(start, stop)] of later occurrences."""
+    u = cut(unit_table(docs, id_col, text_col, least, sentence))
+    first = u.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = u.join(first, ["d1", "d2"]).where("id <> first.id OR start <> first.start").select("id", F.struct("start", "stop").alias("at"))
+    gone = later.groupBy("id").agg(F.collect_set("at").alias("removed"))
     return u.groupBy("id").agg(F.count("*").alias("n_units")).join(gone, "id", "left")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4) -> DataFrame:
+def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text less the places, and these in order, those within another left out."""
+    out, kept, at = [], [], 0
+    for a, z in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if z <= at:
+            continue
+        out.append(text[at:a])
+        kept.append((a, z))
+        at = z
+    out.append(text[at:])
+    return "".join(out), kept
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4, sentence: int = 8) -> DataFrame:
     """(id_col, n_units, n_removed, removed, text) for each row of ``docs``.
 
     removed: the places (start, stop) taken out, in characters of the original text; text: what is left, with
-    everything between kept as it was. Of equal lines of ``least`` words or more, the one of the smallest id, and in
-    it the first, stays; shorter lines are left alone. Rows that share an id are judged as one and have the same
-    places removed; with equal texts they stay copies. A null text stays null; rows with a null id are left alone. Other
-    columns are not read.
+    everything between kept as it was. Of equal lines of ``least`` words or more, and of equal sentences of
+    ``sentence`` or more, the one of the smallest id, and in it the first, stays; shorter ones are left alone.
+    Rows that share an id are judged as one and have the same places removed; with equal texts they stay copies. A
+    null text stays null; rows with a null id are left alone. Other columns are not read.
     """
-    spans = repeated_spans(docs, id_col, text_col, least).withColumnRenamed("id", "__id")
-    base = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    out = base.join(spans, F.col(id_col) == F.col("__id"), "left").withColumn("removed", F.coalesce("removed", none))
-    # the kept stretches: from each removed place's stop to the next one's start
-    starts, stops = F.concat(F.array(F.lit(0)), F.col("removed.stop")), F.concat(F.col("removed.start"), F.array(F.length("text")))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("z")), lambda x: F.substring(F.col("text"), x["a"] + 1, F.greatest(x["z"] - x["a"], F.lit(0)))), ""))
-    return out.select(id_col, F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.size("removed").cast("long").alias("n_removed"), "removed", text.alias("text"))
+    spans = repeated_spans(docs, id_col, text_col, least, sentence).withColumnRenamed("id", "__id")
+    base = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(spans, F.col(id_col) == F.col("__id"), "left")
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL("n_units long, n_removed long, removed array<struct<start:int,stop:int>>, text string")])
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told, texts = [], []
+            for t, s in zip(b.column(2), b.column(3), strict=True):
+                if t.is_valid and s.is_valid:
+                    new, kept = without(t.as_py(), [(x["start"], x["stop"]) for x in s.as_py()])
+                else:
+                    new, kept = t.as_py(), []
+                texts.append(new)
+                told.append([{"start": a, "stop": z} for a, z in kept])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in told], pa.int64()), pa.array(told, span), pa.array(texts, pa.string())], names=schema.names)
+
+    return base.select(id_col, F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), "text", "removed").mapInArrow(run, schema)

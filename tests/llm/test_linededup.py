@@ -1,36 +1,42 @@
+import re
+
 from pyspark.sql import functions as F
 
 from panelspark.llm import linededup
 
 
-def brute(rows, least=4):
+def units(t, least=4, sentence=8):
+    at = 0
+    for line in t.split("\n"):
+        n = len(line.split())
+        if n >= least:
+            yield "line", " ".join(line.lower().split()), at, min(at + len(line) + 1, len(t))
+        parts = re.findall(r"[^.!?…]*[.!?…]+[\"')\]»”]*\s*|[^.!?…]+", line)
+        a = at
+        for p in parts:
+            if len(parts) > 1 and len(p.split()) >= sentence:
+                yield "sentence", " ".join(p.lower().split()), a, a + len(p)
+            a += len(p)
+        at += len(line) + 1
+
+
+def brute(rows):
     """Rows of one id are one document."""
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            for k, w, a, _ in units(t or ""):
+                first[k, w] = min(first.get((k, w), (i, a)), (i, a))
     docs = {}
     for i, t in rows:
         if i is not None:
-            docs.setdefault(i, []).append(t or "")
-    first = {}
-    for i in sorted(docs):
-        for t in docs[i]:
-            for k, line in enumerate(t.split("\n")):
-                w = " ".join(line.lower().split())
-                if len(w.split()) >= least:
-                    first[w] = min(first.get(w, (i, k)), (i, k))
+            docs.setdefault(i, set()).update((a, z) for k, w, a, z in units(t or "") if first[k, w] != (i, a))
     out = []
     for i, t in rows:
-        if i is None or t is None:
-            out.append((i, t, ()))
-            continue
-        at, kept, gone = 0, [], []
-        for k, line in enumerate(t.split("\n")):
-            stop = min(at + len(line) + 1, len(t))
-            w = " ".join(line.lower().split())
-            if len(w.split()) >= least and first[w] != (i, k):
-                gone.append((at, stop))
-            else:
-                kept.append(t[at:stop])
-            at = stop
-        out.append((i, "".join(kept), tuple(gone)))
+        gone = sorted(docs.get(i, ())) if t is not None else []
+        gone = [s for s in gone if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in gone)]
+        kept = t and "".join(c for k, c in enumerate(t) if not any(a <= k < z for a, z in gone)) if gone else t
+        out.append((i, kept, tuple(gone)))
     return sorted(out, key=repr)
 
 
@@ -42,14 +48,25 @@ def test_query_equals_brute_force(spark, data):
     from panelspark.llm.queries import QUERIES
 
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
-    got = sorted(((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in QUERIES["op10_line_dedup"](spark, data).collect()), key=repr)
+    rows_out = QUERIES["op10_line_dedup"](spark, data).collect()
+    got = sorted(((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in rows_out), key=repr)
     want = brute(rows)
     assert got == want and any(r[2] for r in want)
+    assert all(r.n_removed == len(r.removed) for r in rows_out)
 
 
 def test_edges(spark):
     line = "One two  three four"
-    rows = [(2, f"{line}\nshort one\n{line.upper()}\nend of it all"), (1, f"a b c d\n\n{line}"), (3, None), (4, ""), (5, "\n\n"), (6, line), (None, line), (7, "éé éé éé éé\n" * 3), (9, "\r\n".join([line] * 2)), (10, "w x y z " * 50_000), (11, "w x y z " * 50_000), (12, "same row here twice"), (12, "same row here twice")]
+    rows = [(2, f"{line}\nshort one\n{line.upper()}\nend of it all"), (1, f"a b c d\n\n{line}"), (3, None), (4, ""), (5, "\n\n"), (6, line), (None, line), (7, "éé éé éé éé\n" * 3), (9, "\r\n".join([line] * 2)), (10, "w x y z " * 500), (11, "w x y z " * 500), (12, "same row here twice"), (12, "same row here twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("removed", F.lit(1)).withColumn("d1", F.lit(1)).withColumn("n_units", F.lit("x"))
     assert run(df) == brute(rows)
     assert linededup.remove_repeats(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "w x y z. " * 100_000), (2, "w x y z. " * 100_000)], "doc_id long, text string")
+    assert [len(r.text) for r in linededup.remove_repeats(long).orderBy("doc_id").collect()] == [900_000, 0]
+
+
+def test_a_passage_within_lines(spark):
+    p = "This is a sentence of nine words in all. Another one that goes on for longer than eight words, surely!"
+    rows = [(1, f"Start of the first. {p} And its end here."), (2, f"Quite another start. {p} Other end.\nA line."), (3, f"x y z. {p}")]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows) and got[0][1] == rows[0][1] and got[1][1] == "Quite another start. Other end.\nA line." and got[2][1] == "x y z. "
