@@ -70,3 +70,28 @@ def threshold_gate(metrics: DataFrame, steps: Sequence[tuple[str, Mapping[str, f
             c = c & F.coalesce(F.col(k) >= v, F.lit(False))
         w = F.when(c, name) if w is None else w.when(c, name)
     return metrics.withColumn("decision", w.otherwise(otherwise))
+
+
+def case_metrics(truth: DataFrame, answers: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: cases, answered, right, invented (an answer where there is nothing), missed, and their shares."""
+    t, a = truth.select(key, F.col(value).alias("__t")), answers.select(key, F.col(value).alias("__a"))
+    j = t.join(a, key, "left")
+    has_t, has_a = F.col("__t").isNotNull(), F.col("__a").isNotNull()
+    out = j.agg(F.count("*").alias("n"), F.count_if(has_a).alias("answered"), F.count_if(has_t & has_a & (F.col("__t") == F.col("__a"))).alias("n_right"), F.count_if(~has_t & has_a).alias("invented"), F.count_if(has_t & ~has_a).alias("missed"))
+    return out.withColumn("accuracy", F.try_divide("n_right", "answered")).withColumn("invention_rate", F.try_divide("invented", "answered"))
+
+
+def classify_fetched(registry: DataFrame, fetched: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """The registry with a status for each document (parsed, too_short, failed, queued), and the queue of those not fetched."""
+    f = fetched.select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.lit(True).alias("__got"))
+    j = registry.join(f, F.col(key) == F.col("__k"), "left")
+    status = F.when(F.col("__got").isNull(), "queued").when(F.col("__t").isNull(), "failed").when(F.length("__t") < least, "too_short").otherwise("parsed")
+    out = j.withColumn("status", status).drop("__k", "__t", "__got")
+    return out, out.where("status = 'queued'")
+
+
+def authority_check(master: DataFrame, key: str, value: str, lookups: DataFrame, found: str) -> DataFrame:
+    """(key, verdict) against recorded look-ups: consistent, contradicted, unresolved, or not looked up."""
+    l = lookups.select(F.col(key).alias("__k"), F.col(found).alias("__v"))  # noqa: E741
+    v = F.when(F.col("__k").isNull(), "not_looked_up").when(F.col("__v").isNull() | F.col(value).isNull(), "unresolved").when(F.col("__v") == F.col(value), "consistent").otherwise("contradicted")
+    return master.join(l, F.col(key) == F.col("__k"), "left").select(key, v.alias("verdict"))

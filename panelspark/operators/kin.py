@@ -90,3 +90,30 @@ def kin_indicators(focal: DataFrame, person: str, edges: DataFrame, ego: str, ed
     seen = lambda c, n: F.when(F.col(n) > 0, F.col(c))
     out = focal.select(person).join(agg, F.col(person) == F.col("__e"), "left")
     return out.select(person, F.coalesce("n_direct", F.lit(0)).alias("n_direct"), F.coalesce("n_collateral", F.lit(0)).alias("n_collateral"), seen("__dd", "n_direct").alias("direct_degree"), seen("__do", "n_direct").alias("direct_office"), seen("__gen", "n_direct").alias("elite_generations"), seen("__ce", "n_collateral").alias("collateral_elite"), F.when(F.col("n_direct") > 0, F.col("__gen") == 0).alias("new_entrant"))
+
+
+def ancestor_attributes(records: DataFrame, person: str, name: str, rank: str, label: str, office: str, top: int = 8) -> DataFrame:
+    """(person, name, best, n_offices, offices): the name that comes first, the best ranked label, and the first offices in order."""
+    s = F.array_sort(F.collect_set(office))
+    return records.groupBy(person).agg(F.min(name).alias("name"), F.min_by(label, F.when(F.col(label).isNotNull(), F.struct(rank, label))).alias("best"), F.countDistinct(office).alias("n_offices"), F.array_join(F.slice(s, 1, top), "|").alias("offices"))
+
+
+def final_values(structured: DataFrame, extracted: DataFrame, keys: Sequence[str], columns: Sequence[str], verified: str) -> DataFrame:
+    """Structured values, else those of a verified extraction, with the source of each row."""
+    e = extracted.where(F.col(verified)).select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        cond = c if cond is None else cond & c
+    any_known = F.coalesce(*[F.col(c).isNotNull() for c in columns])
+    for c in columns[1:]:
+        any_known = any_known | F.col(c).isNotNull()
+    src = F.when(any_known, "structured").when(F.col(f"__{keys[0]}").isNotNull(), "extracted").otherwise("none")
+    return structured.join(e, cond, "left").select(*keys, *[F.when(any_known, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in columns], src.alias("source"))
+
+
+def reachable(focal: DataFrame, person: str, edges: DataFrame, ego: str, alter: str) -> DataFrame:
+    """(person, is_focal) of the focal persons and those they have an edge to."""
+    f = focal.select(F.col(person), F.lit(True).alias("f"))
+    kin_ = edges.where(F.col(alter).isNotNull()).join(focal.select(F.col(person).alias("__p")), F.col(ego) == F.col("__p"), "left_semi").select(F.col(alter).alias(person), F.lit(False).alias("f"))
+    return f.unionByName(kin_).groupBy(person).agg(F.bool_or("f").alias("is_focal"))

@@ -210,3 +210,91 @@ def evaluate_by(df: DataFrame, groups: Sequence[str], predicted: str, label: str
     p, y = F.col(predicted) == 1, F.col(label) == 1
     out = df.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"))
     return out.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+
+
+def pair_validators(pairs: DataFrame, years: tuple[str, str, str, str], places: tuple[str, str], ranks: tuple[str, str], tolerance: float = 5, jump: float = 4) -> DataFrame:
+    """Flags of a pair: windows apart, places that differ, ranks too far apart; an unknown side flags nothing."""
+    from panelspark.functions.logic import apart
+
+    differs = F.coalesce(F.col(places[0]) != F.col(places[1]), F.lit(False)).cast("int")
+    far = F.coalesce(F.abs(F.col(ranks[0]) - F.col(ranks[1])) > jump, F.lit(False)).cast("int")
+    return pairs.withColumn("chronology", apart(*years, tolerance)).withColumn("geography", differs).withColumn("transition", far)
+
+
+def gold_sample(pairs: DataFrame, key: str, strata: Sequence[tuple[str, Column]], size: int, seed: str, folds: int = 5, held_out: int = 0) -> DataFrame:
+    """Labelled work drawn by hash: the first stratum a pair falls in, its population and sample, and a fixed split."""
+    from panelspark.operators.sampling import by_hash, hash_bucket
+
+    s = None
+    for name, cond in strata:
+        c = F.coalesce(cond, F.lit(False))
+        s = F.when(c, name) if s is None else s.when(c, name)
+    out = by_hash(pairs.withColumn("stratum", s.otherwise("rest")), "stratum", key, size, seed)
+    return out.withColumn("sampled", F.least(F.lit(size), F.col("population"))).withColumn("split", F.when(hash_bucket(seed, key, folds) == held_out, "held_out").otherwise("train"))
+
+
+def bands(df: DataFrame, score: str, label: str, low: float, high: float) -> DataFrame:
+    """(band, n, precision) of rejected, abstained and accepted scores."""
+    b = F.when(F.col(score) >= high, "accept").when(F.col(score) < low, "reject").otherwise("abstain")
+    return df.groupBy(b.alias("band")).agg(F.count("*").alias("n"), F.avg((F.col(label) == 1).cast("double")).alias("precision"))
+
+
+def link_status(entities: DataFrame, entity: str, evidence: Sequence[tuple[str, DataFrame, str]], otherwise: str = "unlinked") -> DataFrame:
+    """(entity, link_status): the first kind of evidence that names the entity; evidence: (status, rows, column)."""
+    out, status = entities.select(entity), None
+    for i, (name, rows, col) in enumerate(evidence):
+        out = out.join(rows.select(F.col(col).alias(f"__e{i}")).where(F.col(col).isNotNull()).distinct(), F.col(entity) == F.col(f"__e{i}"), "left")
+        has = F.col(f"__e{i}").isNotNull()
+        status = F.when(has, name) if status is None else status.when(has, name)
+    return out.select(entity, status.otherwise(otherwise).alias("link_status"))
+
+
+def nested_coverage(statuses: DataFrame, group: str, status: str, order: Sequence[str]) -> DataFrame:
+    """(group, n, within_1, within_2, ...): how many have one of the first k statuses."""
+    return statuses.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(F.col(status).isin(*order[: k + 1])).alias(f"within_{k + 1}") for k in range(len(order))])
+
+
+def link_documents(pairs: DataFrame, document: str, entity: str, evidence: Sequence[Column], least: int = 1) -> DataFrame:
+    """(document, entity, n_evidence) where one entity alone has the most evidence, at least ``least``; names are not evidence."""
+    n = sum((F.coalesce(e, F.lit(False)).cast("int") for e in evidence), F.lit(0))
+    scored = pairs.select(document, entity, n.alias("n_evidence")).groupBy(document, entity).agg(F.max("n_evidence").alias("n_evidence"))
+    best = scored.groupBy(document, "n_evidence").agg(F.count("*").alias("ties"), F.min(entity).alias(entity))
+    top = best.groupBy(document).agg(F.max_by(F.struct(entity, "n_evidence", "ties"), "n_evidence").alias("t")).select(document, "t.*")
+    return top.where((F.col("ties") == 1) & (F.col("n_evidence") >= least)).drop("ties")
+
+
+def document_index(documents: DataFrame, doc_id: str, doc_name: Column, text: str, persons: DataFrame, person: str, person_name: Column) -> DataFrame:
+    """(person, document, n_chars): the longest passage under each person's normalised name."""
+    d = documents.select(doc_name.alias("__k"), F.col(doc_id).alias("document"), F.length(text).alias("n_chars")).groupBy("__k").agg(F.max_by(F.struct("document", "n_chars"), F.struct("n_chars", "document")).alias("d"))
+    return persons.select(person_name.alias("__k"), F.col(person)).join(d, "__k").select(person, "d.document", "d.n_chars")
+
+
+def release_report(df: DataFrame, key: str, period: str, entity: str, prefix: str) -> DataFrame:
+    """One row: rows, distinct keys, periods, rows without an entity, keys without the prefix, entities of several periods."""
+    one = df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.countDistinct(period).alias("n_periods"), F.count_if(F.col(entity).isNull()).alias("n_without_entity"), F.count_if(~F.col(key).cast("string").startswith(prefix)).alias("n_bad_prefix"))
+    multi = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.countDistinct(period).alias("p")).agg(F.count_if(F.col("p") > 1).alias("n_multi_period"))
+    return one.join(F.broadcast(multi))
+
+
+def registry(rows: DataFrame, key: str, overrides: DataFrame, columns: Sequence[str], curated: DataFrame, level: Column, start: int = 0) -> DataFrame:
+    """Rows with overrides by key (a known override wins), curated rows added, a level, and ids in order of key."""
+    from panelspark.operators.sets import align_union, next_ids
+
+    o = overrides.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns])
+    merged = rows.join(o, F.col(key) == F.col("__k"), "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    return next_ids(align_union(merged, curated).withColumn("level", level), [key], start, "registry_id")
+
+
+def review_queue(scored: DataFrame, subject: str, components: Mapping[str, float], ladder: Sequence[tuple[str, float]], routes: Mapping[str, str], open_items: DataFrame | None = None) -> DataFrame:
+    """(subject, total_score, tier, route) of what has to be looked at and isn't in the queue yet."""
+    from panelspark.operators.ledger import risk_tier, risk_total, route
+
+    out = scored.withColumn("total_score", risk_total(components)).withColumn("tier", risk_tier("total_score", ladder)).withColumn("route", route("tier", routes))
+    out = out.where(F.col("route") != "none").select(subject, "total_score", "tier", "route")
+    return out.join(open_items.select(subject), subject, "left_anti") if open_items is not None else out
+
+
+def recall_summary(subjects: DataFrame, subject: str, candidates: DataFrame) -> DataFrame:
+    """One row: subjects, those with a candidate, their share, and candidates."""
+    n = candidates.groupBy(subject).agg(F.count("*").alias("k"))
+    return subjects.select(subject).join(n, subject, "left").agg(F.count("*").alias("n_subjects"), F.count("k").alias("n_with"), F.avg(F.col("k").isNotNull().cast("double")).alias("coverage"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_candidates"))

@@ -92,3 +92,29 @@ def protocol(entities: DataFrame, id_col: str, log: DataFrame, order: Sequence[s
     out = entities.select(id_col).join(agg, id_col, "left")
     state = F.when(F.col("source").isNotNull(), "found").when(F.col("__nf") == len(order), "not_found").when(F.col("__err"), "error").otherwise("unavailable")
     return out.select(id_col, state.alias("outcome"), "source", F.coalesce("n_searched", F.lit(0)).cast("long").alias("n_searched"))
+
+
+def attach_groups(df: DataFrame, dim: DataFrame, key: str, cohort: Column, region: Column) -> DataFrame:
+    return df.join(dim, key, "left").withColumn("cohort", cohort).withColumn("region", region)
+
+
+def scenarios(df: DataFrame, indicator: str, fills: Mapping[str, int | None], keys: Sequence[str]) -> DataFrame:
+    """Prevalence under each reading of the unknown: left out (None), or as 0 or 1; one pass over the groups."""
+    out = df.groupBy(*keys).agg(F.count(indicator).alias("k"), F.count_if(F.col(indicator) == 1).alias("y"), F.count_if(F.col(indicator).isNull()).alias("u"))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), (F.col("k") if v is None else F.col("k") + F.col("u")).alias("n"), (F.col("y") + (F.col("u") if v == 1 else F.lit(0))).alias("yes")) for n, v in fills.items()])).alias("s")
+    return out.select(*keys, rows).select(*keys, "s.*").withColumn("share", F.try_divide("yes", "n"))
+
+
+def replication(first: DataFrame, again: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(column, n, agreement) over what both extractions have; two unknowns agree."""
+    b = again.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns])
+    j = first.join(b, F.col(key) == F.col("__k"))
+    one = j.agg(F.count("*").alias("n"), *[F.avg(F.col(c).eqNullSafe(F.col(f"__{c}")).cast("double")).alias(c) for c in columns])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("n"), F.col(c).alias("agreement")) for c in columns])).alias("s")).select("s.*")
+
+
+def visibility(df: DataFrame, keys: Sequence[str], documented: Column, indicator: str) -> DataFrame:
+    """How much of each group is documented, and the indicator among documented and all rows."""
+    d = F.coalesce(documented, F.lit(False))
+    x = F.col(indicator).cast("double")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d.cast("double")).alias("documented"), F.avg(F.when(d, x)).alias("among_documented"), F.avg(x).alias("among_known"))

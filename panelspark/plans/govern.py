@@ -89,3 +89,27 @@ def markdown(rows: DataFrame, limit: int = 200) -> str:
     head = rows.columns
     body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect()]
     return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *body])
+
+
+def release_gate(tables: Mapping[str, DataFrame | None], required: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
+    """(table, issue) of what a release lacks: a table, a column, or any row."""
+    out = []
+    for name, columns in required.items():
+        df = tables.get(name)
+        if df is None:
+            out.append((name, "missing"))
+            continue
+        out += [(name, f"column:{c}") for c in columns if c not in df.columns]
+        if df.isEmpty():
+            out.append((name, "empty"))
+    return out
+
+
+def package(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Write tables and return (table, path, bytes, sha256) of every file: what a release consists of."""
+    from panelspark.sources.files import manifest
+
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    files = manifest(spark, folder, "*.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("table"), "path", "bytes", "sha256")
