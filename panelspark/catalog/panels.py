@@ -153,3 +153,8 @@ def unified_events(t: Tables) -> DataFrame:
 def flagship_top_careers(t: Tables) -> DataFrame:
     s = panel.collapse_spells(_hours(t), ["user_id", "event_type"], "hour", 24, tie="event_id")
     return s.groupBy("user_id").agg(F.count("*").alias("n_spells"), F.sum("n_observations").alias("n_events"), F.max(F.col("last") - F.col("first")).alias("longest")).orderBy(F.desc("n_spells"), "user_id").limit(20)
+
+
+@query(f"WITH {SPELLS} SELECT user_id, event_type, spell, first, last, n_observations, n_distinct, substr(sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type, CAST(first AS VARCHAR))), 1, 16) AS spell_id FROM c")
+def spells_ranged(t: Tables) -> DataFrame:
+    return panel.collapse_spells_ranged(_hours(t), ["user_id", "event_type"], "hour", 24, tie="event_id")

@@ -163,3 +163,45 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str, parts: int | None
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return placed.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(out, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
+def rank_within(df: DataFrame, keys: Keys, order: Sequence[str], out: str) -> DataFrame:
+    """Row numbers of each group from 1 without a task that holds a whole group: global ranks less the group's first."""
+    from panelspark.plans.shared import cut
+
+    ranked = cut(global_rank(df, [*keys, *order], "__rank"))
+    first = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first"))
+    r = first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first")
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        cond = c if cond is None else cond & c
+    return ranked.join(r, cond).withColumn(out, F.col("__rank") - F.col("__first") + 1).drop("__rank", "__first", *[f"__k_{k}" for k in keys])
+
+
+def collapse_spells_ranged(df: DataFrame, keys: Keys, order: str, max_gap: float = 1, aggs: Sequence[Column] = (), tie: str | None = None, parts: int | None = None) -> DataFrame:
+    """collapse_spells() for tables in which one entity holds a large share of all rows.
+
+    Rows are sorted by ranges of (keys, order), so a hot entity is many tasks' work. Only the first row of a range
+    has its predecessor elsewhere: the ranges' last rows, one each, tell it. Spells are numbered through the
+    ranges and aggregated by number; those that go on from one range to the next meet there.
+    """
+    from panelspark.plans.shared import cut
+
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, order, *([tie] if tie else [])]
+    placed = cut(df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id()))
+    key = F.struct(*keys)
+    ends = placed.groupBy("__part").agg(F.max(F.struct(*by)).alias("__last"))
+    before = ends.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__before"))  # a row a range
+    w = Window.partitionBy("__part").orderBy(*by)
+    rows = placed.join(F.broadcast(before), "__part").withColumn("__prev", F.coalesce(F.lag(F.struct(*by)).over(w), F.col("__before")))
+    same = F.struct(*[F.col(f"__prev.{k}").alias(k) for k in keys]).eqNullSafe(key)
+    fresh = F.when(F.col("__prev").isNull() | ~same | F.col(f"__prev.{order}").isNull() | (F.col(order) - F.col(f"__prev.{order}") > max_gap), 1).otherwise(0)
+    marked = cut(rows.withColumn("__fresh", fresh).drop("__prev", "__before"))
+    counts = marked.groupBy("__part").agg(F.sum("__fresh").alias("__c"))
+    offset = counts.select("__part", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    number = F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__offset")
+    out = marked.join(F.broadcast(offset), "__part").withColumn("__n", number).groupBy(*keys, "__n").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n_observations"), F.countDistinct(order).alias("n_distinct"), *aggs)
+    ident = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("first").cast("string"))
+    return rank_within(out, keys, ["__n"], "spell").drop("__n").withColumn("spell_id", F.substring(F.sha2(ident, 256), 1, 16))

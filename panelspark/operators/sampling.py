@@ -23,11 +23,13 @@ def hash_unit(seed: str, key: Column | str) -> Column:
 def systematic(df: DataFrame, stratum: str, order: str, size: int, seed: str) -> DataFrame:
     """``size`` rows a stratum (all of a smaller one) at equal steps from a hashed start, with population, step and weight.
 
-    Rows are ranked inside their stratum; each decides by itself whether a step falls on it.
+    Rows are ranked by ranges, so no task holds a stratum; each decides by itself whether a step falls on it.
     """
-    w = Window.partitionBy(stratum)
-    n, rn = F.count("*").over(w), F.row_number().over(w.orderBy(order))
-    t = df.withColumn("population", n).withColumn("__rn", rn - 1).withColumn("sampled", F.least(F.lit(size), F.col("population")))
+    from panelspark.operators.panel import rank_within
+
+    n = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("population"))
+    ranked = rank_within(df, [stratum], [order], "__rn").withColumn("__rn", F.col("__rn") - 1)
+    t = ranked.join(n, F.col(stratum).eqNullSafe(F.col("__s"))).drop("__s").withColumn("sampled", F.least(F.lit(size), F.col("population")))
     step = F.col("population") / F.col("sampled")
     start = hash_unit(seed, F.col(stratum)) * step
     k = F.ceil((F.col("__rn") - start) / step)

@@ -90,3 +90,11 @@ def test_hash_split_is_reproducible(spark):
 def test_precedence_union(spark):
     a, b = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "b"), (2, "b")], "id int, v string")
     assert {(r.id, r.v) for r in sets.precedence_union([a, b], ["id"]).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_ranged_spells_equal_windows(spark):
+    hot = [("hot", "x", (i * 7919) % 5000 * 2) for i in range(3000)] + [("a", None, 1), ("a", None, 2), (None, "x", 5), ("b", "x", 9)]
+    df = spark.createDataFrame(hot, "p string, k string, t long").withColumn("i", F.monotonically_increasing_id())
+    key = lambda d: sorted(map(tuple, d.select("p", "k", "spell", "first", "last", "n_observations", "n_distinct", "spell_id").collect()), key=repr)
+    for gap in (1, 2, 5):
+        assert key(panel.collapse_spells_ranged(df, ["p", "k"], "t", gap, tie="i", parts=7)) == key(panel.collapse_spells(df, ["p", "k"], "t", gap, tie="i"))
