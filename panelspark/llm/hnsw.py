@@ -187,7 +187,7 @@ def find_links(graph: Graph, tree: np.ndarray, query: np.ndarray, least: float,
     exact = query[probe] @ tree.T >= least
     todo = np.arange(len(query))
     while len(todo):
-        if 4 * ef >= n:
+        if 4 * ef >= n or ef > 8 * graph.m * 2:  # beyond that, opening nodes costs more than meeting the whole shard
             for i in range(0, len(todo), BLOCK):
                 found[todo[i : i + BLOCK]] = query[todo[i : i + BLOCK]] @ tree.T >= least
             break
@@ -201,7 +201,7 @@ def find_links(graph: Graph, tree: np.ndarray, query: np.ndarray, least: float,
         full = todo[sims.min(1) >= least]
         want = exact.sum()
         if want and (found[probe] & exact)[~np.isin(probe, full)].sum() < audit * exact[~np.isin(probe, full)].sum():
-            ef *= 2  # the audit failed: all queries again
+            ef *= 4  # the audit failed: all queries again
             todo = np.arange(len(query))
         else:
             ef *= 4
@@ -254,8 +254,8 @@ def _pair(least: float, audit: float, key: tuple, t: pa.Table) -> pa.Table:
         found |= found.T
         np.fill_diagonal(found, False)
     (ids_a, w_a, _), (ids_b, w_b, _) = sides[a], sides[b]
-    count = lambda m, w: np.array([w[x].sum() for x in m], np.int64)
-    told = [(ids_b, count(found, w_a))] + [(ids_a, count(found.T, w_b))] * (a != b)
+    q, t_ = np.nonzero(found)
+    told = [(ids_b, np.bincount(q, w_a[t_], len(ids_b)).astype(np.int64))] + [(ids_a, np.bincount(t_, w_b[q], len(ids_a)).astype(np.int64))] * (a != b)
     node, n = np.concatenate([x for x, _ in told]), np.concatenate([x for _, x in told])
     edges = join_groups(found, ids_b, ids_a, a == b)
     node, n = node[n > 0], n[n > 0]
@@ -286,7 +286,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ranges = F.create_map(*[F.lit(x) for dim, k in sizes for s in range(start[dim], start[dim] + k) for x in (s, start[dim] * 1_000_000 + start[dim] + k)])
     lo, hi = F.floor(ranges[F.col("shard")] / 1_000_000).cast("int"), F.pmod(ranges[F.col("shard")], F.lit(1_000_000)).cast("int")
     pairs = built.withColumn("other", F.explode(F.sequence(lo, hi - 1))).select(F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "data", F.when(F.col("shard") <= F.col("other"), F.col("graph")).alias("graph"))
-    told = cut(pairs.groupBy("a", "b").applyInArrow(lambda key, t: _pair(least, audit, key, t), "node long, n long, other long"))
+    n_pairs = sum(k * (k + 1) // 2 for _, k in sizes)
+    told = cut(pairs.repartition(min(2 * n_pairs, 20_000), "a", "b").groupBy("a", "b").applyInArrow(lambda key, t: _pair(least, audit, key, t), "node long, n long, other long"))
     group = connected_components(told.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     counts = told.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
     known = nodes.join(counts, "node", "left").join(group, "node", "left").select("v", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
