@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ _STRIP = re.compile(r"^[^\w$€£¥%°+-]+|[^\w%$€£¥]+$")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PRIME = 0x9E3779B97F4A7C15
 NUMBER, UNIT, NAME = 1, 2, 3
-_CACHE = 300_000
+_CACHE = 1_000_000  # words a task keeps, at about 200 bytes
 
 Token = tuple[int, int, str]  # hash of its template, kind (0: a word), value
 
@@ -44,6 +45,9 @@ def _slot(kind: int, value: str) -> Token:
 
 def canonical(word: str) -> tuple[list[Token], list[Token], bool, bool]:
     """Tokens of a word within a sentence and at its start, whether it ends one, and whether it ends with a number."""
+    if word.isalpha():
+        low = [_word(word.lower())]
+        return ([_slot(NAME, word)] if word[0].isupper() and word[1:].islower() else low), low, False, False
     ends = word.rstrip("\"')]}»”’*#$%&").endswith((".", "!", "?", ":", "…"))
     s = _STRIP.sub("", word)
     if m := _JOINED.fullmatch(s):
@@ -71,7 +75,7 @@ def template(text: str | None, cache: dict) -> tuple[np.ndarray, list[Token]]:
             c = cache[w] = canonical(w)
         mid, first, ends, is_number = c
         t = first if start else mid
-        if number and len(t) == 1 and not t[0][1] and t[0][2] in UNITS:
+        if number and not start and len(t) == 1 and not t[0][1] and t[0][2] in UNITS:
             t = [_slot(UNIT, t[0][2])]
         if t:
             out += t
@@ -97,10 +101,8 @@ class Templates:
         if i >= len(self.mid):
             self.mid, self.first, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.first, self.flags))
         mid, first, ends, number = canonical(w)
-        unit = len(mid) == 1 and len(first) == 1 and not mid[0][1] and mid[0][2] in UNITS
-        # a capitalised unit within a sentence is a name; at its start it could be a unit, and is left to template()
-        several = len(mid) > 1 or (not unit and len(first) == 1 and not first[0][1] and first[0][2] in UNITS)
-        self.flags[i] = bool(mid) | 2 * ends | 4 * number | 8 * unit | 16 * several
+        unit = len(mid) == 1 and not mid[0][1] and mid[0][2] in UNITS
+        self.flags[i] = bool(mid) | 2 * ends | 4 * number | 8 * unit | 16 * (len(mid) > 1)
         if len(mid) == 1:
             self.mid[i], self.first[i] = mid[0][0], first[0][0]
 
@@ -117,10 +119,10 @@ class Templates:
         state = np.concatenate([[True], ends])[np.maximum.accumulate(told)] if len(f) else ends
         start = np.concatenate([[True], state[:-1]]) if len(f) else ends
         h = np.where(start, self.first[at], self.mid[at])[has]
-        f = f[has]
+        f, start = f[has], start[has]
         if len(f) and (f & 4).any():
             after = np.concatenate([[False], (f[:-1] & 4) > 0])
-            h[after & ((f & 8) > 0)] = UNIT
+            h[after & ~start & ((f & 8) > 0)] = UNIT
         return h
 
 
@@ -164,13 +166,55 @@ class Wanted:
         return at[self.sorted[np.minimum(i, len(self.sorted) - 1)] == h[at]] if len(at) and len(self.sorted) else at[:0]
 
 
+_PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: White space, punctuation and a letter whose lower case depends on its place, all outside ASCII.
+_ODD = re.compile("[\x1c-\x1f\x80-\xbfΣ\u1680\u2000-\u206f\u2190-\u2bff\u2e00-\u2e7f\u3000-\u303f\ufe10-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
+class Anchors:
+    """Tells quickly that a text can't hold any window of the benchmark.
+
+    A window that matches has all its literal words in place, so the text has the window's longest run of literal words;
+    lower-cased and without punctuation, these runs are looked up by hash with only the benchmark's own words known. It
+    errs only to the safe side: what it lets pass is looked at in full.
+    """
+
+    def __init__(self, runs: list[list[str]]) -> None:
+        plain = [[w.lower().encode("utf-8", "replace").translate(None, _PUNCT) for w in r] for r in runs]
+        self.vocabulary = {w: xxhash.xxh64_intdigest(w) | 1 for r in plain for w in r}
+        by: dict[int, list[int]] = {}
+        for r in plain:
+            by.setdefault(len(r), []).append(int(window_hashes(np.array([self.vocabulary[w] for w in r], np.uint64), len(r))[0]))
+        self.wanted = [(k, Wanted(np.array(v, np.uint64))) for k, v in sorted(by.items())]
+        self.odd = any(_ODD.search(w) for r in runs for w in r)
+
+    def may_hold(self, text: str | None) -> bool:
+        if not text:
+            return False
+        if self.odd or _ODD.search(text):
+            return True
+        w = text.lower().encode("utf-8", "replace").translate(None, _PUNCT).split()
+        ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint64, len(w))
+        return any(len(wanted.places(window_hashes(ids, k))) for k, wanted in self.wanted)
+
+
+def _longest_run(tokens: list[Token]) -> list[str]:
+    best: list[str] = []
+    run: list[str] = []
+    for _, k, v in tokens:
+        run = [] if k else [*run, v]
+        best = run if len(run) > len(best) else best
+    return best
+
+
 def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: object = None, own: int = 0, literal: int = 4) -> DataFrame:
     """(id, size, at, h, slots) of the template windows of whole texts.
 
     With ``own``, a text of fewer tokens has one window of all of them (the benchmark's side), and windows
-    with fewer than ``literal`` words that aren't placeholders are left out. With ``wanted``, only its hashes are kept.
+    with fewer than ``literal`` words that aren't placeholders are left out; their longest run of literal words is told.
+    With ``wanted``, hashes and anchors, only those hashes are kept.
     """
-    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), *T.StructType.fromDDL("size int, at int, h long, slots array<string>")])
+    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), *T.StructType.fromDDL("size int, at int, h long, slots array<string>" + ", run array<string>" * bool(own))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast = Templates()
@@ -178,15 +222,17 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wante
             out: list[tuple] = []
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 text, tokens = t.as_py(), None
+                if wanted is not None and not wanted.value[1].may_hold(text):
+                    continue
                 h = fast.hashes(text)
                 for size in [min(own, len(h))] if own else sizes:
                     w = window_hashes(h, size)
-                    for at in (range(len(w)) if wanted is None else wanted.value.places(w).tolist()):
+                    for at in (range(len(w)) if wanted is None else wanted.value[0].places(w).tolist()):
                         tokens = template(text, fast.cache)[1] if tokens is None else tokens
                         part = tokens[at : at + size]
                         if not own or sum(not k for _, k, _ in part) >= literal:
-                            out.append((i.as_py(), size, at, int(w[at : at + 1].view(np.int64)[0]), _slots(part)))
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+                            out.append((i.as_py(), size, at, int(w[at : at + 1].view(np.int64)[0]), _slots(part), *([_longest_run(part)] if own else [])))
+            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string())] * (1 + bool(own)))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=schema.names)
 
     return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -202,9 +248,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = cut(windows(benchmark, item_col, item_text, [], own=size).withColumnRenamed("id", "item").withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"))
     sizes = sorted(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())  # at most ``size`` numbers
     wanted = None
-    keys = items.select("h").distinct()
+    keys = items.select("h", "run").distinct()
+    items = items.drop("run")
     if keys.limit(small + 1).count() <= small:
-        wanted = docs.sparkSession.sparkContext.broadcast(Wanted(np.array([r.h for r in keys.collect()], np.int64).view(np.uint64)))
+        rows = keys.collect()
+        wanted = docs.sparkSession.sparkContext.broadcast((Wanted(np.array([r.h for r in rows], np.int64).view(np.uint64)), Anchors([r.run for r in rows])))
         items = F.broadcast(items)
     hit = windows(docs, id_col, text_col, sizes, wanted).join(items, ["size", "h"])
     aligned = hit.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at").alias("n"), F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))).alias("s"))

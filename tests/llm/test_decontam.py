@@ -76,3 +76,32 @@ def test_gathers_equal_the_loop():
     for _ in range(3000):
         t = " ".join(r.choices(words if r.random() < 0.5 else [w for w in words if w not in ("12kg", "$5", "KM", "A", "In")], k=r.randrange(12)))
         assert fast.hashes(t).tolist() == decontam.template(t, cache)[0].tolist(), t
+
+
+def test_anchors_never_hide_a_window():
+    import random
+
+    import numpy as np
+
+    r = random.Random(2)
+    words = "The the mill. river, 5 60 km 12kg $5 --- . ?! Anna box In don't e.g. ABC é É “quoted” naïve a_b".split()
+    bench = [" ".join(r.choices(words, k=10)) for _ in range(40)]
+    runs, hashes = [], set()
+    for t in bench:
+        h, tokens = decontam.template(t, {})
+        w = decontam.window_hashes(h, min(4, len(h)))
+        for at in range(len(w)):
+            part = tokens[at : at + min(4, len(h))]
+            if any(not k for _, k, _ in part):
+                runs.append(decontam._longest_run(part))
+                hashes.add((len(part), int(w[at])))
+    anchors = decontam.Anchors(runs)
+    n = 0
+    for _ in range(400):
+        t = " ".join(r.choices(words, k=5)) + " " + r.choice(bench if r.random() < 0.5 else ["other things"]).replace("5", "7")
+        h = decontam.template(t, {})[0]
+        if any((k, int(x)) in hashes for k in {k for k, _ in hashes} for x in decontam.window_hashes(h, k)):
+            assert anchors.may_hold(t), t
+        else:
+            n += not anchors.may_hold(t)
+    assert n > 0
