@@ -160,22 +160,34 @@ def _recode(s: str, key: bytes, tweak: str, classes: list[str] = _CLASSES) -> st
 
 
 def _name(canon: str, key: bytes, attempt: int) -> str:
-    """A name of the same gender, script and number of parts; canonical forms are ``gender|name``."""
+    """A name of the same gender, script and number of parts; canonical forms are ``gender|name``.
+
+    Every second attempt may add a hyphenated part (in other scripts a letter), so there are always enough names.
+    """
     gender, _, name = canon.partition("|")
     draw = lambda what, n: _mac(key, "name", what, canon, attempt) % n
+    more = attempt // 2
     parts = name.split(" ")
-    if ord(name[0]) > 0x36F:  # letters of the same script, the first in its case
-        low = lambda c: c.lower() == c
-        alike = {0x3: range(0x3B1, 0x3C9), 0x4: range(0x430, 0x450), 0x5: range(0x561, 0x587)}
-        pool = lambda c: [chr(x) for x in alike.get(ord(c) >> 8, range(0x4E00, 0x4E00 + 3000))]
-        return gender + "|" + "".join(c if c == " " else (t if low(c) else t.upper()) for i, c in enumerate(name) for t in [pool(c)[draw(i, len(pool(c)))] if c != " " else c])
-    family = _FAMILY[draw("family", len(_FAMILY))]
-    family += f"-{_FAMILY[draw('second', len(_FAMILY))]}" if "-" in parts[-1] or attempt > 2 else ""
-    if len(parts) == 1 and parts[0] not in _GENDER:
-        return f"{gender}|{family}"
-    pool = GIVEN.get(gender) or sorted(GIVEN["m"] + GIVEN["f"])
-    given = pool[draw("given", len(pool))]
-    return f"{gender}|{given}" if len(parts) == 1 else f"{gender}|{given} {family}"
+    if ord(name[0]) > 0x36F:
+        return gender + "|" + "".join(_letter(c, draw(i, 1 << 32)) for i, c in enumerate(name + name[-1] * more))
+    double = lambda what, pool, k: "-".join(pool[draw(f"{what}{i}", len(pool))] for i in range(k))
+    given = GIVEN.get(gender) or sorted(GIVEN["m"] + GIVEN["f"])
+    if len(parts) == 1:
+        return gender + "|" + (double("given", given, 1 + more) if parts[0] in _GENDER else double("family", _FAMILY, 1 + more))
+    return f"{gender}|{double('given', given, 1)} {double('family', _FAMILY, 1 + max(more, '-' in parts[-1]))}"
+
+
+#: Small letters to draw from, by the block of a letter; ideographs from the first 3,000.
+_SMALL = {0x3: range(0x3B1, 0x3C9), 0x4: range(0x430, 0x450), 0x5: range(0x561, 0x587)}
+
+
+def _letter(c: str, x: int) -> str:
+    """A letter of the same script and case."""
+    if c == " ":
+        return c
+    pool = _SMALL.get(ord(c) >> 8, range(0x4E00, 0x4E00 + 3000))
+    new = chr(pool[x % len(pool)])
+    return new.upper() if c != c.lower() else new
 
 
 @lru_cache(100_000)

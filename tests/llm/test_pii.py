@@ -40,7 +40,7 @@ def test_permutation_is_one_to_one():
 
 def test_coreference_distinctness_and_collisions(spark):
     names = [f"Mr. {g} {f}" for g in pii.GIVEN["m"][:20] for f in "Alpha Bravo Carl Delta Echo Fox Golf Hotel Indigo Julep Kilo Lima".split()]
-    solo = [f"Frau {g}" for g in pii.GIVEN["f"][:10]]
+    solo = [f"Frau {g}" for g in pii.GIVEN["f"]] + [f"Dr. {a}{b}" for a in "АБВГД" for b in "абвгд"]  # all names there are, and short ones
     rows = [(i, f"{n} wrote to a{i % 7}@x.org.") for i, n in enumerate(names * 2 + solo)] + [(9000, None), (9001, ""), (9002, "clean text")]
     df = spark.createDataFrame(rows, "id long, text string").withColumn("entities", F.lit("clash"))
     out = {r.id: r for r in pii.replace_pii(df, KEY).collect()}
