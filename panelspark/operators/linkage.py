@@ -94,13 +94,22 @@ def matcher_pattern(**accepted: Column) -> Column:
     return F.when(s == "", "none").otherwise(s)
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.5, rounds: int = 600, l2: float = 1.0) -> list[float]:
-    """Weights, intercept last, of an L2-penalised logistic regression by full gradients.
+def fit_logistic(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.5, rounds: int = 600, l2: float = 1.0, most: int = 200_000) -> list[float]:
+    """Weights, intercept last, of an L2-penalised logistic regression.
 
-    Equal feature rows are counted first; what reaches the driver is one row for each distinct pattern of
-    features, and labelled pairs are few beside the pairs that get scored.
+    Equal feature rows are counted first. Up to ``most`` distinct patterns are fitted on the driver by full
+    gradients; beyond that MLlib fits the same objective where the rows are.
     """
-    rows = df.groupBy(*features, label).agg(F.count("*").alias("n")).collect()
+    counted = df.groupBy(*features, label).agg(F.count("*").alias("n"))
+    rows = counted.limit(most + 1).collect()
+    if len(rows) > most:
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorAssembler
+
+        data = VectorAssembler(inputCols=list(features), outputCol="__x").transform(counted.withColumn("__y", F.col(label).cast("double")).withColumn("__w", F.col("n").cast("double")))
+        n = counted.agg(F.sum("n")).first()[0]
+        fit = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(data)
+        return [*map(float, fit.coefficients), float(fit.intercept)]
     x = np.array([[*(float(r[f]) for f in features), 1.0] for r in rows])
     y, n = np.array([float(r[label]) for r in rows]), np.array([float(r["n"]) for r in rows])
     w, penal = np.zeros(x.shape[1]), np.r_[np.ones(len(features)), 0.0]

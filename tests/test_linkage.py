@@ -46,6 +46,8 @@ def test_logistic_learns_a_separation(spark):
     w = linkage.fit_logistic(df, ["f"], "y")
     p = {r.f: r.p for r in df.select("f", linkage.logistic_score(["f"], w).alias("p")).distinct().collect()}
     assert p[0.0] < 0.2 < 0.8 < p[1.0]
+    far = linkage.fit_logistic(df, ["f"], "y", rounds=20_000)
+    assert all(abs(a - b) < 0.05 for a, b in zip(far, linkage.fit_logistic(df, ["f"], "y", most=2)))  # MLlib's way, beyond the bound
 
 
 def test_fellegi_sunter_ranks_agreement(spark):

@@ -61,3 +61,12 @@ def test_streamed_spells_equal_batch(spark, data, tmp_path):
     q.awaitTermination(120)
     batch = src.groupBy(F.session_window("ts", "6 hours"), "user_id").count()
     assert spark.table("spells").count() == batch.count()
+
+
+def test_release(spark, tmp_path):
+    t = {"a": spark.range(3).toDF("id"), "b": spark.range(0).toDF("id")}
+    assert govern.release_gate(t, {"a": ["id", "x"], "b": ["id"], "c": ["id"]}) == [("a", "column:x"), ("b", "empty"), ("c", "missing")]
+    assert govern.release_gate(t, {"a": ["id"]}) == []
+    files_ = govern.package(spark, {"a": t["a"]}, str(tmp_path / "r")).collect()
+    assert files_ and {f.table for f in files_} == {"a"} and all(len(f.sha256) == 64 for f in files_)
+    assert govern.markdown(spark.createDataFrame([(1, None)], "x int, y string")) == "| x | y |\n| --- | --- |\n| 1 |  |"
