@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm.batches import slices
 from panelspark.plans.shared import cut
 
 #: Titles by gender and given names; fixed values.
@@ -52,6 +54,9 @@ PATTERNS = [
 ]
 
 
+PRIORITY = {k: i for i, k in enumerate(dict.fromkeys(k for k, *_ in PATTERNS))}
+
+
 def luhn(digits: str) -> int:
     """The check digit that makes ``digits`` and it a valid card number."""
     total = 0
@@ -97,25 +102,16 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             title = m["title"] if "title" in pattern.groupindex else None
             found.append((a, z, kind, _norm(kind, s, title)))
-    found = [f for _, f in sorted((PRIORITY[f[2]], f) for f in found)]
-    taken: list[tuple[int, int, str, str]] = []
-    if len(found) < 2:
-        return found
-    ends: dict[int, int] = {}
-    import bisect
-
     starts: list[int] = []
-    for f in found:
-        i = bisect.bisect_left(starts, f[0])
-        if (i and ends[starts[i - 1]] > f[0]) or (i < len(starts) and starts[i] < f[1]):
+    taken: list[tuple[int, int, str, str]] = []  # by start
+    for f in sorted(found, key=lambda f: (PRIORITY[f[2]], f)):
+        i = bisect_left(starts, f[0])
+        if (i and taken[i - 1][1] > f[0]) or (i < len(starts) and starts[i] < f[1]):
             continue
         starts.insert(i, f[0])
-        ends[f[0]] = f[1]
-        taken.append(f)
-    return sorted(taken)
-
+        taken.insert(i, f)
+    return taken
 
-PRIORITY = {k: i for i, k in enumerate(dict.fromkeys(k for k, *_ in PATTERNS))}
 
 
 def _mac(key: bytes, *parts: object) -> int:
@@ -294,7 +290,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", small: int
     shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canon): r.attempt for r in redrawn.collect()} if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             own = [{(e["kind"], e["canon"]): e["attempt"] for e in row or ()} for row in b.column(len(schema) - 1).to_pylist()] if shared.value is None else None
             made = [rewrite(t.as_py(), key, shared.value if own is None else own[i]) for i, t in enumerate(b.column(at))]
             cols = list(b.columns)[: len(schema) - 1]
