@@ -30,7 +30,7 @@ _STRIP = re.compile(r"^[^\w$€£¥%°+-]+|[^\w%$€£¥]+$")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PRIME = 0x9E3779B97F4A7C15
 NUMBER, UNIT, NAME = 1, 2, 3
-_CACHE = 1_000_000  # words a task keeps, at about 200 bytes
+_CACHE = 300_000  # words a task keeps, at about 200 bytes
 
 Token = tuple[int, int, str]  # hash of its template, kind (0: a word), value
 

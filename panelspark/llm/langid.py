@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm.batches import slices
+
 TOP = 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 1_000_000  # words a task keeps, at about 200 bytes
+_CACHE = 400_000  # words a task keeps, at about 200 bytes
 
 
 def held_out(id_col: str) -> Column:
@@ -53,31 +56,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """langs: sorted. tables[kind][gram]: log frequency in each of them; floors[kind]: that of a gram a language lacks."""
+    """langs: sorted. index[kind][gram] is a row of logs[kind]: the gram's log frequency in each language, smoothed by a half."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]]) -> None:
-        self.langs = sorted({lang for lang, *_ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        raw: list[dict[str, np.ndarray]] = [{} for _ in range(TOP + 1)]
+    def __init__(self, counts: Iterable[tuple[str, int, str, int]]) -> None:
+        self.index: list[dict[str, int]] = [{} for _ in range(TOP + 1)]
+        names: dict[str, int] = {}
+        cells = [(array("i"), array("i"), array("d")) for _ in range(TOP + 1)]
         for lang, kind, gram, n in counts:
-            raw[kind].setdefault(gram, np.zeros(len(at)))[at[lang]] = n
-        self.tables = []
-        for table in raw:
-            size = sum(table.values(), np.zeros(len(at))) + 0.5 * len(table) + 1
-            self.tables.append({g: np.log((c + 0.5) / size) for g, c in table.items()})
+            at, table = cells[kind], self.index[kind]
+            at[0].append(table.setdefault(gram, len(table)))
+            at[1].append(names.setdefault(lang, len(names)))
+            at[2].append(n)
+        self.langs = sorted(names)
+        place = np.argsort(np.argsort(list(names)))
+        self.logs = []
+        for table, (row, lang, n) in zip(self.index, cells, strict=True):
+            c = np.zeros((len(table), len(names)))
+            if len(row):
+                c[np.array(row), place[np.array(lang)]] = n
+            self.logs.append(np.log((c + 0.5) / (c.sum(0) + 0.5 * len(table) + 1)).astype(np.float32))
 
     def word(self, w: str) -> np.ndarray | None:
-        if (v := self.tables[0].get(w)) is not None:
-            return v
+        if (i := self.index[0].get(w)) is not None:
+            return self.logs[0][i]
         for n in range(TOP, 0, -1):
-            table = self.tables[n]
-            known = [v for g in grams(w, n) if (v := table.get(g)) is not None]
+            table = self.index[n]
+            known = [i for g in grams(w, n) if (i := table.get(g)) is not None]
             if known:
-                return sum(known) / len(known)
+                return self.logs[n][known].mean(0)
         return None
 
 
-
 class Judge:
     """Predicts with a model; the vectors of words seen are kept in a bounded table, so a text is one gather over it."""
 
@@ -133,7 +142,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))
     kept = counted.where((F.col("n") > 1) | (F.lit(share) == 1.0)).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(ngrams))
-    return Model([(r.lang, r.kind, r.gram, r.n) for r in kept.select("lang", "kind", "gram", "n").toLocalIterator()])
+    return Model(tuple(r) for r in kept.select("lang", "kind", "gram", "n").toLocalIterator())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -149,7 +158,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
-        for b in batches:
+        for b in slices(batches):
             told = [judge.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], names=schema.names)
 

@@ -46,7 +46,7 @@ def test_no_labels(spark):
 def test_the_model_is_bounded(spark):
     docs = spark.createDataFrame(TRAIN, "doc_id long, text string, lang string")
     m = langid.learn(docs, words=2, ngrams=3)
-    assert len(m.tables[0]) <= 4 and all(len(t) <= 6 for t in m.tables[1:])
+    assert len(m.index[0]) <= 4 and all(len(t) <= 6 for t in m.index[1:])
 
 
 def test_backoff_goes_to_shorter_grams():
