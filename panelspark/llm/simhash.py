@@ -16,6 +16,7 @@ the tree is met, and only links that join two groups are kept: at most one for e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -43,14 +44,26 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter(map(_hash, (b" ".join(w[i : i + words]) for i in range(n))), np.uint64, n)
 
 
-def fingerprint(h: np.ndarray) -> int:
-    """Bit j is set if it is set in more than half of ``h``; zero for none."""
+def fingerprint(h: np.ndarray, bits: int = 64) -> int:
+    """Bit j is set if it is set in more than half of ``h``; zero for none. Beyond 64, further bits are of mixed hashes."""
     if not len(h):
         return 0
-    count = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        count += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    out = 0
+    for lane in range(bits // 64):
+        x = h if not lane else _mix(h, lane)
+        count = np.zeros(64, np.int64)
+        for i in range(0, len(x), 1 << 14):
+            count += np.unpackbits(x[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out |= int(np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0]) << (64 * lane)
+    return out
+
+
+def _mix(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 bits of each hash: a multiply-and-shift finaliser over the hash and the lane."""
+    x = h + np.uint64(lane * 0x9E3779B97F4A7C15 & ALL)
+    for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(k)
+    return x ^ (x >> np.uint64(31))
 
 
 def _salts(n: int) -> np.ndarray:
@@ -68,10 +81,10 @@ def band_keys(h: np.ndarray, bands: int, rows: int, salts: np.ndarray) -> list[i
     return [int(np.uint64(_hash(bytes([b]) + low[b * rows : (b + 1) * rows].tobytes())).astype(np.int64)) for b in range(bands)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bands: int = 0, rows: int = 3) -> DataFrame:
-    """(id, fp long[, keys array of long]) for each row; whole texts, streamed in Arrow batches."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bands: int = 0, rows: int = 3, bits: int = 64) -> DataFrame:
+    """(id, fp[, keys array of long]) for each row; whole texts, streamed in Arrow batches. fp: a long, or bytes beyond 64 bits."""
     kind = docs.schema[id_col].dataType
-    fields = [T.StructField("id", kind), T.StructField("fp", T.LongType())] + [T.StructField("keys", T.ArrayType(T.LongType()))] * bool(bands)
+    fields = [T.StructField("id", kind), T.StructField("fp", T.LongType() if bits == 64 else T.BinaryType())] + [T.StructField("keys", T.ArrayType(T.LongType()))] * bool(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = _salts(bands * rows)
@@ -79,15 +92,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps, keys = [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), words)
-                fps.append(fingerprint(h))
+                fps.append(fingerprint(h, bits))
                 if bands:
                     keys.append(band_keys(h, bands, rows, salts))
-            cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))] + [pa.array(keys, pa.list_(pa.int64()))] * bool(bands)
+            cols = [b.column(0), _column(fps, bits)] + [pa.array(keys, pa.list_(pa.int64()))] * bool(bands)
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
 
 
+def _column(fps: list[int], bits: int) -> pa.Array:
+    return pa.array(np.array(fps, np.uint64).view(np.int64)) if bits == 64 else pa.array([x.to_bytes(bits // 8, "big") for x in fps], pa.binary())
+
+
 def piece_keys(fp: str, radius: int) -> F.Column:
     """Array of keys: one for each pair of the radius + 2 pieces."""
     n = radius + 2
@@ -155,7 +172,7 @@ class BKTree:
         return [self.values[h] for h in hits]
 
 
-def _search(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(radius: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, lo, hi, side, fp), those of a tree together and sorted by side: 0 is the tree's, 1 a query's."""
     last, tree, out = None, BKTree(radius), []
     for b in batches:
@@ -163,17 +180,16 @@ def _search(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for k, a, z, s, f in zip(key, lo, hi, side, fps, strict=True):
             if (now := (k, a, z)) != last:
                 last, tree = now, BKTree(radius)
-            q = f & ALL
+            q = f & ALL if bits == 64 else int.from_bytes(f, "big")
             for x in tree.meet(q) if s else tree.add(q):
                 if s or a == z:  # the links inside a tree are told by one task only
                     out.append((x, q))
         if out:
-            x = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([_column([x for x, _ in out], bits), _column([y for _, y in out], bits)], names=["src", "dst"])
             out = []
 
 
-def links(keyed: DataFrame, radius: int, cap: int = 2048) -> DataFrame:
+def links(keyed: DataFrame, radius: int, cap: int = 2048, bits: int = 64) -> DataFrame:
     """(src, dst): links that join all nodes within the radius. keyed: distinct (key, fp)."""
     sizes = keyed.groupBy("key").count().where("count > 1")
     c = F.ceil(F.col("count") / cap).cast("int")
@@ -185,13 +201,13 @@ def links(keyed: DataFrame, radius: int, cap: int = 2048) -> DataFrame:
         .select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
         .select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).cast("int").alias("side"), "fp")
     )
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(partial(_search, radius), "src long, dst long")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(partial(_search, radius, bits), "src long, dst long" if bits == 64 else "src binary, dst binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, keys: str = "pieces", bands: int = 8, rows: int = 3, cap: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, keys: str = "pieces", bands: int = 8, rows: int = 3, cap: int = 2048, bits: int = 64) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row of ``docs``.
 
-    fingerprint: 16 lower-case hex digits. component_id: the smallest id reachable by links, its own included.
+    fingerprint: lower-case hex digits, 16 for 64 bits; more bits need ``keys="bands"``. component_id: the smallest id reachable by links, its own included.
     A null or empty text has no words: fingerprint zero, linked like any other. Rows that share an id stay
     rows of their own; a null id is never the smallest unless its whole component has none. Other columns of
     ``docs`` are not read, whatever their names. An empty table gives an empty result.
@@ -200,23 +216,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base = cut(fingerprints(docs, id_col, text_col, words))
         keyed = base.select("fp").distinct().select("fp", F.explode(piece_keys("fp", radius)).alias("key"))
     else:
-        base = cut(fingerprints(docs, id_col, text_col, words, bands, rows))
+        base = cut(fingerprints(docs, id_col, text_col, words, bands, rows, bits))
         keyed = base.select("fp", F.explode("keys").alias("key")).distinct()
     first = base.groupBy("fp").agg(F.min("id").alias("first"))
-    group = connected_components(links(keyed, radius, cap)).withColumnRenamed("node", "fp")
+    group = connected_components(links(keyed, radius, cap, bits)).withColumnRenamed("node", "fp")
     linked = first.join(group, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     known = first.join(linked.select("fp", "component").join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return base.select("id", "fp").join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return base.select("id", "fp").join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), bits // 4, "0")).alias("fingerprint"), "component_id")
+
+
+def radius_of(similarity: float, bits: int, slack: float = 1.25) -> int:
+    """The bits in which fingerprints of texts of this Jaccard similarity differ, and ``slack`` standard deviations more.
+
+    Shingle counts of similarity s make an angle of cosine 2s / (1 + s), and a bit differs with the angle's share of a half turn.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, **more) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, **more) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that with the smallest id.
 
-    The similarity of two texts is the share of equal bits of their fingerprints, here of five-word shingles; at
-    0.8 or more they are linked. All columns stay as they are. Rows that repeat an id are one document, of which
-    one row stays.
+    Texts are linked if their fingerprints are as near as five-word shingles of a similarity of 0.8 make them; 256
+    bits tell that twice as sharply as 64. All columns stay as they are. Rows that repeat an id are one document, of
+    which one row stays. Rows without an id can't be named by a link: one of each text stays.
     """
-    found = near_duplicates(docs, id_col, text_col, words=words, radius=int(64 * (1 - similarity) + 1e-9), keys="bands", **more)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius_of(similarity, bits), keys="bands", bits=bits, **more)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    stay = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return stay.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))

@@ -23,9 +23,9 @@ def test_run(spark, data):
             from panelspark.llm import simhash
 
             rows = docs.select("doc_id", "text").collect()
-            fps = {r.doc_id: simhash.fingerprint(simhash.shingle_hashes(r.text, 5)) for r in rows}
+            fps = {r.doc_id: simhash.fingerprint(simhash.shingle_hashes(r.text, 5), 256) for r in rows}
             ids = sorted(fps)
-            links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 12]
+            links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= simhash.radius_of(0.8, 256)]
             from tests_brute import components
 
             want = set(components(links, ids).values())

@@ -108,8 +108,26 @@ def test_keep_one(spark):
     words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(4000)]
     base = r.choices(words, k=300)
     near = base[:150] + ["changed"] + base[151:]
-    rows = [(3, " ".join(base), "s"), (1, " ".join(near), "s"), (2, " ".join(base), "s"), (7, " ".join(r.choices(words, k=300)), "s"), (8, None, None), (9, "", "t"), (7, "again", "u")]
+    rows = [(3, " ".join(base), "s"), (1, " ".join(near), "s"), (2, " ".join(base), "s"), (7, " ".join(r.choices(words, k=300)), "s"), (8, None, None), (9, "", "t"), (7, "again", "u"), (None, "no id", "v"), (None, "no id", "v"), (None, "another", "v")]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
     assert out.columns == ["doc_id", "text", "fp"]
-    assert sorted(x.doc_id for x in out.collect()) == [1, 7, 8]
+    assert sorted((x.doc_id for x in out.collect()), key=repr) == [1, 7, 8, None, None]
     assert simhash.keep_one(out.limit(0)).count() == 0
+
+
+def test_radius_follows_similarity():
+    """Texts of a similarity over 0.8 are linked, those well below are not."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghij", k=7)) for _ in range(5000)]
+    near = far = 0
+    for _ in range(60):
+        a = r.choices(words, k=400)
+        b, c = list(a), list(a)
+        for i in r.sample(range(400), 5):
+            b[i] = "changed"
+        for i in r.sample(range(400), 50):
+            c[i] = "other"
+        x, y, z = (simhash.fingerprint(simhash.shingle_hashes(" ".join(t), 5), 256) for t in (a, b, c))
+        near += (x ^ y).bit_count() <= simhash.radius_of(0.8, 256)
+        far += (x ^ z).bit_count() <= simhash.radius_of(0.8, 256)
+    assert near >= 58 and far <= 1
