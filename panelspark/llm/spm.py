@@ -17,8 +17,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
@@ -26,14 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.plans.shared import cut, scratch
+from panelspark.llm.batches import slices
+from panelspark.plans.shared import scratch
 
 SPACE = "▁"
 LONGEST = 60  # letters of a word whose cuts fit one long; longer words are segmented where they stand
 _LATIN = "A-Za-zÀ-ɏ"
 _WORD = re.compile(rf"{SPACE}*[{_LATIN}]+|{SPACE}*[^{SPACE}{_LATIN}]+|{SPACE}+")
 _CROSS = re.compile(rf"[{_LATIN}][^{SPACE}{_LATIN}]|[^{SPACE}{_LATIN}][{_LATIN}]|[^{SPACE}]{SPACE}")
-_FLUSH = 400_000
+_FLUSH = 400_000  # chunks a task keeps the ids of
+_TELL = 1_000_000  # words and chunks a task gathers before it tells them
 
 
 class Model:
@@ -55,6 +60,7 @@ class Model:
         self.unknown, self.bytes = sp.unk_id(), sp.piece_to_id("<0x00>") if sp.piece_to_id("<0x00>") != sp.unk_id() else None
         self.text = {i: p for p, i in self.pieces.items()}
         self.most = max(map(len, self.pieces))
+        self.width = np.dtype(np.uint16 if sp.get_piece_size() <= 1 << 16 else np.int32)
         self.merges = b"\x18\x02" in open(model_file, "rb").read()[-600:]  # trainer_spec.model_type: BPE
         if any(_CROSS.search(p) for p in self.pieces):
             raise ValueError("a piece of this model crosses the words' ends; the lattice can't be cut there")
@@ -127,22 +133,30 @@ def ids_of(word: str, cuts: Iterator[int], m: Model) -> list[int]:
     return out
 
 
-def decode_ids(ids: list[int] | None, m: Model) -> str | None:
-    """The text of a list of ids; the space that encoding puts before a text goes. Ids of no piece read as U+FFFD."""
-    if ids is None:
-        return None
-    out, raw = [], bytearray()
-    for i in ids:
-        if m.bytes is not None and m.bytes <= i < m.bytes + 256:
-            raw.append(i - m.bytes)
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw = bytearray()
-        out.append(m.text.get(i, "�"))
-    out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+class Decoder:
+    """Ids to text: the bytes of their pieces joined."""
+
+    def __init__(self, m: Model) -> None:
+        size = 1 + max([*m.text, (m.bytes or 0) + 255])
+        self.raw = ["\ufffd".encode()] * size
+        for i, p in m.text.items():
+            self.raw[i] = p.replace(SPACE, " ").encode("utf-8", "replace")
+        if m.bytes is not None:
+            self.raw[m.bytes : m.bytes + 256] = [bytes([b]) for b in range(256)]
+
+    def text(self, ids: np.ndarray | list[int] | None) -> str | None:
+        """The space that encoding puts before a text goes. Ids of no piece read as U+FFFD."""
+        if ids is None:
+            return None
+        i = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        if i and (min(i) < 0 or max(i) >= len(self.raw)):
+            i = [x if 0 <= x < len(self.raw) else 0 for x in i]
+        text = b"".join(map(self.raw.__getitem__, i)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+    def gives(self, word: str, ids: list[int]) -> bool:
+        """Do the ids decode to the word? One with the sign for a space that a text holds itself does not."""
+        return b"".join(map(self.raw.__getitem__, ids)) == word.replace(SPACE, " ").encode("utf-8", "replace")
 
 
 @contextmanager
@@ -159,118 +173,223 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(n) if old[k] is None else spark.conf.set(n, old[k])
 
 
-def segment(distinct: DataFrame, m: Model, parts: int | None = None) -> DataFrame:
-    """(word, cuts) for each row of (word): bit i of cuts is set if a piece ends after i letters. Words of up to LONGEST letters.
+def segment(distinct: DataFrame, m: Model) -> DataFrame:
+    """(word, blocks, cuts) for each row of (word, blocks): bit i of cuts is set if a piece ends after i letters; block b is told as -1 - b.
 
-    The lattice: start and length of each substring, an equi-join with the pieces, edges grouped by word as longs
-    (rank, start, length), and the fold.
+    Words have up to LONGEST letters, and rows of a word are one row. The lattice: starts are exploded, then lengths up
+    to that of the longest piece with the same first three letters; an equi-join with the pieces leaves the edges;
+    they are grouped by word as longs (rank, start, length) and folded. A word's blocks pass through the same
+    rows, as starts below zero, so it is shuffled no more than once.
     """
     spark = distinct.sparkSession
-    table = [(p, (m.rank[p] << 11)) for p in m.pieces if len(p) > 1]
-    if not m.merges:
-        table = [(p, (m.pieces[p] << 11)) for p in m.pieces]
-    pieces = F.broadcast(spark.createDataFrame(table + [("", -1)], "piece string, code long"))  # bounded by the model
-    n = F.length("word")
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
     least = 2 if m.merges else 1
-    subs = starts.where(n - F.col("a") >= least).select("word", "a", F.explode(F.sequence(F.lit(least), F.least(F.lit(m.most), n - F.col("a")))).alias("l")).select("word", "a", "l", F.substring(F.col("word"), F.col("a") + 1, F.col("l")).alias("piece"))
-    edges = subs.join(pieces, "piece").select("word", (F.col("code") + F.col("a") * 32 + F.col("l")).alias("e"))
-    folded = edges.groupBy("word").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    rank = m.rank if m.merges else m.pieces
+    heads: dict[str, int] = {}
+    for p in m.pieces:
+        if len(p) > 2:
+            heads[p[:3]] = max(heads.get(p[:3], 0), len(p))
+    # both tables are bounded by the model
+    bounds = F.broadcast(spark.createDataFrame(list(heads.items()) or [("", 0)], "head string, bound int"))
+    pieces = F.broadcast(spark.createDataFrame([(p, rank[p] << 11) for p in m.pieces if len(p) >= least] + [("", 0)], "piece string, code long"))
+    n, a = F.length("word"), F.col("a")
+    starts = distinct.select("word", F.explode(F.concat(F.sequence(F.lit(0), n - 1), F.transform("blocks", lambda b: -1 - b))).alias("a"))
+    head = F.when(a >= 0, F.substring(F.col("word"), a + 1, F.lit(3)))
+    longest = F.least(F.coalesce("bound", F.lit(2)), n - a)
+    lengths = F.when(a < 0, F.array(F.lit(0))).when(longest >= least, F.sequence(F.lit(least), F.greatest(longest, F.lit(least))))
+    subs = starts.withColumn("head", head).join(bounds, "head", "left").select("word", "a", F.explode(lengths).alias("l")).select("word", "a", "l", F.when(a < 0, "").otherwise(F.substring(F.col("word"), a + 1, F.col("l"))).alias("piece"))
+    edges = subs.join(pieces, "piece").select("word", F.when(a < 0, a.cast("long")).otherwise(F.col("code") + a * 32 + F.col("l")).alias("e"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"), F.count_if(F.col("e") < 0).cast("int").alias("k"))
+    grouped = grouped.select("word", F.slice("es", F.lit(1), F.col("k")).alias("blocks"), F.slice("es", F.col("k") + 1, F.size("es")).alias("es"))
+    start, stop = "cast(shiftright(e, 5) & 63L as int)", "cast((shiftright(e, 5) & 63L) + (e & 31L) as int)"
     if m.merges:
-        full = "shiftleft(1L, length(word) + 1) - 1L"
-        inside = "(s & (shiftleft(1L, cast((shiftright(e, 5) & 63L) + (e & 31L) as int)) - shiftleft(1L, cast((shiftright(e, 5) & 63L) + 1L as int))))"
-        ends = "(shiftleft(1L, cast((shiftright(e, 5) & 63L) + (e & 31L) as int)) | shiftleft(1L, cast(shiftright(e, 5) & 63L as int)))"
-        fold = f"aggregate(es, {full}, (s, e) -> if((s & {ends}) = {ends} AND {inside} <> 0L AND ({inside} & ({inside} - 1L)) = 0L, s & ~{inside}, s))"
-        done = folded.select("word", F.expr(fold).alias("cuts"))
-        return distinct.join(done, "word", "left").select("word", F.coalesce("cuts", F.expr(full)).alias("cuts"))
-    score = spark.createDataFrame([(m.pieces[p], s) for p, s in m.score.items()], "id long, score double")
-    low = min(m.score.values()) - 10
-    e = edges.select("word", (F.shiftright("e", 5).bitwiseAND(F.lit(63))).cast("int").alias("a"), (F.col("e").bitwiseAND(F.lit(31))).cast("int").alias("l"), F.shiftright("e", 11).alias("id")).join(F.broadcast(score), "id")
-    loose = starts.select("word", "a", F.lit(1).alias("l"), F.lit(low).alias("score"))
-    both = e.select("word", "a", "l", "score").union(loose).groupBy("word", "a", "l").agg(F.max("score").alias("score"))
-    es = both.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((F.col("a") + F.col("l")).alias("z"), "l", "score"))).alias("es"))
+        # w: the ends from start to stop as bits; d: the edge's own two. They join if there is just one between.
+        edge = f"transform(es, e -> named_struct('a', {start}, 'd', shiftleft(1L, cast(e & 31L as int)) | 1L))"
+        w = "(shiftright(s, x.a) & (2L * x.d - 3L))"
+        fold = f"aggregate({edge}, shiftleft(1L, length(word) + 1) - 1L, (s, x) -> if(({w} & x.d) = x.d AND bit_count({w}) = 3, s - shiftleft({w} - x.d, x.a), s))"
+        return grouped.select("word", "blocks", F.expr(fold).alias("cuts"))
+    score = F.broadcast(spark.createDataFrame([(m.pieces[p], v) for p, v in m.score.items()], "id long, score double"))
+    flat = grouped.select("word", "blocks", F.explode("es").alias("e")).select("word", "blocks", F.expr(start).alias("a"), F.expr(stop).alias("z"), F.shiftright("e", 11).alias("id")).join(score, "id").drop("id")
+    loose = grouped.select("word", "blocks", F.explode(F.sequence(F.lit(0), n - 1)).alias("a")).select("word", "blocks", "a", (F.col("a") + 1).alias("z"), F.lit(min(m.score.values()) - 10).alias("score"))
+    es = flat.union(loose).groupBy("word", "blocks", "a", "z").agg(F.max("score").alias("score")).groupBy("word", "blocks").agg(F.array_sort(F.collect_list(F.struct("z", (F.col("z") - F.col("a")).alias("l"), "score"))).alias("es"))
     fold = """aggregate(es, map(0, named_struct('s', 0D, 'c', 1L)), (m, e) -> if(m[e.z - e.l] IS NULL OR (m[e.z] IS NOT NULL AND m[e.z].s >= m[e.z - e.l].s + e.score), m,
       map_concat(map_filter(m, (k, v) -> k <> e.z), map(e.z, named_struct('s', m[e.z - e.l].s + e.score, 'c', m[e.z - e.l].c | shiftleft(1L, e.z))))), m -> m[length(word)].c)"""
-    return es.select("word", F.expr(fold).alias("cuts"))
+    return es.select("word", "blocks", F.expr(fold).alias("cuts"))
+
+
+#: What pieces may join across single spaces: several spaces, one at the start, or the model's own sign for one.
+_ODD = f"  |^ |{SPACE}"
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which rows are plain, and the lists of their stretches between spaces, each of one word or more. Null, empty and odd texts are not."""
+    plain = pc.fill_null(pc.and_(pc.invert(pc.match_substring_regex(texts, _ODD)), pc.greater(pc.binary_length(texts), 0)), False)
+    return plain.to_numpy(zero_copy_only=False), pc.split_pattern(texts.filter(plain), " ")
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words of a task's texts with the task's number."""
-    block, seen = TaskContext.get().partitionId(), set()
-    give = lambda: pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string()), pa.array([block] * len(seen), pa.int32())], names=["word", "block"])
-    for b in batches:
-        for t in b.column(0):
-            seen.update(w for w in words(t.as_py()) if len(w) <= LONGEST)
-        if len(seen) > _FLUSH:
+    block, chunks, seen = TaskContext.get().partitionId(), set(), set()
+
+    def give() -> pa.RecordBatch:
+        for c in chunks:
+            if c.isascii() and c.isalpha() and len(c) < LONGEST:
+                seen.add(SPACE + c)
+            else:
+                seen.update(w for w in _WORD.findall(SPACE + c) if len(w) <= LONGEST)
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.full(len(seen), block, np.int32))], names=["word", "block"])
+        chunks.clear()
+        seen.clear()
+        return out
+
+    for b in slices(batches, 4096):
+        texts = b.column(0)
+        plain, parts = _split(texts)
+        chunks.update(pc.unique(parts.flatten()).to_pylist())
+        for t in texts.filter(pa.array(~plain)).to_pylist():
+            seen.update(w for w in words(t or "") if len(w) <= LONGEST)
+        if len(seen) + len(chunks) > _TELL:
             yield give()
-            seen.clear()
     yield give()
 
 
-def _load(path: str, block: int) -> dict[str, int]:
+def _ids(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, blocks, cuts) to (word, blocks, ids as bytes, lossy): lossy words are those whose ids don't decode to them."""
+    back = Decoder(m)
+    for b in batches:
+        ws = b.column(0).to_pylist()
+        ids = [ids_of(w, [i for i in range(1, len(w) + 1) if c >> i & 1], m) for w, c in zip(ws, b.column(2).to_pylist(), strict=True)]
+        lossy = [not back.gives(w, x) for w, x in zip(ws, ids, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, m.width).tobytes() for x in ids], pa.binary()), pa.array(lossy)], names=["word", "blocks", "ids", "lossy"])
+
+
+class _Words(dict):
+    """The ids of words as bytes, from the table of segmentations; those it lacks are made when first asked for.
+
+    lossy: a word was met whose ids don't decode to it, so texts have to be decoded to know. Pieces of neighbours never
+    mix, so a text of words that all decode to themselves does as well.
+    """
+
+    def __init__(self, m: Model, table: dict[str, bytes], lossy: bool) -> None:
+        super().__init__(table)
+        self.m, self.slow, self.most, self.lossy, self.back = m, merge if m.merges else viterbi, len(table) + _FLUSH, lossy, Decoder(m)
+
+    def __missing__(self, w: str) -> bytes:
+        # a word too long for the table, or of rows dealt to another task since
+        ids = ids_of(w, self.slow(w, self.m), self.m)
+        self.lossy |= not self.back.gives(w, ids)
+        x = np.array(ids, self.m.width).tobytes()
+        if len(self) < self.most:
+            self[w] = x
+        return x
+
+
+class _Chunks(dict):
+    """The ids of the stretches between spaces."""
+
+    def __init__(self, words_: _Words) -> None:
+        super().__init__()
+        self.words = words_
+
+    def __missing__(self, c: str) -> bytes:
+        x = self.words[SPACE + c] if c.isascii() and c.isalpha() else b"".join([self.words[w] for w in _WORD.findall(SPACE + c)])
+        if len(self) < _FLUSH:  # the frequent ones come first
+            self[c] = x
+        return x
+
+
+def _encode(texts: pa.Array, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) of a batch: the ids of all texts in a row, and where each text's end. Each distinct stretch is looked up once."""
+    width = chunks.words.m.width
+    plain, parts = _split(texts)
+    flat = parts.flatten().dictionary_encode()
+    found = [chunks[c] for c in flat.dictionary.to_pylist()]
+    size = np.fromiter(map(len, found), np.int32, len(found)) // width.itemsize
+    blob, start = np.frombuffer(b"".join(found), width), np.cumsum(size, dtype=np.int32) - size
+    at = flat.indices.to_numpy()
+    n = size[at]
+    upto = np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)
+    place = np.repeat(start[at] - upto[:-1], n)
+    place += np.arange(len(place), dtype=np.int32)
+    ids = blob[place]
+    ends = upto[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    if plain.all():
+        return ids, ends
+    rows, k = [], 0
+    for t, p in zip(texts, plain, strict=True):
+        if p:
+            rows.append(ids[ends[k] : ends[k + 1]])
+            k += 1
+        else:
+            rows.append(np.frombuffer(b"".join([chunks.words[w] for w in words(t.as_py() or "")]), width))
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
+def _load(path: str, block: int) -> tuple[dict[str, bytes], bool]:
+    """The table of a task: ids by word, and whether any is lossy."""
     system, at = fs.FileSystem.from_uri(f"{path}/block={block}")
-    out: dict[str, int] = {}
+    out, lossy = {}, False
     if system.get_file_info(at).type == fs.FileType.Directory:
         for f in sorted(x.path for x in system.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet")):
-            t = pq.read_table(f, filesystem=system, columns=["word", "cuts"], partitioning=None)
-            out.update(zip(t["word"].to_pylist(), t["cuts"].to_pylist(), strict=True))
-    return out
+            t = pq.read_table(f, filesystem=system, columns=["word", "ids", "lossy"], partitioning=None)
+            out.update(zip(t["word"].to_pylist(), t["ids"].to_pylist(), strict=True))
+            lossy |= bool(pc.any(t["lossy"]).as_py())
+    return out, lossy
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", restored_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of each whole text in ``ids_col`` (array of int).
 
     A null text has null ids, an empty one none. Equal to the library's own ids for models of merges, and
-    to its best path for unigram models. A column already named ``ids_col`` is replaced; all others stay.
+    to its best path for unigram models. With ``restored_col``, the ids are decoded where they are made, and the
+    column tells whether that gives the text (true for null). A column already named so is replaced; all others stay.
     """
     spark = docs.sparkSession
     m = Model(model_file)
-    docs = docs.drop(ids_col) if ids_col in docs.columns else docs
+    docs = docs.drop(*[c for c in (ids_col, restored_col) if c in docs.columns])
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     path = scratch(spark, "words")
     told = docs.select(text_col).mapInArrow(_told, "word string, block int")
+    # one shuffle by word serves the distinct words and their edges; the groups of a task fit its hash tables
     with _settings(spark, spark__sql__objectHashAggregate__sortBased__fallbackThreshold="10000000"):
-        own = cut(told.groupBy("word").agg(F.collect_set("block").alias("blocks")))
-        cuts = segment(own.select("word"), m)
-        own.join(cuts, "word").select(F.explode("blocks").alias("block"), "word", "cuts").repartition("block").write.partitionBy("block").parquet(path)
+        # (a number of parts given, adaptive execution doesn't merge them into larger tables)
+        own = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
+        ids = segment(own, m).mapInArrow(partial(_ids, m), "word string, blocks array<long>, ids binary, lossy boolean")
+        ids.select(F.explode("blocks").alias("b"), "word", "ids", "lossy").select((-1 - F.col("b")).cast("int").alias("block"), "word", "ids", "lossy").repartition("block").write.partitionBy("block").parquet(path)
     shared, at = spark.sparkContext.broadcast(m), docs.columns.index(text_col)
     schema = T.StructType([*docs.schema]).add(ids_col, T.ArrayType(T.IntegerType()))
+    if restored_col:
+        schema = schema.add(restored_col, T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known, made = shared.value, None, {}
-        for b in batches:
-            if known is None:
-                known = _load(path, TaskContext.get().partitionId())
-            out: list[list[int] | None] = []
-            for t in b.column(at):
-                if (text := t.as_py()) is None:
-                    out.append(None)
-                    continue
-                ids: list[int] = []
-                for w in words(text):
-                    if (x := made.get(w)) is None:
-                        c = known.get(w)
-                        # without a row in the table: a word too long for it, or rows dealt to another task since
-                        x = ids_of(w, (merge if m.merges else viterbi)(w, m) if c is None else [i for i in range(1, len(w) + 1) if c >> i & 1], m)
-                        if len(made) > _FLUSH:
-                            made.clear()
-                        made[w] = x
-                    ids += x
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=schema.names)
+        chunks = None
+        for b in slices(batches):
+            if chunks is None:
+                chunks = _Chunks(_Words(shared.value, *_load(path, TaskContext.get().partitionId())))
+            texts = b.column(at)
+            values, ends = _encode(texts, chunks)
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(texts.is_null().to_numpy(zero_copy_only=False)))
+            same = []
+            if restored_col and not chunks.words.lossy:
+                same = [pc.fill_null(pc.invert(pc.match_substring(texts, SPACE)), True)]  # the sign itself reads as a space
+            elif restored_col:
+                same = [pa.array([t is None or chunks.words.back.text(values[a:z]) == t for t, a, z in zip(texts.to_pylist(), ends, ends[1:], strict=False)])]
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, *same], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids_col`` in ``text_col``; null for null ids. Of encode()'s ids this is the text, U+2581 read as a space."""
-    shared, at = rows.sparkSession.sparkContext.broadcast(Model(model_file)), rows.columns.index(ids_col)
+    shared = rows.sparkSession.sparkContext.broadcast(Model(model_file))
     rows = rows.drop(text_col) if text_col in rows.columns else rows
     at = rows.columns.index(ids_col)
     schema = T.StructType([*rows.schema]).add(text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = Decoder(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decode_ids(x.as_py(), shared.value) for x in b.column(at)], pa.string())], names=schema.names)
+            x = b.column(at)
+            texts = [back.text(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else None for v in x]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -50,7 +50,7 @@ def test_segment_equals_the_heap(spark, model):
     """The relational lattice and its fold give the cuts that merging neighbours does."""
     r = random.Random(2)
     ws = sorted({"▁" * r.randrange(3) + "".join(r.choices("etaoinshrdlucmf", k=r.randrange(1, 30))) for _ in range(400)} | {"a", "▁", "é", "\u4e2d\u6587", "z" * 60})
-    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w,) for w in ws], "word string"), model).collect()}
+    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w, [3, 0]) for w in ws], "word string, blocks array<int>"), model).where("array_sort(blocks) = array(-4L, -1L)").collect()}
     assert set(got) == set(ws)
     for w in ws:
         assert [i for i in range(1, len(w) + 1) if got[w] >> i & 1] == spm.merge(w, model), w
@@ -63,7 +63,7 @@ def test_viterbi_fold_equals_the_loop(spark, model):
     uni.merges = False
     r = random.Random(3)
     ws = sorted({"".join(r.choices("etaoinshrd", k=r.randrange(1, 12))) for _ in range(60)})
-    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w,) for w in ws], "word string"), uni).collect()}
+    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w, [1]) for w in ws], "word string, blocks array<int>"), uni).collect()}
     low = min(uni.score.values()) - 10
     total = lambda w, cuts: sum(uni.score.get(w[a:z], low) for a, z in zip([0, *cuts], cuts))
     for w in ws:
