@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, fingerprints alike in 0.8 of their bits."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8, told by 256-bit fingerprints."""
     return simhash.keep_one(docs).select(COLUMNS)
 
 
@@ -34,8 +34,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and whether they decode to it."""
-    back = spm.decode(spm.encode(docs, SPM_MODEL), SPM_MODEL)
-    return back.select("doc_id", "lang", "source", "n_chars", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("text").eqNullSafe(F.col("decoded")).alias("restored"))
+    out = spm.encode(docs, SPM_MODEL, restored_col="restored")
+    return out.select("doc_id", "lang", "source", "n_chars", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "restored")
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", decontaminate), ("private", private), ("tokens", tokens)]
