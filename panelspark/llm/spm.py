@@ -37,7 +37,7 @@ LONGEST = 60  # letters of a word whose cuts fit one long; longer words are segm
 _LATIN = "A-Za-zÀ-ɏ"
 _WORD = re.compile(rf"{SPACE}*[{_LATIN}]+|{SPACE}*[^{SPACE}{_LATIN}]+|{SPACE}+")
 _CROSS = re.compile(rf"[{_LATIN}][^{SPACE}{_LATIN}]|[^{SPACE}{_LATIN}][{_LATIN}]|[^{SPACE}]{SPACE}")
-_FLUSH = 400_000  # chunks a task keeps the ids of
+_FLUSH = 300_000  # chunks a task keeps the ids of
 _TELL = 1_000_000  # words and chunks a task gathers before it tells them
 
 
@@ -257,9 +257,20 @@ def _ids(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     back = Decoder(m)
     for b in batches:
         ws = b.column(0).to_pylist()
-        ids = [ids_of(w, [i for i in range(1, len(w) + 1) if c >> i & 1], m) for w, c in zip(ws, b.column(2).to_pylist(), strict=True)]
-        lossy = [not back.gives(w, x) for w, x in zip(ws, ids, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, m.width).tobytes() for x in ids], pa.binary()), pa.array(lossy)], names=["word", "blocks", "ids", "lossy"])
+        flat: list[int] = []
+        ends = [0]
+        for w, c in zip(ws, b.column(2).to_pylist(), strict=True):
+            n = len(w)
+            if c == 1 << n | 1 and (i := m.pieces.get(w)) is not None:
+                flat.append(i)
+            else:
+                flat += ids_of(w, [i for i in range(1, n + 1) if c >> i & 1], m)
+            ends.append(len(flat))
+        told = pa.Array.from_buffers(pa.binary(), len(ws), [None, pa.py_buffer(np.array(ends, np.int32) * m.width.itemsize), pa.py_buffer(np.array(flat, m.width).tobytes())])
+        lossy = np.zeros(len(ws), bool)
+        if not back.gives("".join(ws), flat):  # all at once; one by one only if that fails
+            lossy[:] = [not back.gives(w, flat[a:z]) for w, a, z in zip(ws, ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), told, pa.array(lossy)], names=["word", "blocks", "ids", "lossy"])
 
 
 class _Words(dict):
@@ -362,7 +373,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = None
-        for b in slices(batches):
+        for b in slices(batches, 2048):
             if chunks is None:
                 chunks = _Chunks(_Words(shared.value, *_load(path, TaskContext.get().partitionId())))
             texts = b.column(at)
