@@ -95,7 +95,7 @@ def matcher_pattern(**accepted: Column) -> Column:
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.5, rounds: int = 600, l2: float = 1.0, most: int = 200_000) -> list[float]:
-    """Weights, intercept last, of an L2-penalised logistic regression.
+    """Weights, intercept last, of an L2-penalised logistic regression; zeros without rows.
 
     Equal feature rows are counted first. Up to ``most`` distinct patterns are fitted on the driver by full
     gradients; beyond that MLlib fits the same objective where the rows are.
@@ -110,6 +110,8 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str, rate: float
         n = counted.agg(F.sum("n")).first()[0]
         fit = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(data)
         return [*map(float, fit.coefficients), float(fit.intercept)]
+    if not rows:
+        return [0.0] * (len(features) + 1)
     x = np.array([[*(float(r[f]) for f in features), 1.0] for r in rows])
     y, n = np.array([float(r[label]) for r in rows]), np.array([float(r["n"]) for r in rows])
     w, penal = np.zeros(x.shape[1]), np.r_[np.ones(len(features)), 0.0]
