@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8, told by 256-bit fingerprints."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8, checked exactly on candidates by 256-bit fingerprints."""
     return simhash.keep_one(docs).select(COLUMNS)
 
 

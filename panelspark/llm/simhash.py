@@ -12,12 +12,15 @@ Each shard is a BK-tree: a child hangs on the edge numbered with its Hamming dis
 at distance d follows edges d - radius to d + radius only. A shard of more than ``cap`` nodes is cut into trees of
 about ``cap``, each sent only to the tasks that hold queries of its shard. A search ends once every group of
 the tree is met, and only links that join two groups are kept: at most one for each node and tree.
+
+``keep_one`` takes the radius as a search for candidates only: its nodes are sets of shingles, and one is linked only
+if the exact Jaccard similarity of both sets is high enough, which is checked in the tree, before groups are joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm.batches import slices
 from panelspark.operators.components import connected_components
 from panelspark.plans.shared import cut
 
@@ -125,8 +129,8 @@ class BKTree:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def near(self, q: int) -> list[int]:
-        """A node of each group that has one within the radius of ``q``."""
+    def near(self, q: int, like: Callable[[int], bool] | None = None) -> list[int]:
+        """A node of each group that has one within the radius of ``q``, and that passes ``like``."""
         if not self.values:
             return []
         met: dict[int, int] = {}
@@ -134,8 +138,8 @@ class BKTree:
         while todo:
             i = todo.pop()
             d = (self.values[i] ^ q).bit_count()
-            if d <= r:
-                met.setdefault(self.find(i), i)
+            if d <= r and (g := self.find(i)) not in met and (like is None or like(i)):
+                met[g] = i
                 if len(met) == self.groups:
                     break
             for e, c in self.children[i].items():
@@ -145,7 +149,13 @@ class BKTree:
 
     def add(self, q: int) -> list[int]:
         """Put ``q`` in; the values it is linked with, one a group, which become one group."""
-        hits, new = self.near(q), len(self.values)
+        hits = self.near(q)
+        self.put(q, hits)
+        return [self.values[h] for h in hits]
+
+    def put(self, q: int, hits: list[int]) -> None:
+        """Put ``q`` in, in one group with ``hits``."""
+        new = len(self.values)
         self.values.append(q)
         self.children.append({})
         self.up.append(new)
@@ -161,15 +171,18 @@ class BKTree:
                     self.children[i][d] = new
                     break
                 i = c
-        return [self.values[h] for h in hits]
 
     def meet(self, q: int) -> list[int]:
         """As add(), but ``q`` stays outside; the groups it is linked with become one."""
         hits = self.near(q)
+        self.merge(hits)
+        return [self.values[h] for h in hits]
+
+    def merge(self, hits: list[int]) -> None:
+        """Make one group of those of ``hits``."""
         for h in hits[1:]:
             self.up[self.find(h)] = self.find(hits[0])
             self.groups -= 1
-        return [self.values[h] for h in hits]
 
 
 def _search(radius: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +202,54 @@ def _search(radius: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterat
             out = []
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted distinct values, have at least this Jaccard similarity; two empty ones are equal."""
+    n, m = len(a), len(b)
+    if min(n, m) < similarity * max(n, m) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (n + m - both) - 1e-9
+
+
+def _search_sets(radius: int, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _search(), over rows (key, lo, hi, side, node, fp, shingles); links are of nodes whose sets are similar."""
+    last, tree, nodes, sets = None, BKTree(radius), [], []
+    for b in batches:
+        out = []
+        *told, shingles = b.columns
+        for k, a, z, s, node, f, h in zip(*(c.to_pylist() for c in told), shingles, strict=True):
+            if (now := (k, a, z)) != last:
+                last, tree, nodes, sets = now, BKTree(radius), [], []
+            mine, q = np.frombuffer(h.as_py(), np.uint64), int.from_bytes(f, "big")
+            hits = tree.near(q, lambda i, mine=mine, sets=sets: similar(sets[i], mine, similarity))
+            if s:
+                tree.merge(hits)
+            if s or a == z:
+                out += [(nodes[i], node) for i in hits]
+            if not s:
+                tree.put(q, hits)
+                nodes.append(node)
+                sets.append(mine)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in range(2)], names=["src", "dst"])
+
+
+def _deal(keyed: DataFrame, by: str, cap: int) -> DataFrame:
+    """Rows of ``keyed``, which has the count of each key, once for each tree and pair of trees of their shard."""
+    rest = [c for c in keyed.columns if c not in ("key", "count")]
+    dealt = (
+        keyed.withColumn("c", F.ceil(F.col("count") / cap).cast("int"))
+        .withColumn("i", F.pmod(F.xxhash64(by), F.col("c")).cast("int"))
+        .select("key", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"), *rest)
+        .select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).cast("int").alias("side"), *rest)
+    )
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side")
+
+
 def links(keyed: DataFrame, radius: int, cap: int = 2048, bits: int = 64) -> DataFrame:
     """(src, dst): links that join all nodes within the radius. keyed: distinct (key, fp)."""
     sizes = keyed.groupBy("key").count().where("count > 1")
-    c = F.ceil(F.col("count") / cap).cast("int")
-    i = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
-    dealt = (
-        keyed.join(sizes, "key")
-        .withColumn("c", c)
-        .withColumn("i", i)
-        .select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
-        .select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).cast("int").alias("side"), "fp")
-    )
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(partial(_search, radius, bits), "src long, dst long" if bits == 64 else "src binary, dst binary")
+    return _deal(keyed.join(sizes, "key"), "fp", cap).mapInArrow(partial(_search, radius, bits), "src long, dst long" if bits == 64 else "src binary, dst binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, keys: str = "pieces", bands: int = 8, rows: int = 3, cap: int = 2048, bits: int = 64) -> DataFrame:
@@ -235,14 +283,66 @@ def radius_of(similarity: float, bits: int, slack: float = 1.25) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
+    """(id, node, keys) for each row: a 128-bit digest of the text's set of shingles, and its bands."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("node binary, keys array<long>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = _salts(bands * rows)
+        for b in batches:
+            nodes, keys = [], []
+            for t in b.column(1):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                nodes.append(xxhash.xxh128_digest(h.tobytes()))
+                keys.append(band_keys(h, bands, rows, salts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def _contents(words: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp, shingles) of the rows (node, text) whose text has that node: rows of one id may differ."""
+    for whole in batches:
+        for b in slices([whole], 256):
+            out = []
+            for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                if xxhash.xxh128_digest(h.tobytes()) == n:
+                    out.append((n, fingerprint(h, bits).to_bytes(bits // 8, "big"), h.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in range(3)], names=["node", "fp", "shingles"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 12, rows: int = 3, slack: float = 4.0, cap: int = 2048) -> DataFrame:
+    """(id_col, component_id) for each row with an id: the smallest id reachable by pairs of at least this Jaccard similarity.
+
+    Texts of equal sets of shingles are one node. Candidates share a band of minimum hashes and lie within a radius of ``slack``
+    standard deviations; of a pair at 0.8 exactly 0.03 % share no band, and fewer lie outside. Each is then
+    judged by both sets, which are made again from the texts of nodes that share a band, and only for these.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    base = cut(shingle_sets(named, id_col, text_col, words, bands, rows))
+    keyed = base.select("node", F.explode("keys").alias("key")).distinct()
+    met = cut(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key"))
+    first = base.groupBy("node").agg(F.min("id").alias("first"))
+    wanted = first.join(met.select("node").distinct(), "node").select("node", F.col("first").alias("__id"))
+    texts = named.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(wanted, "__id").select("node", "__text")
+    contents = texts.mapInArrow(partial(_contents, words, bits), "node binary, fp binary, shingles binary").dropDuplicates(["node"])
+    dealt = _deal(met.join(contents, "node"), "node", cap).select("key", "lo", "hi", "side", "node", "fp", "shingles")
+    group = connected_components(dealt.mapInArrow(partial(_search_sets, radius_of(similarity, bits, slack), similarity), "src binary, dst binary")).withColumnRenamed("node", "__node")
+    linked = first.join(group, F.col("node") == F.col("__node")).select("node", "component", "first")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    known = first.join(linked.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+    return base.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, **more) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that with the smallest id.
 
-    Texts are linked if their fingerprints are as near as five-word shingles of a similarity of 0.8 make them; 256
-    bits tell that twice as sharply as 64. All columns stay as they are. Rows that repeat an id are one document, of
-    which one row stays. Rows without an id can't be named by a link: one of each text stays.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; fingerprints and bands only
+    find the candidates. All columns stay as they are. Rows that repeat an id are one document, of
+    which one row stays. Rows without an id can't be named by a link and make none: one of each text stays.
     """
-    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius_of(similarity, bits), keys="bands", bits=bits, **more)
+    found = similar_documents(docs, id_col, text_col, words=words, similarity=similarity, bits=bits, **more)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
     stay = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))

@@ -131,3 +131,29 @@ def test_radius_follows_similarity():
         near += (x ^ y).bit_count() <= simhash.radius_of(0.8, 256)
         far += (x ^ z).bit_count() <= simhash.radius_of(0.8, 256)
     assert near >= 58 and far <= 1
+
+
+def test_keep_one_checks_the_similarity(spark):
+    """Pairs about 0.8, many of them a radius alone gets wrong, in shards of one tree and of several."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=7)) for _ in range(5000)]
+    rows = []
+    for i in range(60):
+        a = r.choices(words, k=300)
+        b, c = list(a), list(a)
+        for j in range(1 + i % 11):
+            b[17 * j + r.randrange(5)] = "changed"
+        for j in range(40):
+            c[7 * j] = "other"
+        rows += [(3 * i + k, " ".join(t)) for k, t in enumerate((a, b, c))]
+    rows.append((500, " ".join(["same words go round and round"] * 50 + r.choices(words, k=20))))
+    rows.append((501, " ".join(["same words go round and round"] * 50 + r.choices(words, k=20))))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    from tests_brute import components
+
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = set(components(edges, list(sets)).values())
+    assert 20 < len(edges) < 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cap in (2048, 1):
+        assert {x.doc_id for x in simhash.keep_one(df, cap=cap).collect()} == want
