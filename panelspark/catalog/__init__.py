@@ -34,4 +34,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register."""
-    from panelspark.catalog import aggregates, linkage, panels, scalars, studies, surveys  # noqa: F401
+    from panelspark.catalog import aggregates, linkage, panels, scalars, studies, surveys, whole  # noqa: F401

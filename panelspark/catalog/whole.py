@@ -1,0 +1,113 @@
+"""Whole-table forms of the queries that elsewhere run over id subsets, folded ids or prefixes, where that suits their SQL.
+
+The SQL is that of the narrow query with the subset, the fold or the prefix taken out. Cycles, components, shared observations
+and mark-up have none: tests/test_whole.py holds them against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelspark.catalog import ORACLES, Tables, linkage, query, scalars, studies, surveys  # noqa: F401
+from panelspark.functions import text
+from panelspark.operators import kin, ledger
+from panelspark.operators import linkage as link
+
+#: Every order is an edge from its customer to a customer.
+EDGES = "SELECT o_orderkey AS edge_id, o_custkey AS ego, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS alter, o_orderpriority AS relation, (CAST(substr(o_orderpriority, 1, 1) AS INT) - 3) AS delta, o_orderstatus AS lineage, o_totalprice AS price FROM orders"
+
+
+def _edges(t: Tables) -> DataFrame:
+    o = t.orders.crossJoin(F.broadcast(t.customer.agg(F.count("*").alias("persons"))))  # one row
+    return o.select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("ego"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("persons")).alias("alter"), F.col("o_orderpriority").alias("relation"), (F.substring("o_orderpriority", 1, 1).cast("int") - 3).alias("delta"), F.col("o_orderstatus").alias("lineage"), F.col("o_totalprice").alias("price"))
+
+
+def _sql(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a narrow query with each text replaced, which must be there."""
+    out = ORACLES[name]
+    for old, new in changes or ((linkage.EDGES, EDGES),):
+        if old not in out:
+            raise ValueError(f"{name}: {old}")
+        out = out.replace(old, new)
+    return out
+
+
+@query(_sql("edge_duplicates"))
+def edge_duplicates_whole(t: Tables) -> DataFrame:
+    return kin.duplicate_edges(_edges(t), ["ego", "alter", "relation"], "edge_id").select("edge_id")
+
+
+@query(_sql("single_valued_conflict"))
+def single_valued_conflict_whole(t: Tables) -> DataFrame:
+    return kin.single_valued_conflicts(_edges(t), "ego", "relation", "alter", ["1-URGENT", "2-HIGH"])
+
+
+@query(_sql("generation_paradox"))
+def generation_paradox_whole(t: Tables) -> DataFrame:
+    return kin.generation_paradoxes(_edges(t), "ego", "alter", "delta").select("edge_id")
+
+
+@query(_sql("kin_chronology"))
+def kin_chronology_whole(t: Tables) -> DataFrame:
+    return kin.chronology(_edges(t), "delta", "ego", "alter").select("edge_id")
+
+
+@query()
+def cycle_detect_whole(t: Tables) -> DataFrame:
+    c = kin.cycles(_edges(t), "ego", "alter", 3)
+    return c.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
+
+
+@query(_sql("kin_indicators", (linkage.EDGES, EDGES), ("n_nationkey", "c_custkey"), ("FROM nation", "FROM customer")))
+def kin_indicators_whole(t: Tables) -> DataFrame:
+    return kin.kin_indicators(t.customer.select(F.col("c_custkey").alias("person")), "person", _edges(t), "ego", "edge_id", "lineage", "F", "delta", F.col("price") > 3e5, F.col("relation") == "1-URGENT")
+
+
+@query(_sql("slot_relations"))
+def slot_relations_whole(t: Tables) -> DataFrame:
+    return kin.slot_relations(_edges(t), "ego", "relation", "delta", "edge_id").select("ego", "relation", "alter", "n_candidates")
+
+
+@query(_sql("reachable_persons"))
+def reachable_persons_whole(t: Tables) -> DataFrame:
+    return kin.reachable(t.nation.where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("person")), "person", _edges(t), "ego", "alter")
+
+
+@query()
+def connected_components_whole(t: Tables) -> DataFrame:
+    links = t.lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + (1 << 40)).alias("b")).distinct()  # parts beyond all suppliers
+    return link.canonical_ids(t.supplier, "s_suppkey", links, "a", "b")
+
+
+@query()
+def coobservations_whole(t: Tables) -> DataFrame:
+    return link.coobservations(t.events.select("user_id", "event_type", F.to_date("ts").alias("day")), ["day", "event_type"], "user_id", "day")
+
+
+@query(_sql("documented_indicator", (" WHERE o_orderkey % 6 = 0", "")))
+def documented_indicator_whole(t: Tables) -> DataFrame:
+    s = F.when(F.col("o_orderstatus") == "F", "positive").when(F.col("o_orderstatus") == "O", "explicit_negative").when(F.col("o_orderkey") % 2 == 0, "unknown").otherwise("conflict")
+    return ledger.primary_indicators(t.orders.select(F.col("o_custkey").alias("entity"), F.lit("office").alias("attribute"), s.alias("state")), "entity", "attribute", "state", ["office"])
+
+
+@query(_sql("explicit_link_conflicts", (" WHERE l_id % 2 = 0", "")))
+def explicit_link_conflicts_whole(t: Tables) -> DataFrame:
+    p = link.self_pairs(t.supplier, "s_nationkey", "s_suppkey").select("l_id", "r_id")
+    return p.select("l_id", "r_id", F.when(F.col("l_id") % 5 == F.col("r_id") % 5, "agrees").otherwise("contradicts").alias("explicit"))
+
+
+@query(ORACLES["wiki_links"].replace("substr(text, 1, 40)", "text").partition(" WHERE NOT ")[0])
+def wiki_links_whole(t: Tables) -> DataFrame:
+    raw = F.concat(F.lit("{{cite}}[[link|"), "text", F.lit("]]<br>''x''"))
+    return t.documents.select("doc_id", F.regexp_replace(F.regexp_replace(raw, r"\{\{[^{}]*\}\}", ""), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1").alias("half_"))
+
+
+@query()
+def wiki_markup_whole(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.strip_wiki(F.concat(F.lit("{{cite}}[[link|"), "text", F.lit("]]"))).alias("plain"))
+
+
+@query(_sql("normalize_title", ("substr(text, 1, 200)", "text")))
+def normalize_title_whole(t: Tables) -> DataFrame:
+    return t.documents.where("lang = 'en'").select("doc_id", text.normalize_title("text").alias("title"))
