@@ -29,16 +29,17 @@ _SENTENCE = re.compile(r"[^.!?…]*[.!?…]+[\"')\]»”]*\s*|[^.!?…]+")
 def units(text: str, least: int, sentence: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, stop, digest) of each line of ``least`` words or more, and of sentences of ``sentence`` or more in lines of several.
 
-    A line's stop is after its line feed, a sentence's after the white space that follows it in the line.
+    A line of one such sentence has the sentence's digest, so that both meet. A line's stop is after its line feed, a sentence's after the white space that follows it in the line.
     """
     at = 0
     for line in text.split("\n"):
         words = line.lower().split()
-        if len(words) >= least:
-            yield at, min(at + len(line) + 1, len(text)), xxhash.xxh128_digest(b"l" + " ".join(words).encode("utf-8", "replace"))
-        if len(words) > sentence:
-            found = list(_SENTENCE.finditer(line))
-            for m in found if len(found) > 1 else ():
+        found = list(_SENTENCE.finditer(line)) if len(words) >= sentence else []
+        if words and (len(words) >= least or len(found) == 1):
+            kind = b"s" if len(found) == 1 else b"l"
+            yield at, min(at + len(line) + 1, len(text)), xxhash.xxh128_digest(kind + " ".join(words).encode("utf-8", "replace"))
+        if len(found) > 1:
+            for m in found:
                 words = m[0].lower().split()
                 if len(words) >= sentence:
                     yield at + m.start(), at + m.end(), xxhash.xxh128_digest(b"s" + " ".join(words).encode("utf-8", "replace"))
@@ -91,7 +92,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     removed: the places (start, stop) taken out, in characters of the original text; text: what is left, with
     everything between kept as it was. Of equal lines of ``least`` words or more, and of equal sentences of
-    ``sentence`` or more, the one of the smallest id, and in it the first, stays; shorter ones are left alone.
+    ``sentence`` or more, the one of the smallest id, and in it the first, stays; shorter ones are left alone (with a
+    ``least`` of 1 no line is too short). A line of one sentence is that sentence, wherever else it stands.
     Rows that share an id are judged as one and have the same places removed; with equal texts they stay copies. A
     null text stays null; rows with a null id are left alone. Other columns are not read.
     """

@@ -59,7 +59,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return linededup.remove_repeats(_table(spark, sf_dir, "documents"), least=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_neardup, op2_pii_surrogates, op3_warc_round_trip, op4_sentencepiece, op5_template_decontamination, op6_language_id, op7_url_filter, op8_embedding_neardup, op9_license_scan, op10_line_dedup)}

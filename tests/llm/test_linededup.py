@@ -70,3 +70,43 @@ def test_a_passage_within_lines(spark):
     rows = [(1, f"Start of the first. {p} And its end here."), (2, f"Quite another start. {p} Other end.\nA line."), (3, f"x y z. {p}")]
     got = run(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == brute(rows) and got[0][1] == rows[0][1] and got[1][1] == "Quite another start. Other end.\nA line." and got[2][1] == "x y z. "
+
+
+def test_short_lines_and_lines_without_spaces(spark, tmp_path):
+    from panelspark.llm.queries import QUERIES
+
+    rows = [(1, "Share\nfirst of all\n\n这是一个没有空格的句子\nend"), (2, "share\nother\n\n这是一个没有空格的句子\nEND"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("other\n\n", 3), 3: (None, 0)}
+
+
+def test_a_line_of_one_sentence_meets_it_in_a_longer_line(spark):
+    p = "This is a sentence of nine words in all."
+    rows = [(1, f"A start. {p} An end."), (2, f"x\n{p}\ny"), (3, f"Another start. {p} Another end.")]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [t for _, t, _ in got] == [rows[0][1], "x\ny", "Another start. Another end."]
+
+
+def test_query_equals_brute_force_over_all_lines(spark, data, monkeypatch):
+    """The rule of the query, which takes lines of any length; units() above has a minimum of four words."""
+    import sys
+
+    from panelspark.llm.queries import QUERIES
+
+    narrow = units
+
+    def every(t):
+        at = 0
+        for line in t.split("\n"):
+            parts = re.findall(r"[^.!?…]*[.!?…]+[\"')\]»”]*\s*|[^.!?…]+", line)
+            one = len(parts) == 1 and len(line.split()) >= 8
+            if line.split():
+                yield "sentence" if one else "line", " ".join(line.lower().split()), at, min(at + len(line) + 1, len(t))
+            at += len(line) + 1
+        yield from (u for u in narrow(t) if u[0] == "sentence")
+
+    monkeypatch.setattr(sys.modules[__name__], "units", every)
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in QUERIES["op10_line_dedup"](spark, data).collect()), key=repr)
+    assert got == brute(rows)
