@@ -85,6 +85,17 @@ def template(text: str | None, cache: dict) -> tuple[np.ndarray, list[Token]]:
     return np.fromiter((t[0] for t in out), np.uint64, len(out)), out
 
 
+def _values_run(tokens: list[Token]) -> list[str]:
+    """The longest run of words, names and numbers, with their values, that stand as they are in an exact copy; numbers with units may be joined to them."""
+    best: list[str] = []
+    run: list[str] = []
+    for i, (_, k, v) in enumerate(tokens):
+        joined = k == UNIT or k == NUMBER and (i + 1 == len(tokens) or tokens[i + 1][1] == UNIT)
+        run = [] if joined else [*run, v]
+        best = run if len(run) > len(best) else best
+    return best
+
+
 class Templates:
     """Hashes of whole texts by gathers over a bounded table of the words seen; equal to template(), which it leaves the rest to."""
 
@@ -207,14 +218,15 @@ def _longest_run(tokens: list[Token]) -> list[str]:
     return best
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: object = None, own: int = 0, literal: int = 4) -> DataFrame:
+def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: object = None, own: int = 0, literal: int = 4, exact: object = None) -> DataFrame:
     """(id, size, at, h, slots) of the template windows of whole texts.
 
-    With ``own``, a text of fewer tokens has one window of all of them (the benchmark's side), and windows
-    with fewer than ``literal`` words that aren't placeholders are left out; their longest run of literal words is told.
-    With ``wanted``, hashes and anchors, only those hashes are kept.
+    With ``own``, a text of fewer tokens has one window of all of them (the benchmark's side), and each window's number of
+    words that aren't placeholders is told, and its longest runs of literal words and of all values; strong: it has
+    ``literal`` words or more. With ``wanted``, hashes and anchors, only those hashes are kept, and of those
+    in ``exact`` only the values it has for them.
     """
-    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), *T.StructType.fromDDL("size int, at int, h long, slots array<string>" + ", run array<string>" * bool(own))])
+    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), *T.StructType.fromDDL("size int, at int, h long, slots array<string>" + ", strong boolean, words int, run array<string>, run_values array<string>" * bool(own))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast = Templates()
@@ -225,14 +237,15 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wante
                 if wanted is not None and not wanted.value[1].may_hold(text):
                     continue
                 h = fast.hashes(text)
-                for size in [min(own, len(h))] if own else sizes:
+                for size in ([min(own, len(h))] if len(h) else []) if own else sizes:
                     w = window_hashes(h, size)
                     for at in (range(len(w)) if wanted is None else wanted.value[0].places(w).tolist()):
                         tokens = template(text, fast.cache)[1] if tokens is None else tokens
                         part = tokens[at : at + size]
-                        if not own or sum(not k for _, k, _ in part) >= literal:
-                            out.append((i.as_py(), size, at, int(w[at : at + 1].view(np.int64)[0]), _slots(part), *([_longest_run(part)] if own else [])))
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string())] * (1 + bool(own)))
+                        key, slots, n = int(w[at : at + 1].view(np.int64)[0]), _slots(part), sum(not k for _, k, _ in part)
+                        if exact is None or (known := exact.value.get(key)) is None or tuple(slots) in known:
+                            out.append((i.as_py(), size, at, key, slots, *([n >= literal, n, _longest_run(part), _values_run(part)] if own else [])))
+            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string()), *[pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())] * bool(own)])
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=schema.names)
 
     return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -241,24 +254,41 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wante
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 8, small: int = 500_000) -> DataFrame:
     """(id, items, n_windows) of the documents with an agreeing alignment; items: sorted ids.
 
-    An item of fewer than ``size`` tokens is one window; windows with fewer than four words besides placeholders
-    are not looked for. Rows without an id are not looked at. The benchmark's hashes are sent to all
-    tasks if there are at most ``small``; beyond that all windows are joined.
+    An item of fewer than ``size`` tokens is one window. Windows with fewer than four words besides placeholders count as
+    exact copies, with the item's own values; if an item has no others, they also count with other values when they
+    agree over the whole item, which must have a word. Rows without an id are not looked at. The benchmark's
+    hashes are sent to all tasks if there are at most ``small``; beyond that all windows are joined.
     """
     items = cut(windows(benchmark, item_col, item_text, [], own=size).withColumnRenamed("id", "item").withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"))
+    whole = items.groupBy("item").agg((~F.bool_or("strong") & (F.max("words") > 0)).alias("whole"), F.count_distinct("item_at").alias("item_n"))
+    items = cut(items.join(whole, "item"))
     sizes = sorted(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())  # at most ``size`` numbers
-    wanted = None
-    keys = items.select("h", "run").distinct()
-    items = items.drop("run")
+    wanted = exact = None
+    free = F.col("strong") | F.col("whole")
+    keys = items.select("h", free.alias("free"), F.when(free & (F.size("run") > 0), F.col("run")).otherwise(F.col("run_values")).alias("run"), F.when(~free, F.col("item_slots")).alias("slots")).distinct()
+    items = items.drop("run", "run_values", "words")
     if keys.limit(small + 1).count() <= small:
         rows = keys.collect()
-        wanted = docs.sparkSession.sparkContext.broadcast((Wanted(np.array([r.h for r in rows], np.int64).view(np.uint64)), Anchors([r.run for r in rows])))
+        values: dict[int, set] = {}
+        for r in rows:
+            if not r.free:
+                values.setdefault(r.h, set()).add(tuple(r.slots))
+        for r in rows:
+            if r.free:
+                values.pop(r.h, None)
+        sc = docs.sparkSession.sparkContext
+        wanted, exact = sc.broadcast((Wanted(np.array([r.h for r in rows], np.int64).view(np.uint64)), Anchors([r.run for r in rows]))), sc.broadcast(values)
         items = F.broadcast(items)
-    hit = windows(docs, id_col, text_col, sizes, wanted).join(items, ["size", "h"])
-    aligned = hit.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("at").alias("n"), F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))).alias("s"))
-    s = F.array_distinct("s")
-    side = lambda k: F.size(F.array_distinct(F.transform(s, lambda x: x[k])))
-    agree = aligned.where((F.size(s) == side("a")) & (F.size(s) == side("b")))
+    same = F.col("slots") == F.col("item_slots")
+    hit = windows(docs, id_col, text_col, sizes, wanted, exact=exact).join(items, ["size", "h"]).where(F.col("strong") | F.col("whole") | same)
+    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    parts = {"strong": F.col("strong"), "exact": F.col("strong") | same, "all": F.lit(True)}
+    told = [x for k, c in parts.items() for x in (F.count_distinct(F.when(c, F.col("at"))).alias(f"n_{k}"), F.array_distinct(F.flatten(F.collect_set(F.when(c, pairs)))).alias(f"s_{k}"))]
+    aligned = hit.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(*told, F.first("whole").alias("whole"), F.first("item_n").alias("item_n"))
+    side = lambda s, k: F.size(F.array_distinct(F.transform(s, lambda x: x[k])))
+    fits = {k: (F.size(f"s_{k}") == side(F.col(f"s_{k}"), "a")) & (F.size(f"s_{k}") == side(F.col(f"s_{k}"), "b")) for k in parts}
+    met = {"strong": F.col("n_strong") > 0, "exact": F.col("n_exact") > F.col("n_strong"), "all": F.col("whole") & (F.col("n_all") == F.col("item_n"))}
+    agree = aligned.withColumn("n", F.greatest(*[F.when(met[k] & fits[k], F.col(f"n_{k}")) for k in parts])).where("n IS NOT NULL")
     return agree.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sum("n").alias("n_windows"))
 
 

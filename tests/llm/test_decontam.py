@@ -105,3 +105,11 @@ def test_anchors_never_hide_a_window():
         else:
             n += not anchors.may_hold(t)
     assert n > 0
+
+
+def test_items_dense_in_placeholders(spark):
+    bench = [(1, "What is 12 + 7?"), (2, "In 3 hours Anna sold 12 kg"), (3, "5 km 7 km"), (4, "He sold 12 kg to Anna, 5 kg to Maria, 9 kg to Peter and then they all went home to the old mill")]
+    docs = [(1, "So: what is 12 + 7? Well."), (2, "Tell me what is 15 + 9 now"), (3, "what is 5 + 5"), (4, "x. In 8 hours Maria sold 5kg of it"), (5, "ran 5km 7km today"), (6, "ran 6 km 8 km today"), (7, "then 12 kg to Anna, 5 kg to Maria, 9 kg"), (8, "then 11 kg to Anna, 6 kg to Maria, 2 kg"), (9, "nothing of the kind")]
+    want = {(1, (1,)), (2, (1,)), (3, ()), (4, (2,)), (5, (3,)), (6, ()), (7, (4,)), (8, ()), (9, ())}
+    for small in (500_000, 0):
+        assert {(i, items) for i, _, items in judge(spark, docs, bench, small=small)} == want
