@@ -36,21 +36,25 @@ GIVEN = {
 _GENDER = {n: g for g, names in GIVEN.items() for n in names}
 _FAMILY = [a + b for a in "Ash Bar Cal Dor Els Far Gar Hol Ing Jen Kel Lor Mer Nor Ost Pel Ros Sel Tor Ull Ver Wal Yar Zel".split() for b in "berg combe den ell ford gard hurst ison kamp ler mann ney ow quist ridge sen ton ville well".split()]
 _U, _L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-_CAP = rf"[{_U}][{_L}]+(?:-[{_U}][{_L}]+)?"
+_ONE = rf"(?:[{_U}]['’])?[{_U}][{_L}]+(?:[{_U}][{_L}]+)*"
+_CAP = rf"{_ONE}(?:-{_ONE})*"
+#: What follows in a name: further capitalised parts, after initials and particles if there are any.
+_MORE = rf"(?: (?:[{_U}]\. )*(?:(?:de|del|della|der|den|dos|das|da|di|du|la|las|los|le|el|al|bin|ibn|van|von|vom|ter|ten|zu|zur|y|e) ){{0,3}}{_CAP})"
 _OTHER = r"[Ͱ-Ͽ]{2,}|[Ѐ-ӿ]{2,}|[԰-֏]{2,}|[一-鿿]{2,4}"
+_OTHER_MORE = r"(?: (?:[Ά-Ϋ][Ͱ-Ͽ]+|[Ѐ-Я][Ѐ-ӿ]+|[Ա-Ֆ][԰-֏]+))"
 
 #: kind, what a text must hold for the pattern to be tried, and the pattern; an earlier kind wins where two meet.
 PATTERNS = [
     ("email", re.compile("@"), re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])")),
-    ("key", re.compile("AKIA|ghp_|sk-"), re.compile(r"\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b")),
-    ("secret", re.compile("(?i)password|passwd|token|secret|api_key|apikey"), re.compile(r"(?i)\b(?:password|passwd|token|secret|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<it>[A-Za-z0-9_+/-]{8,128})")),
+    ("key", re.compile("AKIA|ghp_|sk-"), re.compile(r"\b(?:AKIA[0-9A-Z]{16,}|ghp_[A-Za-z0-9]{36,}|sk-(?:(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{20,}|[A-Za-z0-9]{20,}[A-Za-z0-9_-]*))\b")),
+    ("secret", re.compile("(?i)password|passwd|token|secret|api_key|apikey"), re.compile(r"(?i)\b(?:password|passwd|token|secret|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<it>[A-Za-z0-9_+/-]{8,})")),
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")),
     ("iban", re.compile(r"[A-Z]{2}\d\d"), re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("card", re.compile(r"\d{4}"), re.compile(r"(?<![\w.-])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")),
     ("ssn", re.compile(r"\d{3}-\d"), re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"\d{3}"), re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")),
-    ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|M\.)"), re.compile(rf"\b(?P<title>Mrs|Mr|Miss|Ms|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|M)(?:\.|(?= )) (?P<it>{_CAP}(?: {_CAP})?|(?:{_OTHER})(?: (?:{_OTHER}))?)")),
-    ("name", re.compile("|".join(_GENDER)), re.compile(rf"\b(?P<it>(?:{'|'.join(_GENDER)}) {_CAP})\b")),
+    ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|M\.)"), re.compile(rf"\b(?P<title>Mrs|Mr|Miss|Ms|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|M)(?:\.|(?= )) (?P<it>(?:[{_U}]\. )*{_CAP}{_MORE}*|(?:{_OTHER})(?: (?:{_OTHER}))?{_OTHER_MORE}*)")),
+    ("name", re.compile("|".join(_GENDER)), re.compile(rf"\b(?P<it>(?:{'|'.join(_GENDER)}){_MORE}+)\b")),
 ]
 
 
@@ -138,6 +142,8 @@ _HEX = "0123456789abcdef"
 
 def _recode(s: str, key: bytes, tweak: str, classes: list[str] = _CLASSES) -> str:
     """Letters and digits permuted within all strings of the format; other characters stay."""
+    if len(s) > 1024:  # by pieces: the numbers grow with the length
+        return "".join(_recode(s[i : i + 1024], key, f"{tweak}|{i}", classes) for i in range(0, len(s), 1024))
     kinds = [next((c for c in classes if ch in c), None) for ch in s]
     x, size = 0, 1
     for ch, c in zip(s, kinds, strict=True):
@@ -170,7 +176,7 @@ def _name(canon: str, key: bytes, attempt: int) -> str:
     given = GIVEN.get(gender) or sorted(GIVEN["m"] + GIVEN["f"])
     if len(parts) == 1:
         return gender + "|" + (double("given", given, 1 + more) if parts[0] in _GENDER else double("family", _FAMILY, 1 + more))
-    return f"{gender}|{double('given', given, 1)} {double('family', _FAMILY, 1 + max(more, '-' in parts[-1]))}"
+    return f"{gender}|{' '.join([double('given', given, 1), *(double(f'middle{i}-', given, 1) for i in range(len(parts) - 2))])} {double('family', _FAMILY, 1 + max(more, '-' in parts[-1]))}"
 
 
 #: Small letters to draw from, by the block of a letter; ideographs from the first 3,000.

@@ -82,3 +82,24 @@ def test_query(spark, data):
                 assert src[r.doc_id][e.start : e.stop] not in r.text
         assert pii.rewrite(src[r.doc_id], PII_KEY, {})[0] == r.text or any(e.kind == "name" for e in r.entities)
     assert n > 0
+
+
+def test_entities_are_taken_to_their_end():
+    token = "a1B2c3D4" * 25
+    for text, it in (
+        ("Dr. Anna Maria Lopez came", "Anna Maria Lopez"),
+        ("Mr McDonald came", "McDonald"),
+        ("Mrs. Maria de la Cruz O'Brien-Smith came", "Maria de la Cruz O'Brien-Smith"),
+        ("Prof. John F. Kennedy came", "John F. Kennedy"),
+        ("said Anna van der Berg today", "Anna van der Berg"),
+        ("Dr. Иван Петрович Сидоров пришёл", "Иван Петрович Сидоров"),
+        (f"token={token} end", token),
+        (f"password: {token * 40}", token * 40),
+        (f"use sk-{token} now", f"sk-{token}"),
+        ("use sk-proj-a1B2c3D4e5F6g7H8_i9J0-k1L2 now", "sk-proj-a1B2c3D4e5F6g7H8_i9J0-k1L2"),
+    ):
+        assert [text[a:z] for a, z, _, _ in pii.detect(text)] == [it]
+        new, spans = pii.rewrite(text, KEY, {})
+        assert it not in new and text.split(it)[1] == new[len(new) - len(text.split(it)[1]) :]
+        if spans[0]["kind"] != "name":
+            assert len(new) == len(text)
