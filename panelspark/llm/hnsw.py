@@ -1,17 +1,19 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one a shard.
 
-Equal vectors are one node with a weight. Nodes are dealt to shards of about ``shard`` by a hash; a task builds each
-shard's graph. Then each pair of shards is a task of its own: all nodes of the one query the graph of the other,
-many at a time, so every shard is asked about every node once. A query whose beam is full of links widens it,
-in the end to the whole shard; and a sample of queries is held against the exact answer, which widens the beam of
-all until recall is ``audit`` at least. Cosines are then taken in double precision. A task tells how many links each
-node has there, and only those links that join two groups, so dense groups give no pairs.
+Equal vectors are one node with a weight. Nodes are dealt by a hash to a few shards, whose number follows memory and
+not the table; a task builds each shard's graph. Then each pair of shards is a task of its own: all nodes of the one
+query the graph of the other, many at a time, so every shard is asked about every node once. Before that, sampled
+queries with links are held against the exact answer, which widens the beam until recall is ``audit`` at least. A
+query whose beam is full of links widens it, in the end to the whole shard. Cosines are then taken in double
+precision. A task tells how many links each node has there, and only those links that join two groups, so dense
+groups give no pairs.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.components import connected_components
-from panelspark.plans.shared import cut
+from panelspark.plans.shared import broadcast_if_small, cut, join_hot
 
 SLACK = 1e-4  # of cosines in single precision
 BLOCK = 512
@@ -175,54 +177,168 @@ class Graph:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows or vanishes."""
     v = v.astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
     return v / np.sqrt(np.einsum("nd,nd->n", v, v))[:, None]
 
 
-def find_links(graph: Graph, tree: np.ndarray, query: np.ndarray, least: float, ef: int = 32, audit: float = 0.99, sample: int = 64) -> np.ndarray:
-    """found[q, t]: the cosine of unit vectors query[q] and tree[t] is ``least`` or more, as far as the beams reach."""
-    n, q32 = len(tree), query.astype(np.float32)
-    found = np.zeros((len(query), n), bool)
-    probe = np.unique(np.linspace(0, len(query) - 1, min(sample, len(query))).astype(int))
-    exact = query[probe] @ tree.T >= least
-    todo = np.arange(len(query))
-    while len(todo):
-        if 4 * ef >= n or ef > 8 * graph.m * 2:  # beyond that, opening nodes costs more than meeting the whole shard
-            for i in range(0, len(todo), BLOCK):
-                found[todo[i : i + BLOCK]] = query[todo[i : i + BLOCK]] @ tree.T >= least
-            break
-        ids, sims = graph.search(q32[todo], ef)
-        r, c = np.nonzero((sims >= least - SLACK) & (ids >= 0))
-        a, b = todo[r], ids[r, c]
+def exact_rows(tree: np.ndarray, query: np.ndarray, rows: np.ndarray, least: float, cells: int = 1 << 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, hits) of queries held against the whole tree, a bounded number of cells at a time."""
+    step = max(1, cells // max(1, len(tree)))
+    for i in range(0, len(rows), step):
+        yield rows[i : i + step], query[rows[i : i + step]] @ tree.T >= least
+
+
+class Beams:
+    """Links of queries with a graph's unit vectors ``tree``, by beams whose width an audit has set.
+
+    ``self_search``: the queries are the tree's own nodes, and none is linked with itself.
+    """
+
+    def __init__(self, graph: Graph, tree: np.ndarray, query: np.ndarray, least: float, self_search: bool = False, audit: float = 0.99, ef: int = 32) -> None:
+        self.graph, self.tree, self.query, self.least, self.own = graph, tree, query, least, self_search
+        self.q32, self.widest, self.ef = query.astype(np.float32), 16 * graph.m, ef
+        self._audit(audit)
+
+    def _audit(self, audit: float, enough: int = 100, most: int = 1024) -> None:
+        """Widen the beam until it finds the share ``audit`` of exact links of sampled queries.
+
+        More queries are sampled until ``enough`` links are met; if ``most`` queries have none the beam is doubled, as
+        nothing vouches for it.
+        """
+        order = np.random.default_rng(11).permutation(len(self.query))
+        want: dict[int, np.ndarray] = {}
+        at, size, met = 0, 64, 0
+        while at < len(order) and at < most and met < enough:
+            for rows, hits in exact_rows(self.tree, self.query, np.sort(order[at : at + size]), self.least):
+                for r, h in zip(rows.tolist(), hits, strict=True):
+                    if self.own:
+                        h[r] = False
+                    if h.any():
+                        want[r] = np.flatnonzero(h)
+                        met += len(want[r])
+            at, size = at + size, 2 * size
+        if not want:
+            self.ef *= 1 + (at < len(order))  # all were asked: the tree holds no link
+            return
+        rows = np.array(sorted(want))
+        while self.ef <= self.widest:
+            got, judged = 0, 0
+            r, c, full = self._search(rows, self.ef)
+            found = {i: set() for i in rows.tolist()}
+            for a, b in zip(r.tolist(), c.tolist(), strict=True):
+                found[a].add(b)
+            for i in np.setdiff1d(rows, full).tolist():  # full beams are widened anyway
+                judged += len(want[i])
+                got += len(found[i].intersection(want[i].tolist()))
+            if got >= audit * judged:
+                return
+            self.ef *= 2
+
+    def _search(self, rows: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Verified links (query, node) of the beams, and the queries whose beam is full of links."""
+        ids, sims = self.graph.search(self.q32[rows], ef)
+        full = rows[sims.min(1) >= self.least - SLACK]
+        r, c = np.nonzero((sims >= self.least - SLACK) & (ids >= 0))
+        a, b = rows[r], ids[r, c]
+        keep = np.ones(len(a), bool) if not self.own else a != b
         for i in range(0, len(a), 1 << 16):
-            p, t = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            ok = np.einsum("nd,nd->n", query[p], tree[t]) >= least
-            found[p[ok], t[ok]] = True
-        full = todo[sims.min(1) >= least]
-        want = exact.sum()
-        if want and (found[probe] & exact)[~np.isin(probe, full)].sum() < audit * exact[~np.isin(probe, full)].sum():
-            ef *= 4  # the audit failed: all queries again
-            todo = np.arange(len(query))
-        else:
-            ef *= 4
-            todo = full
-    return found
-
-
-def join_groups(found: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """At most one link for each node: as many as join all that ``found`` links (rows ``a``, columns ``b``)."""
-    shift = 0 if same else len(b)
-    lab = np.arange(len(b) + (0 if same else len(a)))
-    out = []
-    for i in np.flatnonzero(found.any(1)):
-        hits = np.flatnonzero(found[i])
-        roots, at = np.unique(lab[hits], return_index=True)
-        own = lab[i + shift]
-        for j in at[roots != own]:
-            out.append((int(a[i]), int(b[hits[j]])))
-        if len(roots) > 1 or roots[0] != own:
-            lab[np.isin(lab, np.append(roots, own))] = own
-    return out
+            part = slice(i, i + (1 << 16))
+            keep[part] &= np.einsum("nd,nd->n", self.query[a[part]], self.tree[b[part]]) >= self.least
+        return a[keep], b[keep], full
+
+    def links(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, nodes) by parts; a full beam widens fourfold, and those full at the widest are returned."""
+        ef = self.ef
+        while len(rows) and ef <= self.widest:
+            a, b, full = self._search(rows, ef)
+            done = ~np.isin(a, full)
+            yield a[done], b[done]
+            rows, ef = full, 4 * ef
+        return rows
+
+    def whole(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, nodes) by parts, of queries held against the whole shard."""
+        for part, hits in exact_rows(self.tree, self.query, rows, self.least):
+            if self.own:
+                hits[np.arange(len(part)), part] = False
+            r, c = np.nonzero(hits)
+            yield part[r], c
+
+
+class Joiner:
+    """Union-find over places; tells a link for each time that two groups become one."""
+
+    def __init__(self, n: int) -> None:
+        self.up, self.told = np.arange(n), []
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.up[x]
+        while (r != (nxt := self.up[r])).any():
+            r = nxt
+        self.up[x] = r
+        return r
+
+    def add(self, own: int, hits: np.ndarray) -> None:
+        """Link the place ``own`` with the places ``hits``."""
+        mine = int(self.roots(np.array([own]))[0])
+        roots, at = np.unique(self.roots(hits), return_index=True)
+        for r, j in zip(roots.tolist(), at.tolist(), strict=True):
+            if r != mine:
+                self.up[r] = mine
+                self.told.append((own, int(hits[j])))
+
+
+def count_links(beams: Beams, w_tree: np.ndarray, w_query: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Weights linked with each node of the tree and each query, and links (query, node) that join all groups.
+
+    In a search of a tree's own nodes a link counts at both ends whichever found it; there the queries' weights are zero.
+    Queries whose beams stay full come last, block by block against the whole shard. Of their links only those with
+    other nodes are held, which have few, so the links of a dense group are counted and never held.
+    """
+    n, q = len(beams.tree), len(beams.query)
+    n_tree, n_query = np.zeros(n, np.int64), np.zeros(q, np.int64)
+    groups, shift = Joiner(n if beams.own else n + q), 0 if beams.own else n
+    held: list[np.ndarray] = [np.empty(0, np.int64)]  # of a tree's own nodes, as node * n + other
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal n_tree, n_query
+        if not len(a):
+            return
+        order = np.argsort(a, kind="stable")
+        starts = np.flatnonzero(np.diff(a[order], prepend=-1))
+        for s, z in zip(starts, [*starts[1:], len(a)], strict=True):
+            groups.add(int(a[order[s]]) + shift, b[order[s:z]])
+        if not beams.own:
+            n_query += np.bincount(a, w_tree[b], q).astype(np.int64)
+            n_tree += np.bincount(b, w_query[a], n).astype(np.int64)
+
+    rest = []
+    for i in range(0, q, BLOCK):
+        parts = beams.links(np.arange(i, min(q, i + BLOCK)))
+        while True:
+            try:
+                a, b = next(parts)
+            except StopIteration as done:
+                rest.append(done.value)
+                break
+            take(a, b)
+            if beams.own:
+                held += [b.astype(np.int64) * n + a, a.astype(np.int64) * n + b]
+    rows = np.concatenate(rest) if rest else np.empty(0, np.int64)
+    full = np.zeros(q, bool)
+    full[rows] = True
+    for a, b in beams.whole(rows):
+        take(a, b)
+        if beams.own:
+            n_tree += np.bincount(a, w_tree[b], n).astype(np.int64)
+            held.append(b[~full[b]] * n + a[~full[b]])
+    if beams.own:
+        key = np.unique(np.concatenate(held))
+        key = key[~full[key // n]]
+        n_tree += np.bincount(key // n, w_tree[key % n], n).astype(np.int64)
+    return n_tree, n_query, [(a - shift, b) for a, b in groups.told]
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -232,64 +348,60 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 
 def _build(key: tuple, t: pa.Table) -> pa.Table:
-    """(shard, node, weight, v) of a shard to one row (shard, ids and vectors, graph)."""
+    """(dim, shard, node, weight, v) of a shard to one row (dim, shard, ids and vectors, graph)."""
     order = np.argsort(t["node"].to_numpy())
-    v = np.array(t["v"].to_pylist())[order]
+    dim, shard = (k.as_py() for k in key)
+    v = np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in t["v"].chunks]).reshape(-1, dim)[order]
     data = _pack(ids=t["node"].to_numpy()[order], weights=t["weight"].to_numpy()[order], v=v)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary()), "graph": pa.array([_pack(**Graph(unit(v)).dump())], pa.binary())})
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "data": pa.array([data], pa.binary()), "graph": pa.array([_pack(**Graph(unit(v)).dump())], pa.binary())})
+
+
+def _load(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with np.load(io.BytesIO(raw)) as f:
+        return f["ids"], f["weights"], unit(f["v"])
 
 
 def _pair(least: float, audit: float, key: tuple, t: pa.Table) -> pa.Table:
     """The shards ``a`` (with its graph) and ``b``: rows (node, n, other), n for a count and other for a link."""
-    a, b = key[0].as_py(), key[1].as_py()
-    rows = {r["shard"]: r for r in t.to_pylist()}
-    sides = {}
-    for k in {a, b}:
-        with np.load(io.BytesIO(rows[k]["data"])) as f:
-            sides[k] = (f["ids"], f["weights"], unit(f["v"]))
-    with np.load(io.BytesIO(rows[a]["graph"])) as f:
-        graph = Graph.load(sides[a][2], dict(f))
-    found = find_links(graph, sides[a][2], sides[b][2], least, audit=audit)
-    if a == b:
-        found |= found.T
-        np.fill_diagonal(found, False)
-    (ids_a, w_a, _), (ids_b, w_b, _) = sides[a], sides[b]
-    q, t_ = np.nonzero(found)
-    told = [(ids_b, np.bincount(q, w_a[t_], len(ids_b)).astype(np.int64))] + [(ids_a, np.bincount(t_, w_b[q], len(ids_a)).astype(np.int64))] * (a != b)
-    node, n = np.concatenate([x for x, _ in told]), np.concatenate([x for _, x in told])
-    edges = join_groups(found, ids_b, ids_a, a == b)
+    _, a, b = (k.as_py() for k in key)
+    at = {s: i for i, s in enumerate(t["shard"].to_pylist())}
+    ids_a, w_a, tree = _load(t["data"][at[a]].as_py())
+    ids_b, w_b, query = (ids_a, w_a, tree) if a == b else _load(t["data"][at[b]].as_py())
+    with np.load(io.BytesIO(t["graph"][at[a]].as_py())) as f:
+        graph = Graph.load(tree, dict(f))
+    n_a, n_b, edges = count_links(Beams(graph, tree, query, least, a == b, audit), w_a, w_b)
+    node, n = np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b])
     node, n = node[n > 0], n[n > 0]
-    return pa.table({"node": pa.array([*node.tolist(), *(x for x, _ in edges)], pa.int64()), "n": pa.array([*n.tolist(), *[None] * len(edges)], pa.int64()), "other": pa.array([*[None] * len(n), *(y for _, y in edges)], pa.int64())})
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    counts = pa.table({"node": node, "n": n, "other": pa.nulls(len(n), pa.int64())})
+    return pa.concat_tables([counts, pa.table({"node": ids_b[ends[:, 0]], "n": pa.nulls(len(ends), pa.int64()), "other": ids_a[ends[:, 1]]})])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, shard: int = 8192, audit: float = 0.99) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, shards: int = 4, shard_bytes: int = 64 << 20, audit: float = 0.99) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of ``vectors``.
 
     n_links: rows linked directly. component_id: the smallest id reachable by links, the row's own included.
     kept: the id is the component's. Vectors that are null, empty or zero, or hold null or non-finite parts, link with
     nothing, nor do those of different lengths, nor rows without an id (component null, not kept). Rows that
     share an id are rows of their own. Other columns are not read.
+
+    Vectors of a length make ``shards`` shards, fewer below 1,024 vectors each, and more only where one would exceed
+    ``shard_bytes`` (in double precision): each vector is a query to each shard, so cost grows with their number.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     fine = F.col("id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    key = F.when(F.coalesce(fine, F.lit(False)), F.col("v"))
-    nodes = cut(rows.where(key.isNotNull()).groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("weight")).withColumn("dim", F.size("v")))
-    sizes = [(r.dim, math.ceil(r["count"] / shard)) for r in nodes.groupBy("dim").count().orderBy("dim").collect()]  # one row a length
-    first, dealt = 0, None
-    for dim, k in sizes:
-        dealt = F.when(F.col("dim") == dim, F.lit(first) + F.pmod(F.xxhash64("node"), F.lit(k)).cast("int")) if dealt is None else dealt.when(F.col("dim") == dim, F.lit(first) + F.pmod(F.xxhash64("node"), F.lit(k)).cast("int"))
-        first += k
-    if dealt is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    built = cut(nodes.withColumn("shard", dealt.cast("int")).groupBy("shard").applyInArrow(_build, "shard int, data binary, graph binary"))
-    start = {dim: sum(k for _, k in sizes[:i]) for i, (dim, _) in enumerate(sizes)}
-    ranges = F.create_map(*[F.lit(x) for dim, k in sizes for s in range(start[dim], start[dim] + k) for x in (s, start[dim] * 1_000_000 + start[dim] + k)])
-    lo, hi = F.floor(ranges[F.col("shard")] / 1_000_000).cast("int"), F.pmod(ranges[F.col("shard")], F.lit(1_000_000)).cast("int")
-    pairs = built.withColumn("other", F.explode(F.sequence(lo, hi - 1))).select(F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "data", F.when(F.col("shard") <= F.col("other"), F.col("graph")).alias("graph"))
-    n_pairs = sum(k * (k + 1) // 2 for _, k in sizes)
-    told = cut(pairs.repartition(min(2 * n_pairs, 20_000), "a", "b").groupBy("a", "b").applyInArrow(lambda key, t: _pair(least, audit, key, t), "node long, n long, other long"))
+    rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v")))
+    nodes = cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("weight")).withColumn("dim", F.size("v")))
+    wide = F.ceil(F.col("count") * F.col("dim") * 8 / shard_bytes)
+    sizes = cut(nodes.groupBy("dim").count().select("dim", F.greatest(F.least(F.lit(shards), F.ceil(F.col("count") / 1024)), wide).cast("int").alias("k")))
+    n_pairs, n_shards = sizes.agg(F.sum(F.expr("bigint(k) * (k + 1) DIV 2")), F.sum("k")).first()
+    dealt = nodes.join(broadcast_if_small(sizes, 10_000), "dim").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    built = cut(dealt.select("dim", "shard", "node", "weight", "v").repartition(min(2 * (n_shards or 1), 20_000), "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, data binary, graph binary"))
+    pairs = built.join(broadcast_if_small(sizes, 10_000), "dim").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pairs = pairs.select("dim", F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "data", F.when(F.col("shard") <= F.col("other"), F.col("graph")).alias("graph"))
+    told = cut(pairs.repartition(min(4 * (n_pairs or 1), 20_000), "dim", "a", "b").groupBy("dim", "a", "b").applyInArrow(lambda key, t: _pair(least, audit, key, t), "node long, n long, other long"))
     group = connected_components(told.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     counts = told.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
-    known = nodes.join(counts, "node", "left").join(group, "node", "left").select("v", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.withColumn("v", key).join(known, "v", "left")
+    known = nodes.join(counts, "node", "left").join(group, "node", "left").select("v", "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    out = join_hot(rows, known, ["v"], "weight", nodes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept"))

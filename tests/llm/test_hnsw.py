@@ -36,8 +36,8 @@ def test_equals_brute_force(spark):
     vs = clustered(900, 1)
     rows = [(i, v) for i, v in enumerate(vs)] + [(2000, vs[5]), (1999, vs[5]), (2001, [2 * x for x in vs[6]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for shard in (10_000, 200):
-        got = sorted((tuple(r) for r in hnsw.near_vectors(df, shard=shard).collect()), key=repr)
+    for more in ({}, {"shard_bytes": 200 * 16 * 8}):  # one shard, and five
+        got = sorted((tuple(r) for r in hnsw.near_vectors(df, **more).collect()), key=repr)
         want = brute(rows)
         assert sum(a[1] for a in got) >= 0.99 * sum(w[1] for w in want)
         assert sum(a == b for a, b in zip(got, want)) >= 0.98 * len(want)
@@ -55,7 +55,7 @@ def test_dense_groups_give_no_pairs(spark):
     r = np.random.default_rng(3)
     vs = (np.ones(16) + 0.01 * r.normal(size=(600, 16))).astype(np.float32).tolist() + clustered(200, 4)
     df = spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<float>")
-    out = hnsw.near_vectors(df, shard=300).where("vec_id < 600").collect()
+    out = hnsw.near_vectors(df, shard_bytes=300 * 16 * 8).where("vec_id < 600").collect()
     assert all(x.n_links >= 599 and x.component_id == 0 for x in out)
 
 
@@ -65,9 +65,30 @@ def test_recall_of_the_graph():
     ids, _ = g.search(x[:300].astype(np.float32), 64)
     top = np.argsort(-(x[:300] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(top.tolist(), ids.tolist())]) >= 0.9
-    found = hnsw.find_links(g, x, x[:500], 0.9)
-    exact = x[:500] @ x.T >= 0.9
-    assert (found & exact).sum() >= 0.99 * exact.sum() and not (found & ~exact).any()
+    exact = x @ x.T >= 0.9
+    beams = hnsw.Beams(g, x, x[:500], 0.9)
+    ones = np.ones(len(x), np.int64)
+    n_tree, n_query, edges = hnsw.count_links(beams, ones, ones[:500])
+    assert 0.99 * exact[:500].sum() <= n_query.sum() <= exact[:500].sum() and n_tree.sum() == n_query.sum()
+    assert (n_query <= exact[:500].sum(1)).all() and all(exact[a, b] for a, b in edges)
+    own, none, _ = hnsw.count_links(hnsw.Beams(g, x, x, 0.9, True), ones, ones)
+    assert 0.99 * (exact.sum() - len(x)) <= own.sum() <= exact.sum() - len(x) and not none.any()
+
+
+def test_lengths_of_any_size():
+    x = hnsw.unit(np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [5e-324, 0.0]]))
+    assert np.allclose(x[:3], [0.6, 0.8]) and x[3].tolist() == [1, 0]
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    df = spark.createDataFrame([(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [1.0, -1.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in hnsw.near_vectors(df).collect()) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+def test_audit_widens_a_poor_graph():
+    x = hnsw.unit(np.array(clustered(3000, 6, 0.12, 32, 20)))
+    g = hnsw.Graph(x, m=6, wide=8)
+    assert hnsw.Beams(g, x, x, 0.9, True, ef=2).ef > 2
 
 
 def test_query_recall(spark, data):
