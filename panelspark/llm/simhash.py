@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from panelspark.llm.batches import slices
 from panelspark.operators.components import connected_components
-from panelspark.plans.shared import cut
+from panelspark.plans.shared import broadcast_if_small, cut, fresh, join_hot
 
 ALL = (1 << 64) - 1
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -246,10 +246,25 @@ def _deal(keyed: DataFrame, by: str, cap: int) -> DataFrame:
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side")
 
 
-def links(keyed: DataFrame, radius: int, cap: int = 2048, bits: int = 64) -> DataFrame:
-    """(src, dst): links that join all nodes within the radius. keyed: distinct (key, fp)."""
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    return _deal(keyed.join(sizes, "key"), "fp", cap).mapInArrow(partial(_search, radius, bits), "src long, dst long" if bits == 64 else "src binary, dst binary")
+def _meeting(keyed: DataFrame, total: int) -> DataFrame:
+    """``keyed`` (node, key) with the count of each key that more than one of its ``total`` rows have."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1").withColumn("n", F.col("count"))
+    return join_hot(keyed, sizes, ["key"], "n", total)
+
+
+def links(keyed: DataFrame, radius: int, cap: int = 2048, bits: int = 64, total: int | None = None) -> DataFrame:
+    """(src, dst): links that join all nodes within the radius. keyed: distinct (key, fp), ``total`` rows."""
+    met = _meeting(keyed, keyed.count() if total is None else total)
+    return _deal(met, "fp", cap).mapInArrow(partial(_search, radius, bits), "src long, dst long" if bits == 64 else "src binary, dst binary")
+
+
+def _components(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, n, first): of each node of ``first`` (node, n, first) the least ``first`` of its component."""
+    group = connected_components(edges)
+    linked = cut(first.join(group, "node"))
+    least = linked.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("nodes"))
+    best = join_hot(linked.select("node", "component"), least, ["component"], "nodes", linked.count()).select("node", "least")
+    return first.join(best, "node", "left").select("node", "n", F.coalesce("least", "first").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, keys: str = "pieces", bands: int = 8, rows: int = 3, cap: int = 2048, bits: int = 64) -> DataFrame:
@@ -266,12 +281,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         base = cut(fingerprints(docs, id_col, text_col, words, bands, rows, bits))
         keyed = base.select("fp", F.explode("keys").alias("key")).distinct()
-    first = base.groupBy("fp").agg(F.min("id").alias("first"))
-    group = connected_components(links(keyed, radius, cap, bits)).withColumnRenamed("node", "fp")
-    linked = first.join(group, "fp")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    known = first.join(linked.select("fp", "component").join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return base.select("id", "fp").join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), bits // 4, "0")).alias("fingerprint"), "component_id")
+    first = cut(base.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    made, nodes = first.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    per = (radius + 2) * (radius + 1) // 2 if keys == "pieces" else bands
+    known = _components(first, links(keyed, radius, cap, bits, nodes * per)).select(F.col("node").alias("fp"), "n", F.col("first").alias("component_id"))
+    out = join_hot(base.select("id", "fp"), known, ["fp"], "n", made)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), bits // 4, "0")).alias("fingerprint"), "component_id")
 
 
 def radius_of(similarity: float, bits: int, slack: float = 1.25) -> int:
@@ -283,21 +298,21 @@ def radius_of(similarity: float, bits: int, slack: float = 1.25) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, node, keys) for each row: a 128-bit digest of the text's set of shingles, and its bands."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("node binary, keys array<long>")])
+def shingle_sets(rows: DataFrame, words: int, bands: int, per: int) -> DataFrame:
+    """(id, t, node, keys) for each row (id, t, text): a 128-bit digest of the text's set of shingles, and its bands."""
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("t long, node binary, keys array<long>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = _salts(bands * rows)
+        salts = _salts(bands * per)
         for b in batches:
             nodes, keys = [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 nodes.append(xxhash.xxh128_digest(h.tobytes()))
-                keys.append(band_keys(h, bands, rows, salts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+                keys.append(band_keys(h, bands, per, salts))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return rows.select("id", "t", "text").mapInArrow(run, schema)
 
 
 def _contents(words: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,37 +327,60 @@ def _contents(words: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in range(3)], names=["node", "fp", "shingles"])
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 12, rows: int = 3, slack: float = 4.0, cap: int = 2048) -> DataFrame:
-    """(id_col, component_id) for each row with an id: the smallest id reachable by pairs of at least this Jaccard similarity.
+def _text_key(text_col: str) -> F.Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int, bands: int, rows: int, slack: float, cap: int) -> DataFrame:
+    """(id, t, first) for each row: its id, a hash of its text, and those (none, id, t) of the row that leads its group.
 
     Texts of equal sets of shingles are one node. Candidates share a band of minimum hashes and lie within a radius of ``slack``
     standard deviations; of a pair at 0.8 exactly 0.03 % share no band, and fewer lie outside. Each is then
     judged by both sets, which are made again from the texts of nodes that share a band, and only for these.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    base = cut(shingle_sets(named, id_col, text_col, words, bands, rows))
+    texts = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
+    base = cut(shingle_sets(texts, words, bands, rows))
+    first = cut(base.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first"), F.count("*").alias("n")))
+    made, nodes = first.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     keyed = base.select("node", F.explode("keys").alias("key")).distinct()
-    met = cut(keyed.join(keyed.groupBy("key").count().where("count > 1"), "key"))
-    first = base.groupBy("node").agg(F.min("id").alias("first"))
-    wanted = first.join(met.select("node").distinct(), "node").select("node", F.col("first").alias("__id"))
-    texts = named.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(wanted, "__id").select("node", "__text")
-    contents = texts.mapInArrow(partial(_contents, words, bits), "node binary, fp binary, shingles binary").dropDuplicates(["node"])
+    met = cut(_meeting(keyed, nodes * bands))
+    wanted = first.join(met.select("node").distinct(), "node").select("node", F.col("first.id").alias("wanted"), "first.t")
+    found = texts.withColumnRenamed("t", "own").join(wanted, F.col("own").eqNullSafe(F.col("t")) & F.col("id").eqNullSafe(F.col("wanted"))).select("node", "text")
+    contents = found.mapInArrow(partial(_contents, words, bits), "node binary, fp binary, shingles binary").dropDuplicates(["node"])
     dealt = _deal(met.join(contents, "node"), "node", cap).select("key", "lo", "hi", "side", "node", "fp", "shingles")
-    group = connected_components(dealt.mapInArrow(partial(_search_sets, radius_of(similarity, bits, slack), similarity), "src binary, dst binary")).withColumnRenamed("node", "__node")
-    linked = first.join(group, F.col("node") == F.col("__node")).select("node", "component", "first")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    known = first.join(linked.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return base.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "component_id")
+    edges = dealt.mapInArrow(partial(_search_sets, radius_of(similarity, bits, slack), similarity), "src binary, dst binary")
+    return join_hot(base.select("id", "t", "node"), _components(first, edges), ["node"], "n", made).drop("node")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 12, rows: int = 3, slack: float = 4.0, cap: int = 2048) -> DataFrame:
+    """(id_col, component_id) for each row: the smallest id reachable by pairs of at least this Jaccard similarity of shingles.
+
+    Rows that share an id are rows of their own, with links of their own. The component is null if none of it has an id.
+    """
+    found = _groups(docs, id_col, text_col, words, similarity, bits, bands, rows, slack, cap)
+    return found.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, **more) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 12, rows: int = 3, slack: float = 4.0, cap: int = 2048, small: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id, null ids last, then the smallest hash of its text.
 
     Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; fingerprints and bands only
-    find the candidates. All columns stay as they are. Rows that repeat an id are one document, of
-    which one row stays. Rows without an id can't be named by a link and make none: one of each text stays.
+    find the candidates. All columns stay as they are, whatever their names. Rows are judged by id and text, so two texts
+    of one id, or of none, go or stay by their own links. Of rows that agree in both, one stays: that with the smallest hash of
+    all columns but maps. Null and empty texts, and those of white space, have no words and are copies of each other.
     """
-    found = similar_documents(docs, id_col, text_col, words=words, similarity=similarity, bits=bits, **more)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    stay = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    found = cut(_groups(docs, id_col, text_col, words, similarity, bits, bands, rows, slack, cap))
+    leads = F.col("id").eqNullSafe(F.col("first.id")) & F.col("t").eqNullSafe(F.col("first.t"))
+    judged = cut(found.groupBy("id", "t").agg(F.bool_or(leads).alias("leads"), F.count("*").alias("n")).where("NOT leads OR n > 1"))
+    row, text = fresh("row_id", docs), fresh("row_text", docs)
+    named = lambda df: broadcast_if_small(df.select(F.col("id").alias(row), F.col("t").alias(text)), small)
+    mine = lambda df: df[id_col].eqNullSafe(F.col(row)) & (_text_key(f"`{text_col}`") == F.col(text))
+    stay = docs.join(named(judged), mine(docs), "left_anti")
+    twice = judged.where("leads")
+    if twice.isEmpty():
+        return stay
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    again = docs.join(named(twice), mine(docs), "left_semi")
+    one = again.groupBy(F.col(f"`{id_col}`").alias(row), _text_key(f"`{text_col}`").alias(text)).agg(F.min_by(whole, order).alias("it"))
+    return stay.unionByName(one.select("it.*"))

@@ -111,7 +111,7 @@ def test_keep_one(spark):
     rows = [(3, " ".join(base), "s"), (1, " ".join(near), "s"), (2, " ".join(base), "s"), (7, " ".join(r.choices(words, k=300)), "s"), (8, None, None), (9, "", "t"), (7, "again", "u"), (None, "no id", "v"), (None, "no id", "v"), (None, "another", "v")]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
     assert out.columns == ["doc_id", "text", "fp"]
-    assert sorted((x.doc_id for x in out.collect()), key=repr) == [1, 7, 8, None, None]
+    assert sorted((x.doc_id for x in out.collect()), key=repr) == [1, 7, 7, 8, None, None]
     assert simhash.keep_one(out.limit(0)).count() == 0
 
 
@@ -157,3 +157,29 @@ def test_keep_one_checks_the_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for cap in (2048, 1):
         assert {x.doc_id for x in simhash.keep_one(df, cap=cap).collect()} == want
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Against a brute version: of each group of similar rows that with the smallest (id, hash of the text) stays."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghij", k=7)) for _ in range(5000)]
+    a, b, c = (" ".join(r.choices(words, k=200)) for _ in range(3))
+    rows = [(1, a, "p"), (7, a, "q"), (7, b, "q"), (7, c + " x", "q"), (None, c, "r"), (9, b, "s"), (9, b, "s"), (9, b, "t"), (None, None, "u"), (4, " ", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").withColumn("node", F.lit(1)).withColumn("row_id", F.lit(2)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    for small in (1_000_000, 0):
+        for order in (rows, rows[::-1]):
+            out = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, __id string").withColumn("row_id", F.lit(2)), small=small)
+            assert sorted(((x.doc_id, x.text) for x in out.collect()), key=repr) == sorted([(1, a), (7, b), (7, c + " x"), (4, " ")], key=repr)
+    assert simhash.keep_one(df).columns == df.columns
+    same = simhash.keep_one(spark.createDataFrame([(9, b, "s"), (9, b, "s"), (9, b, "t")], "doc_id long, text string, k string"))
+    assert same.count() == 1
+
+
+def test_a_hot_fingerprint_is_not_gathered(spark):
+    df = spark.createDataFrame([(i, "the same text" if i % 2 else f"text number {i} of many") for i in range(4000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = simhash.near_duplicates(df).select(F.spark_partition_id().alias("p"), "doc_id").where("doc_id % 2 = 1").groupBy("p").count().collect()
+        assert max(x["count"] for x in sizes) < 1500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
