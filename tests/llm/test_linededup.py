@@ -21,20 +21,21 @@ def units(t, least=4, sentence=8):
 
 
 def brute(rows):
-    """Rows of one id are one document."""
-    first = {}
-    for i, t in rows:
-        if i is not None:
-            for k, w, a, _ in units(t or ""):
-                first[k, w] = min(first.get((k, w), (i, a)), (i, a))
-    docs = {}
-    for i, t in rows:
-        if i is not None:
-            docs.setdefault(i, set()).update((a, z) for k, w, a, z in units(t or "") if first[k, w] != (i, a))
-    out = []
-    for i, t in rows:
-        gone = sorted(docs.get(i, ())) if t is not None else []
-        gone = [s for s in gone if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in gone)]
+    """Each row stands for itself; the order is id (null last), hash of the text, then the rows as they come."""
+    import xxhash
+
+    # Spark's xxhash64 of a string is XXH64 with seed 42, as a signed number
+    key = lambda i, t: (i is None, i or 0, (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)) if t is not None else (i is None, i or 0, 42)
+    order = sorted(range(len(rows)), key=lambda k: key(*rows[k]))
+    seen, out = set(), []
+    for k in order:
+        i, t = rows[k]
+        gone = []
+        for kind, w, a, z in sorted(units(t or ""), key=lambda u: (u[2], -u[3])):
+            if (kind, w) in seen:
+                gone.append((a, z))
+            seen.add((kind, w))
+        gone = [s for s in sorted(set(gone)) if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in gone)]
         kept = t and "".join(c for k, c in enumerate(t) if not any(a <= k < z for a, z in gone)) if gone else t
         out.append((i, kept, tuple(gone)))
     return sorted(out, key=repr)
@@ -44,22 +45,22 @@ def run(df):
     return sorted(((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in linededup.remove_repeats(df).collect()), key=repr)
 
 
-def test_query_equals_brute_force(spark, data):
-    from panelspark.llm.queries import QUERIES
-
-    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
-    rows_out = QUERIES["op10_line_dedup"](spark, data).collect()
+def test_table_equals_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows_out = linededup.remove_repeats(docs).collect()
     got = sorted(((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in rows_out), key=repr)
-    want = brute(rows)
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert got == want and any(r[2] for r in want)
     assert all(r.n_removed == len(r.removed) for r in rows_out)
 
 
 def test_edges(spark):
     line = "One two  three four"
-    rows = [(2, f"{line}\nshort one\n{line.upper()}\nend of it all"), (1, f"a b c d\n\n{line}"), (3, None), (4, ""), (5, "\n\n"), (6, line), (None, line), (7, "éé éé éé éé\n" * 3), (9, "\r\n".join([line] * 2)), (10, "w x y z " * 500), (11, "w x y z " * 500), (12, "same row here twice"), (12, "same row here twice")]
+    rows = [(2, f"{line}\nshort one\n{line.upper()}\nend of it all"), (1, f"a b c d\n\n{line}"), (3, None), (4, ""), (5, "\n\n"), (6, line), (None, line), (7, "éé éé éé éé\n" * 3), (9, "\r\n".join([line] * 2)), (10, "w x y z " * 500), (11, "w x y z " * 500), (12, "same row here twice"), (12, "same row here twice"), (None, "w x y z " * 500), (13, "one id here with\none line that is its own"), (13, "another text with its\none line that is its own\nand one that is new")]
+    rows += [(14, "many rows that agree in all\nand so")] * 2345
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("removed", F.lit(1)).withColumn("d1", F.lit(1)).withColumn("n_units", F.lit("x"))
     assert run(df) == brute(rows)
+    assert sorted(((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in linededup.remove_repeats(df, small=0).collect()), key=repr) == brute(rows)
     assert linededup.remove_repeats(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "w x y z. " * 100_000), (2, "w x y z. " * 100_000)], "doc_id long, text string")
     assert [len(r.text) for r in linededup.remove_repeats(long).orderBy("doc_id").collect()] == [900_000, 0]
