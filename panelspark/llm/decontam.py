@@ -1,10 +1,11 @@
 """Benchmark decontamination by templates.
 
-Words become templates: numbers, units after numbers and names (capitalised within a sentence) turn into typed
-placeholders whose values are slots; other words lose case and outer punctuation. Windows of a template are joined by
-their hash with those of the benchmark. Windows of one document and item at one distance are one alignment, and it
-counts only if its slots agree: equal values of the item stand for equal values of the document, and the reverse. So
-a question with other numbers is caught, and one whose placeholders fit by chance is not.
+Words become templates: numbers, in figures or words, units after numbers and names turn into typed placeholders whose
+values are slots; other words lose case and outer punctuation. A name is a run of capitalised words without punctuation
+between them. Whether a sentence's first word is one nothing tells, so a text has two readings: there names or words. Windows
+of a template are joined by their hash with those of the benchmark. Windows of one row and item at one distance are one alignment,
+in which slots must agree: equal values of the item stand for equal values of the document, and the reverse. Windows
+with a slot in conflict don't count. So a question with other numbers is caught, and one whose placeholders fit by chance is not.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.plans.shared import broadcast_if_small, cut
+from panelspark.plans.shared import broadcast_if_small, cut, fresh
 
 #: Units, fixed values.
 UNITS = frozenset("% $ € £ ¥ mm cm m km in inch inches ft foot feet yd mi mile miles mg g kg t lb lbs oz ml l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw mw v kv a ma c f k °c °f usd eur gbp dollars dollar euros euro cents".split())
+#: Numbers in words, fixed values.
+NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())
 _NUMBER = re.compile(r"[+-]?(?:\d[\d.,:/]*\d|\d)")
 _JOINED = re.compile(r"([$€£¥]?)([+-]?(?:\d[\d.,]*\d|\d))(%|°?[A-Za-z]{1,3}|[$€£¥])?")
 _STRIP = re.compile(r"^[^\w$€£¥%°+-]+|[^\w%$€£¥]+$")
@@ -43,45 +46,56 @@ def _slot(kind: int, value: str) -> Token:
     return kind, kind, value
 
 
-def canonical(word: str) -> tuple[list[Token], list[Token], bool, bool]:
-    """Tokens of a word within a sentence and at its start, whether it ends one, and whether it ends with a number."""
+def canonical(word: str) -> tuple[list[Token], list[Token], bool, bool, bool, bool]:
+    """Tokens of a word, and where a first word is no name; whether it is a number, starts and ends without punctuation, and ends a sentence."""
     if word.isalpha():
-        low = [_word(word.lower())]
-        return ([_slot(NAME, word)] if word[0].isupper() and word[1:].islower() else low), low, False, False
+        return *_alone(word), True, True, False
     ends = word.rstrip("\"')]}»”’*#$%&").endswith((".", "!", "?", ":", "…"))
     s = _STRIP.sub("", word)
     if m := _JOINED.fullmatch(s):
         unit = m[1] or m[3] or ""
         if not unit or unit.lower() in UNITS:
             t = [_slot(NUMBER, m[2])] + ([_slot(UNIT, unit.lower())] if unit else [])
-            return t, t, ends, not unit
+            return t, t, not unit, word.startswith(s), word.endswith(s), ends
     if _NUMBER.fullmatch(s):
-        return [_slot(NUMBER, s)], [_slot(NUMBER, s)], ends, True
+        t = [_slot(NUMBER, s)]
+        return t, t, True, word.startswith(s), word.endswith(s), ends
     s = _EDGE.sub("", s)
     if not s:
-        return [], [], ends, False
-    low = [_word(s.lower())]
-    return ([_slot(NAME, s)] if s[0].isupper() and s[1:].islower() else low), low, ends, False
+        return [], [], False, False, False, ends
+    return *_alone(s), word.startswith(s), word.endswith(s), ends
 
 
-def template(text: str | None, cache: dict) -> tuple[np.ndarray, list[Token]]:
-    """Hashes and tokens of a whole text."""
+def _alone(s: str) -> tuple[list[Token], list[Token], bool]:
+    low = s.lower()
+    if low in NUMBERS:
+        return [_slot(NUMBER, low)], [_slot(NUMBER, low)], True
+    t = [_word(low)]
+    return [_slot(NAME, s)] if s[0].isupper() and s[1:].islower() else t, t, False
+
+
+def template(text: str | None, cache: dict, names: bool = False) -> tuple[np.ndarray, list[Token]]:
+    """Hashes and tokens of a whole text; ``names``: capitalised first words of sentences are names."""
     out: list[Token] = []
-    start, number = True, False
+    number = name = False  # the word before is a number, a name, and without punctuation at its end
+    start = True
     for w in (text or "").split():
         if (c := cache.get(w)) is None:
             if len(cache) >= _CACHE:
                 cache.clear()
             c = cache[w] = canonical(w)
-        mid, first, ends, is_number = c
-        t = first if start else mid
-        if number and not start and len(t) == 1 and not t[0][1] and t[0][2] in UNITS:
+        t, first, is_number, opens, closes, ends = c
+        if start and not names:
+            t = first
+        if number and len(t) == 1 and not t[0][1] and t[0][2] in UNITS:
             t = [_slot(UNIT, t[0][2])]
-        if t:
+        named = len(t) == 1 and t[0][1] == NAME
+        if named and name and opens:
+            out[-1] = _slot(NAME, f"{out[-1][2]} {t[0][2]}")
+        else:
             out += t
-            start, number = ends, is_number
-        elif ends:
-            start = True
+        number, name = is_number and closes, named and closes
+        start = ends or start and not t
     return np.fromiter((t[0] for t in out), np.uint64, len(out)), out
 
 
@@ -91,7 +105,7 @@ def _values_run(tokens: list[Token]) -> list[str]:
     run: list[str] = []
     for i, (_, k, v) in enumerate(tokens):
         joined = k == UNIT or k == NUMBER and (i + 1 == len(tokens) or tokens[i + 1][1] == UNIT)
-        run = [] if joined else [*run, v]
+        run = [] if joined else [*run, *v.split(" ")]
         best = run if len(run) > len(best) else best
     return best
 
@@ -105,36 +119,44 @@ class Templates:
 
     def reset(self) -> None:
         self.rows = _Rows(self)
-        self.mid, self.first = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
-        self.flags = np.zeros(1 << 12, np.uint8)  # 1: has a token, 2: ends a sentence, 4: a number, 8: a unit's word, 16: several tokens
+        self.h, self.first = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.flags = np.zeros(1 << 12, np.uint8)  # 1: has a token, 2: a number that closes, 4: a unit's word, 8: several tokens, 16: ends a sentence, 32: a name that opens, 64: one that closes, 128: a name
 
     def learn(self, w: str, i: int) -> None:
-        if i >= len(self.mid):
-            self.mid, self.first, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.first, self.flags))
-        mid, first, ends, number = canonical(w)
-        unit = len(mid) == 1 and not mid[0][1] and mid[0][2] in UNITS
-        self.flags[i] = bool(mid) | 2 * ends | 4 * number | 8 * unit | 16 * (len(mid) > 1)
-        if len(mid) == 1:
-            self.mid[i], self.first[i] = mid[0][0], first[0][0]
-
-    def hashes(self, text: str | None) -> np.ndarray:
+        if i >= len(self.h):
+            self.h, self.first, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h, self.first, self.flags))
+        t, first, number, opens, closes, ends = canonical(w)
+        unit, name = len(t) == 1 and not t[0][1] and t[0][2] in UNITS, len(t) == 1 and t[0][1] == NAME
+        self.flags[i] = bool(t) | 2 * (number and closes) | 4 * unit | 8 * (len(t) > 1 or (name and first[0][2] in UNITS)) | 16 * ends | 32 * (name and opens) | 64 * (name and closes) | 128 * name
+        if len(t) == 1:
+            self.h[i], self.first[i] = t[0][0], first[0][0]
+
+    def hashes(self, text: str | None, names: bool = False) -> np.ndarray:
         words = (text or "").split()
         if len(self.rows) > _CACHE:
             self.reset()
         at = np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
         f = self.flags[at]
-        if (f & 16).any():
-            return template(text, self.cache)[0]
-        has, ends = (f & 1).astype(bool), (f & 2).astype(bool)
-        told = np.where(has | ends, np.arange(1, len(f) + 1), 0)  # the last word that says whether a sentence ended
-        state = np.concatenate([[True], ends])[np.maximum.accumulate(told)] if len(f) else ends
-        start = np.concatenate([[True], state[:-1]]) if len(f) else ends
-        h = np.where(start, self.first[at], self.mid[at])[has]
-        f, start = f[has], start[has]
-        if len(f) and (f & 4).any():
-            after = np.concatenate([[False], (f[:-1] & 4) > 0])
-            h[after & ~start & ((f & 8) > 0)] = UNIT
-        return h
+        if not len(f):
+            return self.h[:0]
+        if (f & 8).any():
+            return template(text, self.cache, names)[0]
+        h, has, ends = self.h[at], (f & 1) > 0, (f & 16) > 0
+        opens, closes = (f & 32) > 0, (f & 64) > 0
+        if not names:
+            told = np.where(has | ends, np.arange(1, len(f) + 1), 0)  # the last word that says whether a sentence ended
+            state = np.concatenate([[True], ends])[np.maximum.accumulate(told)]
+            plain = np.concatenate([[True], state[:-1]]) & ((f & 128) > 0)
+            h = np.where(plain, self.first[at], h)
+            opens, closes = opens & ~plain, closes & ~plain
+        h[1:][((f[1:] & 4) > 0) & ((f[:-1] & 2) > 0)] = UNIT
+        has[1:] &= ~(opens[1:] & closes[:-1])
+        return h[has]
+
+    def readings(self, text: str | None) -> list[tuple[bool, np.ndarray]]:
+        """The two readings of a text, or one if they agree."""
+        a, b = self.hashes(text), self.hashes(text, True)
+        return [(False, a)] if len(a) == len(b) and (a == b).all() else [(False, a), (True, b)]
 
 
 class _Rows(dict):
@@ -160,7 +182,8 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _slots(tokens: list[Token]) -> list[str]:
-    return [f"{k}:{v}" for _, k, v in tokens if k]
+    """Of a run of names the last: a capitalised word may stand before it elsewhere."""
+    return [f"{k}:{v.rsplit(' ', 1)[-1]}" for _, k, v in tokens if k]
 
 
 class Wanted:
@@ -218,50 +241,58 @@ def _longest_run(tokens: list[Token]) -> list[str]:
     return best
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: object = None, own: int = 0, literal: int = 4, exact: object = None) -> DataFrame:
-    """(id, size, at, h, slots) of the template windows of whole texts.
+def windows(rows: DataFrame, sizes: list[int], wanted: object = None, own: int = 0, literal: int = 4, exact: object = None) -> DataFrame:
+    """(id, t, names, size, at, h, slots) of the template windows of both readings of the rows (id, t, text), whole texts.
 
     With ``own``, a text of fewer tokens has one window of all of them (the benchmark's side), and each window's number of
     words that aren't placeholders is told, and its longest runs of literal words and of all values; strong: it has
     ``literal`` words or more. With ``wanted``, hashes and anchors, only those hashes are kept, and of those
     in ``exact`` only the values it has for them.
     """
-    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), *T.StructType.fromDDL("size int, at int, h long, slots array<string>" + ", strong boolean, words int, run array<string>, run_values array<string>" * bool(own))])
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("t long, names boolean, size int, at int, h long, slots array<string>" + ", strong boolean, words int, run array<string>, run_values array<string>" * bool(own))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast = Templates()
         for b in batches:
             out: list[tuple] = []
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                text, tokens = t.as_py(), None
+            for i, key_, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                text = t.as_py()
                 if wanted is not None and not wanted.value[1].may_hold(text):
                     continue
-                h = fast.hashes(text)
-                for size in ([min(own, len(h))] if len(h) else []) if own else sizes:
-                    w = window_hashes(h, size)
-                    for at in (range(len(w)) if wanted is None else wanted.value[0].places(w).tolist()):
-                        tokens = template(text, fast.cache)[1] if tokens is None else tokens
-                        part = tokens[at : at + size]
-                        key, slots, n = int(w[at : at + 1].view(np.int64)[0]), _slots(part), sum(not k for _, k, _ in part)
-                        if exact is None or (known := exact.value.get(key)) is None or tuple(slots) in known:
-                            out.append((i.as_py(), size, at, key, slots, *([n >= literal, n, _longest_run(part), _values_run(part)] if own else [])))
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string()), *[pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())] * bool(own)])
+                for names, h in fast.readings(text):
+                    tokens = None
+                    for size in ([min(own, len(h))] if len(h) else []) if own else sizes:
+                        w = window_hashes(h, size)
+                        for at in (range(len(w)) if wanted is None else wanted.value[0].places(w).tolist()):
+                            tokens = template(text, fast.cache, names)[1] if tokens is None else tokens
+                            part = tokens[at : at + size]
+                            key, slots, n = int(w[at : at + 1].view(np.int64)[0]), _slots(part), sum(not k for _, k, _ in part)
+                            if exact is None or (known := exact.value.get(key)) is None or tuple(slots) in known:
+                                out.append((i.as_py(), key_.as_py(), names, size, at, key, slots, *([n >= literal, n, _longest_run(part), _values_run(part)] if own else [])))
+            kinds = (b.schema.field(0).type, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string()), *[pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())] * bool(own)])
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=schema.names)
 
-    return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return rows.select("id", "t", "text").mapInArrow(run, schema)
+
+
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, text): t is a hash of the text, which tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    return rows.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 8, small: int = 500_000) -> DataFrame:
-    """(id, items, n_windows) of the documents with an agreeing alignment; items: sorted ids.
+    """(id, t, items, n_windows) of the rows with windows that agree; t: xxhash64 of the text; items: sorted ids.
 
     An item of fewer than ``size`` tokens is one window. Windows with fewer than four words besides placeholders count as
     exact copies, with the item's own values; if an item has no others, they also count with other values when they
-    agree over the whole item, which must have a word. Rows without an id are not looked at. The benchmark's
-    hashes are sent to all tasks if there are at most ``small``; beyond that all windows are joined.
+    agree over the whole item, which must have a word. Items without an id are not looked for. Rows are judged by id and
+    text. The benchmark's hashes are sent to all tasks if there are at most ``small``; beyond that all windows are joined.
     """
-    items = cut(windows(benchmark, item_col, item_text, [], own=size).withColumnRenamed("id", "item").withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"))
-    whole = items.groupBy("item").agg((~F.bool_or("strong") & (F.max("words") > 0)).alias("whole"), F.count_distinct("item_at").alias("item_n"))
-    items = cut(items.join(whole, "item"))
+    bench = _keyed(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text)
+    items = cut(windows(bench, [], own=size).drop("t").withColumnRenamed("id", "item").withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots").withColumnRenamed("names", "item_names"))
+    whole = items.groupBy("item", "item_names").agg((~F.bool_or("strong") & (F.max("words") > 0)).alias("whole"), F.count_distinct("item_at").alias("item_n"))
+    items = cut(items.join(whole, ["item", "item_names"]))
     sizes = sorted(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())  # at most ``size`` numbers
     wanted = exact = None
     free = F.col("strong") | F.col("whole")
@@ -280,29 +311,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         wanted, exact = sc.broadcast((Wanted(np.array([r.h for r in rows], np.int64).view(np.uint64)), Anchors([r.run for r in rows]))), sc.broadcast(values)
         items = F.broadcast(items)
     same = F.col("slots") == F.col("item_slots")
-    hit = windows(docs, id_col, text_col, sizes, wanted, exact=exact).join(items, ["size", "h"]).where(F.col("strong") | F.col("whole") | same)
+    hit = windows(_keyed(docs, id_col, text_col), sizes, wanted, exact=exact).join(items, ["size", "h"]).where(F.col("strong") | F.col("whole") | same)
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    parts = {"strong": F.col("strong"), "exact": F.col("strong") | same, "all": F.lit(True)}
-    told = [x for k, c in parts.items() for x in (F.count_distinct(F.when(c, F.col("at"))).alias(f"n_{k}"), F.array_distinct(F.flatten(F.collect_set(F.when(c, pairs)))).alias(f"s_{k}"))]
-    aligned = hit.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(*told, F.first("whole").alias("whole"), F.first("item_n").alias("item_n"))
-    side = lambda s, k: F.size(F.array_distinct(F.transform(s, lambda x: x[k])))
-    fits = {k: (F.size(f"s_{k}") == side(F.col(f"s_{k}"), "a")) & (F.size(f"s_{k}") == side(F.col(f"s_{k}"), "b")) for k in parts}
-    met = {"strong": F.col("n_strong") > 0, "exact": F.col("n_exact") > F.col("n_strong"), "all": F.col("whole") & (F.col("n_all") == F.col("item_n"))}
-    agree = aligned.withColumn("n", F.greatest(*[F.when(met[k] & fits[k], F.col(f"n_{k}")) for k in parts])).where("n IS NOT NULL")
-    return agree.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sum("n").alias("n_windows"))
+    met = F.collect_set(F.struct("at", "strong", same.alias("same"), pairs.alias("pairs"))).alias("met")  # at most as many as the item has windows
+    aligned = hit.groupBy("id", "t", "names", "item", "item_names", (F.col("at") - F.col("item_at")).alias("shift")).agg(met, F.first("whole").alias("whole"), F.first("item_n").alias("item_n"))
+    told = aligned.withColumn("strong", _agreeing(F.filter("met", lambda w: w.strong))).withColumn("exact", _agreeing(F.filter("met", lambda w: w.strong | w.same))).withColumn("all", F.when(F.col("whole"), _agreeing(F.col("met"))))
+    agree = told.withColumn("n", F.greatest("strong", "exact", F.when(F.col("all") == F.col("item_n"), F.col("all")))).where("n > 0")
+    best = agree.groupBy("id", "t", "item", "names", "item_names").agg(F.sum("n").alias("n")).groupBy("id", "t", "item").agg(F.max("n").alias("n"))  # of its readings
+    return best.groupBy("id", "t").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sum("n").cast("long").alias("n_windows"))
+
+
+def _agreeing(met: F.Column) -> F.Column:
+    """How many places the windows have whose slots are in no conflict with any other of them."""
+    pairs = F.array_distinct(F.flatten(F.transform(met, lambda w: w.pairs)))
+    torn = F.filter(pairs, lambda p: F.exists(pairs, lambda q: (q.a == p.a) != (q.b == p.b)))
+    return F.size(F.array_distinct(F.transform(F.filter(met, lambda w: ~F.arrays_overlap(w.pairs, torn)), lambda w: w["at"])))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """(id_col, contaminated, items, n_windows) for each row of ``docs``: clean rows have no items; null texts are clean.
 
-    Rows that share an id are judged as one. Other columns are not read; an empty benchmark leaves all clean.
+    Rows that share an id, or have none, are judged by their own texts. Other columns are not read; an empty benchmark
+    leaves all clean.
     """
-    found = leaks(docs, benchmark, id_col, **more).withColumnRenamed("id", "__id")
+    found = leaks(docs, benchmark, id_col, text_col, **more).withColumnRenamed("id", "of").withColumnRenamed("t", "key")
     kind = found.schema["items"].dataType.simpleString()
-    return docs.select(id_col).join(found, F.col(id_col) == F.col("__id"), "left").select(id_col, F.col("__id").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(kind)).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+    rows = _keyed(docs, id_col, text_col).drop("text").join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("key")), "left")
+    return rows.select(F.col("id").alias(id_col), F.col("key").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(kind)).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", small: int = 500_000, **more) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay as they are."""
-    bad = cut(leaks(docs, benchmark, id_col, **more).select(F.col("id").alias("__id")))
-    return docs.join(broadcast_if_small(bad, small), F.col(id_col) == F.col("__id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 500_000, **more) -> DataFrame:
+    """``docs`` without the contaminated ones; all columns stay as they are, whatever their names."""
+    row, text = fresh("row_id", docs), fresh("row_text", docs)
+    bad = cut(leaks(docs, benchmark, id_col, text_col, **more).select(F.col("id").alias(row), F.col("t").alias(text)))
+    mine = docs[id_col].eqNullSafe(F.col(row)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(text))
+    return docs.join(broadcast_if_small(bad, small), mine, "left_anti")

@@ -16,7 +16,7 @@ def test_reparameterised_questions_are_caught(spark):
     broken = other.replace("75 pears", "99 pears")  # one number of the item cannot stand for two
     docs = [(1, f"Some words before it. {other} And after."), (2, ITEM.upper()), (3, f"x {broken.split(' leaves ')[1]}"), (4, "clean words only, nothing of the kind here at all, none"), (5, None), (6, ""), (6, ""), (None, ITEM)]
     got = judge(spark, docs, [(7, ITEM), (8, None), (9, "a b"), (9, ITEM)])
-    assert (1, True, (7, 9)) in got and (4, False, ()) in got and (5, False, ()) in got and (6, False, ()) in got and (None, False, ()) in got
+    assert (1, True, (7, 9)) in got and (4, False, ()) in got and (5, False, ()) in got and (6, False, ()) in got and (None, True, (7, 9)) in got
     assert judge(spark, docs, [(7, ITEM)], small=0) == judge(spark, docs, [(7, ITEM)])
     assert {r[1] for r in judge(spark, docs, [])} == {False}
 
@@ -36,27 +36,30 @@ def test_short_items_and_long_texts(spark):
 def test_query_equals_brute_force(spark, data):
     from panelspark.llm.queries import QUERIES
 
-    norm = lambda t: decontam.template(t, {})[1]
+    norm = lambda t: [decontam.template(t, {}, names)[1] for names in (False, True)]
     docs = {r.doc_id: norm(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     want = {d: set() for d in docs}
-    bench = {r.item_id: norm(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    bench = {(r.item_id, k): t for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() for k, t in enumerate(norm(r.text))}
     key = lambda part: tuple(("", v) if not k else (k,) for _, k, v in part)
+    last = lambda v: v.split(" ")[-1]
     index = {}
     for i, t in bench.items():
         n = min(8, len(t))
         for a in range(len(t) - n + 1):
             if sum(not k for _, k, _ in t[a : a + n]) >= 4:
                 index.setdefault(key(t[a : a + n]), []).append((i, a))
-    for d, t in docs.items():
+    for d, t in ((d, t) for d, both in docs.items() for t in both):
         runs = {}
         for n in {len(k) for k in index}:
             for a in range(len(t) - n + 1):
                 for i, b in index.get(key(t[a : a + n]), ()):
-                    pairs = [((k, x), (k, y)) for (_, k, x), (_, _, y) in zip(bench[i][b : b + n], t[a : a + n]) if k]
-                    runs.setdefault((i, a - b), set()).update(pairs)
-        for (i, _), pairs in runs.items():
-            if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
-                want[d].add(i)
+                    pairs = {((k, last(x)), (k, last(y))) for (_, k, x), (_, _, y) in zip(bench[i][b : b + n], t[a : a + n]) if k}
+                    runs.setdefault((i, a - b), []).append(pairs)
+        for (i, _), found in runs.items():
+            every = set().union(*found)
+            torn = {p for p in every for q in every if (p[0] == q[0]) != (p[1] == q[1])}
+            if any(not pairs & torn for pairs in found):
+                want[d].add(i[0])
     got = {r.doc_id: set(r["items"]) for r in QUERIES["op5_template_decontamination"](spark, data).collect()}
     assert got == want and any(want.values())
 
@@ -67,6 +70,30 @@ def test_drop(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {2, None}
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    other = ITEM.replace("60", "75")
+    docs = [(1, ITEM), (1, other), (1, "clean"), (1, None), (None, other), (None, "clean"), (1, ITEM)]
+    df = spark.createDataFrame([(i, t, "k", "x") for i, t in docs], "doc_id long, text string, __id string, row_id string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = decontam.find_contaminated(df, bench).select("doc_id", "contaminated").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, True)] * 3 + [(1, False)] * 2 + [(None, True), (None, False)], key=repr)
+    for small in (500_000, 0):
+        out = decontam.drop_contaminated(df, bench, small=small)
+        assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "clean"), (1, None), (None, "clean")], key=repr)
+
+
+def test_names_and_numbers_in_words(spark):
+    item = "Natalia had five apples and gave two of them to her friend before school."
+    docs = [(1, item.replace("Natalia", "Mary Ann").replace("five", "nine")), (2, "Well. " + item.replace("five", "6")), (3, "natalia had apples and gave some of them to a friend")]
+    assert judge(spark, docs, [(1, item)]) == {(1, True, (1,)), (2, True, (1,)), (3, False, ())}
+
+
+def test_one_conflict_does_not_hide_a_passage(spark):
+    item = "add 5 grams of the fine white salt and stir until nothing is left of it then wait for the water to boil and take 5 grams more of it"
+    docs = [(1, item.replace("add 5", "add 7").replace("take 5", "take 9")), (2, "add 7 grams of salt and take 9 grams more of it")]
+    assert judge(spark, docs, [(1, item)]) == {(1, True, (1,)), (2, False, ())}
+
+
 def test_gathers_equal_the_loop():
     import random
 
@@ -75,7 +102,8 @@ def test_gathers_equal_the_loop():
     fast, cache = decontam.Templates(), {}
     for _ in range(3000):
         t = " ".join(r.choices(words if r.random() < 0.5 else [w for w in words if w not in ("12kg", "$5", "KM", "A", "In")], k=r.randrange(12)))
-        assert fast.hashes(t).tolist() == decontam.template(t, cache)[0].tolist(), t
+        for names in (False, True):
+            assert fast.hashes(t, names).tolist() == decontam.template(t, cache, names)[0].tolist(), t
 
 
 def test_anchors_never_hide_a_window():
@@ -88,7 +116,7 @@ def test_anchors_never_hide_a_window():
     bench = [" ".join(r.choices(words, k=10)) for _ in range(40)]
     runs, hashes = [], set()
     for t in bench:
-        h, tokens = decontam.template(t, {})
+        h, tokens = decontam.template(t, {}, True)
         w = decontam.window_hashes(h, min(4, len(h)))
         for at in range(len(w)):
             part = tokens[at : at + min(4, len(h))]
@@ -99,7 +127,7 @@ def test_anchors_never_hide_a_window():
     n = 0
     for _ in range(400):
         t = " ".join(r.choices(words, k=5)) + " " + r.choice(bench if r.random() < 0.5 else ["other things"]).replace("5", "7")
-        h = decontam.template(t, {})[0]
+        h = decontam.template(t, {}, True)[0]
         if any((k, int(x)) in hashes for k in {k for k, _ in hashes} for x in decontam.window_hashes(h, k)):
             assert anchors.may_hold(t), t
         else:
