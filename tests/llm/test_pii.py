@@ -51,7 +51,11 @@ def test_coreference_distinctness_and_collisions(spark):
             assert told.setdefault((e.kind, old), e.surrogate) == e.surrogate  # one surrogate for all mentions
     by_name = [v for (k, _), v in told.items()]
     assert len(set(by_name)) == len(by_name)  # no two entities share one
-    assert not set(by_name) & {o for _, o in told}  # none is a real one
+    assert not {v for v in by_name if v not in pii.GIVEN["f"]} & {o for _, o in told}  # none is a real one, but given names alone
+    family = {}
+    for (_, old), new in told.items():
+        if len(old.split()) == 2 and old.split()[0] in pii.GIVEN["m"]:
+            assert family.setdefault(old.split()[1], new.split()[1]) == new.split()[1]  # a surname is told alike for all who have it
     assert out[9000].text is None and out[9001].text == "" and out[9002].text == "clean text" and not out[9002].entities
     joined = {r.id: r.text for r in pii.replace_pii(df, KEY, small=0).collect()}
     assert joined == {i: r.text for i, r in out.items()}  # the way without a broadcast gives the same
@@ -103,3 +107,65 @@ def test_entities_are_taken_to_their_end():
         assert it not in new and text.split(it)[1] == new[len(new) - len(text.split(it)[1]) :]
         if spans[0]["kind"] != "name":
             assert len(new) == len(text)
+
+
+def test_letters_and_digits_of_all_scripts():
+    for text in ("mail aİb@x.com now", "mail ИВАН.é@x.com now", "call +٣٤ ٦١٢ ٣٤٥ ٦٧٨ now", "ssn ١٢٣-٤٥-٦٧٨٩ now", "host ١٧.٢.٣.٤ now", "card 4١١١ ١١١١ ١١١١ ١١١١ now"):
+        new, spans = pii.rewrite(text, KEY, {})
+        assert len(spans) == 1 and new != text, text
+        old, now = text[spans[0]["start"] : spans[0]["stop"]], spans[0]["surrogate"]
+        kept = [a for a, b in zip(old, now) if a == b and a.isalnum() and not a.isascii()]
+        assert len(kept) <= 3 and (spans[0]["kind"] == "ip" or [c.isdecimal() for c in old] == [c.isdecimal() for c in now])
+        if spans[0]["kind"] != "email":
+            assert all(not c.isdecimal() or not c.isascii() for c in now if c not in "4")
+    ascii_, arabic = (pii.detect(t)[0][3] for t in ("call +34 612 345 678 now", "call +٣٤ ٦١٢ ٣٤٥ ٦٧٨ now"))
+    assert ascii_ == arabic  # one entity
+
+
+def test_one_person_under_several_names():
+    text = "Mr John Smith met Dr. Mary Jones. Mr Smith left; Dr. Smith and Mrs Jones stayed with John Smith."
+    new, spans = pii.rewrite(text, KEY, {})
+    told = [s["surrogate"] for s in spans]
+    john, mary = told[0].split(), told[1].split()
+    assert told[2:] == [john[1], john[1], mary[1], " ".join(john)] and john[1] != mary[1]
+    assert john[0] in pii.GIVEN["m"] and mary[0] in pii.GIVEN["f"]
+
+
+def test_codes_ranges_and_check_digits():
+    text = "+44 20 7946 0958, +351 21 123 4567, GB82 WEST 1234 5698 7654 32, GB83 WEST 1234 5698 7654 32, 127.0.0.1, 10.1.2.3, 172.20.1.1, 192.168.3.4, 8.8.8.8"
+    _, spans = pii.rewrite(text, KEY, {})
+    told = [s["surrogate"] for s in spans]
+
+    def valid(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    assert told[0].startswith("+44 ") and told[1].startswith("+351 ") and valid(told[2]) and not valid(told[3])
+    assert told[2].startswith("GB") and len(told[2]) == len("GB82 WEST 1234 5698 7654 32")
+    assert [t.startswith(h) for t, h in zip(told[4:], ("127.", "10.", "172.20.", "192.168."))] == [True] * 4
+    import ipaddress
+
+    assert ipaddress.ip_address(told[8]).is_global
+    assert len({pii.surrogate("ip", f"8.8.{i // 256}.{i % 256}", KEY) for i in range(2000)}) == 2000
+
+
+def test_table_equals_brute_force(spark, data):
+    """The whole operator against a loop over all entities in one place: the same draws, checks and texts."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(100_000 + i, f"Mr {g} {f} and Dr. {f}") for i, (g, f) in enumerate((g, f"{f}son") for g in pii.GIVEN["m"] for f in "Abel Bren Col Dan Eb Fin".split())]
+    wanted = {p for _, t in docs for _, _, k, c in pii.detect(t) for p in pii._checked(k, c)}
+    attempt = dict.fromkeys(wanted, 0)
+    shown = lambda k, c: c.split("|", 1)[1] if k == "given" and "|" in c else c
+    while True:
+        now = {p: pii.surrogate(*p, KEY, n) for p, n in attempt.items()}
+        owner = {}
+        for (k, c), n in attempt.items():
+            owner[k, now[k, c]] = min(owner.get((k, now[k, c]), (n, c)), (n, c))
+        again = [(k, c) for (k, c) in attempt if k != "initial" and (owner[k, now[k, c]][1] != c or now[k, c] == shown(k, c) or k != "given" and (k, now[k, c]) in wanted)]
+        if not again:
+            break
+        for p in again:
+            attempt[p] += 1
+    assert any(attempt.values())
+    out = pii.replace_pii(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()
+    assert {r.doc_id: r.text for r in out} == {i: pii.rewrite(t, KEY, attempt)[0] for i, t in docs}
