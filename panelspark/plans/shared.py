@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -42,6 +44,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path that a lazy result reads once this process ends."""
+
+    def late() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and with it the way to the folder
+            remove(spark, path)
+
+    atexit.register(late)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only once a count has shown at most ``max_rows`` rows; else leave the choice to Catalyst."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
