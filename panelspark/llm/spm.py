@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm.batches import slices
-from panelspark.plans.shared import scratch
+from panelspark.plans.shared import remove_at_exit, scratch
 
 SPACE = "▁"
 LONGEST = 60  # letters of a word whose cuts fit one long; longer words are segmented where they stand
@@ -39,6 +39,43 @@ _WORD = re.compile(rf"{SPACE}*[{_LATIN}]+|{SPACE}*[^{SPACE}{_LATIN}]+|{SPACE}+")
 _CROSS = re.compile(rf"[{_LATIN}][^{SPACE}{_LATIN}]|[^{SPACE}{_LATIN}][{_LATIN}]|[^{SPACE}]{SPACE}")
 _FLUSH = 300_000  # chunks a task keeps the ids of
 _TELL = 1_000_000  # words and chunks a task gathers before it tells them
+_SPAN = 10  # blocks are told in spans of 2 ** _SPAN, so that no list of them grows with the table
+_GROUPS = 250_000  # words a task aggregates in memory, at about 1 kB, before it sorts them
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in the protocol buffers' wire format."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            b = raw[at]
+            at, x, shift = at + 1, x | (b & 127) << shift, shift + 7
+            if b < 128:
+                return x
+
+    while at < len(raw):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            n = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield number, raw[at : at + n]
+            at += n
+
+
+def _kind(model_file: str) -> int:
+    """The model's type (1 unigram, 2 merges); ValueError for a normaliser that changes texts beyond a space before them."""
+    with open(model_file, "rb") as f:
+        top = dict(_fields(f.read()))  # of repeated fields, the pieces, the last
+    trainer, norm = dict(_fields(top.get(2, b""))), dict(_fields(top.get(3, b"")))
+    if norm.get(2) or not norm.get(3, 1) or norm.get(4, 1) or not norm.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model's normaliser is not the identity with a space before the text")
+    if (kind := trainer.get(3, 1)) not in (1, 2):
+        raise ValueError("the model is neither of unigrams nor of merges")
+    return kind
 
 
 class Model:
@@ -61,7 +98,7 @@ class Model:
         self.text = {i: p for p, i in self.pieces.items()}
         self.most = max(map(len, self.pieces))
         self.width = np.dtype(np.uint16 if sp.get_piece_size() <= 1 << 16 else np.int32)
-        self.merges = b"\x18\x02" in open(model_file, "rb").read()[-600:]  # trainer_spec.model_type: BPE
+        self.merges = _kind(model_file) == 2
         if any(_CROSS.search(p) for p in self.pieces):
             raise ValueError("a piece of this model crosses the words' ends; the lattice can't be cut there")
         if len(self.rank) > 1 << 40 or self.most > 31:
@@ -104,14 +141,14 @@ def merge(word: str, m: Model) -> list[int]:
 
 
 def viterbi(word: str, m: Model) -> list[int]:
-    """Cuts of the best sum of scores; of equal sums the path with the shorter last piece. A letter without a piece costs 10 more than the worst."""
-    n, low = len(word), min(m.score.values()) - 10
-    best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+    """Cuts of the best sum of scores in single precision; of equal sums the path with the longer last piece. A letter without a piece costs 10 more than the worst."""
+    n, low = len(word), np.float32(min(m.score.values()) - 10)
+    best, back = [np.float32(0)] + [np.float32("-inf")] * n, [0] * (n + 1)
     for z in range(1, n + 1):
-        for a in range(z - 1, max(-1, z - 1 - m.most), -1):
+        for a in range(max(0, z - m.most), z):
             s = m.score.get(word[a:z], low if z - a == 1 else None)
-            if s is not None and best[a] + s > best[z]:
-                best[z], back[z] = best[a] + s, a
+            if s is not None and (t := best[a] + np.float32(s)) > best[z]:
+                best[z], back[z] = t, a
     out, z = [], n
     while z:
         out.append(z)
@@ -174,11 +211,11 @@ def _settings(spark: SparkSession, **values: str):
 
 
 def segment(distinct: DataFrame, m: Model) -> DataFrame:
-    """(word, blocks, cuts) for each row of (word, blocks): bit i of cuts is set if a piece ends after i letters; block b is told as -1 - b.
+    """(word, blocks, cuts) for each row of (word, span, blocks): bit i of cuts is set if a piece ends after i letters; block b is told as -1 - b.
 
-    Words have up to LONGEST letters, and rows of a word are one row. The lattice: starts are exploded, then lengths up
+    Words have up to LONGEST letters, and rows of a word and span are one row. The lattice: starts are exploded, then lengths up
     to that of the longest piece with the same first three letters; an equi-join with the pieces leaves the edges;
-    they are grouped by word as longs (rank, start, length) and folded. A word's blocks pass through the same
+    they are grouped by word as longs (rank, start, length) and folded. A word's blocks, of its span, pass through the same
     rows, as starts below zero, so it is shuffled no more than once.
     """
     spark = distinct.sparkSession
@@ -192,13 +229,13 @@ def segment(distinct: DataFrame, m: Model) -> DataFrame:
     bounds = F.broadcast(spark.createDataFrame(list(heads.items()) or [("", 0)], "head string, bound int"))
     pieces = F.broadcast(spark.createDataFrame([(p, rank[p] << 11) for p in m.pieces if len(p) >= least] + [("", 0)], "piece string, code long"))
     n, a = F.length("word"), F.col("a")
-    starts = distinct.select("word", F.explode(F.concat(F.sequence(F.lit(0), n - 1), F.transform("blocks", lambda b: -1 - b))).alias("a"))
+    starts = distinct.select("word", "span", F.explode(F.concat(F.sequence(F.lit(0), n - 1), F.transform("blocks", lambda b: -1 - b))).alias("a"))
     head = F.when(a >= 0, F.substring(F.col("word"), a + 1, F.lit(3)))
     longest = F.least(F.coalesce("bound", F.lit(2)), n - a)
     lengths = F.when(a < 0, F.array(F.lit(0))).when(longest >= least, F.sequence(F.lit(least), F.greatest(longest, F.lit(least))))
-    subs = starts.withColumn("head", head).join(bounds, "head", "left").select("word", "a", F.explode(lengths).alias("l")).select("word", "a", "l", F.when(a < 0, "").otherwise(F.substring(F.col("word"), a + 1, F.col("l"))).alias("piece"))
-    edges = subs.join(pieces, "piece").select("word", F.when(a < 0, a.cast("long")).otherwise(F.col("code") + a * 32 + F.col("l")).alias("e"))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"), F.count_if(F.col("e") < 0).cast("int").alias("k"))
+    subs = starts.withColumn("head", head).join(bounds, "head", "left").select("word", "span", "a", F.explode(lengths).alias("l")).select("word", "span", "a", "l", F.when(a < 0, "").otherwise(F.substring(F.col("word"), a + 1, F.col("l"))).alias("piece"))
+    edges = subs.join(pieces, "piece").select("word", "span", F.when(a < 0, a.cast("long")).otherwise(F.col("code") + a * 32 + F.col("l")).alias("e"))
+    grouped = edges.groupBy("word", "span").agg(F.sort_array(F.collect_list("e")).alias("es"), F.count_if(F.col("e") < 0).cast("int").alias("k"))
     grouped = grouped.select("word", F.slice("es", F.lit(1), F.col("k")).alias("blocks"), F.slice("es", F.col("k") + 1, F.size("es")).alias("es"))
     start, stop = "cast(shiftright(e, 5) & 63L as int)", "cast((shiftright(e, 5) & 63L) + (e & 31L) as int)"
     if m.merges:
@@ -207,12 +244,12 @@ def segment(distinct: DataFrame, m: Model) -> DataFrame:
         w = "(shiftright(s, x.a) & (2L * x.d - 3L))"
         fold = f"aggregate({edge}, shiftleft(1L, length(word) + 1) - 1L, (s, x) -> if(({w} & x.d) = x.d AND bit_count({w}) = 3, s - shiftleft({w} - x.d, x.a), s))"
         return grouped.select("word", "blocks", F.expr(fold).alias("cuts"))
-    score = F.broadcast(spark.createDataFrame([(m.pieces[p], v) for p, v in m.score.items()], "id long, score double"))
+    score = F.broadcast(spark.createDataFrame([(m.pieces[p], v) for p, v in m.score.items()], "id long, score float"))
     flat = grouped.select("word", "blocks", F.explode("es").alias("e")).select("word", "blocks", F.expr(start).alias("a"), F.expr(stop).alias("z"), F.shiftright("e", 11).alias("id")).join(score, "id").drop("id")
-    loose = grouped.select("word", "blocks", F.explode(F.sequence(F.lit(0), n - 1)).alias("a")).select("word", "blocks", "a", (F.col("a") + 1).alias("z"), F.lit(min(m.score.values()) - 10).alias("score"))
-    es = flat.union(loose).groupBy("word", "blocks", "a", "z").agg(F.max("score").alias("score")).groupBy("word", "blocks").agg(F.array_sort(F.collect_list(F.struct("z", (F.col("z") - F.col("a")).alias("l"), "score"))).alias("es"))
-    fold = """aggregate(es, map(0, named_struct('s', 0D, 'c', 1L)), (m, e) -> if(m[e.z - e.l] IS NULL OR (m[e.z] IS NOT NULL AND m[e.z].s >= m[e.z - e.l].s + e.score), m,
-      map_concat(map_filter(m, (k, v) -> k <> e.z), map(e.z, named_struct('s', m[e.z - e.l].s + e.score, 'c', m[e.z - e.l].c | shiftleft(1L, e.z))))), m -> m[length(word)].c)"""
+    loose = grouped.select("word", "blocks", F.explode(F.sequence(F.lit(0), n - 1)).alias("a")).select("word", "blocks", "a", (F.col("a") + 1).alias("z"), F.lit(min(m.score.values()) - 10).cast("float").alias("score"))
+    es = flat.union(loose).groupBy("word", "blocks", "a", "z").agg(F.max("score").alias("score")).groupBy("word", "blocks").agg(F.array_sort(F.collect_list(F.struct("z", "a", "score"))).alias("es"))
+    fold = """aggregate(es, map(0, named_struct('s', 0F, 'c', 1L)), (m, e) -> if(m[e.a] IS NULL OR (m[e.z] IS NOT NULL AND m[e.z].s >= m[e.a].s + e.score), m,
+      map_concat(map_filter(m, (k, v) -> k <> e.z), map(e.z, named_struct('s', m[e.a].s + e.score, 'c', m[e.a].c | shiftleft(1L, e.z))))), m -> m[length(word)].c)"""
     return es.select("word", "blocks", F.expr(fold).alias("cuts"))
 
 
@@ -351,7 +388,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     """``docs`` with the ids of each whole text in ``ids_col`` (array of int).
 
     A null text has null ids, an empty one none. Equal to the library's own ids for models of merges, and
-    to its best path for unigram models. With ``restored_col``, the ids are decoded where they are made, and the
+    to its best path for each word for unigram models (of equal sums it may choose another in a longer text, by rounding). With ``restored_col``, the ids are decoded where they are made, and the
     column tells whether that gives the text (true for null). A column already named so is replaced; all others stay.
     """
     spark = docs.sparkSession
@@ -360,10 +397,11 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     path = scratch(spark, "words")
     told = docs.select(text_col).mapInArrow(_told, "word string, block int")
-    # one shuffle by word serves the distinct words and their edges; the groups of a task fit its hash tables
-    with _settings(spark, spark__sql__objectHashAggregate__sortBased__fallbackThreshold="10000000"):
+    remove_at_exit(spark, path)
+    # one shuffle by word serves the distinct words and their edges
+    with _settings(spark, spark__sql__objectHashAggregate__sortBased__fallbackThreshold=str(_GROUPS)):
         # (a number of parts given, adaptive execution doesn't merge them into larger tables)
-        own = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
+        own = told.withColumn("span", F.shiftright("block", _SPAN)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word", "span").groupBy("word", "span").agg(F.collect_set("block").alias("blocks"))
         ids = segment(own, m).mapInArrow(partial(_ids, m), "word string, blocks array<long>, ids binary, lossy boolean")
         ids.select(F.explode("blocks").alias("b"), "word", "ids", "lossy").select((-1 - F.col("b")).cast("int").alias("block"), "word", "ids", "lossy").repartition("block").write.partitionBy("block").parquet(path)
     shared, at = spark.sparkContext.broadcast(m), docs.columns.index(text_col)

@@ -50,7 +50,7 @@ def test_segment_equals_the_heap(spark, model):
     """The relational lattice and its fold give the cuts that merging neighbours does."""
     r = random.Random(2)
     ws = sorted({"▁" * r.randrange(3) + "".join(r.choices("etaoinshrdlucmf", k=r.randrange(1, 30))) for _ in range(400)} | {"a", "▁", "é", "\u4e2d\u6587", "z" * 60})
-    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w, [3, 0]) for w in ws], "word string, blocks array<int>"), model).where("array_sort(blocks) = array(-4L, -1L)").collect()}
+    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w, 0, [3, 0]) for w in ws], "word string, span int, blocks array<int>"), model).where("array_sort(blocks) = array(-4L, -1L)").collect()}
     assert set(got) == set(ws)
     for w in ws:
         assert [i for i in range(1, len(w) + 1) if got[w] >> i & 1] == spm.merge(w, model), w
@@ -63,7 +63,7 @@ def test_viterbi_fold_equals_the_loop(spark, model):
     uni.merges = False
     r = random.Random(3)
     ws = sorted({"".join(r.choices("etaoinshrd", k=r.randrange(1, 12))) for _ in range(60)})
-    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w, [1]) for w in ws], "word string, blocks array<int>"), uni).collect()}
+    got = {x.word: x.cuts for x in spm.segment(spark.createDataFrame([(w, 0, [1]) for w in ws], "word string, span int, blocks array<int>"), uni).collect()}
     low = min(uni.score.values()) - 10
     total = lambda w, cuts: sum(uni.score.get(w[a:z], low) for a, z in zip([0, *cuts], cuts))
     for w in ws:
@@ -73,3 +73,65 @@ def test_viterbi_fold_equals_the_loop(spark, model):
 
 def test_ids_of_no_piece(model):
     assert spm.Decoder(model).text([10**6, -1]) == "\ufffd\ufffd"
+
+
+def unigram_file(path, merges=False, dummy=True, extra=False):
+    """A model of unigrams written field by field; scores are drawn, nothing is trained."""
+    import struct
+
+    def var(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    num = lambda k, v: var(k << 3) + var(v)
+    msg = lambda k, b: var(k << 3 | 2) + var(len(b)) + b
+    piece = lambda text, score, kind: msg(1, msg(1, text.encode()) + var(2 << 3 | 5) + struct.pack("<f", score) + num(3, kind))
+    r = random.Random(5)
+    letters = "etaoinshrdlu"
+    texts = {"▁", *letters, *("▁" + c for c in letters)}
+    while len(texts) < 400:
+        texts.add(("▁" if r.random() < 0.3 else "") + "".join(r.choices(letters, k=r.randrange(2, 6))))
+    raw = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    raw += b"".join(piece(t, -1 - 3 * len(t) ** 0.5 - r.random() * 4, 1) for t in sorted(texts))
+    raw += msg(2, num(3, 2 if merges else 1) + num(35, 1)) + msg(3, msg(1, b"identity") + num(3, dummy) + num(4, extra))
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_viterbi_equals_the_library(spark, tmp_path):
+    """The whole operator with a model of unigrams, texts of known and unknown letters."""
+    at = unigram_file(tmp_path / "uni.model")
+    m, sp = spm.Model(at), sentencepiece.SentencePieceProcessor(model_file=at)
+    assert not m.merges
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("etaoinshrdlu", k=r.randrange(1, 14))) for _ in range(r.randrange(1, 30))) for _ in range(80)] + ["", None, "teé zat", "a" * 70, "日 in"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = lambda ids: sum(sp.get_score(i) for i in ids)
+    differ = 0
+    for x in spm.decode(spm.encode(df, at, restored_col="same"), at).collect():
+        t = texts[x.doc_id]
+        assert x.same and x.decoded == t
+        if t is None:
+            assert x.ids is None
+        elif list(x.ids) != (want := sp.encode(t)):  # equal sums, which the library rounds with all that stands before
+            differ += 1
+            assert abs(total(x.ids) - total(want)) < 1e-3 and sorted(x.ids) == sorted(want), t
+    assert differ <= 5
+    for w in {w for t in texts if t for w in t.split(" ") if w}:
+        assert spm.ids_of("▁" + w, spm.viterbi("▁" + w, m), m) == sp.encode(w), w
+
+
+def test_the_kind_is_read_from_the_model(tmp_path):
+    assert spm._kind(SPM_MODEL) == 2 and spm._kind(unigram_file(tmp_path / "a", merges=True)) == 2
+    for more in ({"dummy": False}, {"extra": True}):
+        with pytest.raises(ValueError):
+            spm.Model(unigram_file(tmp_path / "b", **more))
+
+
+def test_words_of_many_blocks(spark, model):
+    """Blocks in several spans: each is told once, with the same cuts."""
+    rows = [("▁the", s, [s << spm._SPAN, (s << spm._SPAN) + 5]) for s in range(3)]
+    got = spm.segment(spark.createDataFrame(rows, "word string, span int, blocks array<int>"), model).collect()
+    assert sorted(-1 - b for x in got for b in x.blocks) == sorted(b for _, _, bs in rows for b in bs) and len({x.cuts for x in got}) == 1
