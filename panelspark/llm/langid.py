@@ -1,29 +1,40 @@
 """Language identification, word first with backoff to character n-grams.
 
 A known word adds its log frequency in each language; an unseen one the mean log frequency of its longest
-character n-grams that are known, from ``TOP`` characters down to one. The model is two bounded tables learned from a
-bounded sample of labelled rows; every text is judged whole.
+character n-grams that are known, from ``TOP`` characters down to one. The model is learned from a bounded sample of each
+language's labelled rows, and holds all words and n-grams of these; every text is judged whole.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm.batches import slices
+from panelspark.plans.shared import broadcast_if_small, fresh
 
 TOP = 5
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> str:
+    """The letters, and the marks that stand on them, as the ranges of a pattern's set; beyond the first plane whole blocks of scripts."""
+    of = [unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)] + [False]
+    starts = [c for c in range(0x10000) if of[c] and not (c and of[c - 1])]
+    ends = [c for c in range(0x10000) if of[c] and not of[c + 1]]
+    return "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in zip(starts, ends, strict=True)) + "\\U00010000-\\U0001cfff\\U0001d400-\\U0001d7cb\\U0001e000-\\U0001efff\\U00020000-\\U000323af"
+
+
+_WORD = re.compile(f"[{_letters()}]+")
 _CACHE = 400_000  # words a task keeps, at about 200 bytes
 
 
@@ -46,12 +57,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, c in words.items():
             out: list[Counter] = [c, *(Counter() for _ in range(TOP))]
             for w, n in c.items():
-                if len(w) <= 64:
-                    for k in range(1, TOP + 1):
-                        for g in grams(w, k):
-                            out[k][g] += n
+                for k in range(1, TOP + 1):
+                    for g in grams(w, k):
+                        out[k][g] += n
             for k, counts in enumerate(out):
-                items = [(g, n) for g, n in counts.items() if len(g) <= 64]
+                items = list(counts.items())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(items), pa.string()), pa.array([k] * len(items), pa.int32()), pa.array([g for g, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], names=["lang", "kind", "gram", "n"])
 
 
@@ -97,7 +107,7 @@ class Judge:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the likelihood, the mean of all words counting as ``evidence`` words at most."""
         words = _WORD.findall(text.lower()) if text else None
-        if not words or not self.langs or not (words[0].isalpha() or any(c.isalpha() for w in words for c in w)):
+        if not words or not self.langs or not (words[0][0].isalpha() or any(c.isalpha() for w in words for c in w)):
             return UNKNOWN, 0.0
         if len(self.rows) > _CACHE:
             self.rows.reset()
@@ -131,47 +141,45 @@ class _Rows(dict):
         return i
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 20_000, words: int = 40_000, ngrams: int = 20_000) -> Model:
-    """A model from at most about ``sample`` labelled rows that aren't held out, drawn by a hash of the id.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1_000) -> Model:
+    """A model from at most about ``sample`` labelled rows of each language that aren't held out, drawn by a hash of the id.
 
-    ``words`` and ``ngrams`` bound the entries of a language's tables, most frequent first, so what reaches
-    the driver is bounded whatever the table's size.
+    All words and n-grams of these rows' whole texts are in the model, so it is bounded by ``sample``, the number of languages
+    and the rows' length, whatever the table's size. A language of fewer rows gives them all.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    share = min(1.0, sample / max(1, rows.count()))
-    counted = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))
-    kept = counted.where((F.col("n") > 1) | (F.lit(share) == 1.0)).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(ngrams))
-    return Model(tuple(r) for r in kept.select("lang", "kind", "gram", "n").toLocalIterator())
+    wide = 1 << 40
+    share = rows.groupBy("lang").count().select("lang", F.ceil(F.least(F.lit(1.0), sample / F.col("count")) * wide).alias("below"))
+    drawn = rows.join(broadcast_if_small(share, 10_000), "lang").where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(wide)) < F.col("below"))
+    counted = drawn.select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    return Model(tuple(r) for r in counted.toLocalIterator())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id_col, held_out, lang_pred, score) for each row; with ``keep`` all columns of ``docs`` and lang_pred, score.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, told: str = "lang_pred", sure: str = "score") -> DataFrame:
+    """(id_col, held_out, lang_pred, score) for each row; with ``keep`` all columns of ``docs`` and these two as ``told`` and ``sure``.
 
     ``und`` with score 0 for a null text and one without a letter, or if the model is empty. Ties go to the first
     language by name. Only the text is looked at. Repeated rows and null ids stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     give = docs.columns if keep else [id_col]
-    schema = T.StructType([docs.schema[c] for c in give]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([docs.schema[c] for c in give]).add(told, "string").add(sure, "double")
     at = len(give)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for b in slices(batches):
-            told = [judge.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], names=schema.names)
+            made = [judge.predict(t.as_py()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())], names=schema.names)
 
-    out = docs.select(*[F.col(f"`{c}`") for c in give], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
-    return out if keep else out.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    out = docs.select(*[F.col(f"`{c}`") for c in give], F.col(f"`{text_col}`").cast("string").alias(fresh("judged", docs))).mapInArrow(run, schema)
+    return out if keep else out.select(id_col, held_out(id_col).alias("held_out"), told, sure)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, langs: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` without those of no known language (``und``, a score below ``least``, or outside ``langs``)."""
-    named = docs.columns
-    clash = [c for c in ("lang_pred", "score") if c in named]
-    src = docs.select(*[F.col(f"`{c}`").alias(f"__{c}" if c in clash else c) for c in named])
-    out = identify(src, model, keep=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    told, sure = fresh("lang_pred", docs), fresh("score", docs)
+    out = identify(docs, model, keep=True, told=told, sure=sure).where((F.col(told) != UNKNOWN) & (F.col(sure) >= least))
     if langs:
-        out = out.where(F.col("lang_pred").isin(*langs))
-    return out.select(*[F.col(f"`__{c}`" if c in clash else f"`{c}`").alias(c) for c in named])
+        out = out.where(F.col(told).isin(*langs))
+    return out.drop(told, sure)

@@ -28,7 +28,7 @@ TRAIN = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the dog", "
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([*TRAIN, (900, None, "en"), (901, "", None), (902, "123 !!", "de"), (903, "½²", None), (904, "the", None), (904, "the", None), (905, "Hund", "en"), (None, "haus", "de"), (906, "hunds", None), (907, "the dog " * 90_000, None), (908, "日本", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("kind", F.lit(1))
+    docs = spark.createDataFrame([*TRAIN, (900, None, "en"), (901, "", None), (902, "123 !!", "de"), (903, "½²", None), (904, "the", None), (904, "the", None), (905, "Hund", "en"), (None, "haus", "de"), (906, "hunds", None), (907, "the dog " * 90_000, None), (908, "日本", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("kind", F.lit(1)).withColumn("__text", F.lit("x")).withColumn("__score", F.lit("x"))
     model = langid.learn(docs)
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(docs, model).collect()}
     assert {(900, "und"), (901, "und"), (902, "und"), (903, "und"), (904, "en"), (905, "de"), (None, "de"), (906, "de"), (907, "en")} <= got
@@ -43,10 +43,70 @@ def test_no_labels(spark):
     assert langid.identify(docs, langid.learn(docs)).first().lang_pred == "und"
 
 
-def test_the_model_is_bounded(spark):
-    docs = spark.createDataFrame(TRAIN, "doc_id long, text string, lang string")
-    m = langid.learn(docs, words=2, ngrams=3)
-    assert len(m.index[0]) <= 4 and all(len(t) <= 6 for t in m.index[1:])
+def test_the_sample_is_bounded_for_each_language(spark):
+    own = lambda i: str(i).translate({48 + d: 97 + d for d in range(10)})
+    docs = spark.createDataFrame([(i, f"the house number{own(i)}" if i % 50 else f"das haus nummer{own(i)}", "en" if i % 50 else "de") for i in range(4000)], "doc_id long, text string, lang string")
+    m = langid.learn(docs, sample=100)
+    assert 60 <= sum(w.startswith("number") for w in m.index[0]) <= 150
+    assert sum(w.startswith("nummer") for w in m.index[0]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(0, 4000, 50))  # fewer than the sample: all
+
+
+def test_words_keep_their_marks():
+    assert langid._WORD.findall("किताब, é e\u0301 a_b 12x ½") == ["किताब", "é", "e\u0301", "a", "b", "x"]
+
+
+def brute(docs):
+    """Word and n-gram counts of all labelled rows not held out, and each text's best language, in plain loops."""
+    import math
+    from collections import Counter
+
+    count = {}
+    for i, t, lang in docs:
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in langid._WORD.findall((t or "").lower()):
+                for k in range(6):
+                    for g in [w] if not k else [f"_{w}_"[j : j + k] for j in range(len(w) + 3 - k)]:
+                        count.setdefault((k, lang), Counter())[g] += 1
+    langs = sorted({lang for _, lang in count})
+    size = [len(set().union(*(count.get((k, x), {}) for x in langs))) for k in range(6)]
+    total = {(k, x): sum(count[k, x].values()) + 0.5 * size[k] + 1 for k, x in count}
+    log = lambda k, x, g: math.log((count[k, x][g] + 0.5) / total[k, x])
+    known = [set().union(*(count.get((k, x), {}) for x in langs)) for k in range(6)]
+    memo = {}
+
+    def vector(w):
+        if w not in memo:
+            memo[w] = None
+            if w in known[0]:
+                memo[w] = [log(0, x, w) for x in langs]
+            else:
+                for k in range(5, 0, -1):
+                    gs = [g for j in range(len(w) + 3 - k) if (g := f"_{w}_"[j : j + k]) in known[k]]
+                    if gs:
+                        memo[w] = [sum(log(k, x, g) for g in gs) / len(gs) for x in langs]
+                        break
+        return memo[w]
+
+    out = {}
+    for i, t, _ in docs:
+        ws = langid._WORD.findall((t or "").lower())
+        vs = [v for w in ws if (v := vector(w))]
+        n = len(vs)
+        e = [sum(v[j] for v in vs) * min(n, 20) / max(n, 1) for j in range(len(langs))]
+        p = [math.exp(x - max(e)) for x in e]
+        out[i] = (langs[e.index(max(e))], max(p) / sum(p)) if any(c.isalpha() for w in ws for c in w) else ("und", 0.0)
+    return out
+
+
+def test_query_equals_brute_force(spark, data):
+    from panelspark.llm.queries import QUERIES
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = brute(docs)
+    rows = QUERIES["op6_language_id"](spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3, r
 
 
 def test_backoff_goes_to_shorter_grams():
