@@ -28,6 +28,19 @@ MORE = {
     "cc by sa": "cc-by-sa",
     "public domain": "public-domain",
     "all rights reserved": "reserved",
+    # identifiers of the SPDX list without their tag, as their words
+    "apache 2 0": "apache",
+    "gpl 2 0": "gpl",
+    "gpl 3 0": "gpl",
+    "lgpl 2 1": "lgpl",
+    "lgpl 3 0": "lgpl",
+    "agpl 3 0": "agpl",
+    "mpl 2 0": "mpl",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "cc0 1 0": "cc0",
+    "epl 2 0": "epl-2.0",
+    "eupl 1 2": "eupl-1.2",
 }
 TAG = "spdx license identifier"
 #: How freely a text under the licence may be used.
@@ -41,9 +54,10 @@ _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
 
 
 def to_rpn(expression: str) -> list[str] | None:
-    """Reverse Polish order of a licence expression; the longest well-formed start counts, None if there is none."""
+    """Reverse Polish order of the longest well-formed start of a licence expression, None if there is none."""
     out: list[str] = []
     ops: list[str] = []
+    best: list[str] | None = None
     operand = True
     for t in _PARTS.findall(expression):
         op = t.upper()
@@ -63,9 +77,9 @@ def to_rpn(expression: str) -> list[str] | None:
             operand = True
         else:
             break
-    if operand or "(" in ops:
-        return None
-    return out + ops[::-1]
+        if not operand and "(" not in ops:
+            best = out + ops[::-1]
+    return best
 
 
 def family(name: str) -> str:

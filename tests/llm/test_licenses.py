@@ -39,6 +39,7 @@ def test_shunting_yard():
     rpn = licenses.to_rpn
     assert rpn("MIT OR Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0") == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0", "WITH", "AND", "OR"]
     assert rpn("(MIT or Apache-2.0) and BSD-3-Clause */") == ["MIT", "Apache-2.0", "or", "BSD-3-Clause", "and"] or rpn("(MIT OR Apache-2.0) AND BSD-3-Clause */") == ["MIT", "Apache-2.0", "OR", "BSD-3-Clause", "AND"]
+    assert rpn("MIT OR") == ["MIT"] and rpn("MIT AND (GPL-2.0") == ["MIT"] and rpn("(MIT OR Apache-2.0) AND") == ["MIT", "Apache-2.0", "OR"] and rpn("MIT) OR x") == ["MIT"]
     assert rpn("(MIT") is None and rpn("AND") is None and rpn("") is None
     assert licenses.evaluate(rpn("MIT OR GPL-3.0")) == ({"mit", "gpl"}, 0.95)
     assert licenses.evaluate(rpn("MIT AND GPL-3.0")) == ({"mit", "gpl"}, 0.3)
@@ -51,3 +52,5 @@ def test_spdx_lines():
     r = licenses.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\ncode", a)
     assert r[4] == "" and r[5] == "apache,bsd,mit" and abs(r[6] - 0.9) < 1e-9
     assert licenses.scan("all rights reserved, CC BY-NC", a)[5] == "cc-by,cc-by-nc,reserved"
+    assert licenses.scan("under Apache-2.0 or GPL-3.0-only", a)[5] == "apache,gpl" and licenses.scan("under Apache-2.0", a)[1] == 0
+    assert licenses.scan("SPDX-License-Identifier: MIT AND (GPL-2.0", a)[5] == "gpl,mit"
