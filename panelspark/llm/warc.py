@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.plans.shared import cut, remove, scratch
+from panelspark.plans.shared import cut, join_hot, remove, scratch
 
 CHUNK = 1 << 18
 VERSION = b"WARC/1.1"
@@ -137,8 +137,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha"), F.octet_length(body).alias("size"))
-    best = rows.where(F.col("size") >= at_least).groupBy("sha", "size").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ready = rows.join(best, ["sha", "size"], "left").select("id", "url", "body", F.expr("if(id <=> best, null, best)").alias("refers_to"))
+    best = cut(rows.where(F.col("size") >= at_least).groupBy("sha", "size").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1"))
+    # a payload that many pages have comes to them by broadcast, so its pages stay where they are
+    ready = join_hot(rows, best, ["sha", "size"], "n", pages.count(), "left").select("id", "url", "body", F.expr("if(id <=> best, null, best)").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = TaskContext.get()

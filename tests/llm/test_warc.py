@@ -42,6 +42,13 @@ def test_edges(spark, tmp_path):
     assert {bytes(x.payload).decode() for x in got} == {h or "" for *_, h in rows}
 
 
+def test_a_payload_of_many_pages(spark):
+    """Half of all pages share one; it never meets them in one task."""
+    rows = [(i, f"u{i}", None if i % 2 else f"page {i % 100}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.round_trip(df).select(COLS).collect()), key=repr) == brute(rows)
+
+
 def test_framing():
     recs = [warc.record(i, "http://x/", bytes([i]) * n, None) for i, n in enumerate((0, 1, 70_000, 300_000))]
     data = b"".join(recs) + warc.record(9, None, b"\x03" * 300_000, 3)
