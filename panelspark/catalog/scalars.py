@@ -114,9 +114,9 @@ def code_then_label(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.code_or_label("p_brand", "p_name", {"Brand#1": "first"}, [("red", ["red"])]).alias("meaning"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS title FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS title FROM documents")
 def normalize_title(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", text.normalize_title(F.substring("text", 1, 200)).alias("title"))
+    return t.documents.select("doc_id", text.normalize_title("text").alias("title"))
 
 
 NAMES = "SELECT s_suppkey, n_nationkey, s_name AS a, n_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey"
@@ -161,17 +161,16 @@ def html_parsed(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.html_text("html").alias("plain"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace('{{cite}}[[link|' || substr(text, 1, 40) || ']]<br>''''x''''', '\{\{[^{}]*\}\}', '', 'g'), '\[\[(?:[^\]|]*\|)?([^\]]*)\]\]', '\1', 'g') AS half FROM documents WHERE NOT regexp_matches(substr(text, 1, 40), '[\[\]{}|<>]')""".replace("AS half", "AS half_"))
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace('{{cite}}[[link|' || text || ']]<br>''''x''''', '\{\{[^{}]*\}\}', '', 'g'), '\[\[(?:[^\]|]*\|)?([^\]]*)\]\]', '\1', 'g') AS half FROM documents""".replace("AS half", "AS half_"))
 def wiki_links(t: Tables) -> DataFrame:
-    src = F.substring("text", 1, 40)
-    raw = F.concat(F.lit("{{cite}}[[link|"), src, F.lit("]]<br>''x''"))
+    raw = F.concat(F.lit("{{cite}}[[link|"), "text", F.lit("]]<br>''x''"))
     half = F.regexp_replace(F.regexp_replace(raw, r"\{\{[^{}]*\}\}", ""), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
-    return t.documents.where(~src.rlike(r"[\[\]{}|<>]")).select("doc_id", half.alias("half_"))
+    return t.documents.select("doc_id", half.alias("half_"))
 
 
 @query()
 def wiki_markup(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.strip_wiki(F.concat(F.lit("{{cite}}[[link|"), F.substring("text", 1, 40), F.lit("]]"))).alias("plain"))
+    return t.documents.select("doc_id", text.strip_wiki(F.concat(F.lit("{{cite}}[[link|"), "text", F.lit("]]"))).alias("plain"))
 
 
 @query()
@@ -184,9 +183,9 @@ def nfkc_ocr(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length(text.flat_ocr("html")).alias("n"))
 
 
-@query("SELECT doc_id, substr(text, greatest(10 - 5, 0) + 1, 20 + 5 - greatest(10 - 5, 0)) AS around, contains(translate(text, ' ' || chr(10) || chr(9), ''), translate(substr(text, 4, 30), ' ' || chr(10) || chr(9), '')) AS verbatim, contains(text, 'the ') OR contains('the ', text) AS agree FROM documents WHERE length(text) > 50 AND NOT regexp_matches(text, '[，。、　]')")
+@query("SELECT doc_id, substr(text, greatest(10 - 5, 0) + 1, 20 + 5 - greatest(10 - 5, 0)) AS around, k <> '' AND contains(translate(text, ' ' || chr(10) || chr(9) || '　，。、', ''), k) AS verbatim, contains(text, 'the ') OR contains('the ', text) AS agree FROM (SELECT *, translate(substr(text, 4, 30), ' ' || chr(10) || chr(9) || '　，。、', '') AS k FROM documents)")
 def evidence_verbatim(t: Tables) -> DataFrame:
-    d = t.documents.where((F.length("text") > 50) & ~F.col("text").rlike("[，。、　]"))
+    d = t.documents
     return d.select("doc_id", text.window_around("text", F.lit(10), F.lit(20), 5).alias("around"), text.quoted_in("text", F.substring("text", 4, 30)).alias("verbatim"), (F.contains("text", F.lit("the ")) | F.contains(F.lit("the "), "text")).alias("agree"))
 
 

@@ -21,9 +21,9 @@ def reference_integrity(t: Tables) -> DataFrame:
     return ledger.reference_issues([("labels.doc_id", t.labels, "doc_id", t.documents.where("doc_id % 3 <> 0"), "doc_id"), ("customer.nation", t.customer, "c_nationkey", t.nation, "n_nationkey")])
 
 
-@query("""SELECT doc_id, CASE WHEN z > length(text) THEN 'out_of_range' WHEN substr(text, 6, z - 5) <> q THEN 'text_differs' END AS issue FROM (SELECT doc_id, text, substr(text, CASE WHEN doc_id % 4 = 0 THEN 7 ELSE 6 END, 10) AS q, CASE WHEN doc_id % 9 = 0 THEN 10000000 ELSE 15 END AS z FROM documents WHERE length(text) > 40)""")
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'span_without_text' WHEN z > length(text) THEN 'out_of_range' WHEN substr(text, 6, z - 5) <> q THEN 'text_differs' END AS issue FROM (SELECT doc_id, text, substr(text, CASE WHEN doc_id % 4 = 0 THEN 7 ELSE 6 END, 10) AS q, CASE WHEN doc_id % 9 = 0 THEN 10000000 ELSE 15 END AS z FROM documents)""")
 def span_check(t: Tables) -> DataFrame:
-    d = t.documents.where(F.length("text") > 40).select("doc_id", "text", F.substring("text", F.when(F.col("doc_id") % 4 == 0, 7).otherwise(6), F.lit(10)).alias("q"), F.when(F.col("doc_id") % 9 == 0, 10000000).otherwise(15).alias("z"))
+    d = t.documents.select("doc_id", "text", F.substring("text", F.when(F.col("doc_id") % 4 == 0, 7).otherwise(6), F.lit(10)).alias("q"), F.when(F.col("doc_id") % 9 == 0, 10000000).otherwise(15).alias("z"))
     return d.select("doc_id", ledger.span_issue("text", "q", F.lit(5), "z").alias("issue"))
 
 
@@ -51,11 +51,11 @@ def evidence_assertions(t: Tables) -> DataFrame:
     return a.select("subject_id", "attribute", "value", "assertion_state", F.col("quote_start").cast("long").alias("quote_start"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS entity, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'explicit_negative' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE 'conflict' END END AS s FROM orders WHERE o_orderkey % 6 = 0)
+@query("""WITH a AS (SELECT o_custkey AS entity, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'explicit_negative' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE 'conflict' END END AS s FROM orders)
 SELECT entity, count(*) FILTER (s = 'positive') AS office_positive, count(*) FILTER (s = 'explicit_negative') AS office_explicit_negative, count(*) FILTER (s = 'unknown') AS office_unknown, count(*) FILTER (s = 'conflict') AS office_conflict, CASE WHEN office_positive > 0 THEN 1 WHEN office_explicit_negative > 0 AND office_unknown + office_conflict = 0 THEN 0 END AS office_indicator FROM a GROUP BY entity""")
 def documented_indicator(t: Tables) -> DataFrame:
     s = F.when(F.col("o_orderstatus") == "F", "positive").when(F.col("o_orderstatus") == "O", "explicit_negative").when(F.col("o_orderkey") % 2 == 0, "unknown").otherwise("conflict")
-    a = t.orders.where("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("entity"), F.lit("office").alias("attribute"), s.alias("state"))
+    a = t.orders.select(F.col("o_custkey").alias("entity"), F.lit("office").alias("attribute"), s.alias("state"))
     return ledger.primary_indicators(a, "entity", "attribute", "state", ["office"])
 
 
@@ -129,12 +129,12 @@ def source_protocol(t: Tables) -> DataFrame:
 @query()
 def roster_rows(t: Tables) -> DataFrame:
     parse = extract.roster_parser(["the", "then"], r"[A-Za-z]{3,12}", r"\s+")
-    return t.documents.where("lang = 'en'").select("doc_id", F.explode(parse("text")).alias("r")).select("doc_id", "r.*")
+    return t.documents.select("doc_id", F.explode(parse("text")).alias("r")).select("doc_id", "r.*")
 
 
-@query("SELECT doc_id, CASE WHEN NOT contains(translate(text, ' ' || chr(10) || chr(9) || '　，。、', ''), translate(q, ' ' || chr(10) || chr(9) || '　，。、', '')) THEN 'not_verbatim' WHEN lang NOT IN ('en', 'fr') THEN 'outside_ontology' ELSE 'ok' END AS reason FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'qqqzzz' ELSE substr(text, 2, 12) END AS q FROM documents WHERE length(text) > 20) WHERE trim(q) <> ''")
+@query("SELECT doc_id, CASE WHEN NOT coalesce(k <> '' AND contains(translate(text, ' ' || chr(10) || chr(9) || '　，。、', ''), k), false) THEN 'not_verbatim' WHEN coalesce(lang NOT IN ('en', 'fr'), true) THEN 'outside_ontology' ELSE 'ok' END AS reason FROM (SELECT *, translate(CASE WHEN doc_id % 4 = 0 THEN 'qqqzzz' ELSE substr(text, 2, 12) END, ' ' || chr(10) || chr(9) || '　，。、', '') AS k FROM documents)")
 def accept_verbatim(t: Tables) -> DataFrame:
-    d = t.documents.where(F.length("text") > 20).withColumn("q", F.when(F.col("doc_id") % 4 == 0, "qqqzzz").otherwise(F.substring("text", 2, 12))).where(F.trim("q") != "")
+    d = t.documents.withColumn("q", F.when(F.col("doc_id") % 4 == 0, "qqqzzz").otherwise(F.substring("text", 2, 12)))
     return extract.accept_verbatim(d, "text", "q", F.col("lang").isin("en", "fr")).select("doc_id", "reason")
 
 

@@ -24,7 +24,7 @@ def test_cycles(spark, data):
         for b in [b for b in to[a] if b > a]:
             want |= {(a, b)} if a in to.get(b, ()) else set()
             want |= {(a, b, c) for c in to.get(b, ()) if c > a and c != b and a in to.get(c, ())}
-    got = [tuple(map(int, r.path.split(">"))) for r in run("cycle_detect_whole", spark, data)]
+    got = [tuple(map(int, r.path.split(">"))) for r in run("cycle_detect", spark, data)]
     assert sorted(got) == sorted(want) and any(len(p) == 3 for p in want)
 
 
@@ -42,7 +42,7 @@ def test_components(spark, data):
         if a != b:
             up[max(a, b)] = min(a, b)
     ids = [r[0] for r in spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect()]
-    assert {r.s_suppkey: r.canonical_id for r in run("connected_components_whole", spark, data)} == {i: find(i) for i in ids}
+    assert {r.s_suppkey: r.canonical_id for r in run("connected_components", spark, data)} == {i: find(i) for i in ids}
 
 
 def test_coobservations(spark, data):
@@ -53,7 +53,7 @@ def test_coobservations(spark, data):
     for (day, _), users in seen.items():
         for a, b in combinations(sorted(u for u in users if u is not None), 2):
             want[a, b].add(day)
-    got = {(r.l_id, r.r_id): (r.n_shared, r.editions) for r in run("coobservations_whole", spark, data)}
+    got = {(r.l_id, r.r_id): (r.n_shared, r.editions) for r in run("coobservations", spark, data)}
     assert got == {k: (len(v), "|".join(sorted(v))) for k, v in want.items()}
 
 
@@ -65,5 +65,5 @@ def test_markup_of_whole_texts(spark, data):
             t = re.sub(p, r, t)
         return t
 
-    got = {r.doc_id: r.plain for r in run("wiki_markup_whole", spark, data)}
+    got = {r.doc_id: r.plain for r in run("wiki_markup", spark, data)}
     assert got == {i: None if t is None else plain("{{cite}}[[link|" + t + "]]") for i, t in texts.items()}
