@@ -54,12 +54,16 @@ def entity_profile_mode(t: Tables) -> DataFrame:
     return panel.entity_profile(_hours(t), "user_id", "day", "event_type", ["event_type"])
 
 
-@query(f"""WITH o AS ({ORDERS}) SELECT o_custkey, count(*) AS n_events, min(y) AS first_year, max(y) AS last_year, max(y) - min(y) AS career_length, min(rank) AS highest_rank,
-arg_min(kind, {{'d': o_orderdate, 'k': o_orderkey}}) FILTER (kind = 'F') AS first_substantive, min(y) FILTER (kind = 'F') AS first_substantive_year,
+@query(f"""WITH o AS (SELECT o.*, o_orderpriority, CASE WHEN o.o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS src FROM ({ORDERS}) o JOIN (SELECT o_orderkey AS ok, o_orderpriority FROM orders) ON ok = o.o_orderkey),
+l AS (SELECT *, lag(rank) OVER w AS prev, row_number() OVER w AS pos FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), v AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY pos) AS i FROM l WHERE prev <> rank), s AS (SELECT o_custkey AS c, count(*) AS n, string_agg(prev || '>' || rank, ';' ORDER BY pos) FILTER (i <= 12) AS p FROM v GROUP BY o_custkey)
+SELECT o.o_custkey, count(*) AS n_events, count(y) AS n_dated, min(y) AS first_year, max(y) AS last_year, max(y) - min(y) AS career_length, min(rank) AS highest_rank, max(rank) AS lowest_rank, count(*) FILTER (kind = 'F') AS n_central, count(*) FILTER (kind = 'O') AS n_local,
+avg(CASE WHEN kind = 'P' THEN 1.0::DOUBLE ELSE 0 END) AS acting_share, string_agg(CAST(o_orderkey AS VARCHAR), ';' ORDER BY CAST(o_orderkey AS VARCHAR)) AS lineage, string_agg(DISTINCT src, ';' ORDER BY src) AS sources, arg_min(o_orderpriority, {{'d': o_orderdate, 'k': o_orderkey}}) AS highest_level,
+any_value(coalesce(n, 0)) AS n_transitions, any_value(coalesce(p, '')) AS transitions, arg_min(kind, {{'d': o_orderdate, 'k': o_orderkey}}) FILTER (kind = 'F') AS first_substantive, min(y) FILTER (kind = 'F') AS first_substantive_year,
 CASE WHEN count(*) FILTER (kind = 'F') > 0 AND count(*) FILTER (kind = 'O') > 0 THEN 'mixed' WHEN count(*) FILTER (kind = 'F') > 0 THEN 'central' WHEN count(*) FILTER (kind = 'O') > 0 THEN 'local' ELSE 'unknown' END AS route,
-avg(CASE WHEN kind = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS central_share, avg(CASE WHEN kind = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS substantive_share FROM o GROUP BY o_custkey""")
+avg(CASE WHEN kind = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS central_share, avg(CASE WHEN kind = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS substantive_share FROM o LEFT JOIN s ON c = o.o_custkey GROUP BY o.o_custkey""")
 def career_outcomes(t: Tables) -> DataFrame:
-    return panel.career_outcomes(_orders(t), "o_custkey", ["o_orderdate", "o_orderkey"], "y", "y", "rank", "kind", "F", "O", F.col("kind") == "F")
+    o = _orders(t).join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey").withColumn("src", F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b"))
+    return panel.career_outcomes(o, "o_custkey", ["o_orderdate", "o_orderkey"], "y", "y", "rank", "kind", "F", "O", F.col("kind") == "F", "o_orderkey", "src", "o_orderpriority", {"acting_share": F.col("kind") == "P"})
 
 
 @query(f"""WITH o AS ({ORDERS}), p AS (SELECT *, lag(rank) OVER w AS prev, row_number() OVER w AS pos FROM o WHERE rank IS NOT NULL WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
@@ -74,14 +78,14 @@ def impossible_transition(t: Tables) -> DataFrame:
     return panel.impossible_transitions(_orders(t), "o_custkey", ["o_orderdate", "o_orderkey"], "rank", 3).select("o_orderkey", "rank", "previous_rank")
 
 
-@query(f"""WITH o AS ({ORDERS}), p AS (SELECT o_orderkey, y, rank, lag(rank) OVER (PARTITION BY o_custkey, y ORDER BY o_orderdate, o_orderkey) AS previous_rank FROM o) SELECT * FROM p WHERE previous_rank <> rank""")
+@query(f"""WITH o AS ({ORDERS}), p AS (SELECT o_orderkey, y, rank, last_value(CASE WHEN rank IS NOT NULL THEN {{'r': rank, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o) SELECT o_orderkey, y, rank, b.r AS previous_rank FROM p WHERE b.y = y AND b.r <> rank""")
 def same_period_change(t: Tables) -> DataFrame:
     return panel.same_period_changes(_orders(t), "o_custkey", ["o_orderdate", "o_orderkey"], "y", "rank").select("o_orderkey", "y", "rank", "previous_rank")
 
 
-@query(f"""WITH o AS (SELECT *, y + CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE rank END AS z FROM ({ORDERS})), p AS (SELECT *, last_value(rank IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, lag(y) OVER w AS ly, lag(rank) OVER w AS lr FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-SELECT o_orderkey, 'inverted' AS issue FROM p WHERE y > z UNION ALL SELECT o_orderkey, 'out_of_window' FROM p WHERE NOT y BETWEEN 1996 AND 2000 OR NOT z BETWEEN 1996 AND 2000
-UNION ALL SELECT o_orderkey, 'impossible_transition' FROM p WHERE b - rank > 3 UNION ALL SELECT o_orderkey, 'same_year_change' FROM p WHERE ly = y AND lr <> rank""")
+@query(f"""WITH o AS (SELECT *, y + CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE rank END AS z FROM ({ORDERS})), p AS (SELECT *, last_value(CASE WHEN y IS NOT NULL AND rank IS NOT NULL THEN {{'r': rank, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o)
+SELECT o_orderkey, 'inverted' AS issue FROM p WHERE y > z UNION ALL SELECT o_orderkey, 'out_of_window' FROM p WHERE NOT y BETWEEN 1996 AND 2000
+UNION ALL SELECT o_orderkey, 'impossible_transition' FROM p WHERE y IS NOT NULL AND b.r - rank > 3 UNION ALL SELECT o_orderkey, 'same_year_change' FROM p WHERE b.y = y AND b.r <> rank""")
 def event_validation(t: Tables) -> DataFrame:
     o = _orders(t).withColumn("z", F.col("y") + F.when(F.col("o_orderkey") % 17 == 0, -1).otherwise(F.col("rank")))
     return panel.validate_events(o, "o_orderkey", "o_custkey", ["o_orderdate", "o_orderkey"], "y", "z", "rank", 1996, 2000, 3)
@@ -94,10 +98,10 @@ def overlap_flag(t: Tables) -> DataFrame:
     return panel.overlapping(o, "o_custkey", "a", "z", "o_orderkey").select("o_orderkey", "overlaps")
 
 
-@query(f"""WITH x AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS src, y + 1 AS z FROM ({ORDERS}))
-SELECT x.o_orderkey, EXISTS (SELECT 1 FROM x b WHERE b.o_custkey = x.o_custkey AND b.src <> x.src AND b.kind <> x.kind AND x.y <= b.z AND b.y <= x.z) AS conflict FROM x""")
+@query(f"""WITH x AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS src, CASE WHEN o_orderkey % 3 <> 0 THEN y + 1 END AS z FROM ({ORDERS}))
+SELECT x.o_orderkey, EXISTS (SELECT 1 FROM x b WHERE b.o_custkey = x.o_custkey AND b.src <> x.src AND b.kind <> x.kind AND b.y <= coalesce(x.z, x.y) AND coalesce(b.z, b.y) >= x.y) AS conflict FROM x""")
 def source_conflicts(t: Tables) -> DataFrame:
-    o = _orders(t).withColumn("src", F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")).withColumn("z", F.col("y") + 1)
+    o = _orders(t).withColumn("src", F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")).withColumn("z", F.when(F.col("o_orderkey") % 3 != 0, F.col("y") + 1))
     return panel.source_conflicts(o, "o_custkey", "src", "kind", "y", "z", "o_orderkey").select("o_orderkey", "conflict")
 
 

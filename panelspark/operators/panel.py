@@ -6,7 +6,7 @@ entity or by entity and state, so a plan has one shuffle however many columns it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,16 +15,20 @@ Keys = Sequence[str]
 
 
 def edition_positions(df: DataFrame, edition: str) -> DataFrame:
-    """(edition, position): the distinct known editions in order from 0. As few rows as there are editions."""
+    """(edition, position): the distinct known editions in order from 0, numbered range by range, so they may be as many as instants."""
     e = df.select(edition).where(F.col(edition).isNotNull()).distinct()
-    return e.withColumn("position", F.row_number().over(Window.orderBy(edition)) - 1)
+    return global_rank(e, [edition], "position").withColumn("position", (F.col("position") - 1).cast("int"))
 
 
 def mark_spells(df: DataFrame, keys: Keys, order: str, max_gap: float = 1, out: str = "spell", tie: str | None = None) -> DataFrame:
-    """Number the spells of each key from 1: a new one starts where ``order`` rises by more than ``max_gap``."""
-    w = Window.partitionBy(*keys).orderBy(order, *([tie] if tie else []))
-    fresh = F.when(F.lag(order).over(w).isNull() | (F.col(order) - F.lag(order).over(w) > max_gap), 1).otherwise(0)
-    return df.withColumn("__new", fresh).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """Number the spells of each key from 1: a new one starts where ``order`` rises by more than ``max_gap``.
+
+    Unknown times come last and count as 0, so they never open a spell but where there is none yet.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *([tie] if tie else []))
+    at = F.coalesce(F.col(order), F.lit(0).cast(df.schema[order].dataType))
+    before = F.lag(at).over(w)
+    return df.withColumn("__new", F.when(before.isNull() | (at - before > max_gap), 1).otherwise(0)).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def collapse_spells(df: DataFrame, keys: Keys, order: str, max_gap: float = 1, aggs: Sequence[Column] = (), tie: str | None = None) -> DataFrame:
@@ -36,8 +40,10 @@ def collapse_spells(df: DataFrame, keys: Keys, order: str, max_gap: float = 1, a
 
 def sequence_spells(df: DataFrame, keys: Keys, edition: str, aggs: Sequence[Column] = ()) -> DataFrame:
     """Spells over the sequence of editions: a gap is an edition of the whole table in which the entity is missing."""
-    pos = edition_positions(df, edition)
-    return collapse_spells(df.join(F.broadcast(pos), edition), keys, "position", 1, aggs)
+    from panelspark.plans.shared import broadcast_if_small, cut
+
+    pos = cut(edition_positions(df, edition))
+    return collapse_spells(df.join(broadcast_if_small(pos, 1_000_000), edition), keys, "position", 1, aggs)
 
 
 def tenure_ordinal(spells: DataFrame, keys: Keys, order: str = "first") -> DataFrame:
@@ -63,17 +69,34 @@ def transitions(df: DataFrame, entity: str, order: Sequence[str], rank: str) ->
     return known.groupBy(entity).agg(F.count_if(change).alias("n_transitions"), F.array_join(F.array_sort(F.collect_list(step)).getField("s"), ";").alias("path"))
 
 
-def career_outcomes(df: DataFrame, entity: str, order: Sequence[str], start: str, end: str, rank: str, kind: str, central: str, local: str, substantive: Column) -> DataFrame:
-    """One row an entity: years, length, best rank, first substantive state, route, shares and lineage."""
-    key = F.struct(*order)
+def career_outcomes(df: DataFrame, entity: str, order: Sequence[str], start: str, end: str, rank: str, kind: str, central: str, local: str, substantive: Column, id_col: str | None = None, source: str | None = None, level: str | None = None, shares: Mapping[str, Column] = {}, steps: int = 12) -> DataFrame:  # noqa: B006
+    """One row an entity: years, length, best and worst rank, first substantive state, route, shares and transitions.
+
+    ``order`` puts undated rows last. The first substantive state needs a date. With ``id_col`` and ``source`` the lineage (all ids and
+    sources, sorted), with ``level`` the first known one in order, ``unknown`` if none; ``shares``: of rows by condition.
+    transitions: changes of the last known rank, the first ``steps`` of them.
+    """
+    key = F.struct(F.col(start).isNull(), *order)
     is_central, is_local = F.count_if(F.col(kind) == central), F.count_if(F.col(kind) == local)
     route = F.when((is_central > 0) & (is_local > 0), "mixed").when(is_central > 0, "central").when(is_local > 0, "local").otherwise("unknown")
     sub = F.coalesce(substantive, F.lit(False))
-    return df.groupBy(entity).agg(
-        F.count("*").alias("n_events"), F.min(start).alias("first_year"), F.max(end).alias("last_year"), (F.max(end) - F.min(start)).alias("career_length"), F.min(rank).alias("highest_rank"),
-        F.min_by(kind, F.when(sub, key)).alias("first_substantive"), F.min(F.when(sub, F.col(start))).alias("first_substantive_year"), route.alias("route"),
-        F.avg(F.when(F.col(kind).isNotNull(), (F.col(kind) == central).cast("double"))).alias("central_share"), F.avg(sub.cast("double")).alias("substantive_share"),
+    first = sub & F.col(start).isNotNull()
+    more = [F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in shares.items()]
+    if id_col:
+        more.append(F.array_join(F.array_sort(F.collect_set(F.col(id_col).cast("string"))), ";").alias("lineage"))
+    if source:
+        more.append(F.array_join(F.array_sort(F.collect_set(F.col(source).cast("string"))), ";").alias("sources"))
+    if level:
+        more.append(F.coalesce(F.min_by(level, F.when(F.col(level).isNotNull() & (F.col(level) != "unknown"), key)), F.lit("unknown")).alias("highest_level"))
+    one = df.groupBy(entity).agg(
+        F.count("*").alias("n_events"), F.count(start).alias("n_dated"), F.min(start).alias("first_year"), F.max(F.when(F.col(start).isNotNull(), F.col(end))).alias("last_year"), F.min(rank).alias("highest_rank"), F.max(rank).alias("lowest_rank"),
+        F.min_by(kind, F.when(first, key)).alias("first_substantive"), F.min(F.when(first, F.col(start))).alias("first_substantive_year"), route.alias("route"), is_central.alias("n_central"), is_local.alias("n_local"),
+        F.avg(F.when(F.col(kind).isNotNull(), (F.col(kind) == central).cast("double"))).alias("central_share"), F.avg(sub.cast("double")).alias("substantive_share"), *more,
     )
+    one = one.withColumn("career_length", F.col("last_year") - F.col("first_year"))
+    undated = "__undated"
+    moved = transitions(df.withColumn(undated, F.col(start).isNull()), entity, [undated, *order], rank).select(F.col(entity).alias("__e"), "n_transitions", F.array_join(F.slice(F.split("path", ";"), 1, steps), ";").alias("transitions"))
+    return one.join(moved, F.col(entity).eqNullSafe(F.col("__e")), "left").drop("__e").withColumn("n_transitions", F.coalesce("n_transitions", F.lit(0)).cast("long")).withColumn("transitions", F.coalesce("transitions", F.lit("")))
 
 
 def impossible_transitions(df: DataFrame, entity: str, order: Sequence[str], rank: str, jump: float = 4) -> DataFrame:
@@ -83,20 +106,27 @@ def impossible_transitions(df: DataFrame, entity: str, order: Sequence[str], ran
 
 
 def same_period_changes(df: DataFrame, entity: str, order: Sequence[str], period: str, rank: str) -> DataFrame:
-    """Rows whose rank differs from that of the row before in the same period."""
-    w = Window.partitionBy(entity, period).orderBy(*order)
-    return df.withColumn("previous_rank", F.lag(rank).over(w)).where(F.col("previous_rank") != F.col(rank))
+    """Rows whose rank differs from the last known one before, where that is of the same period."""
+    w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col(rank).isNotNull() & F.col(period).isNotNull(), F.struct(F.col(rank).alias("r"), F.col(period).alias("p")))
+    last = F.last(known, ignorenulls=True).over(w)
+    return df.where(F.col(period).isNotNull()).withColumn("__last", last).where((F.col("__last.p") == F.col(period)) & (F.col("__last.r") != F.col(rank))).withColumn("previous_rank", F.col("__last.r")).drop("__last")
 
 
 def validate_events(df: DataFrame, id_col: str, entity: str, order: Sequence[str], start: str, end: str, rank: str, low: float, high: float, jump: float = 4) -> DataFrame:
-    """(id, issue): inverted, out of the window, impossible transition, same-year change; one window for all of them."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    before = F.last(rank, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    same = (F.lag(start).over(w) == F.col(start)) & (F.lag(rank).over(w) != F.col(rank))
+    """(id, issue): inverted, start out of the window, impossible transition, same-year change; one window for all of them.
+
+    Ranks are compared with the last known one of a dated row before; undated rows have no issue of rank.
+    """
+    dated = F.col(start).isNotNull()
+    w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(dated & F.col(rank).isNotNull(), F.struct(F.col(rank).alias("r"), F.col(start).alias("y"))), ignorenulls=True).over(w)
+    src = df.withColumn("__last", last)
+    step = F.when(dated, F.col("__last.r") - F.col(rank))
     issues = F.array_compact(F.array(
-        F.when(F.col(start) > F.col(end), "inverted"), F.when(~F.col(start).between(low, high) | ~F.col(end).between(low, high), "out_of_window"),
-        F.when(before - F.col(rank) > jump, "impossible_transition"), F.when(same, "same_year_change")))
-    return df.withColumn("__issues", issues).select(id_col, F.explode("__issues").alias("issue"))
+        F.when(F.col(start) > F.col(end), "inverted"), F.when(~F.col(start).between(low, high), "out_of_window"),
+        F.when(step > jump, "impossible_transition"), F.when((F.col("__last.y") == F.col(start)) & (step != 0), "same_year_change")))
+    return src.withColumn("__issues", issues).select(id_col, F.explode("__issues").alias("issue"))
 
 
 def overlapping(df: DataFrame, entity: str, start: str, end: str, id_col: str) -> DataFrame:
@@ -109,11 +139,14 @@ def overlapping(df: DataFrame, entity: str, start: str, end: str, id_col: str) -
 def source_conflicts(df: DataFrame, entity: str, source: str, state: str, start: str, end: str, id_col: str) -> DataFrame:
     """``conflict``: another source has the entity in another state at an overlapping time.
 
-    An equi-join on the entity that ends in one flag an id, so only one row leaves for each that conflicts.
+    An unknown end is the start; rows without a start are in no conflict. An equi-join on the entity finds the ids that
+    conflict, each as soon as one other row is met, and these flag the rows.
     """
-    side = df.select(F.col(entity).alias("__e"), F.col(source).alias("__s"), F.col(state).alias("__k"), F.col(start).alias("__a"), F.col(end).alias("__z")).distinct()
-    meets = (F.col(entity) == F.col("__e")) & (F.col(source) != F.col("__s")) & (F.col(state) != F.col("__k")) & (F.col(start) <= F.col("__z")) & (F.col("__a") <= F.col(end))
-    return df.join(side, meets, "left_semi").withColumn("conflict", F.lit(True)).unionByName(df.join(side, meets, "left_anti").withColumn("conflict", F.lit(False)))
+    last = F.coalesce(F.col(end), F.col(start))
+    side = df.where(F.col(start).isNotNull()).select(F.col(entity).alias("__e"), F.col(source).alias("__s"), F.col(state).alias("__k"), F.col(start).alias("__a"), last.alias("__z")).distinct()
+    meets = (F.col(entity) == F.col("__e")) & (F.col(source) != F.col("__s")) & ~F.col(state).eqNullSafe(F.col("__k")) & (F.col("__a") <= last) & (F.col("__z") >= F.col(start))
+    hit = df.join(side, meets, "left_semi").select(F.col(id_col).alias("__id")).distinct().withColumn("conflict", F.lit(True))
+    return df.join(hit, F.col(id_col) == F.col("__id"), "left").drop("__id").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
 def entity_profile(df: DataFrame, entity: str, edition: str, states: str, modes: Sequence[str]) -> DataFrame:
@@ -167,9 +200,7 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str, parts: int | None
 
 def rank_within(df: DataFrame, keys: Keys, order: Sequence[str], out: str) -> DataFrame:
     """Row numbers of each group from 1 without a task that holds a whole group: global ranks less the group's first."""
-    from panelspark.plans.shared import cut
-
-    ranked = cut(global_rank(df, [*keys, *order], "__rank"))
+    ranked = global_rank(df, [*keys, *order], "__rank")
     first = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first"))
     r = first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first")
     cond = None

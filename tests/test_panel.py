@@ -33,12 +33,36 @@ def test_observations_are_conserved(spark, data):
 def test_validation_flags(spark):
     df = spark.createDataFrame([("e1", "p", 1800, 1801, 7), ("e2", "p", 1805, 1804, 2), ("e3", "p", 1805, 1950, 4), ("e4", "q", 1800, 1801, None)], "id string, p string, a int, z int, rank int")
     got = {(r.id, r.issue) for r in panel.validate_events(df, "id", "p", ["a", "id"], "a", "z", "rank", 1700, 1912).collect()}
-    assert got == {("e2", "inverted"), ("e2", "impossible_transition"), ("e3", "out_of_window"), ("e3", "same_year_change")}
+    assert got == {("e2", "inverted"), ("e2", "impossible_transition"), ("e3", "same_year_change")}
+    more = [("f1", "r", 1800, 1801, 3), ("f2", "r", 1800, 1802, None), ("f3", "r", 1800, 1803, 5), ("f4", "r", None, 1990, 1), ("f5", "r", 1600, 1601, 5), ("f6", "s", 1950, None, 2)]
+    got = {(r.id, r.issue) for r in panel.validate_events(spark.createDataFrame(more, df.schema), "id", "p", ["a", "id"], "a", "z", "rank", 1644, 1912).collect()}
+    # an unknown rank between leaves the last known one in force; an undated row and an end have no window
+    assert got == {("f3", "same_year_change"), ("f5", "out_of_window"), ("f6", "out_of_window")}
+
+
+def test_unknown_times_open_no_spell(spark):
+    df = spark.createDataFrame([("p", 7040), ("p", 7041), ("p", 7048), ("p", None), ("p", None), ("q", None), ("q", None)], "p string, q long")
+    got = sorted((r.p, r.n_observations) for r in panel.collapse_spells(df, ["p"], "q").collect())
+    assert got == [("p", 2), ("p", 3), ("q", 2)]
+
+
+def test_careers_tell_their_lineage(spark):
+    rows = [("p", "e2", 1800, 1803, 7, "local", "county", "jsl", True), ("p", "e1", 1805, None, 5, "central", "unknown", "cbdb", True), ("p", "e3", None, 1999, 2, None, "board", "jsl", False), ("q", "e9", None, None, None, None, "unknown", "jsl", True)]
+    df = spark.createDataFrame(rows, "p string, id string, a int, z int, rank int, kind string, level string, src string, sub boolean")
+    got = {r.p: r.asDict() for r in panel.career_outcomes(df, "p", ["a", "id"], "a", "z", "rank", "kind", "central", "local", F.col("sub"), "id", "src", "level", {"acting_share": F.col("rank") == 5}).collect()}
+    p, q = got["p"], got["q"]
+    assert (p["n_events"], p["n_dated"], p["first_year"], p["last_year"], p["career_length"]) == (3, 2, 1800, 1803, 3)
+    assert (p["highest_rank"], p["lowest_rank"], p["highest_level"], p["route"], p["n_central"], p["n_local"]) == (2, 7, "county", "mixed", 1, 1)
+    assert (p["n_transitions"], p["transitions"], p["lineage"], p["sources"]) == (2, "7>5;5>2", "e1;e2;e3", "cbdb;jsl")
+    assert p["first_substantive"] == "local" and abs(p["acting_share"] - 1 / 3) < 1e-9 and p["first_substantive_year"] == 1800
+    assert (q["n_transitions"], q["transitions"], q["first_substantive"], q["highest_level"], q["career_length"]) == (0, "", None, "unknown", None)
 
 
 def test_conflicts_need_two_sources(spark):
     df = spark.createDataFrame([(1, "p", "a", "x", 1, 5), (2, "p", "b", "y", 4, 9), (3, "p", "b", "y", 20, 21), (4, "q", "a", "x", 1, 9)], "id int, p string, src string, k string, a int, z int")
     assert {r.id for r in panel.source_conflicts(df, "p", "src", "k", "a", "z", "id").where("conflict").collect()} == {1, 2}
+    open_ = spark.createDataFrame([(1, "p", "a", "x", 5, None), (2, "p", "b", "y", 3, 5), (3, "p", "b", "y", 6, None), (4, "p", "b", "y", None, 9)], df.schema)
+    assert {r.id for r in panel.source_conflicts(open_, "p", "src", "k", "a", "z", "id").where("conflict").collect()} == {1, 2}
 
 
 def test_tertiles_follow_linear_edges(spark):
