@@ -116,14 +116,17 @@ def threshold_table(t: Tables) -> DataFrame:
     return linkage.threshold_table(_scored(t), "score", "label", [0.2, 0.5, 0.7, 0.8])
 
 
-@query(f"SELECT * FROM ({THRESHOLDS}) WHERE precision >= 0.9 AND tp > 0 ORDER BY threshold LIMIT 1")
+@query(f"""WITH t AS ({THRESHOLDS}), ok AS (SELECT * FROM t WHERE precision >= 0.9 AND tp >= 5 ORDER BY threshold LIMIT 1), best AS (SELECT * FROM t ORDER BY coalesce(precision, 0) DESC, tp DESC, threshold LIMIT 1)
+SELECT CASE WHEN o.threshold IS NOT NULL THEN 'PASS' ELSE 'FAIL' END AS status, o.threshold, coalesce(o.threshold, b.threshold) AS best_threshold, coalesce(o.precision, b.precision) AS precision, coalesce(o.recall, b.recall) AS recall, coalesce(o.tp, b.tp) AS tp, coalesce(o.coverage, b.coverage) AS coverage FROM best b LEFT JOIN ok o ON true""")
 def auto_accept_region(t: Tables) -> DataFrame:
-    return linkage.auto_accept(linkage.threshold_table(_scored(t), "score", "label", [0.2, 0.5, 0.7, 0.8]), 0.9)
+    return linkage.auto_accept(linkage.threshold_table(_scored(t), "score", "label", [0.2, 0.5, 0.7, 0.8]), 0.9, 5)
 
 
-@query(f"WITH b AS (SELECT score AS threshold, count(*) FILTER (label = 1) AS y, count(*) AS n FROM ({SCORED}) GROUP BY score), c AS (SELECT threshold, sum(y) OVER w AS tp, sum(y) OVER w / (sum(n) OVER w)::DOUBLE AS precision FROM b WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)) SELECT threshold, precision FROM c WHERE precision >= 0.8 AND tp > 0 ORDER BY threshold LIMIT 1")
+@query(f"""WITH s AS (SELECT score, label, CASE WHEN o_orderstatus = 'F' THEN 2.5::DOUBLE ELSE 1 END AS w FROM ({SCORED}) WHERE o_orderkey % 5 = 0), b AS (SELECT score AS threshold, sum(w * label) AS y, count(*) FILTER (label = 1) AS r, sum(w) AS n FROM s GROUP BY score),
+c AS (SELECT threshold, sum(r) OVER v AS tp, sum(y) OVER v / sum(n) OVER v AS precision FROM b WINDOW v AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)), k AS (SELECT * FROM c WHERE precision >= 0.8 AND tp > 0 ORDER BY threshold LIMIT 1)
+SELECT coalesce(k.threshold, 1.0::DOUBLE) AS threshold, CASE WHEN k.threshold IS NOT NULL THEN k.precision ELSE f.p END AS precision FROM (SELECT sum(w * label) / sum(w) AS p FROM s WHERE score >= 1) f LEFT JOIN k ON true""")
 def calibrate_threshold(t: Tables) -> DataFrame:
-    return linkage.calibrate(_scored(t), "score", "label", 0.8)
+    return linkage.calibrate(_scored(t), "score", "label", 0.8, F.when(F.col("o_orderstatus") == "F", 2.5).otherwise(1.0), F.col("o_orderkey") % 5 == 0)
 
 
 @query(f"SELECT o_orderstatus, count(*) AS n, tp, fp, fn, precision, recall FROM (SELECT o_orderstatus, count(*) AS n, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall FROM ({SCORED}) GROUP BY o_orderstatus) JOIN ({SCORED}) USING (o_orderstatus) GROUP BY ALL")

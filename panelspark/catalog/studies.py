@@ -14,10 +14,11 @@ from panelspark.operators import extract, kin, linkage, sets, survey
 from panelspark.plans import pipelines
 
 
-@query("SELECT a.s_suppkey AS l_id, b.s_suppkey AS r_id, CASE WHEN a.s_suppkey IS NOT NULL AND greatest(a.s_suppkey, b.s_suppkey) - least(a.s_suppkey, b.s_suppkey) > 50 THEN 1 ELSE 0 END AS chronology, CASE WHEN left(a.s_name, 12) <> left(b.s_name, 12) THEN 1 ELSE 0 END AS geography, CASE WHEN abs(a.s_acctbal - b.s_acctbal) > 4000 THEN 1 ELSE 0 END AS transition FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("SELECT a.s_suppkey AS l_id, b.s_suppkey AS r_id, CASE WHEN a.s_suppkey IS NOT NULL AND greatest(a.s_suppkey, b.s_suppkey) - least(a.s_suppkey, b.s_suppkey) > 50 THEN 1 ELSE 0 END AS chronology, CASE WHEN left(a.s_name, 12) <> left(b.s_name, 12) THEN 1 ELSE 0 END AS geography, CASE WHEN abs(a.s_acctbal - b.s_acctbal) < 4000 AND right(a.s_name, 1) <> right(b.s_name, 1) THEN 1 ELSE 0 END AS transition FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 def pair_validators(t: Tables) -> DataFrame:
-    p = linkage.self_pairs(t.supplier.withColumn("place", F.left("s_name", F.lit(12))), "s_nationkey", "s_suppkey", ["place", "s_acctbal"])
-    return linkage.pair_validators(p, ("l_id", "l_id", "r_id", "r_id"), ("l_place", "r_place"), ("l_s_acctbal", "r_s_acctbal"), 50, 4000).select("l_id", "r_id", "chronology", "geography", "transition")
+    s = t.supplier.withColumn("place", F.left("s_name", F.lit(12))).withColumn("office", F.right("s_name", F.lit(1)))
+    p = linkage.self_pairs(s, "s_nationkey", "s_suppkey", ["place", "s_acctbal", "office"]).withColumn("same", F.abs(F.col("l_s_acctbal") - F.col("r_s_acctbal")) < 4000)
+    return linkage.pair_validators(p, ("l_id", "l_id", "r_id", "r_id"), ("l_place", "r_place"), ("l_office", "r_office"), "same", 50).select("l_id", "r_id", "chronology", "geography", "transition")
 
 
 @query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'top' WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'rest' END AS stratum FROM orders), r AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS population, row_number() OVER (PARTITION BY stratum ORDER BY sha256('g:' || o_orderkey), o_orderkey) AS rn FROM s)

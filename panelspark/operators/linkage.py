@@ -94,30 +94,35 @@ def matcher_pattern(**accepted: Column) -> Column:
     return F.when(s == "", "none").otherwise(s)
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.5, rounds: int = 600, l2: float = 1.0, most: int = 200_000) -> list[float]:
-    """Weights, intercept last, of an L2-penalised logistic regression; zeros without rows.
+def fit_logistic(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.5, rounds: int = 600, l2: float = 0.1, most: int = 200_000) -> list[float]:
+    """Weights, intercept last, of an L2-penalised logistic regression by full gradients from zero; zeros without rows.
 
-    Equal feature rows are counted first. Up to ``most`` distinct patterns are fitted on the driver by full
-    gradients; beyond that MLlib fits the same objective where the rows are.
+    Equal feature rows are counted first. Up to ``most`` distinct patterns are summed on the driver, beyond that where the
+    rows are, a job a round; the steps, and so the weights but for rounding, are the same.
     """
     counted = df.groupBy(*features, label).agg(F.count("*").alias("n"))
     rows = counted.limit(most + 1).collect()
-    if len(rows) > most:
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import VectorAssembler
-
-        data = VectorAssembler(inputCols=list(features), outputCol="__x").transform(counted.withColumn("__y", F.col(label).cast("double")).withColumn("__w", F.col("n").cast("double")))
-        n = counted.agg(F.sum("n")).first()[0]
-        fit = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(data)
-        return [*map(float, fit.coefficients), float(fit.intercept)]
     if not rows:
         return [0.0] * (len(features) + 1)
-    x = np.array([[*(float(r[f]) for f in features), 1.0] for r in rows])
-    y, n = np.array([float(r[label]) for r in rows]), np.array([float(r["n"]) for r in rows])
-    w, penal = np.zeros(x.shape[1]), np.r_[np.ones(len(features)), 0.0]
+    w, penal = np.zeros(len(features) + 1), np.r_[np.ones(len(features)), 0.0] * l2
+    if len(rows) > most:
+        spread = counted.persist()
+        total = float(spread.agg(F.sum("n")).first()[0])
+        cols = [*[F.col(f).cast("double") for f in features], F.lit(1.0)]
+        gradient = lambda v: np.array([float(g) for g in spread.select(*[(F.col("n") * (logistic_score(features, [float(x) for x in v]) - F.col(label)) * c).alias(f"g{i}") for i, c in enumerate(cols)]).agg(*[F.sum(f"g{i}") for i in range(len(cols))]).first()])
+    else:
+        spread = None
+        x = np.array([[*(float(r[f]) for f in features), 1.0] for r in rows])
+        y, n = np.array([float(r[label]) for r in rows]), np.array([float(r["n"]) for r in rows])
+        total = n.sum()
+        gradient = lambda v: x.T @ (n * (1 / (1 + np.exp(-(x @ v))) - y))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w -= rate * (x.T @ (n * (p - y)) + l2 * penal * w) / n.sum()
+        step = (gradient(w) + penal * w) / total
+        w -= rate * step
+        if np.abs(step).max() < 1e-9:
+            break
+    if spread is not None:
+        spread.unpersist()
     return [float(v) for v in w]
 
 
@@ -179,19 +184,48 @@ def threshold_table(df: DataFrame, score: str, label: str, grid: Sequence[float]
     return rows.select("threshold", "tp", "fp", "fn", div("tp", F.col("tp") + F.col("fp")).alias("precision"), div("tp", F.col("tp") + F.col("fn")).alias("recall"), div(F.col("tp") + F.col("fp"), F.col("n")).alias("coverage"))
 
 
-def auto_accept(table: DataFrame, floor: float = 0.99) -> DataFrame:
-    """The lowest threshold whose precision reaches ``floor`` with at least one true positive."""
-    return table.where((F.col("precision") >= floor) & (F.col("tp") > 0)).orderBy("threshold").limit(1)
+def auto_accept(table: DataFrame, floor: float = 0.99, support: int = 1) -> DataFrame:
+    """One row: PASS with the lowest threshold whose precision reaches ``floor`` on ``support`` true positives or more; else FAIL.
 
+    threshold is NULL in a failure, and precision and tp are then those of the best cut there is, ``best_threshold``: by
+    precision, then true positives, then the lowest. A cut that accepts nothing has no precision.
+    """
+    fits = (F.col("precision") >= floor) & (F.col("tp") >= support)
+    cell = F.struct("threshold", "precision", "recall", "tp", "coverage")
+    one = table.agg(F.min_by(cell, F.when(fits, F.col("threshold"))).alias("ok"), F.max_by(cell, F.struct(F.coalesce("precision", F.lit(0.0)), "tp", -F.col("threshold"))).alias("best"))
+    won = F.when(F.col("ok").isNotNull(), F.col("ok")).otherwise(F.col("best"))
+    return one.select(F.when(F.col("ok").isNotNull(), "PASS").otherwise("FAIL").alias("status"), F.col("ok.threshold").alias("threshold"), won.threshold.alias("best_threshold"), won.precision.alias("precision"), won.recall.alias("recall"), won.tp.alias("tp"), won.coverage.alias("coverage"))
+
+
+def running_totals(df: DataFrame, order: str, totals: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` with the sums of ``totals`` over all rows whose ``order`` is at least the row's: ranges of ``order`` and their offsets."""
+    from panelspark.plans.shared import cut
 
-def calibrate(df: DataFrame, score: str, label: str, target: float) -> DataFrame:
-    """(threshold, precision): the lowest observed score at which precision reaches the target.
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, F.desc(order)).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__s_{c}") for c in totals])
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = sums.select("__part", *[F.coalesce(F.sum(f"__s_{c}").over(w), F.lit(0)).alias(f"__s_{c}") for c in totals])
+    own = Window.partitionBy("__part").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(before), "__part")
+    return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"__s_{c}")).alias(f"total_{c}") for c in totals])
 
-    Rows are summed by distinct score, and scores are rounded to six digits so that these stay a bounded list.
+
+def calibrate(df: DataFrame, score: str, label: str, target: float, weight: Column | None = None, held_out: Column | None = None) -> DataFrame:
+    """(threshold, precision): the lowest observed score at which weighted precision reaches the target with a true positive.
+
+    weight: population by sample of the row's stratum, 1 if none is given; held_out: the rows to judge by. If no score reaches
+    the target the threshold is 1.0, with the precision there (NULL if nothing is accepted). Rows without a label don't
+    count, those without a score are never accepted. Scores are summed by value, and over values range by range.
     """
-    by = df.groupBy(F.round(score, 6).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("y"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("threshold", F.sum("y").over(w).alias("tp"), (F.sum("y").over(w) / F.sum("n").over(w)).alias("precision")).where((F.col("precision") >= target) & (F.col("tp") > 0)).orderBy("threshold").limit(1).select("threshold", "precision")
+    src = df.where(F.coalesce(held_out, F.lit(False))) if held_out is not None else df
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    known = src.where(F.col(label).isNotNull()).select(F.col(score).cast("double").alias("threshold"), (F.col(label) == 1).alias("y"), w.alias("w"))
+    by = known.where("threshold IS NOT NULL").groupBy("threshold").agg(F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("y"), F.col("w"))), F.lit(0.0)).alias("tp"), F.count_if("y").alias("raw"))
+    at = running_totals(by, "threshold", ["n", "tp", "raw"]).withColumn("precision", F.try_divide("total_tp", "total_n"))
+    best = at.where((F.col("precision") >= target) & (F.col("total_raw") > 0)).agg(F.min_by(F.struct("threshold", "precision"), "threshold").alias("best"))
+    rest = known.where("threshold >= 1").agg(F.try_divide(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0.0)), F.sum("w")).alias("fallback"))
+    return best.crossJoin(F.broadcast(rest)).select(F.coalesce("best.threshold", F.lit(1.0)).alias("threshold"), F.when(F.col("best").isNotNull(), F.col("best.precision")).otherwise(F.col("fallback")).alias("precision"))
 
 
 def active_rounds(pool: DataFrame, key: str, features: Sequence[str], label: str, seed: DataFrame, batch: int = 50, rounds: int = 3) -> list[dict]:
@@ -223,13 +257,22 @@ def evaluate_by(df: DataFrame, groups: Sequence[str], predicted: str, label: str
     return out.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
 
 
-def pair_validators(pairs: DataFrame, years: tuple[str, str, str, str], places: tuple[str, str], ranks: tuple[str, str], tolerance: float = 5, jump: float = 4) -> DataFrame:
-    """Flags of a pair: windows apart, places that differ, ranks too far apart; an unknown side flags nothing."""
+#: What stands for an unknown place or office; fixed values.
+UNKNOWN_TOKENS = ("", "unknown", "nan", "none", "null", "不詳", "未詳")
+
+
+def told_apart(a: str, b: str) -> Column:
+    """Both known, and not the same; blanks and tokens for unknown are unknown."""
+    x, y = F.trim(F.col(a)), F.trim(F.col(b))
+    return F.coalesce(~F.lower(x).isin(*UNKNOWN_TOKENS) & ~F.lower(y).isin(*UNKNOWN_TOKENS) & (x != y), F.lit(False))
+
+
+def pair_validators(pairs: DataFrame, years: tuple[str, str, str, str], places: tuple[str, str], offices: tuple[str, str], same_edition: str, tolerance: float = 5) -> DataFrame:
+    """Flags of a pair: windows apart, places that differ, two offices in one edition; an unknown side flags nothing."""
     from panelspark.functions.logic import apart
 
-    differs = F.coalesce(F.col(places[0]) != F.col(places[1]), F.lit(False)).cast("int")
-    far = F.coalesce(F.abs(F.col(ranks[0]) - F.col(ranks[1])) > jump, F.lit(False)).cast("int")
-    return pairs.withColumn("chronology", apart(*years, tolerance)).withColumn("geography", differs).withColumn("transition", far)
+    seen = F.coalesce(F.col(same_edition), F.lit(False))
+    return pairs.withColumn("chronology", apart(*years, tolerance)).withColumn("geography", told_apart(*places).cast("int")).withColumn("transition", (seen & told_apart(*offices)).cast("int"))
 
 
 def gold_sample(pairs: DataFrame, key: str, strata: Sequence[tuple[str, Column]], size: int, seed: str, folds: int = 5, held_out: int = 0) -> DataFrame:

@@ -46,8 +46,32 @@ def test_logistic_learns_a_separation(spark):
     w = linkage.fit_logistic(df, ["f"], "y")
     p = {r.f: r.p for r in df.select("f", linkage.logistic_score(["f"], w).alias("p")).distinct().collect()}
     assert p[0.0] < 0.2 < 0.8 < p[1.0]
-    far = linkage.fit_logistic(df, ["f"], "y", rounds=20_000)
-    assert all(abs(a - b) < 0.05 for a, b in zip(far, linkage.fit_logistic(df, ["f"], "y", most=2)))  # MLlib's way, beyond the bound
+    few = linkage.fit_logistic(df, ["f"], "y", rounds=8)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(few, linkage.fit_logistic(df, ["f"], "y", rounds=8, most=2)))  # summed where the rows are: the same steps
+
+
+def test_calibration_weighs_strata_and_falls_back(spark):
+    rows = [(0.9, 1, 1.0, "held_out"), (0.8, 0, 1.0, "held_out"), (0.7, 1, 8.0, "held_out"), (0.7, 0, 1.0, "train"), (0.6, 0, 30.0, "held_out"), (None, 1, 1.0, "held_out"), (0.95, None, 1.0, "held_out")]
+    df = spark.createDataFrame(rows, "p double, y int, w double, split string")
+    held = F.col("split") == "held_out"
+    assert tuple(linkage.calibrate(df, "p", "y", 0.85, F.col("w"), held).first()) == (0.7, 0.9)
+    assert tuple(linkage.calibrate(df, "p", "y", 0.95, None, held).first()) == (0.9, 1.0)
+    never = spark.createDataFrame([(0.5, 0, 1.0, "held_out"), (1.5, 0, 1.0, "held_out"), (1.2, 1, 3.0, "held_out")], df.schema)
+    assert tuple(linkage.calibrate(never, "p", "y", 0.9, F.col("w"), held).first()) == (1.0, 0.75)
+    assert tuple(linkage.calibrate(df.limit(0), "p", "y", 0.9).first()) == (1.0, None)
+
+
+def test_acceptance_needs_support(spark):
+    t = spark.createDataFrame([(0.2, 30, 0.6, 1.0, 0.9), (0.5, 9, 0.97, 0.5, 0.3), (0.8, 3, 1.0, 0.1, 0.1), (0.9, 0, None, 0.0, 0.0)], "threshold double, tp long, precision double, recall double, coverage double")
+    assert tuple(linkage.auto_accept(t, 0.95).first())[:4] == ("PASS", 0.5, 0.5, 0.97)
+    assert tuple(linkage.auto_accept(t, 0.95, 10).first())[:4] == ("FAIL", None, 0.8, 1.0)
+
+
+def test_pairs_are_validated(spark):
+    rows = [(1, 1700, 1720, 1724, 1730, "江蘇", " 江蘇", "a", "b", True), (2, 1700, 1720, 1726, 1730, "江蘇", "浙江", "a", "b", False), (3, None, 1720, 1790, 1800, "不詳", "浙江", "a", "UNKNOWN", True), (4, 1700, 1701, 1700, 1701, None, "x", "a ", "a", True), (5, 1700, 1701, 1700, 1701, "x", "y", "a", "b", None)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, c int, d int, p string, q string, o string, r string, same boolean")
+    got = {r.id: (r.chronology, r.geography, r.transition) for r in linkage.pair_validators(df, ("a", "b", "c", "d"), ("p", "q"), ("o", "r"), "same").collect()}
+    assert got == {1: (0, 0, 1), 2: (1, 1, 0), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 1, 0)}
 
 
 def test_fellegi_sunter_ranks_agreement(spark):
