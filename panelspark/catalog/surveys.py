@@ -27,11 +27,38 @@ def span_check(t: Tables) -> DataFrame:
     return d.select("doc_id", ledger.span_issue("text", "q", F.lit(5), "z").alias("issue"))
 
 
-@query("""SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'no_assertion' WHEN d.doc_id % 7 = 0 THEN 'another_document' END AS issue FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL OR d.doc_id % 7 = 0""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'kin_edge' ELSE 'credential' END AS kind FROM documents WHERE doc_id % 5 <> 0), j AS (SELECT l.doc_id, d.doc_id IS NULL AS lost, kind FROM labels l LEFT JOIN d ON l.doc_id = d.doc_id)
+SELECT doc_id, 'no_assertion' AS issue FROM j WHERE lost UNION ALL SELECT doc_id, 'cites_another_row' FROM j WHERE NOT lost AND kind <> 'credential' UNION ALL SELECT doc_id, 'another_document' FROM j WHERE NOT lost AND doc_id % 7 = 0""")
 def citation_check(t: Tables) -> DataFrame:
-    a = t.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("aid"), F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("adoc"), F.col("doc_id").alias("subj"))
+    a = t.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("aid"), F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("adoc"), F.col("doc_id").alias("subj"), F.when(F.col("doc_id") % 11 == 0, "kin_edge").otherwise("credential").alias("kind"))
     l = t.labels.select("doc_id", F.col("doc_id").alias("cites"), F.col("doc_id").alias("doc"))  # noqa: E741
-    return ledger.citation_issues(l, "doc_id", "cites", "doc", a, "aid", "adoc", "subj")
+    return ledger.citation_issues(l, "doc_id", "cites", "doc", a, "aid", "adoc", "subj", "credential", "kind")
+
+
+LADDER = [("high", 0.6), ("medium", 0.3), ("low", 0.0)]
+TIERED = "SELECT o_orderkey, o_orderstatus, o_orderpriority, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' WHEN score >= 0 THEN 'low' END AS tier FROM (SELECT *, round(o_totalprice / 500000.0::DOUBLE, 6) AS score FROM orders)"
+
+
+def _tiered(t: Tables) -> DataFrame:
+    s = t.orders.withColumn("score", F.round(F.col("o_totalprice") / 500000.0, 6))
+    return s.select("o_orderkey", "o_orderstatus", "o_orderpriority", "score", ledger.risk_tier("score", LADDER).alias("tier"))
+
+
+@query(f"SELECT o_orderkey, score, 'medium' AS stored, tier AS expected FROM ({TIERED}) WHERE o_orderstatus = 'P' AND tier IS DISTINCT FROM 'medium'")
+def stored_tier_check(t: Tables) -> DataFrame:
+    s = _tiered(t).withColumn("stored", F.when(F.col("o_orderstatus") == "P", "medium").otherwise(F.col("tier")))
+    return ledger.risk_tier_issues(s, "o_orderkey", "score", "stored", LADDER)
+
+
+@query(f"""WITH s AS ({TIERED}), q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_orderkey END AS risk, CASE o_orderpriority WHEN '1-URGENT' THEN 'human_review' WHEN '2-HIGH' THEN 'sample' ELSE 'auto' END AS route FROM s), j AS (SELECT q.*, tier, s.o_orderkey IS NOT NULL AS met FROM q LEFT JOIN s ON s.o_orderkey = risk)
+SELECT o_orderkey, 'human_without_score' AS issue FROM j WHERE risk IS NULL AND route = 'human_review' UNION ALL SELECT o_orderkey, 'unknown_score' FROM j WHERE risk IS NOT NULL AND NOT met
+UNION ALL SELECT o_orderkey, 'off_policy' FROM j WHERE met AND route <> CASE tier WHEN 'high' THEN 'human_review' WHEN 'medium' THEN 'sample' ELSE 'auto' END UNION ALL SELECT o_orderkey, 'human_below_reserved' FROM j WHERE met AND route = 'human_review' AND tier <> 'high'""")
+def review_routing_check(t: Tables) -> DataFrame:
+    s = _tiered(t)
+    risk = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).when(F.col("o_orderkey") % 13 == 0, F.lit(-1)).otherwise(F.col("o_orderkey"))
+    q = s.select("o_orderkey", risk.cast("long").alias("risk"), F.when(F.col("o_orderpriority") == "1-URGENT", "human_review").when(F.col("o_orderpriority") == "2-HIGH", "sample").otherwise("auto").alias("route"))
+    scores = s.select(F.col("o_orderkey").cast("long").alias("risk_id"), "tier")
+    return ledger.routing_issues(q, "o_orderkey", "risk", "route", scores, "risk_id", "tier", {"high": "human_review", "medium": "sample", "low": "auto"})
 
 
 @query("""SELECT doc_id, round(score, 6) AS score, tier, CASE tier WHEN 'high' THEN 'expert' WHEN 'medium' THEN 'review' ELSE 'auto' END AS route FROM (SELECT *, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS tier FROM (SELECT doc_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(toxic, 0)) * 0.5::DOUBLE + least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) * 0.4::DOUBLE)) AS score FROM documents LEFT JOIN labels USING (doc_id)))""")
@@ -41,22 +68,61 @@ def risk_score_route(t: Tables) -> DataFrame:
     return d.select("doc_id", F.round("score", 6).alias("score"), "tier", ledger.route("tier", {"high": "expert", "medium": "review", "low": "auto"}).alias("route"))
 
 
-ASSERT = """SELECT doc_id AS subject_id, attribute, CASE WHEN v IS NOT NULL AND strpos(text, v) > 0 THEN v END AS value, CASE WHEN v IS NULL THEN 'unknown' WHEN strpos(text, v) > 0 THEN 'positive' ELSE 'conflict' END AS assertion_state, CASE WHEN strpos(text, v) > 0 THEN strpos(text, v) - 1 END AS quote_start FROM (SELECT doc_id, text, 'first' AS attribute, nullif(trim(substr(text, 1, 12)), '') AS v FROM documents UNION ALL SELECT doc_id, text, 'mark', CASE WHEN doc_id % 3 = 0 THEN 'zzzqqq' END FROM documents)"""
+ASSERT = """SELECT doc_id AS subject_id, attribute, CASE WHEN ok THEN v END AS value, CASE WHEN v IS NULL THEN 'unknown' WHEN ok THEN 'positive' ELSE 'conflict' END AS assertion_state, CASE WHEN strpos(text, v) > 0 THEN strpos(text, v) - 1 END AS quote_start, CASE WHEN ok THEN source END AS source_id, CASE WHEN ok THEN lang ELSE 'migration' END AS extractor, CASE WHEN doc_id % 4 = 0 THEN 'pending' ELSE 'not_required' END AS review_status
+FROM (SELECT *, v IS NOT NULL AND (text IS NULL OR strpos(text, v) > 0) AS ok FROM (SELECT *, 'first' AS attribute, nullif(trim(substr(text, 1, 12)), '') AS v FROM d UNION ALL SELECT *, 'mark', CASE WHEN doc_id % 3 = 0 THEN 'zzzqqq' END FROM d))"""
 
 
-@query(ASSERT)
+@query(f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 <> 0 THEN text END AS text, source, lang FROM documents) {ASSERT}")
 def evidence_assertions(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "text", F.substring("text", 1, 12).alias("first"), F.when(F.col("doc_id") % 3 == 0, "zzzqqq").alias("mark"))
-    a = ledger.assertions_from_slots(d, "doc_id", "text", ["first", "mark"])
-    return a.select("subject_id", "attribute", "value", "assertion_state", F.col("quote_start").cast("long").alias("quote_start"))
+    d = t.documents.withColumn("text", F.when(F.col("doc_id") % 6 != 0, F.col("text"))).select("doc_id", "text", "source", "lang", (F.col("doc_id") % 4 == 0).alias("wait"), F.substring("text", 1, 12).alias("first"), F.when(F.col("doc_id") % 3 == 0, "zzzqqq").alias("mark"))
+    a = ledger.assertions_from_slots(d, "doc_id", "text", ["first", "mark"], source="source", extractor="lang", pending="wait")
+    return a.select("subject_id", "attribute", "value", "assertion_state", F.col("quote_start").cast("long").alias("quote_start"), "source_id", "extractor", "review_status")
 
 
-@query("""WITH a AS (SELECT o_custkey AS entity, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'explicit_negative' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE 'conflict' END END AS s FROM orders)
-SELECT entity, count(*) FILTER (s = 'positive') AS office_positive, count(*) FILTER (s = 'explicit_negative') AS office_explicit_negative, count(*) FILTER (s = 'unknown') AS office_unknown, count(*) FILTER (s = 'conflict') AS office_conflict, CASE WHEN office_positive > 0 THEN 1 WHEN office_explicit_negative > 0 AND office_unknown + office_conflict = 0 THEN 0 END AS office_indicator FROM a GROUP BY entity""")
+@query("""WITH a AS (SELECT o_custkey AS entity, CASE o_orderpriority WHEN '2-HIGH' THEN 'office' WHEN '3-MEDIUM' THEN 'degree' ELSE 'name' END AS att, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'explicit_negative' ELSE 'unknown' END AS s FROM orders),
+c AS (SELECT entity, count(*) FILTER (att = 'name' AND s = 'positive') AS name_positive, count(*) FILTER (att = 'name' AND s = 'explicit_negative') AS name_explicit_negative, count(*) FILTER (att = 'name' AND s = 'unknown') AS name_unknown, count(*) FILTER (att = 'office' AND s = 'positive') AS office_positive, count(*) FILTER (att = 'office' AND s = 'explicit_negative') AS office_explicit_negative, count(*) FILTER (att = 'office' AND s = 'unknown') AS office_unknown,
+count(*) FILTER (att = 'degree' AND s = 'positive') AS degree_positive, count(*) FILTER (att = 'degree' AND s = 'explicit_negative') AS degree_explicit_negative, count(*) FILTER (att = 'degree' AND s = 'unknown') AS degree_unknown FROM a GROUP BY entity), k AS (SELECT *, name_positive AS n_known_slots, office_positive + degree_positive AS p, office_explicit_negative + degree_explicit_negative AS q FROM c)
+SELECT * EXCLUDE (p, q), (n_known_slots >= 1)::INT AS coverage_1, (n_known_slots >= 2)::INT AS coverage_2, (n_known_slots >= 3)::INT AS coverage_3, (office_positive + office_explicit_negative) / nullif(n_known_slots, 0)::DOUBLE AS office_share, (degree_positive + degree_explicit_negative) / nullif(n_known_slots, 0)::DOUBLE AS degree_share,
+CASE WHEN office_positive > 0 THEN 1 WHEN n_known_slots > 0 AND office_explicit_negative = n_known_slots THEN 0 END AS office_indicator, CASE WHEN degree_positive > 0 THEN 1 WHEN n_known_slots > 0 AND degree_explicit_negative = n_known_slots THEN 0 END AS degree_indicator,
+CASE WHEN p > 0 THEN 1 WHEN n_known_slots > 0 AND q = 2 * n_known_slots THEN 0 END AS any_capital, CASE WHEN p > 0 THEN 0 WHEN n_known_slots = 3 AND office_explicit_negative = 3 AND degree_explicit_negative = 3 THEN 1 END AS commoner FROM k""")
 def documented_indicator(t: Tables) -> DataFrame:
-    s = F.when(F.col("o_orderstatus") == "F", "positive").when(F.col("o_orderstatus") == "O", "explicit_negative").when(F.col("o_orderkey") % 2 == 0, "unknown").otherwise("conflict")
-    a = t.orders.select(F.col("o_custkey").alias("entity"), F.lit("office").alias("attribute"), s.alias("state"))
-    return ledger.primary_indicators(a, "entity", "attribute", "state", ["office"])
+    s = F.when(F.col("o_orderstatus") == "F", "positive").when(F.col("o_orderstatus") == "O", "explicit_negative").otherwise("unknown")
+    at = F.when(F.col("o_orderpriority") == "2-HIGH", "office").when(F.col("o_orderpriority") == "3-MEDIUM", "degree").otherwise("name")
+    return ledger.primary_indicators(t.orders.select(F.col("o_custkey").alias("entity"), at.alias("attribute"), s.alias("state")), "entity", "attribute", "state", ["office", "degree"])
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, source, confidence, CASE WHEN ok THEN 'resolved' ELSE 'unresolved' END AS resolution_status, ok AS primary_eligible, CASE WHEN source = 'register' THEN 'explicit_id' WHEN ok THEN 'accepted_cross_link' ELSE 'review_pending' END AS link_status
+FROM (SELECT *, coalesce(source = 'register' OR confidence = 'high', false) AS ok FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'register' ELSE 'roster' END AS source, CASE WHEN c_acctbal > 5000 THEN 'high' WHEN c_acctbal > 0 THEN 'low' END AS confidence FROM customer))""")
+def ledger_entities(t: Tables) -> DataFrame:
+    m = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "register").otherwise("roster").alias("source"), F.when(F.col("c_acctbal") > 5000, "high").when(F.col("c_acctbal") > 0, "low").alias("confidence"))
+    return ledger.entities(m, "c_custkey", "source", "register", "confidence")
+
+
+@query("""WITH p AS (SELECT 'v' || (doc_id % 50) || '#' || source AS loc, text FROM documents), q AS (SELECT loc, min(text) AS text FROM p WHERE loc IS NOT NULL GROUP BY loc), d AS (SELECT DISTINCT 'record:' || substr(sha1(source), 1, 12) AS document_id, 'structured_record' AS document_type, source AS title, CAST(NULL AS VARCHAR) AS volume, CAST(NULL AS VARCHAR) AS locator, CAST(NULL AS VARCHAR) AS text FROM documents WHERE source IS NOT NULL
+UNION ALL SELECT 'passage:' || loc, 'biography', CASE WHEN substr(loc, strpos(loc, '#') + 1) <> '' THEN substr(loc, strpos(loc, '#') + 1) ELSE loc END, split_part(loc, '#', 1), loc, text FROM q) SELECT *, sha256(text) AS text_sha256, CAST(length(text) AS INT) AS chars FROM d""")
+def ledger_documents(t: Tables) -> DataFrame:
+    p = t.documents.select(F.concat(F.lit("v"), F.col("doc_id") % 50, F.lit("#"), "source").alias("at"), "text")
+    return ledger.source_documents(t.documents, "source", p, "at", "text")
+
+
+@query("""SELECT 'review:' || c_custkey || ':' || slot || ':name' AS decision_id, CAST(c_custkey AS VARCHAR) AS entity_id, slot, 'name' AS attribute, proposed_value, decision, auto_verdict FROM (SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN 'accepted' END, 'pending') AS decision, UNNEST([{'slot': 'F', 'proposed_value': c_name, 'auto_verdict': c_mktsegment}, {'slot': 'FF', 'proposed_value': c_mktsegment, 'auto_verdict': CAST(c_nationkey AS VARCHAR)}], recursive := true) FROM customer)""")
+def ledger_decisions(t: Tables) -> DataFrame:
+    r = t.customer.withColumn("status", F.when(F.col("c_acctbal") > 0, "accepted"))
+    return ledger.review_decisions(r, "c_custkey", "status", {"F": ("c_name", "c_mktsegment"), "FF": ("c_mktsegment", "c_nationkey")})
+
+
+@query("""WITH e AS (SELECT o_orderkey, o_custkey AS focal, o_orderpriority AS relation, CAST((o_custkey * 7 + o_orderkey) % 40 AS VARCHAR) AS kin, CASE o_orderstatus WHEN 'F' THEN 'a prefect' WHEN 'O' THEN 'nobody' END AS office, CAST(substr(o_orderpriority, 1, 1) AS INT) - 3 AS generation, CASE WHEN o_orderkey % 2 = 0 THEN 'Th' ELSE '' END AS quote, CASE WHEN o_orderkey % 5 <> 0 THEN 0 END AS start, 2 AS stop, o_orderkey % 300 AS page, CASE WHEN o_orderkey % 3 = 0 THEN 'x' END AS alter, o_totalprice / 400000.0::DOUBLE AS parser_disagreement FROM orders),
+d AS (SELECT doc_id, text, (doc_id % 7) / 5.0::DOUBLE AS ocr FROM documents), y AS (SELECT CAST(c_custkey AS VARCHAR) AS p, 1700 + c_custkey % 90 AS y FROM customer), k AS (SELECT focal, relation FROM e WHERE relation IN ('1-URGENT') GROUP BY ALL HAVING count(DISTINCT kin) > 1)
+SELECT e.* EXCLUDE (parser_disagreement), CASE WHEN CASE WHEN text IS NOT NULL THEN start IS NOT NULL AND substr(text, start + 1, stop - start) IS NOT DISTINCT FROM quote ELSE length(quote) > 0 END THEN 0.0::DOUBLE ELSE 1 END AS evidence_span_failure, CASE WHEN e.relation NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 1.0::DOUBLE WHEN count(*) OVER (PARTITION BY e.relation) < 3 THEN 0.5 ELSE 0 END AS rare_relation,
+CASE WHEN coalesce(office, '') = '' OR contains(office, 'prefect') THEN 0.0::DOUBLE ELSE 1 END AS office_unknown, CASE WHEN (generation > 0 AND b.y > a.y) OR (generation < 0 AND b.y < a.y) THEN 1.0::DOUBLE ELSE 0 END AS chronology_violation, CASE WHEN k.focal IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS source_conflict, CASE WHEN alter IS NOT NULL THEN 0.0::DOUBLE WHEN kin <> '' THEN 0.5 ELSE 1 END AS linkage_uncertainty,
+greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(ocr, 0))) AS ocr_uncertainty, greatest(0.0::DOUBLE, least(1.0::DOUBLE, parser_disagreement)) AS parser_disagreement, row_number() OVER (PARTITION BY e.focal, e.relation, e.kin ORDER BY o_orderkey) > 1 AS duplicate_of_previous
+FROM e LEFT JOIN d ON d.doc_id = page LEFT JOIN y a ON a.p = CAST(e.focal AS VARCHAR) LEFT JOIN y b ON b.p = e.kin LEFT JOIN k ON k.focal = e.focal AND k.relation = e.relation""")
+def risk_components(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    e = t.orders.select("o_orderkey", F.col("o_custkey").alias("focal"), F.col("o_orderpriority").alias("relation"), ((F.col("o_custkey") * 7 + key) % 40).cast("string").alias("kin"), F.when(F.col("o_orderstatus") == "F", "a prefect").when(F.col("o_orderstatus") == "O", "nobody").alias("office"), (F.substring("o_orderpriority", 1, 1).cast("int") - 3).alias("generation"), F.when(key % 2 == 0, "Th").otherwise("").alias("quote"), F.when(key % 5 != 0, 0).alias("start"), F.lit(2).alias("stop"), (key % 300).alias("page"), F.when(key % 3 == 0, "x").alias("alter"), (F.col("o_totalprice") / 400000.0).alias("parser_disagreement"))
+    pages = t.documents.select(F.col("doc_id").alias("page"), "text", ((F.col("doc_id") % 7) / 5.0).alias("ocr_uncertainty"))
+    years = t.customer.select(F.col("c_custkey").alias("person"), (F.col("c_custkey") % 90 + 1700).alias("year"))
+    return ledger.risk_components(e, "o_orderkey", pages, "page", "text", ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["prefect"], ["1-URGENT"], years)
 
 
 @query("SELECT c_custkey, c_acctbal AS legacy_c_acctbal FROM customer")
@@ -98,17 +164,24 @@ def logit_glm(t: Tables) -> DataFrame:
     return survey.logit(labelled(t), "quality", ["lang"])
 
 
-@query(f"""WITH x AS ({LABELLED}), c AS (SELECT lang, count(*) AS k, count(DISTINCT quality) AS v FROM x WHERE quality IS NOT NULL GROUP BY lang)
-SELECT n, round(missing, 6) AS missing, least_cell, n_separated, concat_ws(';', CASE WHEN n < 100 THEN 'few_rows' END, CASE WHEN missing > 0.2 THEN 'missing' END, CASE WHEN least_cell < 50 THEN 'small_cells' END, CASE WHEN n_separated > 0 THEN 'separation' END) AS reasons, CASE WHEN n >= 100 AND missing <= 0.2 AND least_cell >= 50 AND n_separated = 0 THEN 'model_allowed' ELSE 'descriptive_only' END AS decision FROM (SELECT count(*) AS n, avg((quality IS NULL)::INT) AS missing FROM x), (SELECT min(k) AS least_cell, count(*) FILTER (v < 2) AS n_separated FROM c)""")
+@query(f"""WITH x AS ({LABELLED}), b AS (SELECT * FROM x WHERE toxic IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL), m AS (SELECT count(*) AS n_both, count(DISTINCT quality) AS vo, count(DISTINCT n_chars) AS vx FROM b),
+r AS (SELECT row_number() OVER (ORDER BY n_chars, doc_id) AS rx, row_number() OVER (ORDER BY quality, doc_id) AS ry, n_both AS n FROM b, m), g AS (SELECT CASE WHEN rx < 1 + (n - 1) / 3.0 THEN 0 WHEN rx < 1 + 2 * (n - 1) / 3.0 THEN 1 ELSE 2 END AS gx, CASE WHEN ry < 1 + (n - 1) / 3.0 THEN 0 WHEN ry < 1 + 2 * (n - 1) / 3.0 THEN 1 ELSE 2 END AS gy, count(*) AS k FROM r GROUP BY ALL),
+c AS (SELECT count(DISTINCT gx) * count(DISTINCT gy) - count(*) FILTER (k >= 5) AS sparse FROM g), l AS (SELECT count(*) FILTER (k < 50) AS small FROM (SELECT count(*) AS k FROM b WHERE lang IS NOT NULL GROUP BY lang)), f AS (SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM x WHERE toxic IS NOT NULL) AS n_observable, n_both, 1 - n_both / (SELECT count(*) FROM x)::DOUBLE AS missing, small AS n_small_cells, CASE WHEN vo > 1 THEN sparse END AS n_sparse, vo, vx FROM m, c, l)
+SELECT n, n_observable, n_both, round(missing, 6) AS missing, n_small_cells, n_sparse, concat_ws(';', CASE WHEN n_both < 100 THEN 'few_rows' END, CASE WHEN missing > 0.2 THEN 'missing' END, CASE WHEN n_small_cells > 0 THEN 'small_cells' END, CASE WHEN vo <= 1 THEN 'outcome_without_variance' END, CASE WHEN n_sparse > 0 THEN 'sparse_cells' END, CASE WHEN vx <= 1 THEN 'exposure_without_variance' END) AS reasons, CASE WHEN reasons = '' THEN 'model_allowed' ELSE 'descriptive_only' END AS decision FROM f""")
 def data_gate(t: Tables) -> DataFrame:
-    g = survey.data_gate(labelled(t), "quality", "n_chars", ["lang"], 100, 50, 0.2)
-    return g.select("n", F.round("missing", 6).alias("missing"), "least_cell", "n_separated", "reasons", "decision")
+    g = survey.data_gate(labelled(t), "quality", "n_chars", ["lang"], F.col("toxic").isNotNull(), "doc_id", 100, 50, 0.2)
+    return g.withColumn("missing", F.round("missing", 6))
 
 
-@query(f"""SELECT variant, n, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, CASE WHEN k >= 5 THEN round(r, 6) END AS correlation FROM (SELECT v AS variant, count(*) AS n, count(CASE WHEN quality IS NOT NULL THEN 1 END) AS k, avg(n_chars) AS mx, avg(quality) AS my, corr(n_chars::DOUBLE, quality::DOUBLE) AS r FROM (SELECT 'all' AS v, * FROM ({LABELLED}) UNION ALL SELECT 'english', * FROM ({LABELLED}) WHERE lang = 'en' UNION ALL SELECT 'long', * FROM ({LABELLED}) WHERE n_chars > 1000) GROUP BY v)""")
+@query(f"""SELECT variant, n, o AS n_observable, k AS n_both, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, CASE WHEN k >= 5 THEN round(r, 6) END AS correlation, o >= 100 AS interpretable FROM (SELECT v AS variant, count(*) AS n, count(*) FILTER (toxic = 0) AS o, count(*) FILTER (toxic = 0 AND quality IS NOT NULL) AS k, avg(n_chars) FILTER (toxic = 0) AS mx, avg(quality) FILTER (toxic = 0) AS my, corr(n_chars::DOUBLE, quality::DOUBLE) FILTER (toxic = 0) AS r FROM (SELECT 'all' AS v, * FROM ({LABELLED}) UNION ALL SELECT 'english', * FROM ({LABELLED}) WHERE lang = 'en' UNION ALL SELECT 'long', * FROM ({LABELLED}) WHERE n_chars > 1000) GROUP BY v)""")
 def sensitivity_variants(t: Tables) -> DataFrame:
-    s = survey.sensitivity(labelled(t), {"all": F.lit(True), "english": F.col("lang") == "en", "long": F.col("n_chars") > 1000}, "n_chars", "quality")
-    return s.select("variant", "n", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "correlation")])
+    s = survey.sensitivity(labelled(t), {"all": F.lit(True), "english": F.col("lang") == "en", "long": F.col("n_chars") > 1000}, "n_chars", "quality", F.col("toxic") == 0)
+    return s.select("variant", "n", "n_observable", "n_both", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "correlation")], "interpretable")
+
+
+@query(f"SELECT source AS value, count(*) AS n, round(avg(CASE WHEN toxic IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS observable_share, median(n_chars::DOUBLE) FILTER (toxic IS NOT NULL) AS median_exposure, median(quality::DOUBLE) AS median_outcome FROM ({LABELLED}) GROUP BY source")
+def source_dependence(t: Tables) -> DataFrame:
+    return survey.source_dependence(labelled(t), "source", F.col("toxic").isNotNull(), "n_chars", "quality").withColumn("observable_share", F.round("observable_share", 6))
 
 
 @query(f"SELECT CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END AS band, lang, count(n_chars) AS n, round(quantile_cont(n_chars, 0.5), 6) AS median, round(avg(n_chars), 6) AS mean FROM ({LABELLED}) GROUP BY ALL")

@@ -57,24 +57,55 @@ def logit(df: DataFrame, outcome: str, factors: Sequence[str] = (), numeric: Seq
     return spark.createDataFrame([(*r, status) for r in rows] or [(None, None, None, None, status)], "term string, estimate double, se double, p_value double, status string")
 
 
-def data_gate(df: DataFrame, outcome: str, exposure: str, cells: Sequence[str], least_rows: int = 100, least_cell: int = 5, most_missing: float = 0.2) -> DataFrame:
-    """One row: n, missing share, least and empty cells, separation, variance, and a decision with its reasons."""
-    one = df.agg(F.count("*").alias("n"), F.avg(F.col(outcome).isNull().cast("double")).alias("missing"), F.var_samp(F.col(exposure).cast("double")).alias("variance"))
-    by = df.where(F.col(outcome).isNotNull()).groupBy(*cells).agg(F.count("*").alias("k"), F.countDistinct(outcome).alias("v"))
-    cell = by.agg(F.min("k").alias("least_cell"), F.count_if(F.col("v") < 2).alias("n_separated"))
-    j = one.join(F.broadcast(cell))
-    reasons = F.array_compact(F.array(F.when(F.col("n") < least_rows, "few_rows"), F.when(F.col("missing") > most_missing, "missing"), F.when(F.col("least_cell") < least_cell, "small_cells"), F.when(F.col("n_separated") > 0, "separation"), F.when(F.coalesce("variance", F.lit(0.0)) == 0, "no_variance")))
-    return j.withColumn("reasons", F.concat_ws(";", reasons)).withColumn("decision", F.when(F.size(reasons) == 0, "model_allowed").otherwise("descriptive_only"))
-
-
-def sensitivity(df: DataFrame, variants: Mapping[str, Column], x: str, y: str) -> DataFrame:
-    """(variant, n, mean_x, mean_y, correlation) of each re-cut, all in one pass."""
+def data_gate(df: DataFrame, outcome: str, exposure: str, strata: Sequence[str], observable: Column | None = None, tie: str | None = None, least_rows: int = 100, least_cell: int = 5, most_missing: float = 0.2) -> DataFrame:
+    """One row: rows, observable and both-sided rows, missing share, small and sparse cells, and a decision with its reasons.
+
+    Both-sided rows are observable and know exposure and outcome; the rest of all rows is missing. Cells are counted in each stratum by
+    itself, and in the crossing of thirds of exposure and outcome, cut by rank. A side with one value has no variance.
+    """
+    from panelspark.operators.panel import tertiles
+    from panelspark.plans.shared import cut
+
+    seen = F.coalesce(observable, F.lit(False)) if observable is not None else F.lit(True)
+    both = cut(df.where(seen & F.col(exposure).isNotNull() & F.col(outcome).isNotNull()).withColumn("__tie", F.col(tie) if tie else F.xxhash64(*df.columns)))
+    one = df.agg(F.count("*").alias("n"), F.count_if(seen).alias("n_observable")).crossJoin(F.broadcast(both.agg(F.count("*").alias("n_both"), F.countDistinct(outcome).alias("v_outcome"), F.countDistinct(exposure).alias("v_exposure"))))
+    one = one.withColumn("missing", F.when(F.col("n") > 0, 1 - F.col("n_both") / F.col("n")).otherwise(1.0))
+    small = F.lit(0).cast("long")
+    for i, c in enumerate(strata):
+        cells = both.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") < least_cell).alias(f"__s{i}"))
+        one = one.crossJoin(F.broadcast(cells))
+        small = small + F.col(f"__s{i}")
+    bands = tertiles(both.select(exposure, outcome, "__tie"), exposure, "__tie").withColumnRenamed("band", "__x")
+    bands = tertiles(bands, outcome, "__tie").groupBy("__x", F.col("band").alias("__y")).agg(F.count("*").alias("k"))
+    # a cell that no row falls in is sparse as well, of the bands there are
+    crossed = bands.agg(F.countDistinct("__x").alias("bx"), F.countDistinct("__y").alias("by"), F.count_if(F.col("k") >= 5).alias("full")).select((F.col("bx") * F.col("by") - F.col("full")).alias("n_sparse"))
+    one = one.crossJoin(F.broadcast(crossed)).withColumn("n_small_cells", small)
+    flat = F.col("v_outcome") <= 1
+    reasons = F.array_compact(F.array(F.when(F.col("n_both") < least_rows, "few_rows"), F.when(F.col("missing") > most_missing, "missing"), F.when(F.col("n_small_cells") > 0, "small_cells"), F.when(flat, "outcome_without_variance"), F.when(~flat & (F.col("n_sparse") > 0), "sparse_cells"), F.when(F.col("v_exposure") <= 1, "exposure_without_variance")))
+    out = one.withColumn("reasons", F.concat_ws(";", reasons)).withColumn("decision", F.when(F.size(reasons) == 0, "model_allowed").otherwise("descriptive_only"))
+    return out.select("n", "n_observable", "n_both", "missing", "n_small_cells", F.when(~flat, F.col("n_sparse")).alias("n_sparse"), "reasons", "decision")
+
+
+def source_dependence(df: DataFrame, dimension: str, observable: Column, exposure: str, outcome: str) -> DataFrame:
+    """(value, n, observable_share, median_exposure of observable rows, median_outcome of all): do the numbers hang on where rows come from?"""
+    seen = F.coalesce(observable, F.lit(False))
+    return df.groupBy(F.col(dimension).cast("string").alias("value")).agg(F.count("*").alias("n"), F.avg(seen.cast("double")).alias("observable_share"), F.median(F.when(seen, F.col(exposure).cast("double"))).alias("median_exposure"), F.median(F.col(outcome).cast("double")).alias("median_outcome"))
+
+
+def sensitivity(df: DataFrame, variants: Mapping[str, Column], x: str, y: str, observable: Column | None = None, least_rows: int = 100) -> DataFrame:
+    """(variant, n, n_observable, n_both, mean_x, mean_y, correlation, interpretable) of each re-cut, all in one pass.
+
+    Means and the correlation are of observable rows; fewer than ``least_rows`` of them tell a direction only.
+    """
+    seen = F.coalesce(observable, F.lit(False)) if observable is not None else F.lit(True)
     aggs = []
     for i, c in enumerate(variants.values()):
-        a, b = F.when(F.coalesce(c, F.lit(False)), F.col(x)), F.when(F.coalesce(c, F.lit(False)), F.col(y))
-        aggs += [F.count_if(F.coalesce(c, F.lit(False))).alias(f"n{i}"), F.avg(a).alias(f"x{i}"), F.avg(b).alias(f"y{i}"), corr_guarded(a, b).alias(f"r{i}")]
+        own = F.coalesce(c, F.lit(False))
+        a, b = F.when(own & seen, F.col(x)), F.when(own & seen, F.col(y))
+        aggs += [F.count_if(own).alias(f"n{i}"), F.count_if(own & seen).alias(f"o{i}"), F.count_if(a.isNotNull() & b.isNotNull()).alias(f"b{i}"), F.avg(a).alias(f"x{i}"), F.avg(b).alias(f"y{i}"), corr_guarded(a, b).alias(f"r{i}")]
     one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"n{i}").alias("n"), F.col(f"x{i}").alias("mean_x"), F.col(f"y{i}").alias("mean_y"), F.col(f"r{i}").alias("correlation")) for i, v in enumerate(variants)])).alias("s")).select("s.*")
+    told = lambda i, v: F.struct(F.lit(v).alias("variant"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("n_observable"), F.col(f"b{i}").alias("n_both"), F.col(f"x{i}").alias("mean_x"), F.col(f"y{i}").alias("mean_y"), F.col(f"r{i}").alias("correlation"), (F.col(f"o{i}") >= least_rows).alias("interpretable"))
+    return one.select(F.explode(F.array(*[told(i, v) for i, v in enumerate(variants)])).alias("s")).select("s.*")
 
 
 def stratified_medians(df: DataFrame, band: str, stratum: str, value: str) -> DataFrame:

@@ -152,6 +152,74 @@ def test_states_and_spans(spark):
     assert [r[0] for r in s.select(ledger.span_issue("t", "q", "a", "z")).collect()] == [None, "text_differs", "out_of_range", "span_without_text", None, "no_span"]
 
 
+def test_citations_name_row_type_and_document(spark):
+    a = spark.createDataFrame([("a1", "d1", "e1", "career_event"), ("a2", "d2", "e2", "kin_edge"), ("a3", "d3", "e9", "career_event"), ("a4", None, "e5", "career_event")], "a string, d string, s string, t string")
+    rows = spark.createDataFrame([("e1", "a1", "d1"), ("e2", "a2", "dx"), ("e3", "a3", None), ("e4", "zz", "d1"), ("e6", None, "d1"), ("e5", "a4", "d9")], "id string, c string, doc string")
+    got = {(r.id, r.issue) for r in ledger.citation_issues(rows, "id", "c", "doc", a, "a", "d", "s", "career_event", "t").collect()}
+    assert got == {("e2", "cites_another_row"), ("e2", "another_document"), ("e3", "cites_another_row"), ("e4", "no_assertion"), ("e6", "no_assertion")}
+
+
+def test_stored_tiers_and_routes_follow_the_policy(spark):
+    ladder, routes = [("HIGH", 0.6), ("MEDIUM", 0.3), ("LOW", 0.0)], {"HIGH": "human_review", "MEDIUM": "second_pass", "LOW": "auto_accept"}
+    s = spark.createDataFrame([("r1", 0.7, "HIGH"), ("r2", 0.7, "LOW"), ("r3", 0.3, "MEDIUM"), ("r4", -1.0, "LOW"), ("r5", 0.1, None)], "risk string, score double, tier string")
+    assert {(r.risk, r.expected) for r in ledger.risk_tier_issues(s, "risk", "score", "tier", ladder).collect()} == {("r2", "HIGH"), ("r4", None), ("r5", "LOW")}
+    q = spark.createDataFrame([("i1", "r1", "human_review"), ("i2", "r3", "human_review"), ("i3", None, "human_review"), ("i4", None, "auto_accept"), ("i5", "zz", "auto_accept"), ("i6", "r1", "second_pass")], "item string, risk_id string, route string")
+    got = {(r.item, r.issue) for r in ledger.routing_issues(q, "item", "risk_id", "route", s, "risk", "tier", routes, reserved="HIGH").collect()}
+    assert got == {("i2", "off_policy"), ("i2", "human_below_reserved"), ("i3", "human_without_score"), ("i5", "unknown_score"), ("i6", "off_policy")}
+
+
+def test_primary_indicators_read_known_slots(spark):
+    P, N, U = "positive", "explicit_negative", "unknown"
+    rows = [("a", "name", P), ("a", "name", U), ("a", "name", U), ("a", "office", N), ("a", "office", U), ("a", "degree", U)]  # one known slot, and it is negative
+    rows += [("b", "name", P)] * 3 + [("b", x, N) for x in ("office", "degree") for _ in range(3)]
+    rows += [("c", "name", P), ("c", "name", P), ("c", "office", P), ("c", "degree", N)] + [("d", "name", U), ("d", "office", N)]
+    df = spark.createDataFrame(rows, "e string, a string, s string")
+    got = {r.e: r for r in ledger.primary_indicators(df, "e", "a", "s", ["office", "degree"]).collect()}
+    told = {e: (r.n_known_slots, r.coverage_2, r.office_indicator, r.degree_indicator, r.any_capital, r.commoner, r.office_share) for e, r in got.items()}
+    assert told == {"a": (1, 0, 0, None, None, None, 1.0), "b": (3, 1, 0, 0, 0, 1, 1.0), "c": (2, 1, 1, None, 1, 0, 0.5), "d": (0, 0, None, None, None, None, None)}
+    with pytest.raises(ledger.ContractError):
+        ledger.primary_indicators(df.union(spark.createDataFrame([("a", "name", "conflict")], df.schema)), "e", "a", "s", ["office"])
+    with pytest.raises(ledger.ContractError):
+        ledger.primary_indicators(df, "e", "a", "s", ["office"], reviewed=F.col("e") != "b")
+
+
+def test_structured_values_need_no_span(spark):
+    df = spark.createDataFrame([(1, None, "王", "src", "kin", True), (2, "x王y", "王", "src", "llm", False), (3, "xy", "王", "src", "llm", None), (4, "xy", " ", "src", "llm", False)], "id int, t string, name string, src string, ext string, wait boolean")
+    got = {r.subject_id: (r.assertion_state, r.value, r.quote_start, r.quote_end, r.source_id, r.extractor, r.review_status) for r in ledger.assertions_from_slots(df, "id", "t", ["name"], source="src", extractor="ext", pending="wait").collect()}
+    assert got == {1: ("positive", "王", None, None, "src", "kin", "pending"), 2: ("positive", "王", 1, 2, "src", "llm", "not_required"), 3: ("conflict", None, None, None, None, "migration", "not_required"), 4: ("unknown", None, None, None, None, "migration", "not_required")}
+
+
+def test_risk_components(spark):
+    rows = [(1, "p", "father", "K", "prefect of X", 1, "ab", 0, 2, 7, None), (2, "p", "father", "L", "weaver", 1, "zz", 0, 2, 7, "A9"), (3, "p", "cousin?", None, None, 0, None, None, None, 8, ""), (4, "q", "father", "K", "", -1, "q", None, None, 9, None), (5, "p", "father", "K", None, None, "ab", 0, 2, 7, None)]
+    df = spark.createDataFrame(rows, "id int, focal string, relation string, kin string, office string, generation int, quote string, start int, stop int, page int, alter string")
+    pages = spark.createDataFrame([(7, "abc", 0.25), (8, None, 3.0)], "page int, text string, ocr_uncertainty double")
+    years = spark.createDataFrame([("p", 1700), ("K", 1720), ("q", 1750), ("L", 1680)], "person string, year int")
+    out = ledger.risk_components(df, "id", pages, "page", "text", ["father", "mother"], ["prefect"], ["father"], years)
+    names = ["evidence_span_failure", "rare_relation", "office_unknown", "chronology_violation", "source_conflict", "linkage_uncertainty", "ocr_uncertainty", "parser_disagreement", "duplicate_of_previous"]
+    got = {r.id: tuple(r[n] for n in names) for r in out.collect()}
+    assert got == {1: (0, 0, 0, 1, 1, 0.5, 0.25, 0, False), 2: (1, 0, 1, 0, 1, 0, 0.25, 0, False), 3: (1, 1, 0, 0, 0, 1, 1, 0, False), 4: (0, 0, 0, 1, 0, 0.5, 0, 0, False), 5: (0, 0, 0, 0, 1, 0.5, 0.25, 0, True)}
+
+
+def test_ledger_tables(spark):
+    d = ledger.source_documents(spark.createDataFrame([("T",), ("T",), (None,)], "t string"), "t", spark.createDataFrame([("v1#bio", "text"), ("v2", None), (None, "x")], "at string, text string"), "at", "text")
+    assert {(r.document_type, r.title, r.volume, r.chars) for r in d.collect()} == {("structured_record", "T", None, None), ("biography", "bio", "v1", 4), ("biography", "v2", "v2", None)}
+    r = ledger.review_decisions(spark.createDataFrame([(1, None, "A", "ok"), (2, "accepted", None, None)], "p int, s string, n string, v string"), "p", "s", {"F": ("n", "v")})
+    assert {(x.decision_id, x.decision, x.proposed_value) for x in r.collect()} == {("review:1:F:name", "pending", "A"), ("review:2:F:name", "accepted", None)}
+    e = ledger.entities(spark.createDataFrame([(1, "reg", None), (2, "x", "high"), (3, "x", None)], "p int, src string, c string"), "p", "src", "reg", "c")
+    assert {(x.p, x.resolution_status, x.link_status) for x in e.collect()} == {("1", "resolved", "explicit_id"), ("2", "resolved", "accepted_cross_link"), ("3", "unresolved", "review_pending")}
+
+
+def test_gate_reads_both_sides(spark):
+    rows = [(i, "a" if i % 50 else "b", float(i), i % 3, True) for i in range(300)] + [(1000 + i, "a", None, 1, True) for i in range(10)] + [(2000 + i, "a", 1.0, 1, False) for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y int, seen boolean")
+    g = survey.data_gate(df, "y", "x", ["g"], F.col("seen"), "id", 100, 5).first()
+    assert (g.n, g.n_observable, g.n_both, g.n_small_cells, g.n_sparse, g.reasons, g.decision) == (320, 310, 300, 0, 0, "", "model_allowed")
+    one = survey.data_gate(df.withColumn("y", F.lit(1)), "y", "x", ["g"], F.col("seen"), "id", 100, 7).first()
+    assert one.reasons == "small_cells;outcome_without_variance" and one.n_sparse is None
+    same = survey.data_gate(df.withColumn("x", F.col("y").cast("double")), "y", "x", ["g"], None, "id", 100, 5).first()
+    assert same.reasons == "sparse_cells"
+
+
 def test_logit_is_log_odds(spark):
     import math
 
