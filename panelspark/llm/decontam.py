@@ -127,7 +127,7 @@ class Templates:
             self.h, self.first, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h, self.first, self.flags))
         t, first, number, opens, closes, ends = canonical(w)
         unit, name = len(t) == 1 and not t[0][1] and t[0][2] in UNITS, len(t) == 1 and t[0][1] == NAME
-        self.flags[i] = bool(t) | 2 * (number and closes) | 4 * unit | 8 * (len(t) > 1 or (name and first[0][2] in UNITS)) | 16 * ends | 32 * (name and opens) | 64 * (name and closes) | 128 * name
+        self.flags[i] = bool(t) | 2 * (number and closes) | 4 * unit | 8 * (len(t) > 1) | 16 * ends | 32 * (name and opens) | 64 * (name and closes) | 128 * name
         if len(t) == 1:
             self.h[i], self.first[i] = t[0][0], first[0][0]
 
