@@ -10,7 +10,7 @@ from panelspark.catalog.aggregates import tree
 from panelspark.catalog.linkage import EDGES, _edges
 from panelspark.catalog.surveys import LABELLED, labelled
 from panelspark.functions import logic
-from panelspark.operators import extract, kin, linkage, sets, survey
+from panelspark.operators import extract, kin, linkage, panel, sets, survey
 from panelspark.plans import pipelines
 
 
@@ -174,22 +174,19 @@ def link_study(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, o_orderkey, n_name FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal < 0) JOIN orders ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT user_id FROM events)")
 def eligibility_join(t: Tables) -> DataFrame:
-    gap = t.customer.where("c_acctbal < 0").join(t.events, F.col("c_custkey") == F.col("user_id"), "left_semi")
-    return gap.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "o_orderkey", "n_name")
+    return sets.eligible(t.customer.where("c_acctbal < 0"), "c_custkey", t.events, "user_id", t.orders, "o_custkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "o_orderkey", "n_name")
 
 
 @query("SELECT n_name, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY s_nationkey) ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
 def wanted_name_counts(t: Tables) -> DataFrame:
-    wanted = t.nation.where("n_regionkey = 1")
-    n = t.supplier.join(F.broadcast(wanted), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    return wanted.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return sets.wanted_counts(t.nation.where("n_regionkey = 1"), "n_nationkey", t.supplier, "s_nationkey").select("n_name", "n")
 
 
-@query("SELECT l_id, r_id, CASE WHEN l_id % 5 = r_id % 5 THEN 'agrees' ELSE 'contradicts' END AS explicit FROM (SELECT a.s_suppkey AS l_id, b.s_suppkey AS r_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)")
+@query("SELECT l_id, r_id, CASE WHEN l_id % 2 = 1 THEN 'none' WHEN l_id % 5 = r_id % 5 THEN 'agrees' ELSE 'contradicts' END AS explicit FROM (SELECT a.s_suppkey AS l_id, b.s_suppkey AS r_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)")
 def explicit_link_conflicts(t: Tables) -> DataFrame:
     p = linkage.self_pairs(t.supplier, "s_nationkey", "s_suppkey").select("l_id", "r_id")
-    x = t.supplier.select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 5).alias("m"))
-    return p.join(x, F.col("l_id") == F.col("k"), "left").select("l_id", "r_id", F.when(F.col("m") == F.col("r_id") % 5, "agrees").otherwise("contradicts").alias("explicit"))
+    x = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 5).alias("m"))
+    return linkage.explicit_conflicts(p, "l_id", "r_id", x, "k", "m", F.col("r_id") % 5).select("l_id", "r_id", "explicit")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
@@ -205,24 +202,118 @@ def frame_summary(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS tiers, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'F' WHEN bool_or(o_orderstatus = 'O') THEN 'O' ELSE 'P' END AS highest FROM orders GROUP BY o_custkey")
 def tier_crosswalk(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s")).select("o_custkey", F.array_join(F.array_sort("s"), "|").alias("tiers"), logic.priority_label("s", ["F", "O"], "P").alias("highest"))
+    return panel.tier_crosswalk(t.orders, "o_custkey", "o_orderstatus", ["F", "O"], "P")
 
 
 @query("""WITH a AS (SELECT c_custkey AS uid, c_name AS name, c_nationkey AS nation, 'c' AS src FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT s_suppkey AS uid, s_name AS name2, s_nationkey AS nation2 FROM supplier)
 SELECT coalesce(a.uid, b.uid) AS uid, coalesce(name, name2) AS name, coalesce(nation, nation2) AS nation, CASE WHEN a.uid IS NOT NULL AND b.uid IS NOT NULL THEN 'both' WHEN a.uid IS NOT NULL THEN 'first' ELSE 'second' END AS provenance FROM a FULL JOIN b ON a.uid = b.uid""")
 def entity_master(t: Tables) -> DataFrame:
-    a = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ua"), F.col("c_name").alias("na"), F.col("c_nationkey").alias("ka"))
-    b = t.supplier.select(F.col("s_suppkey").alias("ub"), F.col("s_name").alias("nb"), F.col("s_nationkey").alias("kb"))
-    both = F.col("ua").isNotNull() & F.col("ub").isNotNull()
-    return a.join(b, F.col("ua") == F.col("ub"), "full").select(F.coalesce("ua", "ub").alias("uid"), F.coalesce("na", "nb").alias("name"), F.coalesce("ka", "kb").alias("nation"), F.when(both, "both").when(F.col("ua").isNotNull(), "first").otherwise("second").alias("provenance"))
+    a = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    b = t.supplier.select(F.col("s_suppkey").alias("uid"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return sets.assemble_master(a, b, "uid", ["name", "nation"])
 
 
 @query("SELECT o_custkey, o_orderkey, sets AS n_sets FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey, count(DISTINCT o_orderdate) AS sets FROM orders GROUP BY o_custkey) WHERE sets > 1")
 def duplication_audit(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"), F.countDistinct("o_orderdate").alias("n_sets")).where("n_sets > 1")
+    return panel.duplication_audit(t.orders, "o_custkey", "o_orderkey", "o_orderdate")
 
 
 @query()
 def analysis_study(t: Tables) -> DataFrame:
     out = pipelines.analysis(labelled(t), "quality", "n_chars", "lang")
     return sets.align_union(out["prevalence"], out["sensitivity"])
+
+
+GOLD = """d AS (SELECT doc_id, doc_id % 40 AS page, lang AS relation, source AS name FROM documents), g AS (SELECT page, relation, name, min(CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END) AS o FROM d WHERE doc_id % 2 = 0 AND page < 30 GROUP BY ALL), p AS (SELECT page, relation, name, min(CASE WHEN doc_id % 5 = 0 THEN 'c' ELSE 'b' END) AS o FROM (SELECT doc_id, page, CASE WHEN doc_id % 11 = 0 THEN 'xx' ELSE relation END AS relation, CASE WHEN doc_id % 13 = 0 THEN 'nobody' ELSE name END AS name FROM d WHERE doc_id % 3 <> 1) GROUP BY ALL)"""
+
+
+@query(f"""WITH {GOLD}, q AS (SELECT * FROM p WHERE page IN (SELECT page FROM g)), j AS (SELECT g.page AS gp, g.relation AS gr, g.name AS gn, g.o AS go, q.page AS pp, q.name AS pn, q.o AS po, g.page IS NOT NULL AS g, q.page IS NOT NULL AS p FROM g FULL JOIN q ON g.page = q.page AND g.relation IS NOT DISTINCT FROM q.relation AND g.name IS NOT DISTINCT FROM q.name), t AS (SELECT doc_id AS page, text FROM documents WHERE doc_id < 40)
+SELECT pp AS page, pn AS name, 'predicted_not_in_gold' AS kind, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.page = pp AND g.name IS NOT DISTINCT FROM pn) THEN 'relation_error' ELSE 'spurious_row' END AS error_class FROM j WHERE NOT g
+UNION ALL SELECT gp, gn, 'gold_not_predicted', CASE WHEN coalesce((gr = 'en' AND contains(coalesce(text, ''), 'the')) OR (gr = 'fr' AND contains(coalesce(text, ''), 'zz')), false) THEN 'missed_entry' ELSE 'ocr_induced_relation_loss' END FROM j LEFT JOIN t ON t.page = gp WHERE NOT p
+UNION ALL SELECT gp, gn, 'office_mismatch', CASE WHEN go = 'a' AND po = 'c' THEN 'office_priority_confusion' ELSE 'office_conflict' END FROM j WHERE g AND p AND go <> po""")
+def gold_mismatches(t: Tables) -> DataFrame:
+    key = F.col("doc_id")
+    d = t.documents.select("doc_id", (key % 40).alias("page"), F.col("lang").alias("relation"), F.col("source").alias("name"))
+    g = d.where("doc_id % 2 = 0 AND page < 30").groupBy("page", "relation", "name").agg(F.min(F.when(key % 3 == 0, "a").otherwise("b")).alias("o"))
+    p = d.where("doc_id % 3 <> 1").withColumn("relation", F.when(key % 11 == 0, "xx").otherwise(F.col("relation"))).withColumn("name", F.when(key % 13 == 0, "nobody").otherwise(F.col("name"))).groupBy("page", "relation", "name").agg(F.min(F.when(key % 5 == 0, "c").otherwise("b")).alias("o"))
+    pages = t.documents.where("doc_id < 40").select(key.alias("page"), "text")
+    return extract.gold_mismatches(g, p, "page", "relation", "name", "o", pages, {"en": ["the"], "fr": ["zz"]}, [("a", "c")])
+
+
+CASES = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'x' ELSE source END AS told, CASE WHEN doc_id % 5 <> 0 THEN source END AS gold, doc_id % 3 <> 0 AS seen, CASE WHEN doc_id % 6 = 0 THEN 'qqqzzz' ELSE substr(text, 5, 10) END AS quote, text FROM documents"
+VERDICTS = f"SELECT doc_id, CASE WHEN gold IS NOT NULL AND seen THEN CASE WHEN told IS NULL THEN 'abstain' WHEN contains(gold, told) OR contains(told, gold) THEN 'match' ELSE 'wrong_name' END WHEN told IS NULL THEN 'correct_abstention' WHEN gold IS NOT NULL THEN 'asserted_without_passage_evidence' ELSE 'no_gold_to_compare' END AS verdict, CASE WHEN gold IS NOT NULL AND told IS NOT NULL THEN CASE WHEN contains(gold, told) OR contains(told, gold) THEN 'match' ELSE 'mismatch' END WHEN gold IS NOT NULL THEN 'abstained' WHEN told IS NOT NULL THEN 'no_gold_to_compare' ELSE 'n/a' END AS value_verdict FROM ({CASES})"
+
+
+def _cases(t: Tables) -> DataFrame:
+    key = F.col("doc_id")
+    return t.documents.select("doc_id", F.when(key % 4 == 0, F.lit(None)).when(key % 7 == 0, F.lit("x")).otherwise(F.col("source")).alias("told"), F.when(key % 5 != 0, F.col("source")).alias("gold"), (key % 3 != 0).alias("seen"), F.when(key % 6 == 0, "qqqzzz").otherwise(F.substring("text", 5, 10)).alias("quote"), "text")
+
+
+@query(VERDICTS)
+def extraction_verdicts(t: Tables) -> DataFrame:
+    return _cases(t).select("doc_id", extract.name_verdict("told", "gold", "seen").alias("verdict"), extract.value_verdict("told", "gold").alias("value_verdict"))
+
+
+FIDELITY = f"SELECT doc_id % 20 AS c, count(*) FILTER (told) AS non_null, count(*) FILTER (told AND quoted) AS with_evidence, count(*) FILTER (told AND stands) AS verbatim, count(*) FILTER (told AND NOT stands) AS unsupported FROM (SELECT doc_id, coalesce(length(trim(told)) > 0, false) AS told, coalesce(length(trim(quote)) > 0, false) AS quoted, coalesce(k <> '' AND contains(translate(text, ' ' || chr(10) || chr(9) || '　，。、', ''), k), false) AS stands FROM (SELECT *, translate(quote, ' ' || chr(10) || chr(9) || '　，。、', '') AS k FROM ({CASES}))) GROUP BY 1"
+
+
+@query(FIDELITY)
+def evidence_fidelity(t: Tables) -> DataFrame:
+    return extract.evidence_fidelity(_cases(t).withColumn("c", F.col("doc_id") % 20), "c", "told", "quote", "text")
+
+
+@query(f"""WITH f AS (SELECT sum(non_null)::BIGINT AS nn, sum(verbatim)::BIGINT AS vb, sum(unsupported)::BIGINT AS un FROM ({FIDELITY})), v AS (SELECT count(*) FILTER (verdict = 'match') AS r, count(*) FILTER (verdict IN ('match', 'wrong_name', 'abstain')) AS ip, count(*) FILTER (verdict = 'correct_abstention') AS k, count(*) FILTER (verdict = 'asserted_without_passage_evidence') AS a FROM ({VERDICTS}))
+SELECT 'evidence_fidelity_pct' AS metric, coalesce(round(100 * vb / nullif(nn, 0)::DOUBLE, 2), 0) AS value, nn AS n FROM f UNION ALL SELECT 'identity_accuracy_pct', coalesce(round(100 * r / nullif(ip, 0)::DOUBLE, 2), 0), ip FROM v UNION ALL SELECT 'abstention_pct', coalesce(round(100 * k / nullif(k + a, 0)::DOUBLE, 2), 0), k + a FROM v UNION ALL SELECT 'hallucination_pct', coalesce(round(100 * (un + a) / (greatest(nn, 1) + a)::DOUBLE, 2), 0), nn + a FROM f, v""")
+def extraction_summary(t: Tables) -> DataFrame:
+    c = _cases(t)
+    return extract.extraction_summary(extract.evidence_fidelity(c, "doc_id", "told", "quote", "text"), c.select(extract.name_verdict("told", "gold", "seen").alias("verdict")), "verdict")
+
+
+LOG = "SELECT o_custkey AS person, o_orderpriority AS source, CASE WHEN o_orderstatus = 'F' THEN 'found' WHEN o_orderstatus = 'O' THEN 'not_found' ELSE 'error' END AS outcome, o_orderkey % 2 = 0 AS own, o_totalprice > 100000 AS ident, o_totalprice > 250000 AS office, o_totalprice > 400000 AS kin FROM orders"
+FLAGS = f"""SELECT person, bool_or(ident) AS ident_hit, bool_or(ident AND own) AS ident_attributed, min(source) FILTER (ident AND own) AS ident_source, bool_or(office) AS office_hit, bool_or(office AND own) AS office_attributed, min(source) FILTER (office AND own) AS office_source, bool_or(kin) AS kin_hit, bool_or(kin AND own) AS kin_attributed, min(source) FILTER (kin AND own) AS kin_source,
+count(DISTINCT source) FILTER (outcome <> 'error') = 3 AS complete, count(DISTINCT source) FILTER (outcome <> 'error' AND source = '1-URGENT') = 1 AS complete_required, bool_or(ident AND own) AND bool_or(office AND own) AS effective FROM ({LOG}) WHERE source IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY person"""
+
+
+def _flags(t: Tables) -> DataFrame:
+    s = F.col("o_orderstatus")
+    price = F.col("o_totalprice")
+    log = t.orders.select(F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("source"), F.when(s == "F", "found").when(s == "O", "not_found").otherwise("error").alias("outcome"), (F.col("o_orderkey") % 2 == 0).alias("own"), (price > 100000).alias("ident"), (price > 250000).alias("office"), (price > 400000).alias("kin"))
+    return survey.protocol_flags(log, "person", "source", "outcome", ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["1-URGENT"], "own", ["ident", "office", "kin"])
+
+
+@query(FLAGS)
+def protocol_flags(t: Tables) -> DataFrame:
+    return _flags(t)
+
+
+SUMMARY = f"""SELECT c_mktsegment, count(*) AS n, round(avg(complete::INT), 4) AS completion, round(avg(complete_required::INT), 4) AS completion_required, round(avg(effective::INT), 4) AS information, round(avg(ident_hit::INT), 4) AS ident_hit_rate, round(avg(office_hit::INT), 4) AS office_hit_rate, round(avg(kin_hit::INT), 4) AS kin_hit_rate, round(avg(ident_attributed::INT), 4) AS ident_attributed_rate FROM ({FLAGS}) JOIN customer ON c_custkey = person GROUP BY c_mktsegment"""
+
+
+@query(f"SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 40 ELSE 0 END AS frame_size, CASE c_mktsegment WHEN 'BUILDING' THEN 20.0::DOUBLE ELSE 0 END AS manual_minutes FROM ({SUMMARY})")
+def protocol_summary(t: Tables) -> DataFrame:
+    return survey.protocol_summary(_flags(t).join(t.customer, F.col("c_custkey") == F.col("person")), "c_mktsegment", ["ident", "office", "kin"], frame={"BUILDING": 40})
+
+
+@query(f"SELECT CASE WHEN f = '' THEN 'PASS' ELSE 'FAIL' END AS status, f AS failures FROM (SELECT coalesce(string_agg(x, '; ' ORDER BY x), '') AS f FROM (SELECT c_mktsegment || ': completion' AS x FROM ({SUMMARY}) WHERE completion < 0.8 UNION ALL SELECT c_mktsegment || ': information' FROM ({SUMMARY}) WHERE information < 0.2))")
+def information_gate(t: Tables) -> DataFrame:
+    s = survey.protocol_summary(_flags(t).join(t.customer, F.col("c_custkey") == F.col("person")), "c_mktsegment", ["ident", "office", "kin"])
+    return survey.information_gate(s, "c_mktsegment")
+
+
+@query("""WITH x AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'early' ELSE 'late' END AS cohort, * FROM orders), s AS (SELECT cohort, 'documented' AS measure, CAST(NULL AS VARCHAR) AS value, count(*) AS n, avg((o_totalprice > 200000)::INT) AS share, 'CROSS_PERIOD_CONSISTENT' AS classification FROM x GROUP BY cohort UNION ALL SELECT cohort, 'persistent', NULL, count(*) FILTER (o_orderstatus = 'F'), avg((o_totalprice > 300000)::INT) FILTER (o_orderstatus = 'F'), 'NOT_COMPARABLE' FROM x GROUP BY cohort),
+c AS (SELECT cohort, 'priority', coalesce(o_orderpriority, 'unknown') AS value, count(*) AS n, count(*) / (sum(count(*)) OVER (PARTITION BY cohort))::DOUBLE AS share, 'PERIOD_SPECIFIC' FROM x GROUP BY cohort, o_orderpriority QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY count(*) DESC, coalesce(o_orderpriority, 'unknown')) <= 3) SELECT cohort, measure, value, n, round(share, 9) AS share, classification FROM (SELECT * FROM s UNION ALL SELECT * FROM c)""")
+def compared_cohorts(t: Tables) -> DataFrame:
+    both = {"early": t.orders.where("o_orderkey % 2 = 0"), "late": t.orders.where("o_orderkey % 2 = 1")}
+    shares = {"documented": (F.lit(True), F.col("o_totalprice") > 200000, "CROSS_PERIOD_CONSISTENT"), "persistent": (F.col("o_orderstatus") == "F", F.col("o_totalprice") > 300000, "NOT_COMPARABLE")}
+    return survey.compare_cohorts(both, shares, {"priority": ("o_orderpriority", "PERIOD_SPECIFIC"), "lost": ("no_such_column", "NOT_COMPARABLE")}, 3).withColumn("share", F.round("share", 9))
+
+
+@query()
+def logit_fallback(t: Tables) -> DataFrame:
+    return survey.logit_with_fallback(labelled(t), "quality", [("full", ["lang", "source"], ["n_chars"]), ("language", ["lang"], []), ("bare", [], ["n_chars"])])
+
+
+@query()
+def roster_entries(t: Tables) -> DataFrame:
+    parse = extract.roster_entries(["the", "then"], r"[A-Za-z]{3,12}", r"\s+", marks={"place": ["in", "on"]})
+    return t.documents.select("doc_id", F.explode(parse("text")).alias("r")).select("doc_id", "r.*")

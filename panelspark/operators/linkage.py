@@ -352,3 +352,10 @@ def recall_summary(subjects: DataFrame, subject: str, candidates: DataFrame) ->
     """One row: subjects, those with a candidate, their share, and candidates."""
     n = candidates.groupBy(subject).agg(F.count("*").alias("k"))
     return subjects.select(subject).join(n, subject, "left").agg(F.count("*").alias("n_subjects"), F.count("k").alias("n_with"), F.avg(F.col("k").isNotNull().cast("double")).alias("coverage"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_candidates"))
+
+
+def explicit_conflicts(pairs: DataFrame, left: str, right: str, explicit: DataFrame, subject: str, target: str, right_target: Column) -> DataFrame:
+    """``pairs`` with ``explicit``: agrees or contradicts where the left side has an explicit link, and none where it has not; ``link`` is its target."""
+    x = explicit.select(F.col(subject).alias("__s"), F.col(target).alias("link"))
+    told = F.when(F.col("__s").isNull(), "none").when(F.col("link").eqNullSafe(right_target), "agrees").otherwise("contradicts")
+    return pairs.join(x, F.col(left) == F.col("__s"), "left").withColumn("explicit", told).drop("__s")

@@ -236,3 +236,16 @@ def collapse_spells_ranged(df: DataFrame, keys: Keys, order: str, max_gap: float
     out = marked.join(F.broadcast(offset), "__part").withColumn("__n", number).groupBy(*keys, "__n").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n_observations"), F.countDistinct(order).alias("n_distinct"), *aggs)
     ident = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("first").cast("string"))
     return rank_within(out, keys, ["__n"], "spell").drop("__n").withColumn("spell_id", F.substring(F.sha2(ident, 256), 1, 16))
+
+
+def tier_crosswalk(df: DataFrame, entity: str, state: str, order: Sequence[str], otherwise: str, sep: str = "|") -> DataFrame:
+    """(entity, tiers, highest): all states an entity ever had, sorted, and the first of ``order`` among them."""
+    from panelspark.functions.logic import priority_label
+
+    s = df.groupBy(entity).agg(F.collect_set(state).alias("__s"))
+    return s.select(entity, F.array_join(F.array_sort("__s"), sep).alias("tiers"), priority_label("__s", list(order), otherwise).alias("highest"))
+
+
+def duplication_audit(df: DataFrame, entity: str, id_col: str, edition: str) -> DataFrame:
+    """(entity, first id, n_sets) of entities that stand in more than one edition."""
+    return df.groupBy(entity).agg(F.min(id_col).alias(id_col), F.countDistinct(edition).alias("n_sets")).where("n_sets > 1")

@@ -102,3 +102,24 @@ def next_ids(df: DataFrame, order: Sequence[str], start: int, out: str) -> DataF
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` of each group; Spark cuts groups to n before the shuffle."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
+
+
+def wanted_counts(wanted: DataFrame, key: str, records: DataFrame, name: str) -> DataFrame:
+    """``wanted`` with ``n``, how many records bear each name; none is 0. Records of other names are dropped before they are counted."""
+    w = wanted.select(F.col(key).alias("__w")).where("__w IS NOT NULL").distinct()
+    n = records.join(w, F.col(name) == F.col("__w"), "left_semi").groupBy(F.col(name).alias("__n")).agg(F.count("*").alias("n"))
+    return wanted.join(n, F.col(key) == F.col("__n"), "left").drop("__n").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def eligible(entities: DataFrame, key: str, evidence: DataFrame, named: str, details: DataFrame, ref: str, how: str = "inner") -> DataFrame:
+    """Entities that the evidence names, with their details; evidence is only looked up and never multiplies rows."""
+    gap = entities.join(evidence.select(F.col(named).alias("__e")), F.col(key) == F.col("__e"), "left_semi")
+    return gap.join(details, F.col(key) == F.col(ref), how)
+
+
+def assemble_master(first: DataFrame, second: DataFrame, key: str, columns: list[str], labels: tuple[str, str, str] = ("both", "first", "second")) -> DataFrame:
+    """(key, columns, provenance) of two sources joined in full: the first source's values, else the second's."""
+    b = second.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__b"))
+    j = first.select(key, *columns, F.lit(True).alias("__a")).join(b, F.col(key) == F.col("__k"), "full")
+    source = F.when(F.col("__a") & F.col("__b"), labels[0]).when(F.col("__a"), labels[1]).otherwise(labels[2])
+    return j.select(F.coalesce(key, "__k").alias(key), *[F.coalesce(c, f"__{c}").alias(c) for c in columns], source.alias("provenance"))

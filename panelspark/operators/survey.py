@@ -125,6 +125,99 @@ def protocol(entities: DataFrame, id_col: str, log: DataFrame, order: Sequence[s
     return out.select(id_col, state.alias("outcome"), "source", F.coalesce("n_searched", F.lit(0)).cast("long").alias("n_searched"))
 
 
+def protocol_flags(log: DataFrame, person: str, source: str, outcome: str, order: Sequence[str], required: Sequence[str], attributed: str, facts: Sequence[str], terminal: Sequence[str] = ("found", "not_found")) -> DataFrame:
+    """One row a person of look-ups in fixed order: completion, and for each fact whether any source, and any that names the person, has it.
+
+    facts: boolean columns, the first the identity, the last the ancestry. complete: all sources ended; effective: an attributed identity and another attributed
+    fact before the last. ``FACT_source`` is the first attributed source that has the fact.
+    """
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(source))
+    done = F.col(outcome).isin(*terminal)
+    own = F.coalesce(F.col(attributed), F.lit(False))
+    aggs = [F.countDistinct(F.when(done, F.col(source))).alias("__done"), F.countDistinct(F.when(done & F.col(source).isin(*required), F.col(source))).alias("__req")]
+    for f in facts:
+        has = F.coalesce(F.col(f), F.lit(False))
+        aggs += [F.bool_or(has).alias(f"{f}_hit"), F.bool_or(has & own).alias(f"{f}_attributed"), F.min_by(source, F.when(has & own, at)).alias(f"{f}_source")]
+    out = log.where(F.col(source).isin(*order)).groupBy(person).agg(*aggs)
+    more = F.lit(False)
+    for f in facts[1:-1]:
+        more = more | F.col(f"{f}_attributed")
+    return out.withColumn("complete", F.col("__done") == len(order)).withColumn("complete_required", F.col("__req") == len(required)).withColumn("effective", F.col(f"{facts[0]}_attributed") & more).drop("__done", "__req")
+
+
+def protocol_summary(flags: DataFrame, stratum: str, facts: Sequence[str], seconds: str | None = None, frame: Mapping[str, int] | None = None, minutes: float = 0.5) -> DataFrame:
+    """One row a stratum: people, completion, hit and information rates; with ``seconds``, mean time and what the frozen sample (``frame``) will take."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    aggs = [F.count("*").alias("n"), rate("complete").alias("completion"), rate("complete_required").alias("completion_required"), rate("effective").alias("information")]
+    aggs += [rate(f"{f}_hit").alias(f"{f}_hit_rate") for f in facts] + [rate(f"{facts[0]}_attributed").alias(f"{facts[0]}_attributed_rate")]
+    if seconds:
+        aggs.append(F.round(F.avg(seconds), 2).alias("seconds_per_person"))
+    out = flags.groupBy(stratum).agg(*aggs)
+    if frame is not None:
+        size = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in frame.items() for x in kv]), F.col(stratum)), F.lit(0))
+        out = out.withColumn("frame_size", size).withColumn("manual_minutes", F.round(size * minutes, 1))
+        if seconds:
+            mean = flags.agg(F.avg(seconds).alias("__mean"))  # of all people, as the projection is
+            out = out.crossJoin(F.broadcast(mean)).withColumn("machine_minutes", F.round(size * F.col("__mean") / 60, 1)).drop("__mean")
+    return out
+
+
+def information_gate(summary: DataFrame, stratum: str, completion: float = 0.8, information: float = 0.2, column: str = "completion") -> DataFrame:
+    """One row: PASS if every stratum completes and informs enough, and what fails."""
+    low = F.array_compact(F.array(F.when(F.col(column) < completion, F.concat(F.col(stratum).cast("string"), F.lit(": completion"))), F.when(F.coalesce("information", F.lit(0.0)) < information, F.concat(F.col(stratum).cast("string"), F.lit(": information")))))
+    out = summary.agg(F.array_join(F.array_sort(F.flatten(F.collect_list(low))), "; ").alias("failures"))
+    return out.select(F.when(F.col("failures") == "", "PASS").otherwise("FAIL").alias("status"), "failures")
+
+
+#: How far a measure may be compared between periods; fixed values.
+COMPARABLE = ("CROSS_PERIOD_CONSISTENT", "PERIOD_SPECIFIC", "NOT_COMPARABLE")
+
+
+def compare_cohorts(cohorts: Mapping[str, DataFrame], shares: Mapping[str, tuple[Column, Column, str]] = {}, compositions: Mapping[str, tuple[str, str]] = {}, top: int = 8) -> DataFrame:  # noqa: B006
+    """(cohort, measure, value, n, share, classification): cohorts side by side, never pooled.
+
+    shares: measure to (denominator, condition, classification); a cohort without rows in the denominator has no share. compositions:
+    measure to (column, classification), the ``top`` values of each cohort, the unknown as ``unknown``; a column that a
+    cohort lacks is left out.
+    """
+    out = None
+    for cohort, df in cohorts.items():
+        parts = []
+        if shares:
+            one = df.agg(*[x for i, (d, c, _) in enumerate(shares.values()) for x in (F.count_if(F.coalesce(d, F.lit(False))).alias(f"d{i}"), F.count_if(F.coalesce(d & c, F.lit(False))).alias(f"c{i}"))])
+            cells = [F.struct(F.lit(m).alias("measure"), F.lit(None).cast("string").alias("value"), F.col(f"d{i}").alias("n"), F.try_divide(F.col(f"c{i}"), F.col(f"d{i}")).alias("share"), F.lit(k).alias("classification")) for i, (m, (_, _, k)) in enumerate(shares.items())]
+            parts.append(one.select(F.explode(F.array(*cells)).alias("s")).select("s.*"))
+        for m, (col, k) in compositions.items():
+            if col in df.columns:
+                n = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+                total = n.agg(F.sum("n").alias("total"))
+                best = n.orderBy(F.desc("n"), "value").limit(top).crossJoin(F.broadcast(total))
+                parts.append(best.select(F.lit(m).alias("measure"), "value", "n", (F.col("n") / F.col("total")).alias("share"), F.lit(k).alias("classification")))
+        for p in parts:
+            p = p.withColumn("cohort", F.lit(cohort))
+            out = p if out is None else out.unionByName(p)
+    return out.select("cohort", "measure", "value", "n", "share", "classification")
+
+
+def logit_with_fallback(df: DataFrame, outcome: str, formulas: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """(formula, term, estimate, se, p_value, status, n, n_events, rank) of the first of (name, factors, numeric) that fits without a penalty.
+
+    If none does, the last one that gave estimates stands, else a row that says so. n and n_events are of rows complete in that formula.
+    """
+    last = None
+    for i, (name, factors, numeric) in enumerate(formulas):
+        known = df.select(outcome, *factors, *numeric).dropna()
+        size = known.agg(F.count("*").alias("n"), F.count_if(F.col(outcome) == 1).alias("n_events"))
+        fit = logit(df, outcome, factors, numeric)
+        told = fit.crossJoin(F.broadcast(size)).select(F.lit(name).alias("formula"), "*", F.lit(i).alias("rank"))
+        status = fit.first()["status"]
+        if status == "ok":
+            return told
+        if last is None or not status.startswith("failed"):
+            last = told
+    return last
+
+
 def attach_groups(df: DataFrame, dim: DataFrame, key: str, cohort: Column, region: Column) -> DataFrame:
     return df.join(dim, key, "left").withColumn("cohort", cohort).withColumn("region", region)
 

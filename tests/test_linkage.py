@@ -235,6 +235,32 @@ def test_roster_offsets(spark):
     assert [(r.relation, r.name) for r in rows] == [("父", "王厚莊"), ("祖父", "李大年")] and all(r.t[r.start : r.stop] == r.quote for r in rows)
 
 
+def test_roster_entries_abstain_and_end_before_the_next(spark):
+    from panelspark.operators import extract
+
+    text_ = "父王厚莊，知縣。祖父。叔李大年舉人 曾祖父趙一二"
+    parse = extract.roster_entries(["父", "祖父", "曾祖父", "叔"], "[一-鿿]{2,3}", not_after=["父母"], marks={"degree": ["進士", "舉人"], "office": ["知縣"]})
+    rows = spark.createDataFrame([(text_,), (None,), ("父母官人",), ("",)], "t string").select("t", F.explode(parse("t")).alias("r")).select("t", "r.*").collect()
+    assert [(r.relation, r.name, r.reason, r.marks) for r in rows] == [("父", "王厚莊", None, {"office": "知縣"}), ("祖父", None, "no_name_after_relation", {}), ("叔", "李大年", None, {"degree": "舉人"}), ("曾祖父", "趙一二", None, {})]
+    assert all(r.t[r.start : r.stop] == r.quote for r in rows)
+
+
+def test_mismatches_are_named(spark):
+    from panelspark.operators import extract
+
+    g = spark.createDataFrame([(1, "father", "A", "x"), (1, "uncle", "B", "x"), (1, "aunt", "E", None), (2, "father", "C", "x"), (2, "son", "D", "low")], "page int, rel string, name string, office string")
+    p = spark.createDataFrame([(1, "father", "A", "x"), (1, "aunt", "B", "x"), (1, "father", "Z", None), (2, "father", "C", "y"), (2, "son", "D", "high"), (9, "father", "Q", None)], "page int, rel string, name string, office string")
+    pages = spark.createDataFrame([(1, "an UNCLE here"), (2, "x")], "page int, text string")
+    got = {(r.page, r.name, r.error_class) for r in extract.gold_mismatches(g, p, "page", "rel", "name", "office", pages, {"uncle": ["UNCLE"], "aunt": ["AUNT"]}, [("high", "low")]).collect()}
+    assert got == {(1, "B", "relation_error"), (1, "Z", "spurious_row"), (1, "B", "missed_entry"), (1, "E", "ocr_induced_relation_loss"), (2, "C", "office_conflict"), (2, "D", "office_priority_confusion")}
+
+
+def test_fallback_formula(spark):
+    df = spark.createDataFrame([("a", "u", 1)] * 30 + [("a", "u", 0)] * 10 + [("b", "u", 1)] * 10 + [("b", "u", 0)] * 20, "g string, one string, y int")
+    got = survey.logit_with_fallback(df, "y", [("with a constant", ["one", "g"], []), ("plain", ["g"], [])]).collect()
+    assert {r.formula for r in got} == {"plain"} and {(r.n, r.n_events, r["rank"]) for r in got} == {(70, 40, 1)}
+
+
 def test_stage_order():
     s = lambda n, i, o: govern.Stage(n, i, o, lambda spark, read: {})
     assert [x.name for x in govern.order([s("c", ["b"], ["c"]), s("a", ["raw"], ["b"])], ["raw"])] == ["a", "c"]
