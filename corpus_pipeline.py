@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import decontam, langid, pii, simhash, spm
 from panelspark.llm.queries import PII_KEY, SPM_MODEL
-from panelspark.plans.shared import remove, scratch
+from panelspark.plans.shared import remove, remove_at_exit, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again, so that a lost executor costs one stage at most."""
+    """All stages over ``documents``; each is written and read again, so that a lost executor costs one stage at most.
+
+    Rows are judged by id and text: repeated rows are near copies of each other, of which one stays; ties go to the smallest id, null ids last.
+    Null texts are of no known language and go. An empty table gives an empty result. The result is read from the shared
+    folder and goes when the process ends.
+    """
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         at = scratch(spark, f"stage-{name}")
@@ -54,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last:
             remove(spark, last)
         last = at
+    remove_at_exit(spark, last)
     return docs
