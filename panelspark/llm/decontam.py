@@ -11,7 +11,7 @@ with a slot in conflict don't count. So a question with other numbers is caught,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -132,33 +132,42 @@ class Templates:
             self.h[i], self.first[i] = t[0][0], first[0][0]
 
     def hashes(self, text: str | None, names: bool = False) -> np.ndarray:
+        told = self.readings(text)
+        return told[-1][1] if names else told[0][1]
+
+    def readings(self, text: str | None) -> list[tuple[bool, np.ndarray]]:
+        """The two readings of a text, or one if they agree."""
         words = (text or "").split()
         if len(self.rows) > _CACHE:
             self.reset()
         at = np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
         f = self.flags[at]
         if not len(f):
-            return self.h[:0]
+            return [(False, self.h[:0])]
         if (f & 8).any():
-            return template(text, self.cache, names)[0]
+            return self._distinct(template(text, self.cache)[0], template(text, self.cache, True)[0])
         h, has, ends = self.h[at], (f & 1) > 0, (f & 16) > 0
-        opens, closes = (f & 32) > 0, (f & 64) > 0
-        if not names:
-            told = np.where(has | ends, np.arange(1, len(f) + 1), 0)  # the last word that says whether a sentence ended
-            state = np.concatenate([[True], ends])[np.maximum.accumulate(told)]
-            plain = np.concatenate([[True], state[:-1]]) & ((f & 128) > 0)
-            h = np.where(plain, self.first[at], h)
-            opens, closes = opens & ~plain, closes & ~plain
         h[1:][((f[1:] & 4) > 0) & ((f[:-1] & 2) > 0)] = UNIT
-        has[1:] &= ~(opens[1:] & closes[:-1])
-        return h[has]
-
-    def readings(self, text: str | None) -> list[tuple[bool, np.ndarray]]:
-        """The two readings of a text, or one if they agree."""
-        a, b = self.hashes(text), self.hashes(text, True)
+        opens, closes = (f & 32) > 0, (f & 64) > 0
+        joins = opens[1:] & closes[:-1]
+        named = has.copy()
+        named[1:] &= ~joins
+        told = np.where(has | ends, np.arange(1, len(f) + 1), 0)  # the last word that says whether a sentence ended
+        state = np.concatenate([[True], ends])[np.maximum.accumulate(told)]
+        plain = np.concatenate([[True], state[:-1]]) & ((f & 128) > 0)
+        if not plain.any():
+            return [(False, h[named])]
+        has[1:] &= ~(joins & ~plain[1:] & ~plain[:-1])
+        return self._distinct(np.where(plain, self.first[at], h)[has], h[named])
+
+    def _distinct(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bool, np.ndarray]]:
         return [(False, a)] if len(a) == len(b) and (a == b).all() else [(False, a), (True, b)]
 
 
+#: Kept for the next tasks of the same Python worker.
+_TEMPLATES: list[Templates] = []
+
+
 class _Rows(dict):
     def __init__(self, owner: Templates) -> None:
         super().__init__()
@@ -209,18 +218,24 @@ class Anchors:
     """Tells quickly that a text can't hold any window of the benchmark.
 
     A window that matches has all its literal words in place, so the text has the window's longest run of literal words;
-    lower-cased and without punctuation, these runs are looked up by hash with only the benchmark's own words known. It
+    lower-cased and without punctuation, these runs are looked up by hash with only the benchmark's own words known. Runs of
+    up to three words are common, so there the text must have the window's second run as well. It
     errs only to the safe side: what it lets pass is looked at in full.
     """
 
-    def __init__(self, runs: list[list[str]]) -> None:
-        plain = [[w.lower().encode("utf-8", "replace").translate(None, _PUNCT) for w in r] for r in runs]
-        self.vocabulary = {w: xxhash.xxh64_intdigest(w) | 1 for r in plain for w in r}
+    def __init__(self, runs: list[tuple[list[str], list[str]]]) -> None:
+        clean = lambda r: tuple(w.lower().encode("utf-8", "replace").translate(None, _PUNCT) for w in r)
+        plain = {(clean(a), clean(b)) for a, b in runs}
+        self.vocabulary = {w: xxhash.xxh64_intdigest(w) | 1 for pair in plain for r in pair for w in r}
+        key = lambda r: int(window_hashes(np.array([self.vocabulary[w] for w in r], np.uint64), len(r))[0])
         by: dict[int, list[int]] = {}
-        for r in plain:
-            by.setdefault(len(r), []).append(int(window_hashes(np.array([self.vocabulary[w] for w in r], np.uint64), len(r))[0]))
-        self.wanted = [(k, Wanted(np.array(v, np.uint64))) for k, v in sorted(by.items())]
-        self.odd = any(_ODD.search(w) for r in runs for w in r)
+        self.second: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        for a, b in plain:
+            by.setdefault(len(a), []).append(key(a))
+            if len(a) <= 3:
+                self.second.setdefault((len(a), key(a)), set()).add((len(b), key(b) if b else 0))
+        self.wanted = [(k, Wanted(np.array(v, np.uint64))) for k, v in sorted(by.items(), reverse=True)]
+        self.odd = any(_ODD.search(w) for pair in runs for r in pair for w in r)
 
     def may_hold(self, text: str | None) -> bool:
         if not text:
@@ -229,30 +244,47 @@ class Anchors:
             return True
         w = text.lower().encode("utf-8", "replace").translate(None, _PUNCT).split()
         ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint64, len(w))
-        return any(len(wanted.places(window_hashes(ids, k))) for k, wanted in self.wanted)
-
-
-def _longest_run(tokens: list[Token]) -> list[str]:
-    best: list[str] = []
-    run: list[str] = []
+        made: dict[int, np.ndarray] = {}
+        for k, wanted in self.wanted:
+            h = window_hashes(ids, k)
+            at = wanted.places(h)
+            if len(at) and k > 3:
+                return True
+            for x in np.unique(h[at]).tolist():
+                for k2, other in self.second[k, x]:
+                    if k2 and k2 not in made:
+                        made[k2] = window_hashes(ids, k2)
+                    if not k2 or (made[k2] == np.uint64(other)).any():
+                        return True
+        return False
+
+
+def _runs(tokens: list[Token]) -> tuple[list[str], list[str]]:
+    """The longest run of literal words, and the longest of the others."""
+    found: list[list[str]] = [[]]
     for _, k, v in tokens:
-        run = [] if k else [*run, v]
-        best = run if len(run) > len(best) else best
-    return best
+        if k:
+            found.append([])
+        else:
+            found[-1].append(v)
+    found.sort(key=len, reverse=True)
+    return found[0], found[1] if len(found) > 1 else []
 
 
 def windows(rows: DataFrame, sizes: list[int], wanted: object = None, own: int = 0, literal: int = 4, exact: object = None) -> DataFrame:
     """(id, t, names, size, at, h, slots) of the template windows of both readings of the rows (id, t, text), whole texts.
 
     With ``own``, a text of fewer tokens has one window of all of them (the benchmark's side), and each window's number of
-    words that aren't placeholders is told, and its longest runs of literal words and of all values; strong: it has
+    words that aren't placeholders is told, and its two longest runs of literal words and the longest of all values; strong: it has
     ``literal`` words or more. With ``wanted``, hashes and anchors, only those hashes are kept, and of those
     in ``exact`` only the values it has for them.
     """
-    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("t long, names boolean, size int, at int, h long, slots array<string>" + ", strong boolean, words int, run array<string>, run_values array<string>" * bool(own))])
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("t long, names boolean, size int, at int, h long, slots array<string>" + ", strong boolean, words int, run array<string>, other_run array<string>, run_values array<string>" * bool(own))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast = Templates()
+        if not _TEMPLATES:
+            _TEMPLATES.append(Templates())
+        fast = _TEMPLATES[0]
         for b in batches:
             out: list[tuple] = []
             for i, key_, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
@@ -268,8 +300,8 @@ def windows(rows: DataFrame, sizes: list[int], wanted: object = None, own: int =
                             part = tokens[at : at + size]
                             key, slots, n = int(w[at : at + 1].view(np.int64)[0]), _slots(part), sum(not k for _, k, _ in part)
                             if exact is None or (known := exact.value.get(key)) is None or tuple(slots) in known:
-                                out.append((i.as_py(), key_.as_py(), names, size, at, key, slots, *([n >= literal, n, _longest_run(part), _values_run(part)] if own else [])))
-            kinds = (b.schema.field(0).type, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string()), *[pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())] * bool(own)])
+                                out.append((i.as_py(), key_.as_py(), names, size, at, key, slots, *([n >= literal, n, *_runs(part), _values_run(part)] if own else [])))
+            kinds = (b.schema.field(0).type, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string()), *[pa.bool_(), pa.int32(), *[pa.list_(pa.string())] * 3] * bool(own)])
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=schema.names)
 
     return rows.select("id", "t", "text").mapInArrow(run, schema)
@@ -296,8 +328,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sizes = sorted(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())  # at most ``size`` numbers
     wanted = exact = None
     free = F.col("strong") | F.col("whole")
-    keys = items.select("h", free.alias("free"), F.when(free & (F.size("run") > 0), F.col("run")).otherwise(F.col("run_values")).alias("run"), F.when(~free, F.col("item_slots")).alias("slots")).distinct()
-    items = items.drop("run", "run_values", "words")
+    worded = free & (F.size("run") > 0)
+    keys = items.select("h", free.alias("free"), F.when(worded, F.col("run")).otherwise(F.col("run_values")).alias("run"), F.when(worded, F.col("other_run")).otherwise(F.array().cast("array<string>")).alias("other_run"), F.when(~free, F.col("item_slots")).alias("slots")).distinct()
+    items = items.drop("run", "other_run", "run_values", "words")
     if keys.limit(small + 1).count() <= small:
         rows = keys.collect()
         values: dict[int, set] = {}
@@ -308,7 +341,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             if r.free:
                 values.pop(r.h, None)
         sc = docs.sparkSession.sparkContext
-        wanted, exact = sc.broadcast((Wanted(np.array([r.h for r in rows], np.int64).view(np.uint64)), Anchors([r.run for r in rows]))), sc.broadcast(values)
+        wanted, exact = sc.broadcast((Wanted(np.array([r.h for r in rows], np.int64).view(np.uint64)), Anchors([(r.run, r.other_run) for r in rows]))), sc.broadcast(values)
         items = F.broadcast(items)
     same = F.col("slots") == F.col("item_slots")
     hit = windows(_keyed(docs, id_col, text_col), sizes, wanted, exact=exact).join(items, ["size", "h"]).where(F.col("strong") | F.col("whole") | same)
@@ -321,11 +354,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return best.groupBy("id", "t").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sum("n").cast("long").alias("n_windows"))
 
 
+def _let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """``body`` of a value that is made once, however often a lambda in it asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _agreeing(met: F.Column) -> F.Column:
     """How many places the windows have whose slots are in no conflict with any other of them."""
-    pairs = F.array_distinct(F.flatten(F.transform(met, lambda w: w.pairs)))
-    torn = F.filter(pairs, lambda p: F.exists(pairs, lambda q: (q.a == p.a) != (q.b == p.b)))
-    return F.size(F.array_distinct(F.transform(F.filter(met, lambda w: ~F.arrays_overlap(w.pairs, torn)), lambda w: w["at"])))
+    torn = lambda ps: F.filter(ps, lambda p: F.exists(ps, lambda q: (q.a == p.a) != (q.b == p.b)))
+    clear = lambda ws, t: F.size(F.array_distinct(F.transform(F.filter(ws, lambda w: ~F.arrays_overlap(w.pairs, t)), lambda w: w["at"])))
+    pairs = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: w.pairs)))
+    return _let(met, lambda ws: _let(_let(pairs(ws), torn), lambda t: clear(ws, t)))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

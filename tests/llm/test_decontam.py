@@ -121,7 +121,7 @@ def test_anchors_never_hide_a_window():
         for at in range(len(w)):
             part = tokens[at : at + min(4, len(h))]
             if any(not k for _, k, _ in part):
-                runs.append(decontam._longest_run(part))
+                runs.append(decontam._runs(part))
                 hashes.add((len(part), int(w[at])))
     anchors = decontam.Anchors(runs)
     n = 0
