@@ -190,6 +190,15 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def growing_hashes(h: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Hashes of all runs of 1, 2, ... ``most`` values, each step from the one before."""
+    out = np.zeros(len(h), np.uint64)
+    for k in range(min(most, len(h))):
+        out = (out[: len(h) - k] * np.uint64(PRIME)) ^ (h[k:] + np.uint64(k))
+        out ^= out >> np.uint64(29)
+        yield out
+
+
 def _slots(tokens: list[Token]) -> list[str]:
     """Of a run of names the last: a capitalised word may stand before it elsewhere."""
     return [f"{k}:{v.rsplit(' ', 1)[-1]}" for _, k, v in tokens if k]
@@ -227,7 +236,7 @@ class Anchors:
         clean = lambda r: tuple(w.lower().encode("utf-8", "replace").translate(None, _PUNCT) for w in r)
         plain = {(clean(a), clean(b)) for a, b in runs}
         self.vocabulary = {w: xxhash.xxh64_intdigest(w) | 1 for pair in plain for r in pair for w in r}
-        key = lambda r: int(window_hashes(np.array([self.vocabulary[w] for w in r], np.uint64), len(r))[0])
+        key = lambda r: int(list(growing_hashes(np.array([self.vocabulary[w] for w in r], np.uint64), len(r)))[-1][0])
         by: dict[int, list[int]] = {}
         self.second: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for a, b in plain:
@@ -244,18 +253,16 @@ class Anchors:
             return True
         w = text.lower().encode("utf-8", "replace").translate(None, _PUNCT).split()
         ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint64, len(w))
-        made: dict[int, np.ndarray] = {}
+        made = list(growing_hashes(ids, self.wanted[0][0])) if self.wanted else []
         for k, wanted in self.wanted:
-            h = window_hashes(ids, k)
-            at = wanted.places(h)
+            if k > len(made):
+                continue
+            at = wanted.places(made[k - 1])
             if len(at) and k > 3:
                 return True
-            for x in np.unique(h[at]).tolist():
-                for k2, other in self.second[k, x]:
-                    if k2 and k2 not in made:
-                        made[k2] = window_hashes(ids, k2)
-                    if not k2 or (made[k2] == np.uint64(other)).any():
-                        return True
+            for x in np.unique(made[k - 1][at]).tolist():
+                if any(not k2 or k2 <= len(made) and (made[k2 - 1] == np.uint64(other)).any() for k2, other in self.second[k, x]):
+                    return True
         return False
 
 
