@@ -234,7 +234,8 @@ class Anchors:
 
     def __init__(self, runs: list[tuple[list[str], list[str]]]) -> None:
         clean = lambda r: tuple(w.lower().encode("utf-8", "replace").translate(None, _PUNCT) for w in r)
-        plain = {(clean(a), clean(b)) for a, b in runs}
+        plain = {(clean(a), clean(b)) for a, b in runs if a}
+        self.bare = any(not a for a, _ in runs)  # a window without a word or a bare number: any text may hold it
         self.vocabulary = {w: xxhash.xxh64_intdigest(w) | 1 for pair in plain for r in pair for w in r}
         key = lambda r: int(list(growing_hashes(np.array([self.vocabulary[w] for w in r], np.uint64), len(r)))[-1][0])
         by: dict[int, list[int]] = {}
@@ -249,7 +250,7 @@ class Anchors:
     def may_hold(self, text: str | None) -> bool:
         if not text:
             return False
-        if self.odd or _ODD.search(text):
+        if self.odd or self.bare or _ODD.search(text):
             return True
         w = text.lower().encode("utf-8", "replace").translate(None, _PUNCT).split()
         ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint64, len(w))
