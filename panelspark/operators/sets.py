@@ -61,9 +61,7 @@ def hierarchy_walk(nodes: DataFrame, node: str, parent: str, stop: Column, depth
     at = table.select(F.col("__n").alias("node"), F.col("__n").alias("at"), F.col("__p").alias("up"), F.col("__s").alias("there"), F.lit(0).alias("steps"))
     done = at.where("there").select("node", F.col("at").alias("ancestor"), "steps")
     at = at.where("NOT there")
-    lost = []
     for i in range(1, depth + 1):
-        lost.append(at.where("up IS NULL").select("node"))
         step = cut(at.where("up IS NOT NULL").select("node", "up").join(table, F.col("up") == F.col("__n")).select("node", F.col("__n").alias("at"), F.col("__p").alias("up"), F.col("__s").alias("there"), F.lit(i).alias("steps")))
         done = done.unionByName(step.where("there").select("node", F.col("at").alias("ancestor"), "steps"))
         at = step.where("NOT there")
