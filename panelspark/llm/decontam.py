@@ -164,10 +164,6 @@ class Templates:
         return [(False, a)] if len(a) == len(b) and (a == b).all() else [(False, a), (True, b)]
 
 
-#: Kept for the next tasks of the same Python worker.
-_TEMPLATES: list[Templates] = []
-
-
 class _Rows(dict):
     def __init__(self, owner: Templates) -> None:
         super().__init__()
@@ -290,9 +286,7 @@ def windows(rows: DataFrame, sizes: list[int], wanted: object = None, own: int =
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("t long, names boolean, size int, at int, h long, slots array<string>" + ", strong boolean, words int, run array<string>, other_run array<string>, run_values array<string>" * bool(own))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _TEMPLATES:
-            _TEMPLATES.append(Templates())
-        fast = _TEMPLATES[0]
+        fast = Templates()
         for b in batches:
             out: list[tuple] = []
             for i, key_, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
