@@ -141,7 +141,7 @@ class _Rows(dict):
         return i
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1_000) -> Model:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 500) -> Model:
     """A model from at most about ``sample`` labelled rows of each language that aren't held out, drawn by a hash of the id.
 
     All words and n-grams of these rows' whole texts are in the model, so it is bounded by ``sample``, the number of languages
