@@ -196,7 +196,7 @@ class Beams:
     ``self_search``: the queries are the tree's own nodes, and none is linked with itself.
     """
 
-    def __init__(self, graph: Graph, tree: np.ndarray, query: np.ndarray, least: float, self_search: bool = False, audit: float = 0.99, ef: int = 32) -> None:
+    def __init__(self, graph: Graph, tree: np.ndarray, query: np.ndarray, least: float, self_search: bool = False, audit: float = 0.99, ef: int = 64) -> None:
         self.graph, self.tree, self.query, self.least, self.own = graph, tree, query, least, self_search
         self.q32, self.widest, self.ef = query.astype(np.float32), 16 * graph.m, ef
         self._audit(audit)
