@@ -307,3 +307,12 @@ def test_documents_linked_without_pairs(spark):
     assert new.dtypes == old.dtypes
     want = sorted(map(tuple, old.collect()), key=str)
     assert sorted(map(tuple, new.collect()), key=str) == want and {x[2] for x in want} == {1, 2}
+
+
+def test_copies_are_not_expanded_into_pairs(spark):
+    from panelspark.operators import linkage
+
+    seen = {1: "ab", 2: "ab", 3: "bc", 4: "ab", 5: "d", 6: "bc"}
+    rows = [(d, t, u) for u, days in seen.items() for d in days for t in (1, 2)] + [("b", None, 7), (None, 1, 8), ("d", 1, None)]
+    got = linkage.coobservations(spark.createDataFrame(rows, "day string, t int, u long"), ["day", "t"], "u", "day").collect()
+    assert {tuple(x) for x in got} == {(1, 3, 1, "b", False), (1, 2, 2, "a|b", True), (1, 4, 2, "a|b", True), (3, 6, 2, "b|c", True)} and len(got) == 4
