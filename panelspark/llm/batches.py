@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system; a worker that serves many stages else keeps the most that any took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # of glibc
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Views of at most ``rows`` rows; an empty batch stays one."""
+    """Views of at most ``rows`` rows; an empty batch stays one. What an earlier task of the worker left free is given back first."""
+    give_back()
     for b in batches:
         for i in range(0, max(b.num_rows, 1), rows):
             yield b.slice(i, rows)

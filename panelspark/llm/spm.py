@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.batches import slices
+from panelspark.llm.batches import give_back, slices
 from panelspark.plans.shared import remove_at_exit, scratch
 
 SPACE = "▁"
@@ -291,6 +291,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ids(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, blocks, cuts) to (word, blocks, ids as bytes, lossy): lossy words are those whose ids don't decode to them."""
+    give_back()
     back = Decoder(m)
     for b in batches:
         ws = b.column(0).to_pylist()
@@ -414,6 +415,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
         for b in slices(batches, 2048):
             if chunks is None:
                 chunks = _Chunks(_Words(shared.value, *_load(path, TaskContext.get().partitionId())))
+                give_back()
             texts = b.column(at)
             values, ends = _encode(texts, chunks)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(texts.is_null().to_numpy(zero_copy_only=False)))
