@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -16,6 +16,12 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``task`` makes; once it has ended, all that it took goes back to the system, as its worker may stand idle beside others for long."""
+    yield from task(batches)
+    give_back()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Views of at most ``rows`` rows; an empty batch stays one. What an earlier task of the worker left free is given back first."""
     give_back()

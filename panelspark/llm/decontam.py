@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm.batches import tidy
 from panelspark.plans.shared import broadcast_if_small, cut, fresh
 
 #: Units, fixed values.
@@ -205,11 +207,12 @@ class Wanted:
 
     def __init__(self, hashes: np.ndarray) -> None:
         self.sorted = np.unique(hashes)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.sorted & np.uint64((1 << 22) - 1)] = True
+        self.bits = np.zeros(min(1 << 22, 64 << len(self.sorted).bit_length()), bool)  # each worker holds one for every length of run
+        self.mask = np.uint64(len(self.bits) - 1)
+        self.bits[self.sorted & self.mask] = True
 
     def places(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.bits[h & np.uint64((1 << 22) - 1)])
+        at = np.flatnonzero(self.bits[h & self.mask])
         i = np.searchsorted(self.sorted, h[at])
         return at[self.sorted[np.minimum(i, len(self.sorted) - 1)] == h[at]] if len(at) and len(self.sorted) else at[:0]
 
@@ -306,7 +309,7 @@ def windows(rows: DataFrame, sizes: list[int], wanted: object = None, own: int =
             kinds = (b.schema.field(0).type, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.string()), *[pa.bool_(), pa.int32(), *[pa.list_(pa.string())] * 3] * bool(own)])
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=schema.names)
 
-    return rows.select("id", "t", "text").mapInArrow(run, schema)
+    return rows.select("id", "t", "text").mapInArrow(partial(tidy, run), schema)
 
 
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

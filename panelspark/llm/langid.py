@@ -12,6 +12,7 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.batches import slices
+from panelspark.llm.batches import slices, tidy
 from panelspark.plans.shared import broadcast_if_small, fresh
 
 TOP = 5
@@ -151,7 +152,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     wide = 1 << 40
     share = rows.groupBy("lang").count().select("lang", F.ceil(F.least(F.lit(1.0), sample / F.col("count")) * wide).alias("below"))
     drawn = rows.join(broadcast_if_small(share, 10_000), "lang").where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(wide)) < F.col("below"))
-    counted = drawn.select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    counted = drawn.select("lang", "text").mapInArrow(partial(tidy, _count), "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     return Model(tuple(r) for r in counted.toLocalIterator())
 
 
@@ -172,7 +173,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             made = [judge.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())], names=schema.names)
 
-    out = docs.select(*[F.col(f"`{c}`") for c in give], F.col(f"`{text_col}`").cast("string").alias(fresh("judged", docs))).mapInArrow(run, schema)
+    out = docs.select(*[F.col(f"`{c}`") for c in give], F.col(f"`{text_col}`").cast("string").alias(fresh("judged", docs))).mapInArrow(partial(tidy, run), schema)
     return out if keep else out.select(id_col, held_out(id_col).alias("held_out"), told, sure)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.batches import slices
+from panelspark.llm.batches import slices, tidy
 from panelspark.plans.shared import cut, fresh, join_hot
 
 #: Titles by gender and given names; fixed values.
@@ -337,7 +337,7 @@ def assign(texts: DataFrame, key: bytes, text_col: str = "text", rounds: int = 3
 
     None but given names and initials, of which there are too few, is told as a real one of the table either.
     """
-    names = texts.select(F.col(text_col).cast("string")).mapInArrow(_entities, "kind string, canon string").distinct()
+    names = texts.select(F.col(text_col).cast("string")).mapInArrow(partial(tidy, _entities), "kind string, canon string").distinct()
     drawn = "kind string, canon string, attempt int, told string"
     now = cut(names.withColumn("attempt", F.lit(0)).mapInArrow(partial(_draw, key), drawn))
     common = F.col("kind").isin("given", "initial")
@@ -402,7 +402,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", small: int
         counts = keys.groupBy("text").agg(F.count("*").alias("n"))
         known = cut(mine.join(counts, "text").withColumnRenamed("text", text))
         ready = join_hot(ready.withColumn(text, F.xxhash64(text_col)), known, [text], "n", docs.count(), "left").select(*docs.columns, again)
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(partial(tidy, run), schema)
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

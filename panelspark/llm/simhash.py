@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.batches import slices
+from panelspark.llm.batches import slices, tidy
 from panelspark.operators.components import connected_components
 from panelspark.plans.shared import broadcast_if_small, cut, fresh, join_hot
 
@@ -312,7 +312,7 @@ def shingle_sets(rows: DataFrame, words: int, bands: int, per: int) -> DataFrame
                 keys.append(band_keys(h, bands, per, salts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return rows.select("id", "t", "text").mapInArrow(run, schema)
+    return rows.select("id", "t", "text").mapInArrow(partial(tidy, run), schema)
 
 
 def _contents(words: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,10 +346,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     met = cut(_meeting(keyed, nodes * bands))
     wanted = first.join(met.select("node").distinct(), "node").select("node", F.col("first.id").alias("wanted"), "first.t")
     found = texts.withColumnRenamed("t", "own").join(wanted, F.col("own").eqNullSafe(F.col("t")) & F.col("id").eqNullSafe(F.col("wanted"))).select("node", "text")
-    contents = found.mapInArrow(partial(_contents, words, bits), "node binary, fp binary, shingles binary").dropDuplicates(["node"])
+    contents = found.mapInArrow(partial(tidy, partial(_contents, words, bits)), "node binary, fp binary, shingles binary").dropDuplicates(["node"])
     dealt = _deal(met.join(contents, "node"), "node", cap).select("key", "lo", "hi", "side", "node", "fp", "shingles")
-    edges = dealt.mapInArrow(partial(_search_sets, radius_of(similarity, bits, slack), similarity), "src binary, dst binary")
-    return join_hot(base.select("id", "t", "node"), _components(first, edges), ["node"], "n", made).drop("node")
+    edges = dealt.mapInArrow(partial(tidy, partial(_search_sets, radius_of(similarity, bits, slack), similarity)), "src binary, dst binary")
+    # cut, as the components begin with a task in Python too, and two in a row take two workers a core, which stay
+    return join_hot(base.select("id", "t", "node"), _components(first, cut(edges)), ["node"], "n", made).drop("node")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256, bands: int = 12, rows: int = 3, slack: float = 4.0, cap: int = 2048) -> DataFrame:

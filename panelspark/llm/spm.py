@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.batches import give_back, slices
+from panelspark.llm.batches import give_back, slices, tidy
 from panelspark.plans.shared import remove_at_exit, scratch
 
 SPACE = "▁"
@@ -39,8 +39,10 @@ _WORD = re.compile(rf"{SPACE}*[{_LATIN}]+|{SPACE}*[^{SPACE}{_LATIN}]+|{SPACE}+")
 _CROSS = re.compile(rf"[{_LATIN}][^{SPACE}{_LATIN}]|[^{SPACE}{_LATIN}][{_LATIN}]|[^{SPACE}]{SPACE}")
 _FLUSH = 300_000  # chunks a task keeps the ids of
 _TELL = 1_000_000  # words and chunks a task gathers before it tells them
+_PIECE = 50_000  # chunks that are Python's strings at a time
 _SPAN = 10  # blocks are told in spans of 2 ** _SPAN, so that no list of them grows with the table
 _GROUPS = 250_000  # words a task aggregates in memory, at about 1 kB, before it sorts them
+_PARTS = 4  # tasks that segment words for each part of a shuffle, so that what one aggregates is small
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -210,6 +212,11 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(n) if old[k] is None else spark.conf.set(n, old[k])
 
 
+def _literal(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of the driver's, for a broadcast; as Arrow it is read without Python workers on the executors."""
+    return F.broadcast(spark.createDataFrame(pa.table(columns)))
+
+
 def segment(distinct: DataFrame, m: Model) -> DataFrame:
     """(word, blocks, cuts) for each row of (word, span, blocks): bit i of cuts is set if a piece ends after i letters; block b is told as -1 - b.
 
@@ -226,8 +233,9 @@ def segment(distinct: DataFrame, m: Model) -> DataFrame:
         if len(p) > 2:
             heads[p[:3]] = max(heads.get(p[:3], 0), len(p))
     # both tables are bounded by the model
-    bounds = F.broadcast(spark.createDataFrame(list(heads.items()) or [("", 0)], "head string, bound int"))
-    pieces = F.broadcast(spark.createDataFrame([(p, rank[p] << 11) for p in m.pieces if len(p) >= least] + [("", 0)], "piece string, code long"))
+    bounds = _literal(spark, head=pa.array(list(heads) or [""], pa.string()), bound=pa.array(list(heads.values()) or [0], pa.int32()))
+    own = [p for p in m.pieces if len(p) >= least]
+    pieces = _literal(spark, piece=pa.array([*own, ""], pa.string()), code=pa.array([*(rank[p] << 11 for p in own), 0], pa.int64()))
     n, a = F.length("word"), F.col("a")
     starts = distinct.select("word", "span", F.explode(F.concat(F.sequence(F.lit(0), n - 1), F.transform("blocks", lambda b: -1 - b))).alias("a"))
     head = F.when(a >= 0, F.substring(F.col("word"), a + 1, F.lit(3)))
@@ -244,7 +252,7 @@ def segment(distinct: DataFrame, m: Model) -> DataFrame:
         w = "(shiftright(s, x.a) & (2L * x.d - 3L))"
         fold = f"aggregate({edge}, shiftleft(1L, length(word) + 1) - 1L, (s, x) -> if(({w} & x.d) = x.d AND bit_count({w}) = 3, s - shiftleft({w} - x.d, x.a), s))"
         return grouped.select("word", "blocks", F.expr(fold).alias("cuts"))
-    score = F.broadcast(spark.createDataFrame([(m.pieces[p], v) for p, v in m.score.items()], "id long, score float"))
+    score = _literal(spark, id=pa.array([m.pieces[p] for p in m.score], pa.int64()), score=pa.array(list(m.score.values()), pa.float32()))
     flat = grouped.select("word", "blocks", F.explode("es").alias("e")).select("word", "blocks", F.expr(start).alias("a"), F.expr(stop).alias("z"), F.shiftright("e", 11).alias("id")).join(score, "id").drop("id")
     loose = grouped.select("word", "blocks", F.explode(F.sequence(F.lit(0), n - 1)).alias("a")).select("word", "blocks", "a", (F.col("a") + 1).alias("z"), F.lit(min(m.score.values()) - 10).cast("float").alias("score"))
     es = flat.union(loose).groupBy("word", "blocks", "a", "z").agg(F.max("score").alias("score")).groupBy("word", "blocks").agg(F.array_sort(F.collect_list(F.struct("z", "a", "score"))).alias("es"))
@@ -264,28 +272,32 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of a task's texts with the task's number."""
-    block, chunks, seen = TaskContext.get().partitionId(), set(), set()
+    """The distinct words of a task's texts with the task's number. Meanwhile they are Arrow's strings, which take a small part of what Python's do."""
+    block = TaskContext.get().partitionId()
+    chunks, fresh, own = pa.array([], pa.string()), [], []
+    distinct = lambda texts, cut: pa.array(list({w for t in texts for w in cut(t) if len(w) <= LONGEST}), pa.string())
+    held = lambda arrays: sum(map(len, arrays))
 
     def give() -> pa.RecordBatch:
-        for c in chunks:
-            if c.isascii() and c.isalpha() and len(c) < LONGEST:
-                seen.add(SPACE + c)
-            else:
-                seen.update(w for w in _WORD.findall(SPACE + c) if len(w) <= LONGEST)
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.full(len(seen), block, np.int32))], names=["word", "block"])
-        chunks.clear()
-        seen.clear()
-        return out
+        alone = pc.match_substring_regex(chunks, f"^[A-Za-z]{{1,{LONGEST - 1}}}$")
+        rest = chunks.filter(pc.invert(alone))
+        made = [distinct(rest.slice(i, _PIECE).to_pylist(), lambda c: _WORD.findall(SPACE + c)) for i in range(0, len(rest), _PIECE)]
+        told = pc.unique(pa.concat_arrays([pc.binary_join_element_wise(SPACE, chunks.filter(alone), ""), *made, *own]))
+        return pa.RecordBatch.from_arrays([told, pa.array(np.full(len(told), block, np.int32))], names=["word", "block"])
 
-    for b in slices(batches, 4096):
+    for b in slices(batches, 1024):
         texts = b.column(0)
         plain, parts = _split(texts)
-        chunks.update(pc.unique(parts.flatten()).to_pylist())
-        for t in texts.filter(pa.array(~plain)).to_pylist():
-            seen.update(w for w in words(t or "") if len(w) <= LONGEST)
-        if len(seen) + len(chunks) > _TELL:
+        fresh.append(pc.unique(parts.flatten()))
+        if not plain.all():
+            own.append(distinct(texts.filter(pa.array(~plain)).to_pylist(), lambda t: words(t or "")))
+        if held(fresh) > max(len(chunks), _PIECE):
+            chunks, fresh = pc.unique(pa.concat_arrays([chunks, *fresh])), []
+        if len(chunks) + held(own) > _TELL:
+            chunks, fresh = pc.unique(pa.concat_arrays([chunks, *fresh])), []
             yield give()
+            chunks, own = chunks[:0], []
+    chunks = pc.unique(pa.concat_arrays([chunks, *fresh]))
     yield give()
 
 
@@ -340,7 +352,9 @@ class _Chunks(dict):
         self.words = words_
 
     def __missing__(self, c: str) -> bytes:
-        x = self.words[SPACE + c] if c.isascii() and c.isalpha() else b"".join([self.words[w] for w in _WORD.findall(SPACE + c)])
+        if c.isascii() and c.isalpha():  # one word, which is not kept twice
+            return self.words[SPACE + c]
+        x = b"".join([self.words[w] for w in _WORD.findall(SPACE + c)])
         if len(self) < _FLUSH:  # the frequent ones come first
             self[c] = x
         return x
@@ -379,9 +393,10 @@ def _load(path: str, block: int) -> tuple[dict[str, bytes], bool]:
     out, lossy = {}, False
     if system.get_file_info(at).type == fs.FileType.Directory:
         for f in sorted(x.path for x in system.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet")):
-            t = pq.read_table(f, filesystem=system, columns=["word", "ids", "lossy"], partitioning=None)
-            out.update(zip(t["word"].to_pylist(), t["ids"].to_pylist(), strict=True))
-            lossy |= bool(pc.any(t["lossy"]).as_py())
+            with system.open_input_file(f) as file:
+                for t in pq.ParquetFile(file).iter_batches(1 << 14, columns=["word", "ids", "lossy"], use_threads=False):
+                    out.update(zip(t["word"].to_pylist(), t["ids"].to_pylist(), strict=True))
+                    lossy |= bool(pc.any(t["lossy"]).as_py())
     return out, lossy
 
 
@@ -397,13 +412,13 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     docs = docs.drop(*[c for c in (ids_col, restored_col) if c in docs.columns])
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     path = scratch(spark, "words")
-    told = docs.select(text_col).mapInArrow(_told, "word string, block int")
+    told = docs.select(text_col).mapInArrow(partial(tidy, _told), "word string, block int")
     remove_at_exit(spark, path)
     # one shuffle by word serves the distinct words and their edges
     with _settings(spark, spark__sql__objectHashAggregate__sortBased__fallbackThreshold=str(_GROUPS)):
         # (a number of parts given, adaptive execution doesn't merge them into larger tables)
-        own = told.withColumn("span", F.shiftright("block", _SPAN)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word", "span").groupBy("word", "span").agg(F.collect_set("block").alias("blocks"))
-        ids = segment(own, m).mapInArrow(partial(_ids, m), "word string, blocks array<long>, ids binary, lossy boolean")
+        own = told.withColumn("span", F.shiftright("block", _SPAN)).repartition(_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), "word", "span").groupBy("word", "span").agg(F.collect_set("block").alias("blocks"))
+        ids = segment(own, m).mapInArrow(partial(tidy, partial(_ids, m)), "word string, blocks array<long>, ids binary, lossy boolean")
         ids.select(F.explode("blocks").alias("b"), "word", "ids", "lossy").select((-1 - F.col("b")).cast("int").alias("block"), "word", "ids", "lossy").repartition("block").write.partitionBy("block").parquet(path)
     shared, at = spark.sparkContext.broadcast(m), docs.columns.index(text_col)
     schema = T.StructType([*docs.schema]).add(ids_col, T.ArrayType(T.IntegerType()))
@@ -412,7 +427,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = None
-        for b in slices(batches, 2048):
+        for b in slices(batches, 512):
             if chunks is None:
                 chunks = _Chunks(_Words(shared.value, *_load(path, TaskContext.get().partitionId())))
                 give_back()
@@ -426,7 +441,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
                 same = [pa.array([t is None or chunks.words.back.text(values[a:z]) == t for t, a, z in zip(texts.to_pylist(), ends, ends[1:], strict=False)])]
             yield pa.RecordBatch.from_arrays([*b.columns, ids, *same], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(partial(tidy, run), schema)
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

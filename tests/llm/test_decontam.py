@@ -141,3 +141,12 @@ def test_items_dense_in_placeholders(spark):
     want = {(1, (1,)), (2, (1,)), (3, ()), (4, (2,)), (5, (3,)), (6, ()), (7, (4,)), (8, ()), (9, ())}
     for small in (500_000, 0):
         assert {(i, items) for i, _, items in judge(spark, docs, bench, small=small)} == want
+
+
+def test_a_small_benchmark_takes_a_small_table():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    for n in (0, 1, 1000):
+        wanted = decontam.Wanted(h[:n])
+        assert wanted.places(h).tolist() == list(range(n)) and len(wanted.bits) <= 1 << 17

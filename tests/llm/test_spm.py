@@ -135,3 +135,35 @@ def test_words_of_many_blocks(spark, model):
     rows = [("▁the", s, [s << spm._SPAN, (s << spm._SPAN) + 5]) for s in range(3)]
     got = spm.segment(spark.createDataFrame(rows, "word string, span int, blocks array<int>"), model).collect()
     assert sorted(-1 - b for x in got for b in x.blocks) == sorted(b for _, _, bs in rows for b in bs) and len({x.cuts for x in got}) == 1
+
+
+def test_the_models_tables_need_no_python_workers(spark, model):
+    """Rows given as Python objects start a second daemon with workers of its own on every executor."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = spark.range(1).select(F.lit("word").alias("word"), F.lit(0).alias("span"), F.array(F.lit(1)).alias("blocks"))
+    assert "ExistingRDD" not in plan(spm.segment(one, model))
+
+
+def test_chunks_keep_no_word_twice(model):
+    chunks = spm._Chunks(spm._Words(model, {}, False))
+    assert chunks["word"] == chunks.words["▁word"] and "word" not in chunks
+    assert chunks["a-b"] == b"".join(chunks.words[w] for w in ("▁a", "-", "b")) and "a-b" in chunks
+
+
+def test_told_words_are_distinct_and_few_at_a_time(spark, monkeypatch):
+    texts = [*TEXTS, "one two-three", "one  ▁ two", "y" * 59 + " " + "y" * 60, "a-b a-b c"] * 3
+    want = {w for t in texts for w in spm.words(t or "") if len(w) <= spm.LONGEST}
+    import pyarrow as pa
+
+    class Task:
+        def partitionId(self):
+            return 7
+
+    monkeypatch.setattr(spm.TaskContext, "get", lambda: Task())
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5], pa.string())], names=["t"]) for i in range(0, len(texts), 5)])
+    (one,) = spm._told(batches())
+    assert sorted(one["word"].to_pylist()) == sorted(want) and set(one["block"].to_pylist()) == {7}
+    monkeypatch.setattr(spm, "_TELL", 10)
+    monkeypatch.setattr(spm, "_PIECE", 2)
+    many = list(spm._told(batches()))
+    assert len(many) > 2 and {w for b in many for w in b["word"].to_pylist()} == want

@@ -81,3 +81,19 @@ def test_free_memory_goes_back_to_the_system():
     del rows
     assert list(slices(iter([]))) == []  # a next task begins
     assert full - held() > 150 and len(kept) == 300
+
+
+def test_a_task_leaves_no_memory_behind():
+    from panelspark.llm.batches import tidy
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6  # noqa: E731  MB
+    kept, full = [], []
+
+    def task(batches):
+        rows = [bytearray(2000) for _ in range(150_000)]
+        kept.extend(rows[::500])  # as what lives on keeps the heap's end in place
+        full.append(held())
+        yield len(rows)
+
+    assert list(tidy(task, iter([]))) == [150_000]
+    assert full[0] - held() > 150 and len(kept) == 300
