@@ -316,3 +316,32 @@ def test_copies_are_not_expanded_into_pairs(spark):
     rows = [(d, t, u) for u, days in seen.items() for d in days for t in (1, 2)] + [("b", None, 7), (None, 1, 8), ("d", 1, None)]
     got = linkage.coobservations(spark.createDataFrame(rows, "day string, t int, u long"), ["day", "t"], "u", "day").collect()
     assert {tuple(x) for x in got} == {(1, 3, 1, "b", False), (1, 2, 2, "a|b", True), (1, 4, 2, "a|b", True), (3, 6, 2, "b|c", True)} and len(got) == 4
+
+
+def test_coobserved_pairs_are_told_without_a_shuffle(spark):
+    import random
+
+    from panelspark.operators import linkage
+
+    r = random.Random(4)
+    for n, days, most in ((400, 40, 30), (200, 700, 8)):
+        seen = {u: {(r.randrange(days), r.randrange(3)) for _ in range(r.randrange(1, most))} | ({(0, 0)} if u % 2 else set()) for u in range(n)}
+        df = spark.createDataFrame([(*k, u) for u, ks in seen.items() for k in ks], "day int, t int, u long")
+        first, want = {}, set()
+        tell = lambda ks: (len({d for d, _ in ks}), "|".join(sorted({str(d) for d, _ in ks})))
+        for u, ks in seen.items():
+            s = first.setdefault(frozenset(ks), u)
+            want |= {(s, u, *tell(ks), True)} if s != u else set()
+        want |= {(a, b, *tell(x & y), False) for x, a in first.items() for y, b in first.items() if a < b and x & y}
+        for how in ({}, {"held": 50, "slack": 0}, {"slack": 10**6}):
+            got = linkage.coobservations(df, ["day", "t"], "u", "day", **how)
+            rows = got.collect()
+            assert {tuple(x) for x in rows} == want and len(rows) == len(want), (n, how)
+            if n == 400 and not how:
+                store = spark._jsparkSession.sharedState().statusStore()
+                runs = store.executionsList()
+                last = runs.apply(runs.size() - 1).executionId()
+                nodes, told = store.planGraph(last).allNodes(), store.executionMetrics(last)
+                metrics = [m for i in range(nodes.size()) for m in (nodes.apply(i).metrics().apply(j) for j in range(nodes.apply(i).metrics().size()))]
+                shuffled = sum(int(told.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "shuffle records written" and told.contains(m.accumulatorId()))
+                assert 0 < shuffled < len(rows) / 2
