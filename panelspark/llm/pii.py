@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,14 @@ PATTERNS = [
     ("name", re.compile("|".join(_GENDER)), re.compile(rf"\b(?P<it>(?:{'|'.join(_GENDER)}){_MORE}+)\b")),
 ]
 
+#: What every text with an entity holds, by one pass over bytes (RE2, whose digits are ASCII): a start of each pattern, or a character out of
+#: those blocks that have no other digits and no letter that passes for an ASCII one in another case.
+_MAYBE = "|".join((
+    "@|AKIA|ghp_|sk-", r"(?i:password|passwd|token|secret|api_?key)[^0-9A-Za-z_]", r"[0-9]\.[0-9]", "[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4} ?[0-9A-Z]{4}", "[3-6][0-9]{3}[ -]?[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    r"\+[0-9]|\([0-9]{3}\)|[0-9]{3}[.-][0-9]{3}", r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|M)\.? [^ -@\[-`a-z{-~]", f"(?:{'|'.join(_GENDER)}) ",
+    r"[^\x{0}-\x{12F}\x{132}-\x{17E}\x{180}-\x{65F}\x{2000}-\x{2129}\x{212B}-\x{A61F}]",
+))
+
 
 PRIORITY = {k: i for i, k in enumerate(dict.fromkeys(k for k, *_ in PATTERNS))}
 
@@ -119,6 +128,11 @@ def name_parts(canon: str) -> list[tuple[str, str]]:
     return out
 
 
+def maybe(texts: pa.Array) -> pa.Array:
+    """Which texts may hold an entity; all others hold none."""
+    return pc.fill_null(pc.match_substring_regex(texts, _MAYBE), False)
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, canonical form) of the entities of a text, in order, none meeting another."""
     if not text:
@@ -317,7 +331,7 @@ def _checked(kind: str, canon: str) -> list[tuple[str, str]]:
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        seen = sorted({p for t in b.column(0) for _, _, k, c in detect(t.as_py()) for p in _checked(k, c)})
+        seen = sorted({p for t in b.column(0).filter(maybe(b.column(0))) for _, _, k, c in detect(t.as_py()) for p in _checked(k, c)})
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["kind", "canon"])
 
 
@@ -388,10 +402,10 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", small: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             own = [{(e["kind"], e["canon"]): e["attempt"] for e in row or ()} for row in b.column(len(schema) - 1).to_pylist()] if shared.value is None else None
-            made = [rewrite(t.as_py(), key, shared.value if own is None else own[i]) for i, t in enumerate(b.column(at))]
-            cols = list(b.columns)[: len(schema) - 1]
-            cols[at] = pa.array([t for t, _ in made], pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s for _, s in made], span)], names=schema.names)
+            cols, hit = list(b.columns)[: len(schema) - 1], maybe(b.column(at))
+            made = {i: rewrite(cols[at][i].as_py(), key, shared.value if own is None else own[i]) for i in pc.indices_nonzero(hit).to_pylist()}
+            cols[at] = pc.replace_with_mask(cols[at], hit, pa.array([t for t, _ in made.values()], cols[at].type))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([made[i][1] if i in made else [] for i in range(len(hit))], span)], names=schema.names)
 
     ready = docs.withColumn(text_col, F.col(text_col).cast("string"))
     if not few:  # by text: its entities that drew again
@@ -407,5 +421,6 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", small: int
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        b = b.filter(maybe(b.column(1)))
         out = sorted({(i, *p) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for _, _, k, c in detect(t.as_py()) for p in _checked(k, c)})
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], (pa.int64(), pa.string(), pa.string())[j]) for j in range(3)], names=["text", "kind", "canon"])

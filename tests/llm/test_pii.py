@@ -169,3 +169,25 @@ def test_table_equals_brute_force(spark, data):
     assert any(attempt.values())
     out = pii.replace_pii(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()
     assert {r.doc_id: r.text for r in out} == {i: pii.rewrite(t, KEY, attempt)[0] for i, t in docs}
+
+
+def test_only_texts_that_may_hold_an_entity_are_searched(monkeypatch):
+    import random
+    import re
+
+    import pyarrow as pa
+
+    seen = []
+    detect = pii.detect
+    monkeypatch.setattr(pii, "detect", lambda t: seen.append(t) or detect(t))
+    plain = ["The years 1999 and 2024, page 12.", "él dijo “no” — naïve, Łódź", "", None, "passwords and tokens are words"]
+    batch = pa.RecordBatch.from_arrays([pa.array([*plain * 20, "write to jo@example.org"], pa.string())], names=["text"])
+    assert [b.column(0).to_pylist() for b in pii._entities(iter([batch]))] == [["email"]] and seen == ["write to jo@example.org"]
+
+    r = random.Random(9)
+    bits = ["Mr", "Sra.", "M", "Dr", " ", " ", " ", ". ", "José", "Mary", "O’Neil", "van", "李明", "Иван", "Smith", "+", "(", ")", "-", ".", "4", "415", "2671", "١٢٣", "４４４", "DE89", "AKIA", "ghp_", "sk-", "A1b2C3d4E5f6G7h8I9j0K1", "paſſword", "toKen", "apı_key", "API KEY", "secret", "=", ":", "'", "jo", "@", "example.org", "\n", "é", "\U0001d7d8\U0001d7d9\U0001d7da"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 9))) for _ in range(60_000)]
+    held = [bool(detect(t)) for t in texts]
+    assert sum(held) > 200 and not [t for t, h, m in zip(texts, held, pii.maybe(pa.array(texts)).to_pylist(), strict=True) if h and not m]
+    chars = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    assert not [c for c, m in zip(chars, pii.maybe(pa.array(chars)).to_pylist(), strict=True) if not m and (c.isdecimal() or re.fullmatch("(?i)[a-z0-9_]", c))]
